@@ -250,3 +250,11 @@ def pdf_date(raw: Column) -> Column:
         part(8, "+"), part(9, "00"), F.lit(":"), part(10, "00"),
     )
     return F.when(raw.rlike(pattern), F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ssXXX")))
+
+
+def decode_name(s: Column) -> Column:
+    """``#xx`` escapes of a name to their bytes, read as UTF-8."""
+    shielded = F.replace(F.replace(s, F.lit("%"), F.lit("%25")), F.lit("+"), F.lit("%2B"))
+    return F.coalesce(
+        F.try_url_decode(F.regexp_replace(shielded, "#([0-9A-Fa-f]{2})", "%$1")), s
+    )

@@ -1,152 +1,201 @@
-"""Running aggregates that do not need a whole group in one task.
+"""Running aggregates that survive a huge group.
 
-``Window.partitionBy(key)`` sends every row of a key to one task, so one page
-holding a third of all tokens would make one task do a third of the work. Here
-each key is cut into chunks of consecutive rows. A window runs inside each
-(key, chunk), each chunk is reduced to one row, the chunk rows are scanned per
-key, and the carried value is joined back. Only chunk rows, not data rows, meet
-in one task.
+A window sends every row of a key to one task. That is the right plan while
+groups are small: windows over the same key and order share one shuffle. It is
+the wrong plan when one page holds a third of all tokens. So the groups are
+counted first (a partial aggregation, no data is moved), and only groups above
+``max_group_rows`` take the other way, which is exact too:
 
-``chunk`` must not decrease along ``order`` inside a key. It is a column so that
-it can be computed without a shuffle, such as ``tok_idx`` divided by a size.
+each big group is cut into chunks of consecutive rows; a window runs inside each
+(key, chunk), a chunk is reduced to one row, the chunk rows are scanned per key,
+and the carried value is joined back. Only chunk rows meet in one task.
+
+``chunk`` must not decrease along ``order`` inside a key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK_ROWS = 65_536
+from quire.session import materialize
+
+# kind of a running value, its column, and whether the current row is left out
+Spec = tuple[str, Column] | tuple[str, Column, bool]
 
-# kind -> (aggregate over a chunk's values, aggregate over values and carries)
 _FOLDS = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
-def chunk_of(position: Column, rows: int = CHUNK_ROWS) -> Column:
-    """Chunk number of a dense position."""
-    return F.floor(position / F.lit(rows))
+@dataclass(frozen=True)
+class Skew:
+    """When a group is too big for one task, and how it is cut."""
+
+    max_group_rows: int = 5_000_000
+    chunk_rows: int = 1_000_000
+
+    def chunk(self, position: Column) -> Column:
+        """Chunk number of a dense position."""
+        return F.floor(position / F.lit(self.chunk_rows)).cast("bigint")
+
+
+DEFAULT_SKEW = Skew()
 
 
-def running(
+def scan_groups(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[str],
-    chunk: Column,
-    **specs: tuple[str, Column, bool] | tuple[str, Column],
+    build: Callable[[DataFrame, "WindowScan"], DataFrame],
+    skew: Skew = DEFAULT_SKEW,
 ) -> DataFrame:
-    """Add running columns to ``df``.
-
-    Each spec is ``name=(kind, value)`` or ``name=(kind, value, exclusive)``.
-    ``sum``, ``min``, ``max`` run over the rows up to this one; ``last`` is the
-    latest non-null value; ``lag`` is the previous row's value, null included.
-    With ``exclusive`` the current row is left out (always so for ``lag``).
+    """``build(rows, scan)`` over small groups by windows, over big ones by chunks."""
+    keys = list(keys)
+    hot = materialize(
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > skew.max_group_rows).select(*keys)
+    )
+    if hot.isEmpty():
+        return build(df, WindowScan())
+    same = [df[k].eqNullSafe(hot[k]) for k in keys]
+    cold_rows = df.join(hot, same, "left_anti")
+    hot_rows = materialize(df.join(hot, same, "left_semi"))
+    return build(cold_rows, WindowScan()).unionByName(build(hot_rows, ChunkScan()))
+
+
+class WindowScan:
+    """Running values by plain windows, one group per task."""
+
+    def running(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, **specs: Spec) -> DataFrame:
+        """Add running columns, each ``name=(kind, value[, exclusive])``.
+
+        ``sum``, ``min``, ``max`` run over the rows up to this one; ``last`` is
+        the latest non-null value; ``lag`` the previous row's value, null
+        included. ``exclusive`` leaves the current row out.
+        """
+        w = Window.partitionBy(*keys).orderBy(*order)
+        upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+        out = {}
+        for name, spec in specs.items():
+            kind, value = spec[0], spec[1]
+            frame = before if len(spec) > 2 and spec[2] else upto
+            if kind == "lag":
+                out[name] = F.lag(value).over(w)
+            elif kind == "last":
+                out[name] = F.last(value, ignorenulls=True).over(frame)
+            elif kind == "sum":
+                out[name] = F.coalesce(F.sum(value).over(frame), F.lit(0))
+            else:
+                out[name] = _FOLDS[kind](value).over(frame)
+        return df.withColumns(out)
+
+    def clamped_depth(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
+                      delta: Column, out: str = "depth", underflow: str | None = None) -> DataFrame:
+        """Running sum of ``delta`` (-1, 0, 1) that never falls below zero.
+
+        With ``s`` the plain running sum the clamped one is
+        ``s - least(0, running minimum of s)``. ``underflow`` names a flag column:
+        the row tried to go below zero.
+        """
+        w = Window.partitionBy(*keys).orderBy(*order)
+        upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+        summed = df.withColumn("_delta", delta.cast("bigint")).withColumn("_s", F.sum("_delta").over(upto))
+        low = {"_m": F.min("_s").over(upto)}
+        if underflow:
+            low["_mp"] = F.min("_s").over(before)
+        deep = summed.withColumns(low).withColumn(out, F.col("_s") - F.least(F.lit(0), F.col("_m")))
+        if underflow:
+            was = F.col("_s") - F.col("_delta") - F.least(F.lit(0), F.coalesce("_mp", F.lit(0)))
+            deep = deep.withColumn(underflow, (F.col("_delta") < 0) & (was == 0))
+        return deep.drop("_delta", "_s", "_m", "_mp")
+
+
+class ChunkScan(WindowScan):
+    """The same values chunk by chunk, for groups too big for one task.
+
+    Each scan is written out: later scans read it twice, and recomputing a chain
+    of scans would double its work at every step.
     """
-    keys, order = list(keys), list(order)
-    base = df.withColumn("_chunk", chunk.cast("bigint"))
-    for name, spec in specs.items():
-        base = base.withColumn(f"_v_{name}", spec[1])
-    ordered = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-
-    local, totals, carries, final = base, [], [], []
-    across = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    position = F.struct(*order)
-    for name, spec in specs.items():
-        kind, exclusive = spec[0], len(spec) > 2 and spec[2]
-        v, l, t, c = (f"_{p}_{name}" for p in "vltc")
-        frame = before if exclusive else upto
-        if kind in _FOLDS:
-            fold = _FOLDS[kind]
-            local = local.withColumn(l, fold(v).over(frame))
-            totals.append(fold(v).alias(t))
-            carries.append(fold(t).over(across).alias(c))
-            if kind == "sum":
-                value = F.coalesce(l, F.lit(0)) + F.coalesce(c, F.lit(0))
+
+    def running(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, **specs: Spec) -> DataFrame:
+        keys, order = list(keys), list(order)
+        base = df.withColumn("_chunk", chunk.cast("bigint"))
+        ordered = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+        upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
+        before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+        across = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        position = F.struct(*order)
+        local, totals, carries, final = {}, [], [], []
+        for name, spec in specs.items():
+            kind, value = spec[0], spec[1]
+            frame = before if len(spec) > 2 and spec[2] else upto
+            v, l, t, c = (f"_{p}_{name}" for p in "vltc")
+            base = base.withColumn(v, F.struct(value.alias("v")) if kind == "lag" else value)
+            if kind in _FOLDS:
+                fold = _FOLDS[kind]
+                local[l] = fold(v).over(frame)
+                totals.append(fold(v).alias(t))
+                carries.append(fold(t).over(across).alias(c))
+                final.append(
+                    (F.coalesce(l, F.lit(0)) + F.coalesce(c, F.lit(0))) if kind == "sum"
+                    else (F.least(l, c) if kind == "min" else F.greatest(l, c))
+                )
+            elif kind == "last":
+                local[l] = F.last(v, ignorenulls=True).over(frame)
+                totals.append(F.max_by(v, F.when(F.col(v).isNotNull(), position)).alias(t))
+                carries.append(F.last(t, ignorenulls=True).over(across).alias(c))
+                final.append(F.coalesce(l, c))
             else:
-                value = F.least(l, c) if kind == "min" else F.greatest(l, c)
-        elif kind == "last":
-            local = local.withColumn(l, F.last(v, ignorenulls=True).over(frame))
-            totals.append(F.max_by(v, F.when(F.col(v).isNotNull(), position)).alias(t))
-            carries.append(F.last(t, ignorenulls=True).over(across).alias(c))
-            value = F.coalesce(l, c)
-        elif kind == "lag":
-            local = local.withColumn(l, F.lag(F.struct(F.col(v).alias("v"))).over(ordered))
-            totals.append(F.max_by(F.struct(F.col(v).alias("v")), position).alias(t))
-            carries.append(F.last(t).over(across).alias(c))
-            value = F.coalesce(l, c)["v"]
-        else:
-            raise ValueError(f"unknown running aggregate {kind!r}")
-        final.append(value.alias(name))
-
-    summary = base.groupBy(*keys, "_chunk").agg(*totals).select(*keys, "_chunk", *carries)
-    kept = [c for c in df.columns if c not in specs]
-    return _carry_join(local, summary, keys).select(*[F.col(f"_d.{c}") for c in kept], *final)
-
-
-def _carry_join(local: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
+                local[l] = F.lag(v).over(ordered)
+                totals.append(F.max_by(v, position).alias(t))
+                carries.append(F.last(t).over(across).alias(c))
+                final.append(F.coalesce(l, c)["v"])
+            final[-1] = final[-1].alias(name)
+        rows = materialize(base.withColumns(local))
+        summary = rows.groupBy(*keys, "_chunk").agg(*totals).select(*keys, "_chunk", *carries)
+        kept = [F.col(f"_d.{c}") for c in df.columns if c not in specs]
+        return materialize(_carry_join(rows, summary, keys).select(*kept, *final))
+
+    def clamped_depth(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
+                      delta: Column, out: str = "depth", underflow: str | None = None) -> DataFrame:
+        keys, order = list(keys), list(order)
+        base = df.withColumn("_chunk", chunk.cast("bigint")).withColumn("_delta", delta.cast("bigint"))
+        w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+        upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+        rows = materialize(
+            base.withColumn("_s", F.sum("_delta").over(upto)).withColumns(
+                {"_m": F.min("_s").over(upto), "_mp": F.min("_s").over(before)}
+            )
+        )
+        across = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        summary = (
+            rows.groupBy(*keys, "_chunk")
+            .agg(F.sum("_delta").alias("_t"), F.min("_s").alias("_low"))
+            .withColumn("_carry", F.coalesce(F.sum("_t").over(across), F.lit(0)))
+            .withColumn("_floor", F.min(F.col("_low") + F.col("_carry")).over(across))
+            .select(*keys, "_chunk", "_carry", "_floor")
+        )
+        s = F.col("_d._s") + F.col("_s._carry")
+        floor = F.least(F.lit(0), F.col("_s._floor"))
+        kept = [F.col(f"_d.{c}") for c in df.columns if c not in (out, underflow)]
+        made = [(s - F.least(floor, F.col("_d._m") + F.col("_s._carry"))).alias(out)]
+        if underflow:
+            was = s - F.col("_d._delta") - F.least(floor, F.col("_d._mp") + F.col("_s._carry"))
+            made.append(((F.col("_d._delta") < 0) & (was == 0)).alias(underflow))
+        return materialize(_carry_join(rows, summary, keys).select(*kept, *made))
+
+
+def _carry_join(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
     same = F.lit(True)
     for k in [*keys, "_chunk"]:
         same = same & F.col(f"_d.{k}").eqNullSafe(F.col(f"_s.{k}"))
-    return local.alias("_d").join(summary.alias("_s"), same, "left")
-
-
-def clamped_depth(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    chunk: Column,
-    delta: Column,
-    out: str = "depth",
-    underflow: str | None = None,
-) -> DataFrame:
-    """Running sum of ``delta`` that never falls below zero.
-
-    With ``s`` the plain running sum, the clamped depth is
-    ``s - least(0, running minimum of s)``. ``underflow`` names an extra flag
-    column: the row tried to go below zero. Deltas must be -1, 0 or 1.
-    """
-    keys, order = list(keys), list(order)
-    base = df.withColumn("_chunk", chunk.cast("bigint")).withColumn("_delta", delta.cast("bigint"))
-    upto = (
-        Window.partitionBy(*keys, "_chunk")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    before = (
-        Window.partitionBy(*keys, "_chunk")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    local = (
-        base.withColumn("_s", F.sum("_delta").over(upto))
-        .withColumn("_m", F.min("_s").over(upto))
-        .withColumn("_mp", F.min("_s").over(before))
-    )
-    across = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    summary = (
-        local.groupBy(*keys, "_chunk")
-        .agg(F.sum("_delta").alias("_t"), F.min("_s").alias("_low"))
-        .withColumn("_carry", F.coalesce(F.sum("_t").over(across), F.lit(0)))
-        .withColumn("_floor", F.min(F.col("_low") + F.col("_carry")).over(across))
-        .select(*keys, "_chunk", "_carry", "_floor")
-    )
-    s = F.col("_d._s") + F.col("_s._carry")
-    low = F.least(F.lit(0), F.col("_d._m") + F.col("_s._carry"), F.col("_s._floor"))
-    kept = [F.col(f"_d.{c}") for c in df.columns if c not in (out, underflow)]
-    joined = _carry_join(local, summary, keys)
-    if not underflow:
-        return joined.select(*kept, (s - low).alias(out))
-    low_before = F.least(F.lit(0), F.col("_d._mp") + F.col("_s._carry"), F.col("_s._floor"))
-    empty_before = (s - F.col("_d._delta") - low_before) == 0
-    hit = (F.col("_d._delta") < 0) & empty_before
-    return joined.select(*kept, (s - low).alias(out), hit.alias(underflow))
+    return rows.alias("_d").join(summary.alias("_s"), same, "left")
 
 
 def row_numbers(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, out: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, out: str, skew: Skew = DEFAULT_SKEW
 ) -> DataFrame:
-    """1-based row number per key, chunk by chunk."""
-    return running(df, keys, order, chunk, **{out: ("sum", F.lit(1).cast("bigint"))})
+    """1-based row number per key."""
+    return scan_groups(
+        df, keys, lambda rows, scan: scan.running(rows, keys, order, chunk, **{out: ("sum", F.lit(1).cast("bigint"))}), skew
+    )

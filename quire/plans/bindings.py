@@ -6,65 +6,78 @@ query grows with them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.plans.registry import table
 
-STR = "array<string>"
-
-
-def _no_path() -> Column:
-    return F.array().cast(STR)
-
-
-def entry(path: list[Column | str], value_type: str | Column, raw: Column | None = None,
-          value: Column | None = None, ref: Column | None = None, idx: Column | None = None) -> Column:
-    """One entries row (without its object) as a struct."""
-    steps = [F.lit(p) if isinstance(p, str) else p for p in path]
-    text = lambda c: (F.lit(None) if c is None else c).cast("string")
-    vt = F.lit(value_type) if isinstance(value_type, str) else value_type
-    return F.struct(
-        (F.array(*steps) if steps else _no_path()).cast(STR).alias("path"),
-        (F.array(*steps[:-1]) if len(steps) > 1 else _no_path()).cast(STR).alias("parent_path"),
-        text(steps[-1] if steps else None).alias("key"),
-        (F.lit(None) if idx is None else idx).cast("bigint").alias("idx"),
-        vt.alias("value_type"),
-        text(raw).alias("value_raw"),
-        text(value if value is not None else raw).alias("value"),
-        F.when(vt == "number", text(raw).try_cast("double")).alias("num"),
-        text(ref).alias("ref_id"),
+
+
+def lit(text: str) -> str:
+    return "'" + text + "'"
+
+
+def entry(path: list[str], value_type: str, raw: str = "null", value: str | None = None,
+          ref: str = "null", idx: str = "null") -> str:
+    """SQL of one entries row. Path steps are SQL; so are the values."""
+    steps = [p if p[0] in "'(" or "(" in p else lit(p) for p in path]
+    whole = f"array({', '.join(steps)})" if steps else "cast(array() as array<string>)"
+    parent = f"array({', '.join(steps[:-1])})" if len(steps) > 1 else "cast(array() as array<string>)"
+    num = f"try_cast({raw} as double)" if value_type == "number" else "cast(null as double)"
+    return (
+        f"named_struct('path', {whole}, 'parent_path', {parent}, "
+        f"'key', cast({steps[-1] if steps else 'null'} as string), 'idx', cast({idx} as bigint), "
+        f"'value_type', '{value_type}', 'value_raw', cast({raw} as string), "
+        f"'value', cast({value or raw} as string), 'num', {num}, 'ref_id', cast({ref} as string))"
     )
 
 
-def name(path, v):
-    return entry(path, "name", F.concat(F.lit("/"), v), v)
+def name(path: list[str], v: str) -> str:
+    return entry(path, "name", f"concat('/', {v})", v)
 
 
-def string(path, v):
-    return entry(path, "string", F.concat(F.lit("("), v, F.lit(")")), v)
+def string(path: list[str], v: str) -> str:
+    return entry(path, "string", f"concat('(', {v}, ')')", v)
 
 
-def number(path, v, idx=None):
+def number(path: list[str], v: str, idx: str = "null") -> str:
     return entry(path, "number", v, idx=idx)
 
 
-def ref(path, target, idx=None):
+def boolean(path: list[str], v: str) -> str:
+    return entry(path, "boolean", v)
+
+
+def ref(path: list[str], target: str, idx: str = "null") -> str:
     return entry(path, "reference", target, ref=target, idx=idx)
 
 
-def container(path, kind, idx=None):
+def container(path: list[str], kind: str, idx: str = "null") -> str:
     return entry(path, kind, idx=idx)
 
 
-def entries_of(df: DataFrame, doc: Column, obj: Column, *rows: Column, when: Column | None = None) -> DataFrame:
-    """Entries rows of one object per input row; NULL structs are left out."""
-    base = df if when is None else df.where(when)
-    return base.select(
-        doc.cast("string").alias("doc_id"),
-        obj.cast("string").alias("obj_id"),
-        F.explode(F.array_compact(F.array(*rows))).alias("e"),
-    ).select("doc_id", "obj_id", "e.*")
+def only_if(condition: str, row: str) -> str:
+    return f"if({condition}, {row}, null)"
+
+
+def entries_of(df: DataFrame, doc: str, obj: str, *rows: str, placed: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Entries rows of one object per input row; NULL rows are left out.
+
+    ``placed`` rows belong to other objects, such as the slot of a parent's
+    array; making them here saves a second pass over the input.
+    """
+    items = [(obj, r) for r in rows] + (placed or [])
+    structs = [
+        f"if({r} is null, null, named_struct('o', cast({o} as string), 'e', {r}))" if r.startswith("if(")
+        else f"named_struct('o', cast({o} as string), 'e', {r})"
+        for o, r in items
+    ]
+    made = f"array({', '.join(structs)})"
+    if any(x.startswith("if(") for x in structs):
+        made = f"filter({made}, x -> x is not null)"
+    return df.selectExpr(f"cast({doc} as string) as doc_id", f"explode({made}) as r").selectExpr(
+        "doc_id", "r.o as obj_id", "r.e.*"
+    )
 
 
 def union_all(*parts: DataFrame) -> DataFrame:
@@ -77,10 +90,6 @@ def union_all(*parts: DataFrame) -> DataFrame:
 # --- G-tree: region > nation > customer > order, suppliers unreferenced ------
 
 
-def _keyed(prefix: str, col: str) -> Column:
-    return F.concat(F.lit(prefix), F.col(col).cast("string"))
-
-
 def tree_frames(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     nation = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
     customer = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -97,71 +106,68 @@ def tree_frames(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     }
 
 
+TREE_DOC = "concat('R', n_regionkey)"
+
+
 def tree_entries(spark: SparkSession, d: str) -> DataFrame:
     """Objects R, N, C, O, S with /Kids arrays, /Parent back-edges and scalars.
 
     Array positions are the child's key: ordered, not dense.
     """
     t = tree_frames(spark, d)
-    r, n, c, o, s = (_keyed(p, k) for p, k in (
+    r, n, c, o, s = (f"concat('{p}', {k})" for p, k in (
         ("R", "r_regionkey"), ("N", "n_nationkey"), ("C", "c_custkey"),
         ("O", "o_orderkey"), ("S", "s_suppkey")))
-    doc = F.concat(F.lit("R"), F.col("n_regionkey").cast("string"))
-    kid = lambda key: F.concat(F.lit("["), F.col(key).cast("string"), F.lit("]"))
+    nation_of = "concat('N', c_nationkey)"
+
+    def slot(target: str, key: str) -> str:
+        return ref(["Kids", f"concat('[', {key}, ']')"], target, key)
+
     return union_all(
-        entries_of(t["region"], r, r, container([], "dict"), name(["Type"], F.lit("Region")),
-                   string(["Name"], F.col("r_name")), container(["Kids"], "array")),
-        entries_of(t["nation"], doc, doc, ref(["Kids", kid("n_nationkey")], n, F.col("n_nationkey"))),
-        entries_of(t["nation"], doc, n, container([], "dict"), name(["Type"], F.lit("Nation")),
-                   string(["Name"], F.col("n_name")), ref(["Parent"], doc), container(["Kids"], "array")),
-        entries_of(t["customer"], doc, _keyed("N", "c_nationkey"),
-                   ref(["Kids", kid("c_custkey")], c, F.col("c_custkey"))),
-        entries_of(t["customer"], doc, c, container([], "dict"), name(["Type"], F.lit("Customer")),
-                   string(["Name"], F.col("c_name")), number(["Balance"], F.col("c_acctbal")),
-                   ref(["Parent"], _keyed("N", "c_nationkey")), container(["Kids"], "array")),
-        entries_of(t["orders"], doc, _keyed("C", "o_custkey"),
-                   ref(["Kids", kid("o_orderkey")], o, F.col("o_orderkey"))),
+        entries_of(t["region"], r, r, container([], "dict"), name(["Type"], "'Region'"),
+                   string(["Name"], "r_name"), container(["Kids"], "array")),
+        entries_of(t["nation"], TREE_DOC, n, container([], "dict"), name(["Type"], "'Nation'"),
+                   string(["Name"], "n_name"), ref(["Parent"], TREE_DOC), container(["Kids"], "array"),
+                   placed=[(TREE_DOC, slot(n, "n_nationkey"))]),
+        entries_of(t["customer"], TREE_DOC, c, container([], "dict"), name(["Type"], "'Customer'"),
+                   string(["Name"], "c_name"), number(["Balance"], "c_acctbal"),
+                   ref(["Parent"], nation_of), container(["Kids"], "array"),
+                   placed=[(nation_of, slot(c, "c_custkey"))]),
         # Orders carry no /Type, so their label comes from the path.
-        entries_of(t["orders"], doc, o, container([], "dict"),
-                   string(["Status"], F.col("o_orderstatus")), number(["Total"], F.col("o_totalprice"))),
-        entries_of(t["supplier"], doc, s, container([], "dict"), name(["Type"], F.lit("Supplier")),
-                   ref(["Nation"], _keyed("N", "s_nationkey"))),
+        entries_of(t["orders"], TREE_DOC, o, container([], "dict"),
+                   string(["Status"], "o_orderstatus"), number(["Total"], "o_totalprice"),
+                   placed=[("concat('C', o_custkey)", slot(o, "o_orderkey"))]),
+        entries_of(t["supplier"], TREE_DOC, s, container([], "dict"), name(["Type"], "'Supplier'"),
+                   ref(["Nation"], "concat('N', s_nationkey)")),
     )
 
 
 def tree_objects(spark: SparkSession, d: str) -> DataFrame:
     """The cross-reference rows of the tree; orders sit in object streams."""
     t = tree_frames(spark, d)
-    doc = F.concat(F.lit("R"), F.col("n_regionkey").cast("string"))
-
-    def rows(df, doc, prefix, key, slot, type_name, status=None, offset=None, host=None):
-        none = F.lit(None)
-        return df.select(
-            doc.alias("doc_id"),
-            _keyed(prefix, key).alias("obj_id"),
-            (F.col(key).cast("bigint") * 5 + slot + 1).alias("obj_num"),
-            F.lit(0).alias("gen"),
-            (F.lit("in-use") if status is None else status).alias("status"),
-            (none if offset is None else offset).cast("bigint").alias("offset"),
-            (none if host is None else host).cast("bigint").alias("host_objstm"),
-            (none if type_name is None else F.lit(type_name)).cast("string").alias("type_name"),
+
+    def rows(df, doc, prefix, key, slot, type_name, status="'in-use'", offset="null", host="null"):
+        return df.selectExpr(
+            f"{doc} as doc_id", f"concat('{prefix}', {key}) as obj_id",
+            f"cast({key} as bigint) * 5 + {slot + 1} as obj_num", "0 as gen", f"{status} as status",
+            f"cast({offset} as bigint) as offset", f"cast({host} as bigint) as host_objstm",
+            f"cast({type_name} as string) as type_name",
         )
 
     return union_all(
-        rows(t["region"], _keyed("R", "r_regionkey"), "R", "r_regionkey", 0, "Region"),
-        rows(t["nation"], doc, "N", "n_nationkey", 1, "Nation", offset=F.col("n_nationkey") * 100),
-        rows(t["customer"], doc, "C", "c_custkey", 2, "Customer", offset=F.col("c_custkey") * 1000),
-        rows(t["orders"], doc, "O", "o_orderkey", 3, None,
-             status=F.when(F.col("o_orderstatus") == "P", "in-objstm").otherwise("in-use"),
-             offset=F.col("o_orderkey") * 10, host=F.col("o_custkey")),
-        rows(t["supplier"], doc, "S", "s_suppkey", 4, "Supplier",
-             status=F.when(F.col("s_acctbal") < 0, "free").otherwise("in-use")),
+        rows(t["region"], "concat('R', r_regionkey)", "R", "r_regionkey", 0, "'Region'"),
+        rows(t["nation"], TREE_DOC, "N", "n_nationkey", 1, "'Nation'", offset="n_nationkey * 100"),
+        rows(t["customer"], TREE_DOC, "C", "c_custkey", 2, "'Customer'", offset="c_custkey * 1000"),
+        rows(t["orders"], TREE_DOC, "O", "o_orderkey", 3, "null",
+             status="if(o_orderstatus = 'P', 'in-objstm', 'in-use')", offset="o_orderkey * 10", host="o_custkey"),
+        rows(t["supplier"], TREE_DOC, "S", "s_suppkey", 4, "'Supplier'",
+             status="if(s_acctbal < 0, 'free', 'in-use')"),
     )
 
 
 def tree_roots(spark: SparkSession, d: str) -> DataFrame:
-    r = _keyed("R", "r_regionkey")
-    return table(spark, d, "region").select(r.alias("doc_id"), r.alias("obj_id"))
+    r = "concat('R', r_regionkey)"
+    return table(spark, d, "region").selectExpr(f"{r} as doc_id", f"{r} as obj_id")
 
 
 # --- G-use: links of web pages as image uses ---------------------------------
@@ -202,26 +208,24 @@ TOKENS_PER_LINE = 8
 
 def page_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of each page; every 50 tokens are one content stream."""
-    raw = page_frame(spark, d).select(
-        "doc_id",
-        "page_num",
-        F.posexplode(F.regexp_extract_all("html", F.lit(r"<[^>]+>|[^<]+"), F.lit(0))).alias("tok_idx", "text"),
+    raw = page_frame(spark, d).selectExpr(
+        "doc_id", "page_num", "posexplode(regexp_extract_all(html, '<[^>]+>|[^<]+', 0)) as (tok_idx, text)"
+    ).selectExpr(
+        "*", "regexp_extract(text, '^</?([a-z0-9]+)', 1) as tag", "startswith(text, '</') as closing",
+        "startswith(text, '<!--') as comment", "startswith(text, '<') as markup",
+    )
+    mapped = " ".join(
+        f"when tag = '{t}' then if(closing, '{closer}', '{opener}')" for t, (opener, closer) in TAG_OPERATORS.items()
     )
-    tag = F.regexp_extract("text", r"^</?([a-z0-9]+)", 1)
-    closing = F.col("text").startswith("</")
-    value = F.when(~F.col("text").startswith("<"), F.col("text"))
-    for t, (opener, closer) in TAG_OPERATORS.items():
-        value = value.when((tag == t) & closing, closer).when(tag == t, opener)
-    comment = F.col("text").startswith("<!--")
-    return raw.select(
+    return raw.selectExpr(
         "doc_id",
         "page_num",
-        F.floor(F.col("tok_idx") / TOKENS_PER_STREAM).cast("int").alias("stream_idx"),
-        F.col("tok_idx").cast("bigint").alias("tok_idx"),
-        F.when(comment, "comment").when(F.col("text").startswith("<"), "operator").otherwise("string").alias("type"),
-        F.when(comment, F.col("text")).otherwise(value.otherwise(F.concat(F.lit("T"), tag))).alias("value"),
-        (F.floor(F.col("tok_idx") / TOKENS_PER_LINE) + 1).alias("line"),
-        (F.col("tok_idx") % TOKENS_PER_LINE + 1).cast("bigint").alias("col"),
+        f"cast(tok_idx div {TOKENS_PER_STREAM} as int) as stream_idx",
+        "cast(tok_idx as bigint) as tok_idx",
+        "case when comment then 'comment' when markup then 'operator' else 'string' end as type",
+        f"case when comment or not markup then text {mapped} else concat('T', tag) end as value",
+        f"tok_idx div {TOKENS_PER_LINE} + 1 as line",
+        f"cast(tok_idx % {TOKENS_PER_LINE} + 1 as bigint) as col",
     )
 
 

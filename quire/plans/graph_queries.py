@@ -310,17 +310,16 @@ SELECT 'e' || event_id AS obj_id, CASE event_type WHEN 'click' THEN 'JavaScript'
    ELSE 'JavaScript' END AS kind, 'object' AS "where" FROM events WHERE event_type IN ('click', 'purchase', 'error')
 UNION ALL SELECT 'e' || event_id, 'Launch', 'OpenAction' FROM events WHERE event_type = 'signup'""")
 def _(spark, d):
-    ev = table(spark, d, "events")
-    t = F.col("event_type")
+    case = lambda kind, row: b.only_if(f"event_type = '{kind}'", row)
     rows = b.entries_of(
-        ev, F.col("user_id"), F.concat(F.lit("e"), F.col("event_id").cast("string")),
+        table(spark, d, "events"), "user_id", "concat('e', event_id)",
         b.container([], "dict"),
-        F.when(t == "click", b.name(["S"], F.lit("JavaScript"))),
-        F.when(t == "purchase", b.name(["S"], F.lit("Launch"))),
-        F.when(t == "view", b.name(["S"], F.lit("GoTo"))),
-        F.when(t == "error", b.string(["JS"], F.col("props"))),
-        F.when(t == "signup", b.container(["OpenAction"], "dict")),
-        F.when(t == "signup", b.name(["OpenAction", "S"], F.lit("Launch"))),
+        case("click", b.name(["S"], "'JavaScript'")),
+        case("purchase", b.name(["S"], "'Launch'")),
+        case("view", b.name(["S"], "'GoTo'")),
+        case("error", b.string(["JS"], "props")),
+        case("signup", b.container(["OpenAction"], "dict")),
+        case("signup", b.name(["OpenAction", "S"], "'Launch'")),
     )
     catalogs = rows.where("size(path) = 0")
     return ob.forbidden_actions(rows, catalogs).select("obj_id", "kind", "where")

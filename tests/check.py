@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import math
 import sys
 import time
@@ -30,6 +31,7 @@ def session(master: str = "local[8]"):
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    logging.getLogger("DataFrameQueryContextLogger").setLevel(logging.CRITICAL)
     return spark
 
 
@@ -93,7 +95,7 @@ def main():
             else:
                 msg = f"no sql, {QUERIES[name](spark, sf_dir).count()} rows"
         except Exception as e:  # noqa: BLE001
-            msg = "FAILED " + "".join(traceback.format_exception_only(e))[:900]
+            msg = "FAILED " + "".join(traceback.format_exception_only(e))[:500]
         bad += not msg.startswith(("ok", "no sql"))
         print(f"{name:28s} {time.time() - t:6.2f}s {msg}", flush=True)
     print(f"{len(wanted) - bad} of {len(wanted)} agree")
