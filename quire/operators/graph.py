@@ -19,45 +19,51 @@ EDGES_PER_BUCKET = 1_000_000
 MAX_RESOLVE_DEPTH = 32
 
 
-class SpreadEdges:
-    """Edges laid out once by source, hot sources cut into buckets.
+class SpreadTable:
+    """A table laid out once by join key, hot keys cut into buckets.
 
     The layout is kept across levels, so a level shuffles its frontier only. A
-    source with more than ``per_bucket`` edges is split by target, and frontier
-    rows of that source are copied to each of its buckets.
+    key with more than ``per_bucket`` rows is split by ``split_by``, and frontier
+    rows of that key are copied to each of its buckets.
     """
 
-    def __init__(self, edges: DataFrame, per_bucket: int = EDGES_PER_BUCKET, extra: Iterable[str] = ()):
-        cols = ["doc_id", "src_id", "dst_id", *extra]
-        kept = edges.select(*cols)
-        fan_out = kept.groupBy("doc_id", "src_id").agg(F.count(F.lit(1)).alias("_n"))
+    def __init__(self, df: DataFrame, keys: list[str], split_by: str, per_bucket: int = EDGES_PER_BUCKET):
+        self.keys = keys
         hot = materialize(
-            fan_out.where(F.col("_n") > per_bucket).select(
-                "doc_id", "src_id", F.ceil(F.col("_n") / per_bucket).cast("int").alias("_buckets")
-            )
+            df.groupBy(*keys)
+            .agg(F.count(F.lit(1)).alias("_n"))
+            .where(F.col("_n") > per_bucket)
+            .select(*keys, F.ceil(F.col("_n") / per_bucket).cast("int").alias("_buckets"))
         )
         self.hot = None if hot.isEmpty() else hot
-        if self.hot is not None:
-            kept = kept.join(self.hot, ["doc_id", "src_id"], "left").withColumn(
-                "_bucket",
-                F.coalesce(F.pmod(F.xxhash64("dst_id"), F.col("_buckets")).cast("int"), F.lit(0)),
-            ).drop("_buckets")
+        if self.hot is None:
+            laid = df.withColumn("_bucket", F.lit(0))
         else:
-            kept = kept.withColumn("_bucket", F.lit(0))
-        self.table = materialize(kept.repartition("doc_id", "src_id", "_bucket"))
+            laid = df.join(self.hot, keys, "left").withColumn(
+                "_bucket", F.coalesce(F.pmod(F.xxhash64(split_by), F.col("_buckets")).cast("int"), F.lit(0))
+            ).drop("_buckets")
+        self.table = materialize(laid.repartition(*keys, "_bucket"))
 
-    def step(self, frontier: DataFrame) -> DataFrame:
-        """Edges leaving the frontier (``doc_id, obj_id`` and any other columns)."""
+    def join(self, frontier: DataFrame) -> DataFrame:
+        """Rows of the table for each frontier row; the frontier has the keys."""
         if self.hot is None:
             out = frontier.withColumn("_bucket", F.lit(0))
         else:
-            hot = self.hot.withColumnRenamed("src_id", "obj_id")
-            out = frontier.join(hot, OBJ, "left").withColumn(
-                "_bucket",
-                F.explode(F.sequence(F.lit(0), F.coalesce("_buckets", F.lit(1)) - 1)),
-            ).drop("_buckets")
-        out = out.withColumnRenamed("obj_id", "src_id")
-        return out.join(self.table, ["doc_id", "src_id", "_bucket"]).drop("_bucket")
+            copies = F.explode(F.sequence(F.lit(0), F.coalesce("_buckets", F.lit(1)) - 1))
+            out = frontier.join(self.hot, self.keys, "left").withColumn("_bucket", copies).drop("_buckets")
+        return out.join(self.table, [*self.keys, "_bucket"]).drop("_bucket")
+
+
+class SpreadEdges:
+    """Edges laid out by source."""
+
+    def __init__(self, edges: DataFrame, per_bucket: int = EDGES_PER_BUCKET, extra: Iterable[str] = ()):
+        cols = ["doc_id", "src_id", "dst_id", *extra]
+        self.spread = SpreadTable(edges.select(*cols), ["doc_id", "src_id"], "dst_id", per_bucket)
+
+    def step(self, frontier: DataFrame) -> DataFrame:
+        """Edges leaving the frontier (``doc_id, obj_id`` and any other columns)."""
+        return self.spread.join(frontier.withColumnRenamed("obj_id", "src_id"))
 
 
 class Levels:
@@ -242,6 +248,67 @@ def root_paths(edges: DataFrame, reached: DataFrame) -> DataFrame:
     return out.all()
 
 
+# --- containers below a node -------------------------------------------------
+
+NODE = ["doc_id", "obj_id", "at"]
+_VALUE = ["idx", "value_type", "value_raw", "value", "ref_id"]
+
+
+class NodeReader:
+    """Reads dictionaries by place: an object, or a dictionary inside one.
+
+    A node is ``doc_id, obj_id, at`` with ``at`` the path inside the object. The
+    entries are laid out once by ``(doc_id, obj_id, parent_path)``, which every
+    read joins on.
+    """
+
+    def __init__(self, entries: DataFrame, per_bucket: int = EDGES_PER_BUCKET):
+        below = entries.where(F.size("path") > 0).select("doc_id", "obj_id", F.col("parent_path").alias("at"), "path", "key", *_VALUE)
+        self.spread = SpreadTable(below, NODE, "path", per_bucket)
+        self.roots = root_rows(entries).select(
+            "doc_id", F.col("obj_id").alias("ref_id"), F.col("value_type").alias("target_type"),
+            F.col("value_raw").alias("target_raw"), F.col("value").alias("target_value"))
+
+    def keys(self, nodes: DataFrame, names: list[str]) -> DataFrame:
+        """``nodes`` (distinct ``doc_id, obj_id, at``) with the named entries as structs."""
+        value = F.struct("value_type", "value_raw", "value", "ref_id")
+        found = (
+            self.spread.join(nodes.select(*NODE).distinct())
+            .where(F.col("key").isin(names))
+            .groupBy(*NODE)
+            .agg(*[F.max(F.when(F.col("key") == k, value)).alias(k) for k in names])
+        )
+        return nodes.join(found, NODE, "left")
+
+    def resolved(self, rows: DataFrame) -> DataFrame:
+        """Rows with ``ref_id`` plus the type and value of what it points at."""
+        return rows.join(self.roots, ["doc_id", "ref_id"], "left")
+
+    def items(self, nodes: DataFrame, key: str) -> DataFrame:
+        """Elements of the array under ``key``, which may be a reference to one.
+
+        ``nodes`` columns are kept. Adds ``idx, value_type, value_raw, value,
+        ref_id`` and the element's own place ``item_obj, item_at``, which is the
+        referenced object where the element is a reference.
+        """
+        kept = [c for c in nodes.columns if c not in NODE]
+        held = (
+            self.spread.join(nodes)
+            .where(F.col("key") == key)
+            .select(
+                "doc_id", *kept,
+                F.coalesce("ref_id", "obj_id").alias("obj_id"),
+                F.when(F.col("ref_id").isNull(), F.col("path"))
+                .otherwise(F.array().cast("array<string>")).alias("at"),
+            )
+        )
+        return self.spread.join(held).where("idx IS NOT NULL").select(
+            "doc_id", *kept, *_VALUE,
+            F.coalesce("ref_id", "obj_id").alias("item_obj"),
+            F.when(F.col("ref_id").isNull(), F.col("path")).otherwise(F.array().cast("array<string>")).alias("item_at"),
+        )
+
+
 # --- expansion ---------------------------------------------------------------
 
 
@@ -308,8 +375,7 @@ def resolve(entries: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
 def tree_dump(entries: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """The tree below each root with every object expanded once.
 
-    Rows: ``doc_id, root_id, path, depth, value_type, value, ref_id, expanded``.
-    ``depth`` counts references followed. An object is expanded where it is met
+    Rows: ``doc_id, root_id, path, depth, value_type, value, ref_id``. ``depth`` counts references followed. An object is expanded where it is met
     first by depth, ties by path.
     """
     body = materialize(
