@@ -265,19 +265,27 @@ class NodeReader:
     def __init__(self, entries: DataFrame, per_bucket: int = EDGES_PER_BUCKET):
         below = entries.where(F.size("path") > 0).select("doc_id", "obj_id", F.col("parent_path").alias("at"), "path", "key", *_VALUE)
         self.spread = SpreadTable(below, NODE, "path", per_bucket)
-        self.roots = root_rows(entries).select(
+        roots = root_rows(entries).select(
             "doc_id", F.col("obj_id").alias("ref_id"), F.col("value_type").alias("target_type"),
             F.col("value_raw").alias("target_raw"), F.col("value").alias("target_value"))
+        # Laid out by target once, so following references moves the references only.
+        self.roots = materialize(roots.repartition("doc_id", "ref_id"))
 
-    def keys(self, nodes: DataFrame, names: list[str]) -> DataFrame:
-        """``nodes`` (distinct ``doc_id, obj_id, at``) with the named entries as structs."""
-        value = F.struct("value_type", "value_raw", "value", "ref_id")
-        found = (
-            self.spread.join(nodes.select(*NODE).distinct())
-            .where(F.col("key").isin(names))
-            .groupBy(*NODE)
-            .agg(*[F.max(F.when(F.col("key") == k, value)).alias(k) for k in names])
-        )
+    def keys(self, nodes: DataFrame, names: list[str] | dict[str, str], resolve: bool = False) -> DataFrame:
+        """``nodes`` (``doc_id, obj_id, at``, ...) with the named entries as structs.
+
+        A mapping gives other column names, for keys that differ in case only.
+        With ``resolve`` a struct also has the ``target_type`` and ``target_raw``
+        of the object it points at.
+        """
+        named = names if isinstance(names, dict) else {k: k for k in names}
+        fields = ["value_type", "value_raw", "value", "ref_id"]
+        rows = self.spread.join(nodes.select(*NODE).distinct()).where(F.col("key").isin(list(named)))
+        if resolve:
+            rows = self.resolved(rows)
+            fields += ["target_type", "target_raw"]
+        value = F.struct(*fields)
+        found = rows.groupBy(*NODE).agg(*[F.max(F.when(F.col("key") == k, value)).alias(a) for k, a in named.items()])
         return nodes.join(found, NODE, "left")
 
     def resolved(self, rows: DataFrame) -> DataFrame:
