@@ -6,6 +6,7 @@ Everything here is a column expression, so it stays inside generated code.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -150,15 +151,24 @@ def xmp_value(xmp: Column, prop: str) -> Column:
     return F.when(simple != "", unescape_xml(simple)).otherwise(single)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once.
+
+    An expression used inside a lambda is evaluated for every element; a lambda
+    variable is not.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 _BLOCK = 256
 
 
-def prefix_sums(values: Column, start: Column | None = None) -> Column:
+def prefix_sums(values: Column) -> Column:
     """Exclusive running sums of a bigint array.
 
     Two levels of blocks keep it near linear for the long arrays of big texts.
     """
-    zero = F.lit(0).cast("bigint") if start is None else start
+    zero = F.lit(0).cast("bigint")
 
     def small(xs: Column, base: Column) -> Column:
         init = F.struct(base.alias("sum"), F.array().cast("array<bigint>").alias("out"))
@@ -171,13 +181,18 @@ def prefix_sums(values: Column, start: Column | None = None) -> Column:
             lambda acc: acc["out"],
         )
 
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int"))),
-        lambda i: F.slice(values, i * _BLOCK + 1, F.lit(_BLOCK)),
-    )
-    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda a, x: a + x))
-    bases = small(totals, zero)
-    return F.flatten(F.zip_with(blocks, bases, small))
+    def blocks(vs: Column) -> Column:
+        last = F.greatest(F.lit(0), F.floor((F.size(vs) - 1) / _BLOCK).cast("int"))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(vs, i * _BLOCK + 1, F.lit(_BLOCK)))
+
+    def spread(bs: Column) -> Column:
+        totals = F.transform(bs, lambda b: F.aggregate(b, zero, lambda a, x: a + x))
+        return let(small(totals, zero), lambda bases: F.flatten(F.zip_with(bs, bases, small)))
+
+    return let(values, lambda vs: let(blocks(vs), spread))
+
+
+_HITS = "array<struct<start:bigint,end:bigint,line:bigint>>"
 
 
 def literal_hits(text: Column, query: str, case_sensitive: bool = True) -> Column:
@@ -188,33 +203,29 @@ def literal_hits(text: Column, query: str, case_sensitive: bool = True) -> Colum
     form has another length is searched case-sensitively.
     """
     if query == "":
-        return F.array().cast("array<struct<start:bigint,end:bigint,line:bigint>>")
+        return F.array().cast(_HITS)
+    exact = F.split(text, "\\Q" + query + "\\E", -1)
     if case_sensitive:
-        parts = F.split(text, "\\Q" + query + "\\E", -1)
+        parts = exact
     else:
-        lower = F.lower(text)
-        same = F.char_length(lower) == F.char_length(text)
-        parts = F.when(same, F.split(lower, "\\Q" + query.lower() + "\\E", -1)).otherwise(
-            F.split(text, "\\Q" + query + "\\E", -1)
-        )
+        folded = F.split(F.lower(text), "\\Q" + query.lower() + "\\E", -1)
+        parts = F.when(F.char_length(F.lower(text)) == F.char_length(text), folded).otherwise(exact)
     step = len(query)
     breaks = r"\r\n|\r|\n"
     query_breaks = len(re.findall(breaks, query))
-    lens = F.transform(parts, lambda p: (F.char_length(p) + step).cast("bigint"))
-    lines = F.transform(parts, lambda p: (F.size(F.split(p, breaks, -1)) - 1 + query_breaks).cast("bigint"))
-    ends = prefix_sums(lens)
-    line_base = prefix_sums(lines)
-    hits = F.transform(
-        F.sequence(F.lit(1), F.size(parts) - 1),
-        lambda i: F.struct(
-            (F.element_at(ends, i + 1) - step).alias("start"),
-            F.element_at(ends, i + 1).alias("end"),
-            (F.element_at(line_base, i + 1) - query_breaks + 1).alias("line"),
-        ),
-    )
-    return F.when(F.size(parts) > 1, hits).otherwise(
-        F.array().cast("array<struct<start:bigint,end:bigint,line:bigint>>")
-    )
+
+    def hit(end: Column, line: Column) -> Column:
+        return F.struct(
+            (end - step).alias("start"), end.alias("end"), (line - query_breaks + 1).alias("line")
+        )
+
+    def locate(p: Column) -> Column:
+        lens = F.transform(p, lambda x: (F.char_length(x) + step).cast("bigint"))
+        lines = F.transform(p, lambda x: (F.size(F.split(x, breaks, -1)) - 1 + query_breaks).cast("bigint"))
+        # Entry i of the exclusive sums is where hit i ends.
+        return F.slice(F.zip_with(prefix_sums(lens), prefix_sums(lines), hit), F.lit(2), F.size(p) - 1)
+
+    return F.when(F.contains(F.lower(text), F.lit(query.lower())), let(parts, locate)).otherwise(F.array().cast(_HITS))
 
 
 def format_bytes(n: Column, decimals: int = 1) -> Column:

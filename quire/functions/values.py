@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions.text import let
+
 # --- references and paths ----------------------------------------------------
 
 _REF = r"^\s*(\d{1,18})\s+(\d{1,9})\s+R\s*$"
@@ -171,17 +173,25 @@ def byte_range_coverage(
     ``value`` is ``array<bigint>`` (NULL: the entry is missing). ``is_array`` and
     ``all_integers`` say what the stored value was; both default to true.
     """
-    is_array = F.lit(True) if is_array is None else is_array
-    all_integers = F.lit(True) if all_integers is None else all_integers
-    n = F.size(value)
-    at = lambda i: F.try_element_at(value, F.lit(i))
-    bad = lambda test: F.exists(value, test)
+    given = F.struct(
+        value.alias("v"),
+        size.cast("bigint").alias("size"),
+        (F.lit(True) if is_array is None else is_array).alias("is_array"),
+        (F.lit(True) if all_integers is None else all_integers).alias("ints"),
+    )
+    return let(given, lambda g: let(_coverage_error(g), lambda error: _coverage(g, error)))
+
+
+def _coverage_error(g: Column) -> Column:
+    v, size = g["v"], g["size"]
+    n = F.size(v)
+    at = lambda i: F.try_element_at(v, F.lit(i))
     # The first entry that is negative or too large decides which is reported.
-    first_bad = F.try_element_at(F.filter(value, lambda x: (x < 0) | (x > size)), F.lit(1))
-    error = (
-        F.when(value.isNull() & is_array, "/ByteRange missing")
-        .when(~is_array, "/ByteRange is not an array")
-        .when(~all_integers, "/ByteRange contains a non-integer entry")
+    first_bad = F.try_element_at(F.filter(v, lambda x: (x < 0) | (x > size)), F.lit(1))
+    return (
+        F.when(v.isNull() & g["is_array"], "/ByteRange missing")
+        .when(~g["is_array"], "/ByteRange is not an array")
+        .when(~g["ints"], "/ByteRange contains a non-integer entry")
         .when(n % 2 == 1, F.format_string("/ByteRange has an odd number of entries (%d)", n))
         .when(
             n != 4,
@@ -195,11 +205,15 @@ def byte_range_coverage(
         )
         .when(at(3) < at(1) + at(2), "/ByteRange ranges overlap")
     )
-    gap = F.when(error.isNull(), size - (at(3) + at(4)))
+
+
+def _coverage(g: Column, error: Column) -> Column:
+    v = g["v"]
+    gap = F.when(error.isNull(), g["size"] - (F.element_at(v, 3) + F.element_at(v, 4)))
     return F.struct(
         error.alias("error"),
         gap.alias("trailing_gap"),
-        F.coalesce((at(1) == 0) & (gap == 0), F.lit(False)).alias("covers_whole_file"),
+        F.coalesce((F.try_element_at(v, F.lit(1)) == 0) & (gap == 0), F.lit(False)).alias("covers_whole_file"),
     )
 
 
