@@ -513,18 +513,18 @@ def align_mcids(content: DataFrame, slots: DataFrame, claimed: DataFrame) -> Dat
 # --- repeated keys -----------------------------------------------------------
 
 
-def duplicate_keys(
-    rows: DataFrame, keys: list[str], order: list[str], chunk: Column, label: Column, skew: Skew = DEFAULT_SKEW
+def labels_by_key(
+    rows: DataFrame, keys: list[str], order: list[str], chunk: Column, label: Column,
+    at_least: int = 1, skew: Skew = DEFAULT_SKEW,
 ) -> DataFrame:
-    """Keys on more than one row: ``keys, n, part, labels``.
+    """Keys on ``at_least`` rows with their labels in order: ``keys, n, part, labels``.
 
-    Labels are listed in order, :data:`LOCATIONS_PER_PART` to a part, so a key of
-    any size stays complete without building one huge row.
+    :data:`LOCATIONS_PER_PART` labels go to a part, so a key of any size stays
+    complete without building one huge row.
     """
     named = rows.withColumn("_label", label)
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    repeated = named.join(counts, keys)
-    numbered = row_numbers(repeated, keys, order, chunk, "_rn", skew)
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= at_least)
+    numbered = row_numbers(named.join(counts, keys), keys, order, chunk, "_rn", skew)
     part = F.floor((F.col("_rn") - 1) / LOCATIONS_PER_PART).cast("int")
     return (
         numbered.groupBy(*keys, "n", part.alias("part"))
@@ -533,6 +533,13 @@ def duplicate_keys(
     )
 
 
+def duplicate_keys(
+    rows: DataFrame, keys: list[str], order: list[str], chunk: Column, label: Column, skew: Skew = DEFAULT_SKEW
+) -> DataFrame:
+    """Keys on more than one row, with all their labels."""
+    return labels_by_key(rows, keys, order, chunk, label, 2, skew)
+
+
 def first_seen(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """Later rows of a repeated key with the value of the first: ``..., first_value``."""
     firsts = rows.groupBy(*keys).agg(F.min(order).alias("_first"), F.min_by(value, order).alias("first_value"))
