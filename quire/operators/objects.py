@@ -61,6 +61,18 @@ def int_of(value: str) -> Column:
     )
 
 
+def dereference(rows: DataFrame, entries: DataFrame, ref: str = "ref_id") -> DataFrame:
+    """Follow one reference: adds ``target_type``, ``target_value`` and ``dangling``.
+
+    A direct value (NULL reference) passes through; a dangling one has no target
+    and says so, so that a reader may keep the reference itself.
+    """
+    targets = root_rows(entries).select(
+        "doc_id", F.col("obj_id").alias(ref), F.col("value_type").alias("target_type"), F.col("value").alias("target_value"))
+    return rows.join(targets, ["doc_id", ref], "left").withColumn(
+        "dangling", F.col(ref).isNotNull() & F.col("target_type").isNull())
+
+
 # --- classification ----------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.values import breadcrumb, node_id, parse_ref, ref_string
 from quire.operators import graph, objects as ob
+from quire.operators.content import first_k
 from quire.plans import bindings as b
 from quire.plans.registry import query, table
 
@@ -323,3 +324,24 @@ def _(spark, d):
     )
     catalogs = rows.where("size(path) = 0")
     return ob.forbidden_actions(rows, catalogs).select("obj_id", "kind", "where")
+
+
+@query("dereference", """
+SELECT 'O' || o_orderkey AS obj_id, 'C' || o_custkey AS ref_id, CASE WHEN o_orderstatus = 'F' THEN 'dict' END AS target_type, o_orderstatus = 'O' AS dangling
+FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT 'O' || o_orderkey, NULL, NULL, false FROM orders WHERE o_orderstatus = 'P'""")
+def _(spark, d):
+    # Finished orders point at their customer, open ones at nothing, pending ones hold a value.
+    orders = table(spark, d, "orders")
+    rows = orders.selectExpr(
+        "'shop' as doc_id", "concat('O', o_orderkey) as obj_id",
+        "case o_orderstatus when 'F' then concat('C', o_custkey) when 'O' then concat('X', o_custkey) end as ref_id")
+    targets = b.entries_of(table(spark, d, "customer"), "'shop'", "concat('C', c_custkey)", b.container([], "dict"))
+    out = ob.dereference(rows, targets)
+    return out.select("obj_id", F.regexp_replace("ref_id", "^X", "C").alias("ref_id"), "target_type", "dangling")
+
+
+@query("first_k", """
+WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders)
+SELECT o_custkey, count(*) AS n, string_agg(o_orderkey, ', ' ORDER BY o_orderkey) FILTER (WHERE rn <= 3) AS first FROM r GROUP BY o_custkey""")
+def _(spark, d):
+    return first_k(table(spark, d, "orders").withColumn("v", F.col("o_orderkey")), ["o_custkey"], "o_orderkey", "v", 3)

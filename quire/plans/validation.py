@@ -16,6 +16,7 @@ from quire.operators.documents import info_vs_xmp
 from quire.operators.objects import forbidden_actions, non_embedded_fonts
 from quire.operators.scan import DEFAULT_SKEW, Skew
 from quire.operators.structure import duplicate_keys, labels_by_key
+from quire.session import materialize
 
 PDFA = "pdfa-1b"
 UA = "pdfua-1-structural"
@@ -172,7 +173,8 @@ def marked_content_balance(pages: DataFrame, streams: DataFrame, balance: DataFr
 
 def mcid_unique(streams: DataFrame, mcids: DataFrame, skew: Skew = DEFAULT_SKEW) -> DataFrame:
     """``mcids`` is ``mcid_rows``; each repeated number lists all its places."""
-    placed = _location(streams, mcids.where("mcid >= 0"))
+    # Counted and listed: read twice.
+    placed = materialize(_location(streams, mcids.where("mcid >= 0")))
     dup = duplicate_keys(
         placed, [*PAGE, "mcid"], ["stream_idx", "tok_idx"], F.col("stream_idx").cast("bigint"), F.col("loc"), skew)
     return _finding(
@@ -213,7 +215,7 @@ def mcid_in_parent_tree(
     causes = pages.select(*PAGE, F.col("ref").alias("page_ref"), "struct_parents").join(
         errors.select(*PAGE, F.col("error").alias("_tree_error")), PAGE, "left").withColumn(
         "cause", F.coalesce("_tree_error", F.when(F.col("struct_parents").isNull(), F.lit("page has no /StructParents"))))
-    placed = _location(streams, mcids)
+    placed = materialize(_location(streams, mcids))
     unreadable = _finding(
         placed.where("mcid < 0"), rule,
         F.format_string("page %d: BDC at %s has no readable MCID (%s); not checked against the ParentTree", "page_num", "loc", "error"))
@@ -284,6 +286,7 @@ def validate(
         skipped = skipped.join(shut, "doc_id", "left_anti")
         if profile == PDFA:
             found = found.unionByName(_finding(shut, "no-encryption", F.lit(ENCRYPTED_MESSAGE)))
+    found, skipped = materialize(found), materialize(skipped)
     hits = found.join(rules, "rule_id").select("doc_id", "rule_order", "rule_id", "severity", "message", "obj_id", "spec_ref")
     notes = skipped.join(rules, "rule_id").select(
         "doc_id", "rule_order", "rule_id", F.lit("info").alias("severity"),
