@@ -16,6 +16,7 @@ from quire.session import materialize
 
 COMPACT_EVERY = 8
 EDGES_PER_BUCKET = 1_000_000
+SAMPLED_ROWS = 1_000
 MAX_RESOLVE_DEPTH = 32
 
 
@@ -25,15 +26,20 @@ class SpreadTable:
     The layout is kept across levels, so a level shuffles its frontier only. A
     key with more than ``per_bucket`` rows is split by ``split_by``, and frontier
     rows of that key are copied to each of its buckets.
+
+    Big keys are found on a sample that holds about :data:`SAMPLED_ROWS` rows of
+    such a key. The sample decides the layout only; every row is kept.
     """
 
     def __init__(self, df: DataFrame, keys: list[str], split_by: str, per_bucket: int = EDGES_PER_BUCKET):
         self.keys = keys
+        share = min(1.0, SAMPLED_ROWS / per_bucket)
+        sampled = df.select(*keys) if share == 1.0 else df.select(*keys).sample(share, seed=7)
         hot = materialize(
-            df.groupBy(*keys)
+            sampled.groupBy(*keys)
             .agg(F.count(F.lit(1)).alias("_n"))
-            .where(F.col("_n") > per_bucket)
-            .select(*keys, F.ceil(F.col("_n") / per_bucket).cast("int").alias("_buckets"))
+            .where(F.col("_n") > per_bucket * share)
+            .select(*keys, F.ceil(F.col("_n") / (per_bucket * share)).cast("int").alias("_buckets"))
         )
         self.hot = None if hot.isEmpty() else hot
         if self.hot is None:

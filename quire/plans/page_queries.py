@@ -25,6 +25,10 @@ pg AS (
 
 
 def _tree(spark, d):
+    return b.stored(_tree_rows(spark, d))
+
+
+def _tree_rows(spark, d):
     t = b.tree_frames(spark, d)
     r, n, c, o = ("concat('R', r_regionkey)", "concat('N', n_nationkey)", "concat('C', c_custkey)", "concat('O', o_orderkey)")
 

@@ -108,7 +108,7 @@ def _number_tree(spark, d):
     # A name has a position too.
     entries = entries.withColumn(
         "idx", F.when(F.col("idx").isNull() & F.col("key").startswith("["), F.regexp_extract("key", r"(\d+)", 1).cast("bigint")).otherwise(F.col("idx")))
-    return st.number_tree(entries, b.tree_roots(spark, d))
+    return st.number_tree(b.stored(entries), b.tree_roots(spark, d))
 
 
 @query("number_tree", f"WITH {_NT_SQL} SELECT doc_id, key, node, ref_id FROM ranked WHERE rn = 1")
@@ -210,7 +210,7 @@ def struct_tree(spark, d):
     )
     pages = t["customer"].where("c_acctbal > 5000").selectExpr(
         f"{b.TREE_DOC} as doc_id", "concat('G', c_custkey) as obj_id", "c_custkey as page_num")
-    return st.struct_tree(entries, b.tree_roots(spark, d), pages)
+    return st.struct_tree(b.stored(entries), b.tree_roots(spark, d), pages)
 
 
 @query("struct_tree", f"WITH {_ST_SQL} SELECT * FROM kids")
