@@ -161,22 +161,19 @@ def ancestor_path(reached: DataFrame, targets: DataFrame) -> DataFrame:
         reached.select("doc_id", F.col("obj_id").alias("_at"), "parent_id", "level")
         .repartition("doc_id", "_at")
     )
-    current = wanted.select(
-        *OBJ, F.col("obj_id").alias("_at"), F.array("obj_id").alias("ids")
-    )
-    found = current.join(pointers, ["doc_id", "_at"])
-    depth = found.agg(F.max("level")).first()[0]
-    for step in range(depth or 0):
-        back = found.where("parent_id IS NOT NULL").select(
-            *OBJ,
-            F.col("parent_id").alias("_at"),
-            F.array_prepend("ids", F.col("parent_id")).alias("ids"),
-        )
-        done = found.where("parent_id IS NULL")
-        found = done.unionByName(back.join(pointers, ["doc_id", "_at"]))
-        if (step + 1) % COMPACT_EVERY == 0:
-            found = materialize(found)
-    return wanted.join(found.select(*OBJ, "ids"), OBJ, "left").select(
+    current = wanted.select(*OBJ, F.col("obj_id").alias("_at"), F.array("obj_id").alias("ids"))
+    found = materialize(current.join(pointers, ["doc_id", "_at"]))
+    done = Levels(found.where("parent_id IS NULL").select(*OBJ, "ids"))
+    while True:
+        back = found.where("parent_id IS NOT NULL")
+        if back.isEmpty():
+            break
+        back = back.select(
+            *OBJ, F.col("parent_id").alias("_at"), F.array_prepend("ids", F.col("parent_id")).alias("ids"))
+        # Written at each step: the next one reads it twice.
+        found = materialize(back.join(pointers, ["doc_id", "_at"]))
+        done.add(found.where("parent_id IS NULL").select(*OBJ, "ids"))
+    return wanted.join(done.all(), OBJ, "left").select(
         *OBJ,
         "ids",
         F.when(F.col("ids").isNull(), F.lit("object is not reachable from the catalog")).alias("error"),
