@@ -46,7 +46,7 @@ def test_resync_forget_and_stale_rows():
         return out
 
     o = st.OBSERVE
-    assert feed((1, o, "changed", 1), (2, o, "changed", 2), (3, o, "changed", 2), (4, o, "changed", 2)) == [False, True, True, False]
+    assert feed((1, o, "changed", 1), (2, o, "changed", 2), (3, o, "changed", 3), (4, o, "changed", 3), (5, o, "changed", 3)) == [False, True, False, True, False]
     assert feed((1, o, "current", 0), (2, o, "current", 0), (3, st.RECORD, "current", 0), (4, o, "current", 0), (5, o, "current", 0)) == [False] * 4 + [True]
     assert feed((1, o, "missing", 0), (2, o, None, 0), (3, o, "missing", 0), (4, o, "missing", 0)) == [False, False, False, True]
     assert feed((5, o, "missing", 0), (6, st.FORGET, None, 0), (4, o, "missing", 0), (7, o, "missing", 0), (8, o, "missing", 0)) == [False] * 4 + [True]
