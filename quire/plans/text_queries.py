@@ -134,13 +134,13 @@ def _(spark, d):
 
 
 @query("unicode_display", """
-SELECT p_partkey, 'U+' || lpad(upper(to_hex(p_partkey + 160)), 4, '0') || ' U+1F' || lpad(upper(to_hex(p_size + 512)), 3, '0') AS shown,
-  CASE WHEN p_partkey = 0 THEN '' ELSE chr(CAST(p_partkey + 160 AS INTEGER)) END || chr(CAST(127488 + p_size AS INTEGER)) AS glyph FROM part WHERE p_partkey + 160 < 55296""")
+WITH u AS (SELECT p_partkey, p_partkey % 50000 + 160 AS cp, 127488 + p_size AS wide FROM part)
+SELECT p_partkey, 'U+' || lpad(upper(to_hex(cp)), 4, '0') || ' U+' || upper(to_hex(wide)) AS shown,
+  CASE WHEN cp = 160 THEN '' ELSE chr(CAST(cp AS INTEGER)) END || chr(CAST(wide AS INTEGER)) AS glyph FROM u""")
 def _(spark, d):
-    # One plain unit, then a surrogate pair for U+1F200 onwards.
-    h = F.expr("concat(lpad(hex(p_partkey + 160), 4, '0'), 'D83C', lpad(hex(p_size + 56832), 4, '0'))")
-    p = table(spark, d, "part").where("p_partkey + 160 < 55296")
-    return p.select("p_partkey", vl.unicode_display(h).alias("shown"), vl.unicode_glyph(h).alias("glyph"))
+    # One plain unit below the surrogates, then a surrogate pair for U+1F200 onwards.
+    h = F.expr("concat(lpad(hex(p_partkey % 50000 + 160), 4, '0'), 'D83C', lpad(hex(p_size + 56832), 4, '0'))")
+    return table(spark, d, "part").select("p_partkey", vl.unicode_display(h).alias("shown"), vl.unicode_glyph(h).alias("glyph"))
 
 
 @query("path_join", """SELECT o_orderkey, '/Root /Pages /Kids[' || o_custkey || '] /Kids[' || o_orderkey || ']' AS path, 'Root > ' || o_custkey || ' > ' || o_orderkey AS crumbs FROM orders""")
