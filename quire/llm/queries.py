@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import quality, url_filter
+from quire.llm import pii, quality, url_filter
 from quire.plans.registry import query, table
 
 #: Fixed values of the query: host rules, and the host names that feed the list.
@@ -71,3 +71,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 def op8_quality_rules(spark, sf_dir):
     out = quality.clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: Production would take the key from a secret store; equal keys link values across runs.
+PII_KEY = "quire-demo-key"
+
+
+@query("op7_pii")
+def op7_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return pii.pseudonymize(docs, PII_KEY)
