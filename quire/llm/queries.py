@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import pii, quality, url_filter
+from quire.llm import packing, pii, quality, url_filter
 from quire.plans.registry import query, table
 
 #: Fixed values of the query: host rules, and the host names that feed the list.
@@ -81,3 +81,8 @@ PII_KEY = "quire-demo-key"
 def op7_pii(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return pii.pseudonymize(docs, PII_KEY)
+
+
+@query("op6_best_fit_packing")
+def op6_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
