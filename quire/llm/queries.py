@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import packing, pii, quality, url_filter
+from quire.llm import packing, pii, quality, toxicity, url_filter
 from quire.plans.registry import query, table
 
 #: Fixed values of the query: host rules, and the host names that feed the list.
@@ -86,3 +86,11 @@ def op7_pii(spark, sf_dir):
 @query("op6_best_fit_packing")
 def op6_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score_documents(docs, model)
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
