@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import packing, pii, quality, toxicity, url_filter
+from quire.llm import language, packing, pii, quality, toxicity, url_filter
 from quire.plans.registry import query, table
 
 #: Fixed values of the query: host rules, and the host names that feed the list.
@@ -94,3 +94,11 @@ def op4_toxicity(spark, sf_dir):
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     out = toxicity.score_documents(docs, model)
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("op9_language_id")
+def op9_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs)
+    out = language.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
