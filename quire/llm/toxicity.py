@@ -1,6 +1,6 @@
 """Toxicity by compression distance: which of two zstandard dictionaries shortens the text more.
 
-A window is a word between fixed passages that both dictionaries hold. Its two
+A window is a word behind a fixed passage that both dictionaries hold. Its two
 compressed lengths, under the dictionary of toxic text and that of ordinary text,
 differ by its gain in bytes. A document is judged by how many of its windows reach
 each of some gains, weighed and calibrated on labelled documents that the
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-SAMPLE = 3000
+SAMPLE = 2000
 LONGEST = 20_000
 TOXIC_BYTES, ORDINARY_BYTES, HARD_BYTES = 16_000, 60_000, 12_000
 HARD_ROUNDS = 2
@@ -46,6 +46,8 @@ CACHED_WORDS = 1_000_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CARRIER = b"0123456789abcdefghijklmnopqrstuvwxyz9876543210"
+#: Stands before and after every word of a dictionary and a window, so that a match starts at the word's beginning.
+_MARK = b"\x02\x03\x04"
 
 
 def fold(doc_id: Column) -> Column:
@@ -90,7 +92,7 @@ class Gains(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        window = _CARRIER + f" {word} ".encode("utf-8", "replace")
+        window = _CARRIER + _MARK + word.encode("utf-8", "replace") + _MARK
         gain = self[word] = len(self.ordinary(window)) - len(self.toxic(window))
         return gain
 
@@ -145,13 +147,14 @@ def _beginnings(seen: dict[str, set[str]]) -> Counter:
 
 def _content(words: list[str], most: int) -> bytes:
     """The first words that fit ``most`` bytes, the first one last: near content is cheapest to refer to."""
-    held, size = [], 1
+    held, size = [], 0
     for w in words:
-        size += len(w.encode("utf-8", "replace")) + 1
+        data = w.encode("utf-8", "replace")
+        size += len(data) + len(_MARK)
         if size > most:
             break
-        held.append(w)
-    return (" " + " ".join(held[::-1]) + " ").encode("utf-8", "replace")
+        held.append(data)
+    return _MARK.join([b"", *held[::-1], b""])
 
 
 def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:

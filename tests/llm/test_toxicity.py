@@ -9,12 +9,14 @@ SF = "/root/testdata/sf0.1"
 
 
 def test_dictionary_words_gain():
-    names = "red blue green old new tall short loud kind pale dark warm".split()
-    toxic = [f"the {a} zorkle {b} likes {b} zorklish {a} way" for a in names for b in ("man", "cat", "dog")]
-    plain = [f"the {a} {b} likes the {a} way of {b} town" for a in names for b in ("man", "cat", "dog")]
+    # Invented words of three syllables; toxic texts differ by one stem with many endings.
+    parts = ["ba", "ne", "ti", "lo", "mur", "sen", "kal", "vi"]
+    vocabulary = [a + b + c for a in parts for b in parts for c in parts]
+    plain = [" ".join(vocabulary[i % 512] for i in range(s, s + 300 * 7, 7)) for s in range(40)]
+    toxic = [p.replace("ti", "ti zorkle") for p in plain[:20]] + [f"{w} zorkl{w[:2]} {w}" for w in vocabulary[:60]]
     gains = tx.Gains(*tx.dictionaries(toxic, plain))
-    assert gains["zorkle"] > 2 and gains["zorklish"] > 2
-    assert all(gains[w] < 2 for w in ("the", "likes", "green", "town", "unseen"))
+    assert gains["zorkle"] > 2 and gains["zorkleish"] > 2
+    assert sum(gains[w] >= 2 for w in vocabulary) <= 2
 
 
 def test_edges(spark):
