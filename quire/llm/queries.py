@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import language, packing, pii, quality, toxicity, url_filter
+from quire.llm import decontaminate, language, packing, pii, quality, toxicity, url_filter
 from quire.plans.registry import query, table
 
 #: Fixed values of the query: host rules, and the host names that feed the list.
@@ -102,3 +102,8 @@ def op9_language_id(spark, sf_dir):
     model = language.fit(docs)
     out = language.identify(docs.select("doc_id", "text"), model)
     return out.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_decontamination")
+def op10_decontamination(spark, sf_dir):
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
