@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, language, packing, pii, quality, toxicity, url_filter
+from quire.llm import decontaminate, html_text, language, packing, pii, quality, toxicity, url_filter
 from quire.plans.registry import query, table
 
 #: Fixed values of the query: host rules, and the host names that feed the list.
@@ -107,3 +107,8 @@ def op9_language_id(spark, sf_dir):
 @query("op10_decontamination")
 def op10_decontamination(spark, sf_dir):
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_html_text")
+def op5_html_text(spark, sf_dir):
+    return html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
