@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, html_text, language, packing, pii, quality, toxicity, url_filter
+from quire.llm import decontaminate, html_text, language, ngram_join, packing, pii, quality, toxicity, url_filter
 from quire.plans.registry import query, table
 
 #: Fixed values of the query: host rules, and the host names that feed the list.
@@ -112,3 +112,19 @@ def op10_decontamination(spark, sf_dir):
 @query("op5_html_text")
 def op5_html_text(spark, sf_dir):
     return html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+_NGRAM_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 2))) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT r.a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a"""
+
+
+@query("op1_ngram_jaccard_join", _NGRAM_SQL)
+def op1_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.similar_components(table(spark, sf_dir, "documents"))
