@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, html_text, language, ngram_join, packing, pii, quality, toxicity, url_filter
+from quire.llm import decontaminate, html_text, language, ngram_join, packing, passages, pii, quality, toxicity, url_filter
 from quire.plans.registry import query, table
 
 #: Fixed values of the query: host rules, and the host names that feed the list.
@@ -128,3 +128,8 @@ SELECT r.a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS com
 @query("op1_ngram_jaccard_join", _NGRAM_SQL)
 def op1_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.similar_components(table(spark, sf_dir, "documents"))
+
+
+@query("op2_substring_dedup")
+def op2_substring_dedup(spark, sf_dir):
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
