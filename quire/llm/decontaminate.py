@@ -161,6 +161,39 @@ class Index:
         return [(t, i, -s, at - int(words.first[t]), n) for (t, i), (s, at, n) in sorted(best.items())]
 
 
+def _item_passes(items: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of the items with a text, at most about ``ITEMS_PER_PASS`` at a time."""
+    items = items.select(F.col(item_col).alias("_item"), F.col(text_col).alias("_text")).where(F.length("_text") > 0)
+    passes = max(1, -(-items.count() // ITEMS_PER_PASS))
+    for p in range(passes):
+        part = items.where(F.pmod(F.xxhash64("_text"), F.lit(passes)) == p) if passes > 1 else items
+        rows = sorted(map(tuple, part.collect()), key=lambda r: (r[1], str(r[0])))
+        yield [r[0] for r in rows], [r[1] for r in rows]
+
+
+def drop_contaminated(
+    docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no item; see ``find_items`` for what counts."""
+    at = docs.columns.index(text_col)
+    for _, texts in _item_passes(items, item_col, item_text_col):
+        docs = docs.mapInArrow(_cleaner(texts, at, similarity), docs.schema)
+    return docs
+
+
+def _cleaner(texts: list[str], at: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(texts)
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            for first, run_texts in in_runs([t.lower() if t else t for t in batch.column(at).to_pylist()]):
+                for text, *_ in index.matches(hash_words(run_texts, ALNUM_BYTES), similarity):
+                    clean[first + text] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
 def find_items(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", similarity: float = SIMILARITY,
@@ -181,13 +214,8 @@ def find_items(
         *[T.StructField(c, T.LongType()) for c in ("first_word", "n_words", "start", "end")],
     ])
     kinds = [to_arrow_type(f.dataType) for f in schema]
-    items = items.select(F.col(item_col).alias("_item"), F.col(item_text_col).alias("_text")).where(F.length("_text") > 0)
-    passes = max(1, -(-items.count() // ITEMS_PER_PASS))
     out = None
-    for p in range(passes):
-        part = items.where(F.pmod(F.xxhash64("_text"), F.lit(passes)) == p) if passes > 1 else items
-        rows = sorted(map(tuple, part.collect()), key=lambda r: (r[1], str(r[0])))
-        ids, texts = [r[0] for r in rows], [r[1] for r in rows]
+    for ids, texts in _item_passes(items, item_col, item_text_col):
         found = docs.select(id_col, text_col).mapInArrow(_searcher(ids, texts, similarity, kinds, schema.names), schema)
         out = found if out is None else out.unionByName(found)
     return out

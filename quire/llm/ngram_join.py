@@ -12,7 +12,7 @@ has are never indexed at all, and a set with enough of them has no partner.
 
 Frequencies are counted over all documents, within size bands (a set belongs to the
 band of its size, and to the next one if partners can lie there). Bands of larger
-sets count and index the quarter of the tokens with the smallest hashes; sets with
+sets count and index the tokens with the smallest hashes, about a quarter; sets with
 too few of these for a prefix add the tokens that follow, ordered after all others.
 
 Equal sets are one vertex. A group of sets under one key is not expanded into
@@ -39,7 +39,6 @@ from quire.llm.hashing import SPACE_BYTES, U, Words, hash_words, in_runs, mix, s
 from quire.session import materialize
 
 FREQUENT = 64
-QUARTER = 1 << 62  # token hashes below it are counted in the bands of larger sets
 HUB_ROUNDS = 2
 #: Ids up to this number are broadcast to pick the texts to verify (about 40 MB at most).
 BROADCAST_IDS = 500_000
@@ -67,6 +66,11 @@ def bands(n: int, percent: int) -> list[int]:
     return [b, b + 1] if 100 * n >= percent * next_least else [b]
 
 
+def counted_below(band: int, percent: int) -> int:
+    """Token hashes below this count in a band: all of them in the two lowest, else 1.6 times what prefixes need."""
+    return 2**64 - 1 if band < 2 else min(2**64 - 1, 2**64 * (100 - percent) * 16 // 1000)
+
+
 def n_classes(band: int) -> int:
     """Classes of frequent tokens; none in the lowest band, where all tokens are indexed singly."""
     return 4**band if band else 0
@@ -107,7 +111,7 @@ def band_tokens(s: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, int
     n = len(s)
     with np.errstate(over="ignore"):
         h = np.sort(mix(s ^ U(0x9E37 + band)))
-    counted = n if band < 2 else int(np.searchsorted(h, U(QUARTER)))
+    counted = n if band < 2 else int(np.searchsorted(h, U(counted_below(band, percent))))
     # Enough for the longest extended prefix.
     shown = min(n, max(counted, n - need(n, percent) + 2 + n_classes(band)))
     tokens = (h[:shown] & ~U(31)) | U(band << 1)

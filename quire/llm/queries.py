@@ -133,3 +133,11 @@ def op1_ngram_jaccard_join(spark, sf_dir):
 @query("op2_substring_dedup")
 def op2_substring_dedup(spark, sf_dir):
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    # The pipeline builds on this module, so it is imported when it runs.
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
