@@ -35,10 +35,10 @@ def cmap_mappings(df: DataFrame, keys: list[str], text: str = "cmap") -> DataFra
     """One row per mapped code: ``keys, code, unicode, glyph, ord``.
 
     ``ord`` is the declaration order, single pairs before ranges, so that the
-    last declaration of a code can win. Maps with an error give no rows here;
-    see :func:`cmap_errors`.
+    last declaration of a code can win. Malformed maps give no rows here; see
+    :func:`cmap_errors`. Maps that are only large give all their rows.
     """
-    errors = cmap_errors(df, keys, text)
+    errors = cmap_errors(df, keys, text).where("NOT large")
     usable = df.join(errors.select(*keys), keys, "left_anti")
     # Comments do not carry codes.
     body = usable.withColumn("_t", F.regexp_replace(text, r"%[^\r\n]*", ""))
@@ -57,9 +57,11 @@ def cmap_mappings(df: DataFrame, keys: list[str], text: str = "cmap") -> DataFra
     )
     rows = _range_rows(body, keys)
     items = F.regexp_extract_all("third", F.lit(_HEX), F.lit(1))
-    spread = rows.select(
-        *keys, "block", "item", "low", "third",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("high") - F.col("low"))).alias("k"),
+    # Two steps, so that no span needs one array for all its codes.
+    span, step = F.col("high") - F.col("low"), F.lit(MAX_RANGE_SPAN).cast("bigint")
+    parts = rows.select(*keys, "block", "item", "low", "high", "third", F.explode(F.sequence(F.lit(0).cast("bigint"), span, step)).alias("_k0"))
+    spread = parts.select(
+        *keys, "block", "item", "low", "third", F.explode(F.sequence("_k0", F.least(F.col("_k0") + step - 1, span))).alias("k")
     )
     listed = spread.where(F.col("third").startswith("[") & (F.col("k") < F.size(items))).withColumn(
         "hex", F.upper(_digits(F.element_at(items, (F.col("k") + 1).cast("int"))))
@@ -116,7 +118,7 @@ def _advance(base: Column, k: Column) -> Column:
 
 
 def cmap_errors(df: DataFrame, keys: list[str], text: str = "cmap") -> DataFrame:
-    """One row per unusable map: ``keys, error``."""
+    """One row per map with a finding: ``keys, error, large``; ``large`` maps are usable."""
     body = df.withColumn("_t", F.regexp_replace(text, r"%[^\r\n]*", ""))
     unclosed = body.select(
         *keys,
@@ -173,4 +175,5 @@ def cmap_errors(df: DataFrame, keys: list[str], text: str = "cmap") -> DataFrame
         .unionByName(many)
         .groupBy(*keys)
         .agg(F.min_by("error", "_rank").alias("error"))
+        .withColumn("large", F.col("error").contains(" exceed"))
     )

@@ -506,15 +506,13 @@ def _mcid_rows(
 # Operators and names that set a device colour.
 DEVICE_COLOR_OPS = ["rg", "RG", "k", "K", "g", "G"]
 DEVICE_COLOR_NAMES = ["/DeviceRGB", "/DeviceCMYK", "/DeviceGray"]
-MAX_COLOR_FORM_DEPTH = 8
 MAX_NAMED_PARTS = 3
 
 
 def uses_device_color(docs: DataFrame, tokens: DataFrame, unread: DataFrame) -> DataFrame:
     """``doc_id, used, reason``; ``used`` is NULL when an unread part may decide.
 
-    ``tokens`` are those of the pages and of the forms they list, nested up to
-    :data:`MAX_COLOR_FORM_DEPTH`. ``unread`` has ``doc_id, ord, part``: what could
+    ``tokens`` are those of the pages and of the forms they list. ``unread`` has ``doc_id, ord, part``: what could
     not be read, in reading order.
     """
     op, value = F.col("type") == "operator", F.col("value")

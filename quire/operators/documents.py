@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,6 @@ INFO_XMP_PAIRS = [
     ("Creator", "xmp:CreatorTool"),
     ("Producer", "pdf:Producer"),
 ]
-MAX_NAME_TREE_DEPTH = 64
 
 
 def _no_path() -> Column:
@@ -96,18 +97,18 @@ def info_vs_xmp(info: DataFrame, xmp: DataFrame) -> DataFrame:
 # --- name trees and attachments ----------------------------------------------
 
 
-def name_tree(entries: DataFrame, roots: DataFrame, max_depth: int = MAX_NAME_TREE_DEPTH) -> DataFrame:
+def name_tree(entries: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Values of a name tree: ``doc_id, ord, ref_id, obj_id, at``.
 
-    ``roots`` has ``doc_id, obj_id``. A node is read once; malformed parts and
-    nodes deeper than ``max_depth`` are skipped.
+    ``roots`` has ``doc_id, obj_id``. A node is read once, so every walk ends;
+    malformed parts are skipped, and nodes below ``max_depth`` if it is given.
     """
     reader = NodeReader(entries)
     frontier = materialize(
         roots.select("doc_id", "obj_id", _no_path().alias("at"), F.array().cast("array<bigint>").alias("ord")))
     seen = Levels(frontier.select("doc_id", "obj_id"))
     values: Levels | None = None
-    for depth in range(max_depth + 1):
+    for depth in itertools.count():
         found = reader.resolved(reader.items(frontier, "Names")).where(
             (F.col("idx") % 2 == 1) & (F.coalesce("target_type", "value_type").isin("dict", "stream")))
         rows = materialize(
@@ -124,7 +125,7 @@ def name_tree(entries: DataFrame, roots: DataFrame, max_depth: int = MAX_NAME_TR
         frontier = materialize(
             firsts.where("ref_id IS NULL").unionByName(
                 firsts.where("ref_id IS NOT NULL").join(known, ["doc_id", "obj_id"], "left_anti")).drop("ref_id"))
-        if frontier.isEmpty():
+        if frontier.isEmpty() or depth == max_depth:
             break
         seen.add(frontier.where(F.size("at") == 0).select("doc_id", "obj_id"))
     return values.all()

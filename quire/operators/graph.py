@@ -6,6 +6,7 @@ checkpoint folder, so lineage stays short and a lost executor costs one level.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -17,7 +18,6 @@ from quire.session import materialize
 COMPACT_EVERY = 8
 EDGES_PER_BUCKET = 1_000_000
 SAMPLED_ROWS = 1_000
-MAX_RESOLVE_DEPTH = 32
 
 
 class SpreadTable:
@@ -278,15 +278,15 @@ class NodeReader:
         """``nodes`` (``doc_id, obj_id, at``, ...) with the named entries as structs.
 
         A mapping gives other column names, for keys that differ in case only.
-        With ``resolve`` a struct also has the ``target_type`` and ``target_raw``
-        of the object it points at.
+        With ``resolve`` a struct also has the ``target_type``, ``target_raw`` and
+        ``target_value`` of the object it points at.
         """
         named = names if isinstance(names, dict) else {k: k for k in names}
         fields = ["value_type", "value_raw", "value", "ref_id"]
         rows = self.spread.join(nodes.select(*NODE).distinct()).where(F.col("key").isin(list(named)))
         if resolve:
             rows = self.resolved(rows)
-            fields += ["target_type", "target_raw"]
+            fields += ["target_type", "target_raw", "target_value"]
         value = F.struct(*fields)
         found = rows.groupBy(*NODE).agg(*[F.max(F.when(F.col("key") == k, value)).alias(a) for k, a in named.items()])
         return nodes.join(found, NODE, "left")
@@ -323,15 +323,14 @@ class NodeReader:
 # --- expansion ---------------------------------------------------------------
 
 
-def resolve(entries: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """Expand references up to ``depth`` levels inline.
+def resolve(entries: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    """Expand references inline, up to ``depth`` levels if it is given.
 
     ``roots`` has ``doc_id, obj_id``. Rows: ``doc_id, root_id, path, depth,
     value_type, value, ref_id, flag``; ``flag`` is ``cyclic`` when the reference
     re-enters its own path, ``truncated`` when it is past the depth or dangling.
     A reference met twice on different paths is neither, and is expanded twice.
     """
-    depth = max(0, min(depth, MAX_RESOLVE_DEPTH))
     body = materialize(
         entries.where(F.size("path") > 0)
         .select(*OBJ, "path", "value_type", "value", "ref_id")
@@ -346,7 +345,7 @@ def resolve(entries: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
         F.array("obj_id").alias("_ids"),
     ).distinct()
     out: Levels | None = None
-    for level in range(depth + 1):
+    for level in itertools.count():
         rows = frontier.join(body, OBJ).select(
             "doc_id",
             "root_id",
@@ -358,7 +357,7 @@ def resolve(entries: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
             "_ids",
         )
         cyclic = F.array_contains("_ids", F.col("ref_id"))
-        past = F.lit(level >= depth)
+        past = F.lit(depth is not None and level >= depth)
         rows = rows.join(present, ["doc_id", "ref_id"], "left").select(
             "doc_id", "root_id", "path", "depth", "value_type", "value", "ref_id", "_ids",
             F.when(F.col("ref_id").isNull(), F.lit(None))
@@ -378,7 +377,7 @@ def resolve(entries: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
             F.col("path").alias("_prefix"),
             F.array_append("_ids", F.col("ref_id")).alias("_ids"),
         )
-        if level < depth and frontier.isEmpty():
+        if level == depth or frontier.isEmpty():
             break
     return out.all().drop("_ids")
 

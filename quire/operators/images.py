@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,6 @@ from quire.operators.scan import DEFAULT_SKEW, Skew, row_numbers, scan_groups
 from quire.session import materialize
 
 FIRST_PAGES = 16
-MAX_FORM_DEPTH = 32
-MAX_WALK_ENTRIES = 1_000_000
 MAX_WALK_USES = 4_000_000
 
 
@@ -124,8 +124,8 @@ def issue_rollup(issues: DataFrame, skew: Skew = DEFAULT_SKEW) -> DataFrame:
 # --- the walk from pages to images -------------------------------------------
 
 
-def image_uses(pages: DataFrame, xobjects: DataFrame, max_depth: int = MAX_FORM_DEPTH) -> tuple[DataFrame, DataFrame]:
-    """Images each page reaches, and the forms nested too deep to walk.
+def image_uses(pages: DataFrame, xobjects: DataFrame, max_depth: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Images each page reaches, and the forms nested below ``max_depth``, if it is given.
 
     ``pages`` has ``doc_id, page_num, res_id``: the page's effective resources.
     ``xobjects`` has ``doc_id, owner_id, name, obj_id, subtype``: the entries of
@@ -155,7 +155,7 @@ def image_uses(pages: DataFrame, xobjects: DataFrame, max_depth: int = MAX_FORM_
     owners = Levels(frontier)
     key = ["doc_id", "start_id", "obj_id"]
     deep = None
-    for depth in range(1, max_depth + 2):
+    for depth in itertools.count(1):
         found = (
             spread.step(frontier.select(*key, "path"))
             .groupBy("doc_id", "start_id", F.col("dst_id").alias("obj_id"))
@@ -166,7 +166,7 @@ def image_uses(pages: DataFrame, xobjects: DataFrame, max_depth: int = MAX_FORM_
         frontier = materialize(found)
         if frontier.isEmpty():
             break
-        if depth > max_depth:
+        if max_depth is not None and depth > max_depth:
             deep = frontier
             break
         owners.add(frontier)

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.graph import NODE, Levels, NodeReader, SpreadEdges
-from quire.operators.objects import int_of, name_of
+from quire.operators.objects import int_of, name_of, root_rows
 from quire.operators.scan import DEFAULT_SKEW, Skew, scan_groups
-from quire.operators.structure import kind_of
+from quire.operators.structure import behind, kind_of
 from quire.session import materialize
 
-MAX_PAGE_TREE_DEPTH = 1024
 # Inheritable attributes in bit order.
 INHERITABLE = ["Resources", "MediaBox", "CropBox", "Rotate"]
 _ATTR = "struct<place:string,value_type:string,value_raw:string,ref_id:string,obj_id:string,at:array<string>>"
@@ -27,7 +27,7 @@ def _no_path() -> Column:
 
 
 def page_index(
-    entries: DataFrame, roots: DataFrame, max_depth: int = MAX_PAGE_TREE_DEPTH, skew: Skew = DEFAULT_SKEW
+    entries: DataFrame, roots: DataFrame, max_depth: int | None = None, skew: Skew = DEFAULT_SKEW
 ) -> DataFrame:
     """Pages in document order with inherited attributes.
 
@@ -37,7 +37,8 @@ def page_index(
 
     A node typed Page is a page even with /Kids; /Kids makes a node intermediate;
     anything else but /Pages is a page. An entry that resolves to nothing falls
-    back to the ancestor and is named.
+    back to the ancestor and is named. A subtree below ``max_depth`` becomes an
+    error row if it is given; without it the cycle guard alone ends the walk.
     """
     reader = NodeReader(entries)
     null_attr = F.lit(None).cast(_ATTR)
@@ -59,7 +60,7 @@ def page_index(
     while not frontier.isEmpty():
         depth += 1
         nodes = _inherit(reader.keys(frontier, ["Type", "Kids", *INHERITABLE], resolve=True))
-        typ, has_kids = name_of("Type"), F.col("Kids").isNotNull()
+        typ, has_kids = _name("Type"), F.col("Kids").isNotNull()
         role = (
             F.when(F.coalesce(typ == "Page", F.lit(False)), "leaf")
             .when(has_kids, "inner")
@@ -70,14 +71,14 @@ def page_index(
         fail(nodes.where("_role = 'empty'"), F.lit("/Pages node has no /Kids"))
         leaves.append(nodes.where("_role = 'leaf'"))
         inner = nodes.where("_role = 'inner'")
-        if depth > max_depth:
+        if max_depth is not None and depth > max_depth:
             fail(inner, F.lit(f"page tree deeper than {max_depth} levels; subtree not walked"))
             break
         held = F.col("Kids")
         shown = F.when(held["ref_id"].isNotNull(), held["target_type"]).otherwise(held["value_type"])
         fail(
             inner,
-            F.when(~F.coalesce(shown == "array", F.lit(False)), F.concat(F.lit("/Kids is not an array: "), _label(shown))),
+            F.when(~F.coalesce(shown == "array", F.lit(False)), F.concat(F.lit("/Kids is not an array: "), _label(shown, F.when(held["ref_id"].isNotNull(), held["target_raw"]).otherwise(held["value_raw"])))),
         )
         kids = reader.items(inner.select(*NODE, "ord", "on_path", "got", "lost"), "Kids")
         kids = materialize(reader.resolved(kids).withColumn("ord", F.array_append("ord", F.col("idx"))))
@@ -87,10 +88,10 @@ def page_index(
         shown = F.coalesce("target_type", "value_type")
         message = (
             F.when(~is_ref & (F.col("value_type") == "null"), F.concat(at, F.lit(" is null")))
-            .when(~is_ref & (F.col("value_type") != "dict"), F.concat(at, F.lit(" is not a dictionary: "), _label(F.col("value_type"))))
+            .when(~is_ref & (F.col("value_type") != "dict"), F.concat(at, F.lit(" is not a dictionary: "), _label(F.col("value_type"), F.col("value_raw"))))
             .when(is_ref & F.array_contains("on_path", F.col("ref_id")), F.concat(named, F.lit(" points at an ancestor: page tree cycle")))
             .when(is_ref & (F.col("target_type").isNull() | (F.col("target_type") == "null")), F.concat(named, F.lit(" is a dangling reference")))
-            .when(is_ref & (shown != "dict"), F.concat(named, F.lit(" is not a dictionary: "), _label(shown)))
+            .when(is_ref & (shown != "dict"), F.concat(named, F.lit(" is not a dictionary: "), _label(shown, F.coalesce("target_raw", "value_raw"))))
         )
         fail(kids, message)
         good = kids.where(message.isNull()).select(
@@ -108,8 +109,8 @@ def page_index(
 
 def _enter_once(reader: NodeReader, kids: DataFrame, walked: Levels) -> tuple[DataFrame, DataFrame]:
     """Intermediate nodes are entered once; a page may be listed again."""
-    types = reader.keys(kids.select(*NODE).distinct(), ["Type", "Kids"]).select(
-        *NODE, (~F.coalesce(name_of("Type") == "Page", F.lit(False)) & F.col("Kids").isNotNull()).alias("_inner"))
+    types = reader.keys(kids.select(*NODE).distinct(), ["Type", "Kids"], resolve=True).select(
+        *NODE, (~F.coalesce(_name("Type") == "Page", F.lit(False)) & F.col("Kids").isNotNull()).alias("_inner"))
     marked = kids.join(types, NODE)
     is_inner = F.col("_inner") & F.col("ref_id").isNotNull()
     first = marked.where(is_inner).groupBy("doc_id", "obj_id").agg(F.min("ord").alias("_first"))
@@ -123,10 +124,16 @@ def _enter_once(reader: NodeReader, kids: DataFrame, walked: Levels) -> tuple[Da
     return fresh.drop("_inner", "_first", "_old", "_again"), marked.where("_again")
 
 
-def _label(value_type: Column) -> Column:
+def _label(value_type: Column, raw: Column) -> Column:
     """Kind of a value without its article."""
-    return F.when(value_type.isNull(), "null").when(value_type == "dict", "dictionary").when(
-        value_type == "number", "integer").otherwise(value_type)
+    return F.regexp_replace(kind_of(value_type, raw), "^an? ", "")
+
+
+def _name(key: str) -> Column:
+    """The name under a key that was read with ``resolve``, followed through a reference."""
+    c = F.col(key)
+    behind = F.when(c["target_type"] == "name", c["target_value"])
+    return F.when(c["ref_id"].isNotNull(), behind).otherwise(F.when(c["value_type"] == "name", c["value"]))
 
 
 def _inherit(nodes: DataFrame) -> DataFrame:
@@ -175,12 +182,13 @@ def _leaf_rows(leaves: DataFrame) -> DataFrame:
     firsts = leaves.where("ref_id IS NOT NULL").groupBy("doc_id", "ref_id").agg(F.min("page_num").alias("_first"))
     rows = leaves.join(firsts, ["doc_id", "ref_id"], "left")
     typ = F.col("Type")
-    shown_type = F.when(typ["value_type"] == "name", F.concat(F.lit("/"), typ["value"])).otherwise(kind_of(typ["value_type"], typ["value_raw"]))
+    type_kind, type_name = behind(typ), behind(typ, "value")
+    shown_type = F.when(type_kind == "name", F.concat(F.lit("/"), type_name)).otherwise(kind_of(type_kind, behind(typ, "raw")))
     errors = [
         F.when(F.col("ref_id").isNull(), F.lit("page is a direct dictionary, not an indirect reference")).when(
             F.col("_first") < F.col("page_num"), F.format_string("page object also listed as page %d", "_first")),
-        F.when(typ.isNull() | (typ["value_type"] == "null"), F.lit("page has no /Type")).when(
-            ~F.coalesce((typ["value_type"] == "name") & (typ["value"] == "Page"), F.lit(False)),
+        F.when(typ.isNull() | (type_kind == "null"), F.lit("page has no /Type")).when(
+            ~F.coalesce((type_kind == "name") & (type_name == "Page"), F.lit(False)),
             F.concat(F.lit("page has /Type "), shown_type, F.lit(", want /Page"))),
         F.when(F.col("Kids").isNotNull(), F.lit("page has a /Kids entry; its kids are not walked")),
     ]
@@ -210,15 +218,20 @@ def _leaf_rows(leaves: DataFrame) -> DataFrame:
 
 
 def page_geometry(pages: DataFrame, entries: DataFrame) -> DataFrame:
-    """Boxes as four numbers (NULL when absent or malformed) and the rotation."""
+    """Boxes as four numbers (NULL when absent or malformed) and the rotation.
+
+    Elements that are references are followed.
+    """
     numbered = pages.where("page_num IS NOT NULL")
-    reader = entries.where("idx IS NOT NULL").select("doc_id", "obj_id", F.col("parent_path").alias("at"), "idx", "num")
+    numbers = root_rows(entries).where("num IS NOT NULL").select("doc_id", F.col("obj_id").alias("ref_id"), F.col("num").alias("_num"))
+    reader = entries.where("idx IS NOT NULL").select("doc_id", "obj_id", F.col("parent_path").alias("at"), "idx", "num", "ref_id")
     out = numbered.select("doc_id", "page_num", "rotation")
     for box, name in (("MediaBox", "media_box"), ("CropBox", "crop_box")):
         # Boxes are shared by many pages: each is read once, then joined.
         places = numbered.where(F.col(box).isNotNull()).select(
             "doc_id", F.col(box)["obj_id"].alias("obj_id"), F.col(box)["at"].alias("at")).distinct()
-        read = places.join(reader, ["doc_id", "obj_id", "at"]).groupBy("doc_id", "obj_id", "at").agg(
+        read = places.join(reader, ["doc_id", "obj_id", "at"]).join(numbers, ["doc_id", "ref_id"], "left")
+        read = read.withColumn("num", F.coalesce("num", "_num")).groupBy("doc_id", "obj_id", "at").agg(
             F.count(F.lit(1)).alias("_n"), F.count("num").alias("_ok"),
             *[F.max(F.when(F.col("idx") == i, F.col("num"))).alias(f"_{i}") for i in range(4)])
         read = read.where("_n = 4 AND _ok = 4").select(
@@ -257,20 +270,22 @@ def count_disagreement(docs: DataFrame, pages: DataFrame) -> DataFrame:
 # --- forms -------------------------------------------------------------------
 
 
-def form_tree(pages: DataFrame, forms: DataFrame, depth: int = 32) -> DataFrame:
+def form_tree(pages: DataFrame, forms: DataFrame, depth: int | None = None) -> DataFrame:
     """Forms of each page nested through each form's own resources.
 
     ``pages`` has ``doc_id, page_num, res_id``; ``forms`` has ``doc_id, owner_id,
     name, obj_id``. Rows: ``doc_id, page_num, path, obj_id, flag``; ``cyclic``
-    re-enters its own path, ``truncated`` is listed but not read.
+    re-enters its own path, ``truncated`` is listed but not read because it lies at
+    ``depth``. Without a depth everything is read.
     """
-    depth = max(0, min(depth, 32))
     spread = SpreadEdges(
         forms.select("doc_id", F.col("owner_id").alias("src_id"), F.col("obj_id").alias("dst_id"), "name"), extra=["name"])
     frontier = pages.select(
         "doc_id", "page_num", F.col("res_id").alias("obj_id"), _no_path().alias("path"), _no_path().alias("_ids"))
     out: Levels | None = None
-    for level in range(1, depth + 1):
+    for level in itertools.count(1):
+        if depth is not None and level > depth:
+            break
         rows = spread.step(frontier).select(
             "doc_id", "page_num", F.array_append("path", F.col("name")).alias("path"), F.col("dst_id").alias("obj_id"), "_ids",
             F.when(F.array_contains("_ids", F.col("dst_id")), "cyclic").when(F.lit(level == depth), "truncated").alias("flag"),
@@ -372,8 +387,17 @@ def color_spaces(reader: NodeReader, places: DataFrame) -> DataFrame:
     ).select("doc_id", "cs_id", int_of("FunctionType").alias("_tint"))
     icc = reader.keys(
         wide.where("family = 'ICCBased' AND _profile IS NOT NULL").select("doc_id", "cs_id", F.col("_profile").alias("obj_id"), _no_path().alias("at")),
-        ["N", "Alternate", "Length"],
-    ).select("doc_id", "cs_id", int_of("N").alias("_icc_n"), name_of("Alternate").alias("_icc_alt"), int_of("Length").alias("profile_size"))
+        ["N", "Alternate", "Length"], resolve=True,
+    )
+    alt = F.col("Alternate")
+    # An alternate written as an array has its family in front.
+    alt_heads = reader.spread.join(
+        icc.where(behind(alt) == "array").select(
+            "doc_id", "cs_id", F.coalesce(alt["ref_id"], "obj_id").alias("obj_id"),
+            F.when(alt["ref_id"].isNull(), F.array(F.lit("Alternate"))).otherwise(_no_path()).alias("at"))
+    ).where("idx = 0 AND value_type = 'name'").select("doc_id", "cs_id", F.col("value").alias("_head"))
+    icc = icc.join(alt_heads, ["doc_id", "cs_id"], "left").select(
+        "doc_id", "cs_id", int_of("N").alias("_icc_n"), F.coalesce(_name("Alternate"), "_head").alias("_icc_alt"), int_of("Length").alias("profile_size"))
     key = ["doc_id", "cs_id"]
     joined = wide.where("family IS NOT NULL").join(third, key, "left").join(tint, key, "left").join(icc, key, "left")
     tinted = F.col("family").isin("Separation", "DeviceN")

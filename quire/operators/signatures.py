@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,6 @@ from quire.operators.scan import DEFAULT_SKEW, Skew, row_numbers
 from quire.session import materialize
 
 FIELD = ["doc_id", "field_name"]
-MAX_FIELD_DEPTH = 64
 # Notes on signature rows. None of them is a trust verdict.
 TRUST_NOTE = "trust not verified - structural decomposition only"
 NO_SIGNER_NOTE = "signer certificate not present in the embedded set"
@@ -30,12 +31,13 @@ def _no_path() -> Column:
     return F.array().cast("array<string>")
 
 
-def field_tree(entries: DataFrame, tops: DataFrame) -> DataFrame:
+def field_tree(entries: DataFrame, tops: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Terminal signature fields in document order.
 
     ``tops`` has ``doc_id, obj_id, idx``: the form's top fields. Kids with a name
     are fields, kids without are widgets. Names are joined by dots, the field
-    type is inherited, each field is read once.
+    type is inherited, each field is read once, so every walk ends. Fields below
+    ``max_depth`` are left out if it is given.
     """
     reader = NodeReader(entries)
     frontier = materialize(
@@ -43,7 +45,7 @@ def field_tree(entries: DataFrame, tops: DataFrame) -> DataFrame:
             "doc_id", "obj_id", _no_path().alias("at"), F.lit("").alias("_name"), F.lit("").alias("_ft"), F.array("_i").alias("ord")))
     seen = Levels(frontier.select("doc_id", "obj_id"))
     out: Levels | None = None
-    for _ in range(MAX_FIELD_DEPTH + 1):
+    for depth in itertools.count():
         d = reader.keys(frontier, ["T", "FT"], resolve=True)
         own = F.when(F.col("T")["value_type"] == "string", F.col("T")["value"])
         ft = F.coalesce(
@@ -68,7 +70,7 @@ def field_tree(entries: DataFrame, tops: DataFrame) -> DataFrame:
         first = fields.groupBy("doc_id", "obj_id", "at").agg(F.min_by(F.struct("_name", "_ft", "ord"), "ord").alias("r"))
         new = first.join(seen.all().distinct(), ["doc_id", "obj_id"], "left_anti")
         frontier = materialize(new.select(*NODE, "r._name", "r._ft", "r.ord"))
-        if frontier.isEmpty():
+        if frontier.isEmpty() or depth == max_depth:
             break
         seen.add(frontier.where(F.size("at") == 0).select("doc_id", "obj_id"))
     return out.all()

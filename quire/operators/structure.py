@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,9 +13,9 @@ from quire.operators.scan import DEFAULT_SKEW, Skew, row_numbers, scan_groups
 from quire.session import materialize
 
 PAGE = ["doc_id", "page_num"]
-MAX_NUMBER_TREE_DEPTH = 64
-MAX_STRUCT_DEPTH = 256
 LOCATIONS_PER_PART = 1000
+# Text entries of an element and their columns, in the order of their messages.
+TEXT_FIELDS = {"Alt": "alt", "ActualText": "actual_text", "E": "expansion", "T": "title", "Lang": "lang"}
 
 # Messages of the structure reader.
 ROOT_MCID = "MCID directly under the structure tree root, with no element to own it; not aligned"
@@ -28,9 +29,16 @@ def _no_path() -> Column:
     return F.array().cast("array<string>")
 
 
-def kind_of(value_type: Column, raw: Column | None = None) -> Column:
+def behind(c: Column, part: str = "type") -> Column:
+    """A part (type, raw, value) of an entry read with ``resolve``, followed through a reference."""
+    missing = F.lit("null") if part == "type" else F.lit(None).cast("string")
+    there = F.coalesce(c[f"target_{part}"], missing)
+    return F.when(c["ref_id"].isNotNull(), there).otherwise(c["value_type" if part == "type" else "value_raw" if part == "raw" else "value"])
+
+
+def kind_of(value_type: Column, raw: Column) -> Column:
     """Wording of a value's kind in messages; ``raw`` tells integers from reals."""
-    whole = F.lit(False) if raw is None else F.coalesce(raw.rlike(r"^[+-]?\d+$"), F.lit(False))
+    whole = F.coalesce(raw.rlike(r"^[+-]?\d+$"), F.lit(False))
     return (
         F.when(value_type.isNull() | (value_type == "null"), "null")
         .when(value_type == "dict", "a dictionary")
@@ -51,9 +59,9 @@ _AFTER_KIDS = 1 << 60
 
 
 def number_tree(
-    entries: DataFrame, roots: DataFrame, skew: Skew = DEFAULT_SKEW
+    entries: DataFrame, roots: DataFrame, skew: Skew = DEFAULT_SKEW, max_depth: int | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Read the number tree below each root (``doc_id, obj_id``).
+    """Read the number tree below each root (``doc_id, obj_id``), to ``max_depth`` levels if it is given.
 
     Returns ``values(doc_id, key, node, value_type, ref_id)`` with the first value
     of each key, ``problems(doc_id, node, message, ord)``, and
@@ -83,23 +91,23 @@ def number_tree(
             ).where("message IS NOT NULL")
         )
 
-    for depth in range(2, MAX_NUMBER_TREE_DEPTH + 2):
+    for depth in itertools.count(2):
         kids = reader.items(frontier.select(*NODE, "ord"), "Kids").select(
             "doc_id", F.col("item_obj").alias("obj_id"), F.col("item_at").alias("at"),
             F.coalesce("ref_id", F.lit("(direct)")).alias("node"),
-            F.array_append("ord", F.col("idx")).alias("ord"), "ref_id", "value_type",
+            F.array_append("ord", F.col("idx")).alias("ord"), "ref_id", "value_type", "value_raw",
         )
         kids = materialize(reader.resolved(kids))
         if kids.isEmpty():
             break
-        if depth > MAX_NUMBER_TREE_DEPTH:
-            note(kids, F.lit(f"number tree deeper than {MAX_NUMBER_TREE_DEPTH} levels; node not walked"), True)
+        if max_depth is not None and depth > max_depth:
+            note(kids, F.lit(f"number tree deeper than {max_depth} levels; node not walked"), True)
             break
         is_ref = F.col("ref_id").isNotNull()
         shown = F.coalesce("target_type", "value_type")
         bad = F.when(
             is_ref & (F.col("target_type").isNull() | (F.col("target_type") == "null")), F.lit("node does not resolve to an object")
-        ).when(~shown.isin("dict", "stream"), F.format_string("node is %s, not a dictionary", kind_of(shown)))
+        ).when(~shown.isin("dict", "stream"), F.format_string("node is %s, not a dictionary", kind_of(shown, F.coalesce("target_raw", "value_raw"))))
         note(kids, bad, True)
         usable = kids.where(bad.isNull())
         first = usable.where(is_ref).groupBy("doc_id", "node").agg(F.min("ord").alias("_first"))
@@ -117,12 +125,13 @@ def number_tree(
     held = materialize(reader.keys(every, ["Kids", "Nums", "Limits"]))
     note(held, F.when(F.col("Kids").isNull() & F.col("Nums").isNull(), F.lit("node has neither /Kids nor /Nums")), True)
     for key, place in (("Kids", -1), ("Nums", _AFTER_KIDS)):
-        ref = held.select("doc_id", "node", "ord", F.col(key)["ref_id"].alias("ref_id"), F.col(key)["value_type"].alias("_vt"))
+        ref = held.select(
+            "doc_id", "node", "ord", F.col(key)["ref_id"].alias("ref_id"), F.col(key)["value_type"].alias("_vt"), F.col(key)["value_raw"].alias("_vr"))
         seen_type = reader.resolved(ref.where("_vt IS NOT NULL"))
         shown = F.when(F.col("ref_id").isNotNull(), F.col("target_type")).otherwise(F.col("_vt"))
         wrong = F.when(
             ~F.coalesce(shown == "array", F.lit(False)),
-            F.concat(F.lit(f"/{key} is "), kind_of(shown), F.lit(", not an array")),
+            F.concat(F.lit(f"/{key} is "), kind_of(shown, F.when(F.col("ref_id").isNotNull(), F.col("target_raw")).otherwise(F.col("_vr"))), F.lit(", not an array")),
         )
         note(seen_type, wrong, True, F.lit(place).cast("bigint"))
 
@@ -166,7 +175,7 @@ def number_tree(
         pairs,
         F.when(
             F.col("key").isNull(),
-            F.format_string("/Nums entry %d: key is %s, not an integer", F.col("pair") * 2, kind_of(F.col("k")["vt"])),
+            F.format_string("/Nums entry %d: key is %s, not an integer", F.col("pair") * 2, kind_of(F.col("k")["vt"], F.col("k")["raw"])),
         ),
         True, after, at,
     )
@@ -262,7 +271,7 @@ def map_role(roles: DataFrame) -> DataFrame:
 
 
 def struct_tree(
-    entries: DataFrame, roots: DataFrame, pages: DataFrame, roles: DataFrame | None = None
+    entries: DataFrame, roots: DataFrame, pages: DataFrame, roles: DataFrame | None = None, max_depth: int | None = None
 ) -> DataFrame:
     """Every kid of every structure element, flat.
 
@@ -270,7 +279,9 @@ def struct_tree(
     ``doc_id, obj_id, page_num``, ``roles`` the output of :func:`map_role`.
 
     Rows: ``doc_id, owner_id, idx, kind, ref_id, element_id, s, mapped, page,
-    page_inherited, mcid, error, depth, ord``. ``owner_id`` is '' for the root.
+    page_inherited, mcid, alt, actual_text, expansion, title, lang, error, depth,
+    ord``. Values behind references are followed. An indirect /K array that several
+    elements name is listed once. ``owner_id`` is '' for the root.
     The page of a kid is its own /Pg, else that of the nearest ancestor. An
     element met twice is listed where it is met first by depth.
     """
@@ -284,24 +295,27 @@ def struct_tree(
     )
     seen = Levels(frontier.select("doc_id", F.col("obj_id").alias("element_id")))
     out: Levels | None = None
+    arrays = Levels(frontier.select("doc_id", F.lit(None).cast("string").alias("array_id")).where("false"))
     depth = 0
     while not frontier.isEmpty():
         depth += 1
-        rows = materialize(_kids(reader, frontier))
+        rows, arrays = _kids(reader, frontier, arrays)
         value = F.coalesce("target_type", "value_type")
         number = _integer(value, F.coalesce("target_raw", "value_raw"))
         own = reader.keys(
             rows.where(value.isin("dict", "stream")).select(
                 "doc_id", F.col("item_obj").alias("obj_id"), F.col("item_at").alias("at")).distinct(),
-            ["Type", "S", "Pg", "MCID", "Stm", "Obj"],
+            ["Type", "S", "Pg", "MCID", "Stm", "Obj", *TEXT_FIELDS],
+            resolve=True,
         )
         own = own.withColumn("_pg", F.col("Pg")["ref_id"]).join(page_of, ["doc_id", "_pg"], "left").withColumnsRenamed(
             {"obj_id": "item_obj", "at": "item_at"})
         kids = rows.join(own, ["doc_id", "item_obj", "item_at"], "left")
-        type_name = F.when(F.col("Type")["value_type"] == "name", F.col("Type")["value"])
+        type_name = F.when(behind(F.col("Type")) == "name", behind(F.col("Type"), "value"))
         has_pg = F.col("Pg").isNotNull()
         kind = (
-            F.when(F.col("ref_id").isNotNull() & (F.col("target_type").isNull() | (F.col("target_type") == "null")), "error")
+            F.when(F.col("array_seen"), "error")
+            .when(F.col("ref_id").isNotNull() & (F.col("target_type").isNull() | (F.col("target_type") == "null")), "error")
             .when(number >= 0, "mcid")
             .when(number < 0, "error")
             .when(value == "dict", F.when(type_name == "MCR", "mcr").when(type_name == "OBJR", "objr").otherwise("element"))
@@ -315,9 +329,9 @@ def struct_tree(
         old = seen.all().distinct().withColumn("_old", F.lit(True))
         kids = kids.join(first, ["doc_id", "element_id"], "left").join(old, ["doc_id", "element_id"], "left")
         again = is_ref & (F.col("_old").isNotNull() | (F.col("ord") != F.col("_first")))
-        too_deep = (F.col("kind") == "element") & F.lit(depth > MAX_STRUCT_DEPTH)
+        too_deep = (F.col("kind") == "element") & F.lit(max_depth is not None and depth > max_depth)
         own_page = F.when(has_pg, F.coalesce("_pn", F.lit(0))).otherwise(F.col("page"))
-        mcr_value = _integer(F.col("MCID")["value_type"], F.col("MCID")["value_raw"])
+        mcr_value = _integer(behind(F.col("MCID")), behind(F.col("MCID"), "raw"))
         no_stm = F.col("Stm").isNull()
         pg_error = F.when(
             has_pg & F.col("_pn").isNull(),
@@ -325,18 +339,32 @@ def struct_tree(
             .otherwise(F.format_string("/Pg %s is not a page in the page tree", "_pg")),
         )
         sv = F.col("S")
-        s_error = F.when(sv.isNull() | (sv["value_type"] == "null"), "no /S").when(
-            sv["value_type"] != "name", F.format_string("/S is %s, not a name", kind_of(sv["value_type"], sv["value_raw"]))
-        ).when(sv["value"] == "", "/S is an empty name")
+        s_type, s_name = behind(sv), F.when(behind(sv) == "name", behind(sv, "value"))
+        s_error = F.when(sv.isNull() | (s_type == "null"), "no /S").when(
+            s_type != "name", F.format_string("/S is %s, not a name", kind_of(s_type, behind(sv, "raw")))
+        ).when(s_name == "", "/S is an empty name")
+        type_error = F.when((type_name != "") & (type_name != "StructElem"), F.format_string("/Type /%s is not StructElem", type_name))
+        text_errors = [
+            F.when(
+                F.col(k).isNotNull() & (behind(F.col(k)) != "string"),
+                F.format_string(f"/{k} is %s that does not decode as a text string", kind_of(behind(F.col(k)), behind(F.col(k), "raw"))),
+            )
+            for k in TEXT_FIELDS
+        ]
+        texts = [
+            F.when((F.col("kind") == "element") & F.col(k).isNotNull(), F.when(behind(F.col(k)) == "string", behind(F.col(k), "value")).otherwise("")).alias(a)
+            for k, a in TEXT_FIELDS.items()
+        ]
         error = (
-            F.when(too_deep, F.lit(f"structure tree deeper than {MAX_STRUCT_DEPTH} levels; subtree not walked"))
+            F.when(F.col("array_seen"), F.format_string("/K array %s already listed; not walked again", "ref_id"))
+            .when(too_deep, F.lit(f"structure tree deeper than {max_depth} levels; subtree not walked"))
             .when(again, F.format_string("element %s already listed; not walked again", "ref_id"))
             .when(
                 (F.col("kind") == "error") & F.col("ref_id").isNotNull() & F.col("target_type").isNull(),
                 F.format_string("%s does not resolve to an object", "ref_id"),
             )
             .when(F.col("_number") < 0, F.format_string("MCID %d is negative", "_number"))
-            .when(F.col("kind") == "error", F.format_string("kid is %s, not an element, MCID, MCR or OBJR", kind_of(F.col("_value"))))
+            .when(F.col("kind") == "error", F.format_string("kid is %s, not an element, MCID, MCR or OBJR", kind_of(F.col("_value"), F.coalesce("target_raw", "value_raw"))))
             .when((F.col("kind") == "mcid") & (F.col("owner_id") == ""), F.lit(ROOT_MCID))
             .when((F.col("kind") == "mcid") & (F.col("page") == 0), F.lit(NO_PAGE))
             .when(
@@ -344,7 +372,7 @@ def struct_tree(
                 F.concat_ws(
                     "; ", pg_error,
                     F.when(F.col("MCID").isNull(), F.lit("MCR has no /MCID"))
-                    .when(mcr_value.isNull(), F.format_string("MCR /MCID is %s, not an integer", kind_of(F.col("MCID")["value_type"], F.col("MCID")["value_raw"])))
+                    .when(mcr_value.isNull(), F.format_string("MCR /MCID is %s, not an integer", kind_of(behind(F.col("MCID")), behind(F.col("MCID"), "raw"))))
                     .when(mcr_value < 0, F.format_string("MCR /MCID %d is negative", mcr_value))
                     .when(no_stm & (F.col("owner_id") == ""), F.lit(ROOT_MCID))
                     .when(no_stm & (own_page == 0) & pg_error.isNull(), F.lit(NO_PAGE)),
@@ -358,18 +386,21 @@ def struct_tree(
                     .when(F.col("Obj")["ref_id"].isNull(), F.format_string("OBJR /Obj is %s, not a reference", kind_of(F.col("Obj")["value_type"], F.col("Obj")["value_raw"]))),
                 ),
             )
-            .when(F.col("kind") == "element", F.concat_ws("; ", s_error, pg_error))
+            .when(F.col("kind") == "element", F.concat_ws("; ", s_error, type_error))
         )
+        # What stands behind the role's message, which is known after the walk.
+        late = F.when((F.col("kind") == "element") & ~again & ~too_deep, F.concat_ws("; ", pg_error, *text_errors))
         rows_out = kids.select(
             "doc_id", "owner_id", "idx",
             F.when(again | too_deep, "error").otherwise(F.col("kind")).alias("kind"),
             "ref_id", "element_id",
-            F.when((F.col("kind") == "element") & (sv["value_type"] == "name"), sv["value"]).alias("s"),
+            F.when(F.col("kind") == "element", s_name).alias("s"),
             F.when(F.col("kind") == "mcid", F.col("page")).when(F.col("kind") != "error", own_page).otherwise(F.lit(0)).cast("bigint").alias("page"),
             (F.when(F.col("kind") == "mcid", F.col("page") != 0).otherwise(~has_pg & (F.col("page") != 0))).alias("page_inherited"),
             F.when(F.col("kind") == "mcid", F.col("_number")).when((F.col("kind") == "mcr") & (mcr_value >= 0), mcr_value).alias("mcid"),
             ((F.col("kind") == "mcid") | ((F.col("kind") == "mcr") & no_stm)).alias("claims"),
-            F.nullif(error, F.lit("")).alias("error"),
+            *texts,
+            F.nullif(error, F.lit("")).alias("error"), F.nullif(late, F.lit("")).alias("_late"),
             F.when((F.col("kind") == "element") & ~again, s_error).alias("s_error"),
             F.lit(depth).alias("depth"),
             "ord", "item_obj", "item_at",
@@ -385,18 +416,23 @@ def struct_tree(
             F.col("element_id").alias("owner_id"), "page", "ord")
         seen.add(new.where("ref_id IS NOT NULL").select("doc_id", "element_id"))
     tree = out.all().drop("item_obj", "item_at")
+    joined = lambda *parts: F.nullif(F.concat_ws("; ", *parts), F.lit(""))
     if roles is None:
-        return tree.withColumn("mapped", F.lit("").cast("string"))
+        return tree.withColumn("error", joined("error", "_late")).drop("_late").withColumn("mapped", F.lit("").cast("string"))
     mapped = roles.select("doc_id", F.col("role").alias("s"), "mapped", F.col("error").alias("_re"))
     return tree.join(mapped, ["doc_id", "s"], "left").select(
-        *[c for c in tree.columns if c != "error"],
-        F.nullif(F.concat_ws("; ", "error", "_re"), F.lit("")).alias("error"),
+        *[c for c in tree.columns if c not in ("error", "_late")],
+        joined("error", "_re", "_late").alias("error"),
         F.coalesce("mapped", F.lit("")).alias("mapped"),
     )
 
 
-def _kids(reader: NodeReader, frontier: DataFrame) -> DataFrame:
-    """The /K of each node as rows: one value, an array, or a reference to either."""
+def _kids(reader: NodeReader, frontier: DataFrame, seen: Levels) -> tuple[DataFrame, Levels]:
+    """The /K of each node as rows: one value, an array, or a reference to either.
+
+    ``seen`` has the indirect arrays listed so far. An element that names one of
+    them again gets a single row with ``array_seen``.
+    """
     kept = ["owner_id", "page", "ord"]
     held = reader.resolved(
         reader.spread.join(frontier).where("key = 'K'").select(
@@ -409,10 +445,22 @@ def _kids(reader: NodeReader, frontier: DataFrame) -> DataFrame:
         F.when(F.col("ref_id").isNull(), F.col("path")).otherwise(_no_path()).alias("item_at"),
         "target_type", "target_raw",
     )
-    arrays = held.where(listed).select(*NODE, *kept)
+    listing = held.where(listed)
+    is_ref = F.col("ref_id").isNotNull()
+    first = listing.where(is_ref).groupBy("doc_id", "ref_id").agg(F.min("ord").alias("_first"))
+    known = seen.all().withColumnRenamed("array_id", "ref_id").distinct().withColumn("_known", F.lit(True))
+    listing = materialize(
+        listing.join(first, ["doc_id", "ref_id"], "left").join(known, ["doc_id", "ref_id"], "left").withColumn(
+            "array_seen", is_ref & (F.col("_known").isNotNull() | (F.col("ord") != F.col("_first")))))
+    again = listing.where("array_seen").select(
+        "doc_id", *kept, F.lit(0).cast("bigint").alias("idx"), "value_type", "value_raw", "ref_id",
+        F.col("ref_id").alias("item_obj"), _no_path().alias("item_at"), "target_type", "target_raw", "array_seen")
+    arrays = listing.where("NOT array_seen").select(*NODE, *kept)
+    seen.add(materialize(listing.where("NOT array_seen AND ref_id IS NOT NULL").select("doc_id", F.col("ref_id").alias("array_id"))))
     many = reader.resolved(reader.items(arrays, "K").where("value_type <> 'null'")).select(
         "doc_id", *kept, "idx", "value_type", "value_raw", "ref_id", "item_obj", "item_at", "target_type", "target_raw")
-    return single.unionByName(many)
+    rows = single.unionByName(many).withColumn("array_seen", F.lit(False)).unionByName(again)
+    return materialize(rows), seen
 
 
 def claims(tree: DataFrame) -> DataFrame:
@@ -450,12 +498,12 @@ def page_parent_tree(
     """
     asked = pages.where("key_type IS NOT NULL").join(
         trees.select("doc_id").distinct().withColumn("_tree", F.lit(True)), "doc_id", "left")
-    found = asked.join(numtree.withColumnRenamed("value_type", "_vt"), ["doc_id", "key"], "left")
+    found = asked.join(numtree.withColumnsRenamed({"value_type": "_vt", "value_raw": "_vr"}), ["doc_id", "key"], "left")
     error = (
-        F.when(F.col("key_type") != "number", F.format_string("/StructParents is %s, not an integer", kind_of(F.col("key_type"))))
+        F.when((F.col("key_type") != "number") | F.col("key").isNull(), F.format_string("/StructParents is %s, not an integer", kind_of(F.col("key_type"), F.col("key_raw"))))
         .when(F.col("_tree").isNull(), F.format_string("/StructParents %d but the document has no ParentTree", "key"))
         .when(F.col("_vt").isNull(), F.format_string("ParentTree has no key %d", "key"))
-        .when(F.col("_vt") != "array", F.format_string("ParentTree key %d is %s, not an array", "key", kind_of(F.col("_vt"))))
+        .when(F.col("_vt") != "array", F.format_string("ParentTree key %d is %s, not an array", "key", kind_of(F.col("_vt"), F.col("_vr"))))
     )
     errors = found.select(*PAGE, "key", error.alias("error")).where("error IS NOT NULL")
     slots = (
@@ -470,9 +518,9 @@ def page_parent_tree(
 
 def _element_ref() -> list[Column]:
     error = (
-        F.when(F.col("ref_id").isNull(), F.format_string("value is %s, not a reference to an element", kind_of(F.col("value_type"))))
+        F.when(F.col("ref_id").isNull(), F.format_string("value is %s, not a reference to an element", kind_of(F.col("value_type"), F.col("value_raw"))))
         .when(F.col("target_type").isNull(), F.format_string("%s does not resolve to an object", "ref_id"))
-        .when(F.col("target_type") != "dict", F.format_string("%s is %s, not an element", "ref_id", kind_of(F.col("target_type"))))
+        .when(F.col("target_type") != "dict", F.format_string("%s is %s, not an element", "ref_id", kind_of(F.col("target_type"), F.col("target_raw"))))
     )
     return [F.col("ref_id").alias("element"), F.col("s"), error.alias("error")]
 
@@ -557,12 +605,12 @@ def structure_header(entries: DataFrame, catalogs: DataFrame) -> tuple[DataFrame
     """
     reader = NodeReader(entries)
     cat = catalogs.select("doc_id", "obj_id", _no_path().alias("at"))
-    top = reader.keys(cat, ["Lang", "MarkInfo", "StructTreeRoot"])
-    inline = reader.keys(catalogs.select("doc_id", "obj_id", F.array(F.lit("MarkInfo")).alias("at")), ["Marked"]).select(
+    top = reader.keys(cat, ["Lang", "MarkInfo", "StructTreeRoot"], resolve=True)
+    inline = reader.keys(catalogs.select("doc_id", "obj_id", F.array(F.lit("MarkInfo")).alias("at")), ["Marked"], resolve=True).select(
         "doc_id", F.col("Marked").alias("_m1"))
     far = reader.keys(
         top.where(F.col("MarkInfo")["ref_id"].isNotNull()).select("doc_id", F.col("MarkInfo")["ref_id"].alias("obj_id"), _no_path().alias("at")),
-        ["Marked"]).select("doc_id", F.col("Marked").alias("_m2"))
+        ["Marked"], resolve=True).select("doc_id", F.col("Marked").alias("_m2"))
     root_type = reader.roots.select("doc_id", F.col("ref_id").alias("root_id"), F.col("target_type").alias("root_type"))
     mark_type = reader.roots.select("doc_id", F.col("ref_id").alias("_mi"), F.col("target_type").alias("_mt"))
     t = (
@@ -571,7 +619,7 @@ def structure_header(entries: DataFrame, catalogs: DataFrame) -> tuple[DataFrame
         .join(root_type, ["doc_id", "root_id"], "left").join(mark_type, ["doc_id", "_mi"], "left")
     )
     roots = t.where("root_type = 'dict'").select("doc_id", F.col("root_id").alias("obj_id"), _no_path().alias("at"))
-    body = reader.keys(roots, ["ParentTree", "ParentTreeNextKey", "RoleMap"]).select(
+    body = reader.keys(roots, ["ParentTree", "ParentTreeNextKey", "RoleMap"], resolve=True).select(
         "doc_id", F.col("ParentTree")["ref_id"].alias("parent_tree_id"), F.col("ParentTreeNextKey").alias("_next"))
     t = materialize(t.join(body, "doc_id", "left"))
     marked = F.coalesce("_m1", "_m2")
@@ -580,29 +628,29 @@ def structure_header(entries: DataFrame, catalogs: DataFrame) -> tuple[DataFrame
     mark_kind = F.coalesce(F.col("_mt"), F.col("MarkInfo")["value_type"])
     facts = t.select(
         "doc_id",
-        F.when(F.col("Lang")["value_type"] == "string", F.col("Lang")["value"]).otherwise("").alias("lang"),
-        F.when(marked["value_type"] == "boolean", marked["value"] == "true").alias("marked"),
+        F.when(behind(F.col("Lang")) == "string", behind(F.col("Lang"), "value")).otherwise("").alias("lang"),
+        F.when(behind(marked) == "boolean", behind(marked, "value") == "true").alias("marked"),
         F.when(~dangling, F.col("root_id")).alias("root_id"),
         has_root.alias("has_tree"),
         "parent_tree_id",
-        _integer(F.col("_next")["value_type"], F.col("_next")["value_raw"]).alias("next_key"),
+        _integer(behind(F.col("_next")), behind(F.col("_next"), "raw")).alias("next_key"),
     )
     catalog = F.lit("catalog")
     where_root = F.concat(F.lit("StructTreeRoot "), F.coalesce("root_id", F.lit("")))
     messages = F.array_compact(F.array(
-        F.when(F.col("Lang").isNotNull() & (F.col("Lang")["value_type"] != "string"), F.struct(catalog.alias("place"),
-               F.format_string("/Lang is %s that does not decode as a text string", kind_of(F.col("Lang")["value_type"], F.col("Lang")["value_raw"])).alias("message"))),
+        F.when(F.col("Lang").isNotNull() & (behind(F.col("Lang")) != "string"), F.struct(catalog.alias("place"),
+               F.format_string("/Lang is %s that does not decode as a text string", kind_of(behind(F.col("Lang")), behind(F.col("Lang"), "raw"))).alias("message"))),
         F.when(F.col("MarkInfo").isNotNull() & (mark_kind != "dict"), F.struct(catalog.alias("place"),
-               F.format_string("/MarkInfo is %s, not a dictionary", kind_of(mark_kind)).alias("message"))),
-        F.when(marked.isNotNull() & (marked["value_type"] != "boolean"), F.struct(catalog.alias("place"),
-               F.format_string("/MarkInfo /Marked is %s, not a boolean", kind_of(marked["value_type"], marked["value_raw"])).alias("message"))),
+               F.format_string("/MarkInfo is %s, not a dictionary", kind_of(mark_kind, behind(F.col("MarkInfo"), "raw"))).alias("message"))),
+        F.when(marked.isNotNull() & (behind(marked) != "boolean"), F.struct(catalog.alias("place"),
+               F.format_string("/MarkInfo /Marked is %s, not a boolean", kind_of(behind(marked), behind(marked, "raw"))).alias("message"))),
         F.when(dangling, F.struct(catalog.alias("place"),
                F.format_string("/StructTreeRoot %s does not resolve to an object; treated as absent", "root_id").alias("message"))),
         F.when(has_root & (F.coalesce("root_type", F.col("StructTreeRoot")["value_type"]) != "dict"), F.struct(F.trim(where_root).alias("place"),
                F.format_string("/StructTreeRoot is %s, not a dictionary",
-                               kind_of(F.coalesce("root_type", F.col("StructTreeRoot")["value_type"]))).alias("message"))),
-        F.when(F.col("_next").isNotNull() & (F.col("_next")["value_type"] != "number"), F.struct(F.trim(where_root).alias("place"),
-               F.format_string("/ParentTreeNextKey is %s, not an integer", kind_of(F.col("_next")["value_type"])).alias("message"))),
+                               kind_of(F.coalesce("root_type", F.col("StructTreeRoot")["value_type"]), behind(F.col("StructTreeRoot"), "raw"))).alias("message"))),
+        F.when(F.col("_next").isNotNull() & _integer(behind(F.col("_next")), behind(F.col("_next"), "raw")).isNull(), F.struct(F.trim(where_root).alias("place"),
+               F.format_string("/ParentTreeNextKey is %s, not an integer", kind_of(behind(F.col("_next")), behind(F.col("_next"), "raw"))).alias("message"))),
     ))
     problems = t.select("doc_id", F.explode(messages).alias("p")).select("doc_id", "p.*")
     return facts, problems

@@ -58,7 +58,7 @@ def _(spark, d):
     return cmap_mappings(_cmaps(spark, d), ["p_partkey"]).drop("ord")
 
 
-@query("cmap_errors", "SELECT p_partkey, 'bfchar: missing endbfchar' AS error FROM part WHERE p_size = 50")
+@query("cmap_errors", "SELECT p_partkey, 'bfchar: missing endbfchar' AS error, false AS large FROM part WHERE p_size = 50")
 def _(spark, d):
     return cmap_errors(_cmaps(spark, d), ["p_partkey"])
 

@@ -239,16 +239,18 @@ def _parent_tree(spark, d):
     pages = orders.selectExpr(
         "'shop' as doc_id", "o_orderkey as page_num",
         "case o_orderstatus when 'F' then 'number' when 'P' then 'name' end as key_type",
+        "case o_orderstatus when 'F' then cast(o_custkey as string) when 'P' then '/P' end as key_raw",
         "case when o_orderstatus = 'F' then o_custkey end as key")
     numtree = customer.where("c_acctbal > -500").selectExpr(
-        "'shop' as doc_id", "c_custkey as key", "if(c_acctbal > 0, 'array', 'dict') as value_type",
+        "'shop' as doc_id", "c_custkey as key", "if(c_acctbal > 0, 'array', 'dict') as value_type", "cast(null as string) as value_raw",
         "if(c_acctbal > 0, concat('A', c_custkey), null) as array_id", "cast(null as string) as ref_id")
     arrays = orders.selectExpr(
         "'shop' as doc_id", "concat('A', o_custkey) as array_id", "o_orderkey as mcid",
         "if(o_orderpriority = '1-URGENT', 'number', 'reference') as value_type",
+        "if(o_orderpriority = '1-URGENT', if(o_orderkey % 2 = 0, cast(o_orderkey as string), concat(o_orderkey, '.5')), null) as value_raw",
         "if(o_orderpriority = '1-URGENT', null, concat('O', o_orderkey)) as ref_id")
     elements = orders.where("o_totalprice > 100000").selectExpr(
-        "'shop' as doc_id", "concat('O', o_orderkey) as ref_id", "'dict' as target_type", "o_orderstatus as s")
+        "'shop' as doc_id", "concat('O', o_orderkey) as ref_id", "'dict' as target_type", "cast(null as string) as target_raw", "o_orderstatus as s")
     return pages, numtree, arrays, elements
 
 
@@ -266,7 +268,7 @@ def _(spark, d):
 SELECT p.o_orderkey AS page_num, p.o_custkey AS key, e.o_orderkey AS mcid,
   CASE WHEN e.o_orderpriority <> '1-URGENT' THEN 'O' || e.o_orderkey END AS element,
   CASE WHEN e.o_orderpriority <> '1-URGENT' AND e.o_totalprice > 100000 THEN e.o_orderstatus END AS s,
-  CASE WHEN e.o_orderpriority = '1-URGENT' THEN 'value is a real, not a reference to an element'
+  CASE WHEN e.o_orderpriority = '1-URGENT' THEN CASE WHEN e.o_orderkey % 2 = 0 THEN 'value is an integer' ELSE 'value is a real' END || ', not a reference to an element'
     WHEN e.o_totalprice <= 100000 THEN 'O' || e.o_orderkey || ' does not resolve to an object' END AS error
 FROM orders p JOIN customer ON p.o_custkey = c_custkey JOIN orders e ON e.o_custkey = p.o_custkey
 WHERE p.o_orderstatus = 'F' AND c_acctbal > 0""")

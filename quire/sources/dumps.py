@@ -7,6 +7,8 @@ one stays empty.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,7 +81,7 @@ TREE_FIELDS = {
 }
 
 
-def read_tree_dump(spark: SparkSession, path: str, max_levels: int = 10_000) -> DataFrame:
+def read_tree_dump(spark: SparkSession, path: str) -> DataFrame:
     """Rows of nested tree dumps: ``doc_id, ord, depth`` and one column per field.
 
     A recursive schema cannot be declared, so nodes are VARIANT values and one
@@ -94,7 +96,7 @@ def read_tree_dump(spark: SparkSession, path: str, max_levels: int = 10_000) ->
         name, kind = col.split(" ")
         fields.append(F.try_variant_get("node", f"$.{f}", kind).alias(name))
     out: Levels | None = None
-    for depth in range(max_levels):
+    for depth in itertools.count():
         rows = materialize(current.select("doc_id", "ord", F.lit(depth).alias("depth"), *fields))
         if out is None:
             out = Levels(rows)
