@@ -86,24 +86,30 @@ def _home(spark):
     return f"{ensure_checkpoint_dir(spark)}/dump-{uuid.uuid4().hex}"
 
 
-@query("read_files")
-def _(spark, d):
-    """Names and sizes of the table files, without opening them."""
-    return files.read_files(spark, f"{d}/*.parquet").select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "size")
+_TABLES = (
+    "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier"
+).split()
+_TABLE_SIZES = " UNION ALL ".join(f"SELECT '{t}.parquet' AS name, count(*) > 0 AS filled FROM {t}" for t in _TABLES)
 
 
-_TABLES = "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier"
+@query("read_files", f"SELECT name, filled, true AS dated FROM ({_TABLE_SIZES})")
+def _(spark, d):
+    """Names, sizes and times of the table files, without opening them."""
+    listed = files.read_files(spark, f"{d}/*.parquet")
+    name = F.regexp_extract("path", "([^/]+)$", 1).alias("name")
+    return listed.select(name, (F.col("size") > 0).alias("filled"), F.col("mtime").isNotNull().alias("dated"))
 
 
-@query("find_in_files", "SELECT name, CAST(2 AS BIGINT) AS n FROM (SELECT unnest(string_split('" + _TABLES + "', ' ')) AS name)")
+@query("find_in_files", """
+SELECT CAST(sum(len(string_split(p_name, 'an')) - 1) AS BIGINT) AS hits, CAST(sum(length(p_name) + 1) AS BIGINT) AS chars FROM part""")
 def _(spark, d):
-    """Literal search over raw bytes: a Parquet file starts and ends with its magic."""
-    raw = files.read_files(spark, f"{d}/*.parquet", content=True)
-    text = raw.select(
-        F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("name"), F.octet_length("content").cast("bigint").alias("size"),
-        latin1(F.col("content")).alias("text"))
-    hits = find_literal(text, ["name", "size"], "text", "PAR1").where("start = 0 OR end = size")
-    return hits.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    """Literal search over raw bytes of text files of at most 10,000 part names each."""
+    home = _home(spark)
+    table(spark, d, "part").select("p_name").write.option("maxRecordsPerFile", 10_000).text(home)
+    raw = files.read_files(spark, f"{home}/*.txt", content=True)
+    text = raw.select("path", F.octet_length("content").cast("bigint").alias("size"), latin1(F.col("content")).alias("text"))
+    hits = find_literal(text, ["path"], "text", "an").groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    return text.select("path", "size").join(hits, "path", "left").agg(F.sum(F.coalesce("n", F.lit(0))).alias("hits"), F.sum("size").alias("chars"))
 
 
 def _one_file_per_supplier(df, home):
@@ -132,10 +138,10 @@ def _(spark, d):
     return back.select(F.regexp_extract("doc_id", r"l_suppkey=(\d+)", 1).cast("bigint").alias("supplier"), "objNum", "status", "offset")
 
 
-@query("read_ops", """SELECT l_orderkey AS "srcLineStart", 'Do' AS op, '/P' || l_partkey AS param FROM lineitem WHERE l_returnflag = 'R'""")
+@query("read_ops", """SELECT l_orderkey AS "srcLineStart", 'Do' AS op, '/P' || l_partkey AS param FROM lineitem""")
 def _(spark, d):
     home = _home(spark)
-    rows = table(spark, d, "lineitem").where("l_returnflag = 'R'").selectExpr(
+    rows = table(spark, d, "lineitem").selectExpr(
         "'Do' as op", "array(concat('/P', l_partkey)) as params", "l_orderkey as srcLineStart", "l_orderkey as srcLineEnd")
     sinks.write_table(rows, home, "json")
     return dumps.read_ops(spark, home).select("srcLineStart", "op", F.col("params")[0].alias("param"))
