@@ -3,7 +3,9 @@
 A state counts once it was seen twice in a row. It is reported when it differs
 from the last report, or, while it is not ``current``, when its times repeat once
 and differ from the last report. An error row (NULL state) clears the streaks.
-The stream and the batch form give the same events for the same rows.
+Rows count in the order of ``seq``; a row whose ``seq`` is not above that of the rows
+before it is stale and dropped. The stream and the batch form give the same events
+for the same rows, if none comes so late that the stream has passed it by.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from quire.operators.scan import DEFAULT_SKEW, Skew, scan_groups
 
 CURRENT = "current"
-CHUNK_SECONDS = 3600
 # A row of the keyed input is an observation, an outside report, or a close.
 OBSERVE, RECORD, FORGET = "observe", "record", "forget"
 EVENTS = "key string, ts timestamp, seq bigint, state string, disk_mtime bigint, disk_size bigint"
@@ -34,9 +35,12 @@ _START = (CURRENT, 0, 0, None, 0, 0, 0, 0, False, -1, -1)
 
 
 def settle_batch(obs: DataFrame, skew: Skew = DEFAULT_SKEW) -> DataFrame:
-    """Events of ``key, ts, seq, state, disk_mtime, disk_size`` rows, by windows only."""
-    order = ["ts", "seq"]
-    chunk = F.floor(F.unix_seconds("ts") / CHUNK_SECONDS)
+    """Events of ``key, ts, seq, state, disk_mtime, disk_size`` rows, by windows only.
+
+    Of rows of the same key and ``seq`` the first by ``ts`` counts.
+    """
+    order = ["seq"]
+    chunk = skew.chunk(F.col("seq"))
     whole = F.struct("state", "disk_mtime", "disk_size")
 
     def build(rows: DataFrame, scan: Any) -> DataFrame:
@@ -51,7 +55,9 @@ def settle_batch(obs: DataFrame, skew: Skew = DEFAULT_SKEW) -> DataFrame:
         anchor = F.when(F.col("_changed") | F.col("_again"), whole)
         return scan.running(two, ["key"], order, chunk, _anchor=("last", anchor, True))
 
-    marked = scan_groups(obs.select("key", "ts", "seq", "state", "disk_mtime", "disk_size"), ["key"], build, skew)
+    rest = ["ts", "state", "disk_mtime", "disk_size"]
+    rows = obs.groupBy("key", "seq").agg(F.min_by(F.struct(*rest), "ts").alias("r")).select("key", "seq", "r.*")
+    marked = scan_groups(rows, ["key"], build, skew)
     news = F.col("_again") & ~whole.eqNullSafe(F.col("_anchor"))
     return marked.where(F.col("_changed") | news).select("key", "ts", "seq", "state", "disk_mtime", "disk_size")
 
@@ -90,7 +96,7 @@ class Settle(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         # One micro-batch of one key; the trigger bounds its size.
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["seq", "ts"], kind="stable")
         state = self._state.get() if self._state.exists() else _START
         events = []
         for row in batch.itertuples(index=False):

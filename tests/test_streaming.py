@@ -59,3 +59,25 @@ def test_stale_and_current(spark):
     assert sorted((r.key, r.arrival) for r in kept.collect()) == [("a", 1), ("a", 3), ("b", 4)]
     status = st.current_status(kept.withColumns({"disk_mtime": F.lit(0), "disk_size": F.lit(0)}))
     assert [(r.key, r.state) for r in status.collect()] == [("b", "missing")]
+
+
+def test_crossed_times_and_sequences_agree(spark):
+    import datetime as dt
+    import random
+
+    rng = random.Random(5)
+    at = dt.datetime(2024, 1, 1)
+    rows = []
+    for seq in range(60):
+        state = rng.choice(["current", "changed", "missing", None])
+        # Times fall now and then while the sequence rises; some rows come twice.
+        row = ("a", at + dt.timedelta(seconds=rng.randrange(600)), seq, "observe", state, rng.randrange(2), 0)
+        rows += [row, (*row[:1], row[1] + dt.timedelta(seconds=1), *row[2:])] if rng.random() < 0.2 else [row]
+    state, want = st._START, []
+    for row in sorted(rows, key=lambda r: (r[2], r[1])):
+        o = SimpleNamespace(**dict(zip(["key", "ts", "seq", "kind", "state", "disk_mtime", "disk_size"], row)))
+        state, hit = st.advance(state, o)
+        if hit:
+            want.append(o.seq)
+    got = sorted(r.seq for r in st.settle_batch(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == want
