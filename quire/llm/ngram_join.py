@@ -16,9 +16,11 @@ sets count and index the tokens with the smallest hashes, about a quarter; sets
 too few of these for a prefix add the tokens that follow, ordered after all others.
 
 Equal sets are one vertex. A group of sets under one key is not expanded into
-pairs: each round links its members to one of them, verifies these links exactly
-and merges components. What is left, members of other components, meets only
-members that the triangle inequality of the Jaccard distance to that one allows.
+pairs: each round compares its members with one of them, verifies these links
+exactly and merges components, as long as that joins many. Members that are still
+in other components than most of their group meet all others of it, unless a sketch
+rules the pair out: a bit says whether an even or odd number of the set's tokens fall
+into its place, so the differing bits of two sketches are at most the unshared tokens.
 Tokens and sets are identified by 64-bit hashes; texts are verified by their sets.
 """
 
@@ -34,12 +36,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quire.llm.components import connected_components
-from quire.llm.hashing import SPACE_BYTES, U, Words, hash_words, in_runs, mix, shingles
+from quire.llm.components import compacted, connected_components
+from quire.llm.hashing import SPACE_BYTES, U, Words, hash_words, in_runs, mix, shingles, sliced
 from quire.session import materialize
 
 FREQUENT = 64
-HUB_ROUNDS = 2
+HUB_ROUNDS = 6  # at most; rounds end sooner when they stop helping
+SKETCH_BITS = 1024
 #: Ids up to this number are broadcast to pick the texts to verify (about 40 MB at most).
 BROADCAST_IDS = 500_000
 _UPPER = bytes(range(65, 91))
@@ -103,6 +106,13 @@ def set_key(s: np.ndarray) -> int:
         return int(mix(mix(both[:1]) + both[1:]).view(np.int64)[0])
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parity of the tokens in each of ``SKETCH_BITS`` places, as signed longs."""
+    with np.errstate(over="ignore"):
+        place = (mix(s ^ U(0x5BD1E995)) % U(SKETCH_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def band_tokens(s: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, int]:
     """The tokens that a set shows in a band, as signed longs, and how many of them are counted.
 
@@ -152,19 +162,20 @@ def _pair(a: int, b: int) -> int:
 
 
 def _sets_pass(size: int, percent: int, id_kind: pa.DataType):
-    """Per row: id, set size, set key, counted tokens in its bands."""
+    """Per row: id, set size, set key, counted tokens in its bands, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for s in text_sets(batch.column(1).to_pylist(), size):
                 n = len(s)
                 counts = [band_tokens(s, b, percent)[1] for b in bands(n, percent)] if n else []
-                rows.append((n, set_key(s) if n else 0, counts))
-            n, key, counts = zip(*rows) if rows else ((), (), ())
+                rows.append((n, set_key(s) if n else 0, counts, sketch(s) if n else None))
+            n, key, counts, bits = zip(*rows) if rows else ((), (), (), ())
+            longs = pa.int64()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(id_kind), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(counts, pa.list_(pa.int32()))],
-                ["id", "n", "key", "counted"],
+                [batch.column(0).cast(id_kind), pa.array(n, longs), pa.array(key, longs), pa.array(counts, pa.list_(pa.int32())), pa.array(bits, pa.list_(longs))],
+                ["id", "n", "key", "counted", "bits"],
             )
 
     return run
@@ -175,7 +186,7 @@ def _tokens_pass(size: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in sliced(batches):
             tokens, keys, lengths = [], [], []
             for s in text_sets(batch.column(0).to_pylist(), size):
                 # Smaller sets are similar to equal ones only.
@@ -201,7 +212,7 @@ def _keys_pass(percent: int):
     """Per set with shared tokens: its index keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[tuple[int, int, int]] = []
             for key, n, counted, shared in zip(*(c.to_pylist() for c in batch.columns)):
                 for b, c in zip(bands(n, percent), counted):
@@ -217,7 +228,7 @@ def _texts_pass(size: int):
     """Rows (key, text) whose text has the set of the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keys = batch.column(0).to_pylist()
             fits = [set_key(s) == k for s, k in zip(text_sets(batch.column(1).to_pylist(), size), keys)]
             yield batch.filter(pa.array(fits, pa.bool_()))
@@ -241,7 +252,7 @@ def _verify_pass(size: int):
                 held.move_to_end(key)
             return s
 
-        for batch in batches:
+        for batch in sliced(batches):
             inter, union = [], []
             for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.columns)):
                 x, y = get(a, ta), get(b, tb)
@@ -261,11 +272,13 @@ class _Join:
         kind = docs.schema["id"].dataType
         schema = T.StructType([
             T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("key", T.LongType()),
-            T.StructField("counted", T.ArrayType(T.IntegerType())),
+            T.StructField("counted", T.ArrayType(T.IntegerType())), T.StructField("bits", T.ArrayType(T.LongType())),
         ])
         self.rows = materialize(docs.mapInArrow(_sets_pass(size, percent, to_arrow_type(kind)), schema))
         filled = self.rows.where(F.col("n") > 0)
-        self.sets = filled.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("counted").alias("counted"))
+        sets = filled.groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "counted", "bits")])
+        sets, _ = compacted(sets)
+        self.sets, self.bits = sets.drop("bits"), sets.select("key", "bits")
 
     def index(self) -> DataFrame:
         """(index, key, n): the sets under every index key that several sets have."""
@@ -281,78 +294,82 @@ class _Join:
         by_index = Window.partitionBy("index")
         # A set may show one key in two ways; it counts once.
         keys = keys.distinct().withColumn("members", F.count("*").over(by_index))
-        return materialize(keys.where(F.col("members") >= 2).drop("members"))
+        return compacted(keys.where(F.col("members") >= 2).drop("members"))[0]
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """Exact overlap of pairs (a, b) of keys: a, b, inter, union."""
-        pairs = materialize(pairs)
+        pairs, _ = compacted(pairs)
         nodes = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-        ids = materialize(nodes.join(self.sets, "key").select("key", "id"))
-        wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        ids, n_ids = compacted(nodes.join(self.sets, "key").select("key", "id"))
+        wanted = F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids
         texts = self.docs.join(wanted, "id").select("key", "text").mapInArrow(_texts_pass(self.size), "key long, text string")
         texts = texts.groupBy("key").agg(F.first("text").alias("text"))
         left = texts.select(F.col("key").alias("a"), F.col("text").alias("ta"))
         right = texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-        return materialize(both.mapInArrow(_verify_pass(self.size), "a long, b long, inter long, union long"))
+        return compacted(both.mapInArrow(_verify_pass(self.size), "a long, b long, inter long, union long"))[0]
 
     def links(self) -> DataFrame:
         """Enough verified links (a, b) to connect all similar sets."""
         groups = self.index()
-        links = done = None
         percent = self.percent
+        links, done, outside = None, None, None
         for r in range(HUB_ROUNDS + 1):
-            if r == 0:
-                open_groups = groups.withColumn("component", F.col("key"))
+            if links is None:
+                # The same order everywhere, so that the groups of like sets share their first member.
+                rank = F.xxhash64("key")
+                rows = groups.withColumn("component", F.col("key"))
             else:
-                parts = connected_components(links)
-                named = groups.join(parts.withColumnRenamed("node", "key"), "key", "left")
-                named = named.withColumn("component", F.coalesce("component", "key"))
-                by_index = Window.partitionBy("index")
-                several = F.min("component").over(by_index) != F.max("component").over(by_index)
-                open_groups = materialize(named.withColumn("several", several).where("several").drop("several"))
-                if open_groups.isEmpty():
+                rank, rows = F.struct("size", F.xxhash64("key", "index", F.lit(r))), self._open(groups, links)
+            hubs = rows.groupBy("index").agg(F.max_by(F.struct("key", "n", "component"), rank).alias("hub"))
+            rows = rows.join(hubs, "index").where("key = hub.key OR component <> hub.component")
+            if links is not None:
+                rows, _ = compacted(rows)
+                before, outside = outside, rows.where("key <> hub.key").count()
+                if not outside:
+                    break
+                if r == HUB_ROUNDS or (before is not None and 2 * outside > before):
+                    pairs = self._rest(self._open(groups, links), rows)
+                    links = self._grown(links, self.verify(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")))
                     break
-            # One member of every group, another in each round.
-            salted = F.xxhash64("key", F.lit(r))
-            hubs = open_groups.groupBy("index").agg(F.min_by(F.struct("key", "n", "component"), salted).alias("hub"))
-            near = open_groups.join(hubs, "index").where(F.col("key") != F.col("hub.key"))
             fits = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
-            pairs = near.where(fits & (F.col("component") != F.col("hub.component")))
+            pairs = rows.where((F.col("key") != F.col("hub.key")) & fits)
             pairs = pairs.select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")).distinct()
             if done is not None:
                 pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-            if r == HUB_ROUNDS:
-                pairs = self._rest(open_groups, done)
             checked = self.verify(pairs)
             done = checked if done is None else done.unionByName(checked)
-            good = checked.where(100 * F.col("inter") >= percent * F.col("union")).select("a", "b")
-            links = good if links is None else materialize(links.unionByName(good))
+            links = self._grown(links, checked)
         return links
 
-    def _rest(self, groups: DataFrame, done: DataFrame) -> DataFrame:
-        """Pairs of a group in different components that no distance to a common neighbour excludes."""
+    def _grown(self, links: DataFrame | None, checked: DataFrame) -> DataFrame:
+        good = checked.where(100 * F.col("inter") >= self.percent * F.col("union")).select("a", "b")
+        return good if links is None else compacted(links.unionByName(good))[0]
+
+    def _open(self, groups: DataFrame, links: DataFrame) -> DataFrame:
+        """Members of groups that span several components, with their component and its size."""
+        parts = connected_components(links)
+        sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
+        parts = parts.join(sizes, "component").withColumnRenamed("node", "key")
+        named = groups.join(parts, "key", "left")
+        named = named.withColumns({"component": F.coalesce("component", "key"), "size": F.coalesce("size", F.lit(1))})
+        by_index = Window.partitionBy("index")
+        several = F.min("component").over(by_index) != F.max("component").over(by_index)
+        return compacted(named.withColumn("several", several).where("several").drop("several"))[0]
+
+    def _rest(self, groups: DataFrame, outside: DataFrame) -> DataFrame:
+        """Pairs of a member outside its group's chosen component with all others of the group that the sketches allow."""
         percent = self.percent
-        # Distances to the first round's hub, which all members of fitting size were compared with.
-        both = done.select("a", "b", (1 - F.col("inter") / F.col("union")).alias("d"))
-        both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-        hubs = groups.groupBy("index").agg(F.min_by("key", F.xxhash64("key", F.lit(0))).alias("hub"))
-        known = both.select(F.col("a").alias("hub"), F.col("b").alias("key"), "d")
-        rows = groups.join(hubs, "index").join(known, ["hub", "key"], "left")
-        d = F.when(F.col("key") == F.col("hub"), F.lit(0.0)).otherwise(F.col("d"))
-        # Zones as wide as the distance of similar sets: partners lie in the same or the next one.
-        width = (100 - percent) / 100
-        rows = materialize(rows.withColumn("d", d).withColumn("zone", F.floor(F.col("d") / width)))
-        zones = F.when(F.col("zone").isNull(), F.sequence(F.lit(-1), F.lit(int(1 / width) + 1)))
-        zones = zones.otherwise(F.array(F.lit(-1), F.col("zone") - 1, F.col("zone"), F.col("zone") + 1))
-        left = rows.withColumn("z", F.explode(zones)).alias("x")
-        right = rows.withColumn("z", F.coalesce("zone", F.lit(-1))).alias("y")
-        fits = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-        far = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) > width + 1e-9, F.lit(False))
-        apart = (F.col("x.component") < F.col("y.component")) & fits & ~far
-        pairs = left.join(right, (F.col("x.index") == F.col("y.index")) & (F.col("x.z") == F.col("y.z")) & apart)
-        pairs = pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-        return pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
+        columns = ["index", "key", "n", "component", "bits"]
+        left = outside.where("key <> hub.key").join(self.bits, "key").select(*[F.col(c).alias(f"x_{c}") for c in columns])
+        right = groups.join(self.bits, "key").select(*[F.col(c).alias(f"y_{c}") for c in columns])
+        fits = 100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")
+        differ = sum((F.bit_count(F.col("x_bits")[i].bitwiseXOR(F.col("y_bits")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+        # A similar pair leaves at most this share of both sets unshared.
+        near = (100 + percent) * differ <= (100 - percent) * (F.col("x_n") + F.col("y_n"))
+        apart = (F.col("x_component") != F.col("y_component")) & fits & near
+        pairs = left.join(right, (F.col("x_index") == F.col("y_index")) & apart)
+        return pairs.select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).distinct()
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
