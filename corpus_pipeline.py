@@ -24,8 +24,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.7, by a model learnt from the labelled ones."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     # Columns of the operator's names, should the documents have some, are kept as they are.
-    held = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
-    return toxicity.score_documents(held, model).where(F.col("predicted") == 0).select("row.*")
+    aside = {c: f"_kept_{c}" for c in ("score", "predicted") if c in docs.columns}
+    scored = toxicity.score_documents(docs.withColumnsRenamed(aside), model).where(F.col("predicted") == 0)
+    back = {name: c for c, name in aside.items()}
+    return scored.drop("score", "predicted").withColumnsRenamed(back).select(docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

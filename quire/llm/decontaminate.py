@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quire.llm.hashing import ALNUM_BYTES, Words, hash_words, in_runs, shingles
+from quire.llm.hashing import ALNUM_BYTES, Words, hash_words, in_runs, shingles, sliced
 
 RADIUS = 7
 SHINGLE = 5
@@ -184,7 +184,7 @@ def drop_contaminated(
 def _cleaner(texts: list[str], at: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(texts)
-        for batch in batches:
+        for batch in sliced(batches):
             clean = np.ones(batch.num_rows, bool)
             for first, run_texts in in_runs([t.lower() if t else t for t in batch.column(at).to_pylist()]):
                 for text, *_ in index.matches(hash_words(run_texts, ALNUM_BYTES), similarity):
@@ -224,7 +224,7 @@ def find_items(
 def _searcher(ids: list, texts: list[str], similarity: float, kinds: list, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(texts)
-        for batch in batches:
+        for batch in sliced(batches):
             lower = [t.lower() if t else t for t in batch.column(1).to_pylist()]
             source: list[int] = []
             rows: list[list] = [[] for _ in names[1:]]

@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 _BYTE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -90,6 +91,13 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
         return mix(out)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that what is made from a batch stays small."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def in_runs(texts: Sequence[str | None], most_bytes: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Texts as UTF-8, in runs of about ``most_bytes``, with the index of each run's first text."""
     run: list[bytes] = []

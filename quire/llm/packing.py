@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from quire.llm.hashing import sliced
 from quire.session import materialize
 
 PER_GROUP = 8192
 #: Word encodings that a Python worker remembers.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 #: A single space starts a token when a non-space follows; other places need the whole text.
 _OTHER_SPACE = re.compile(r" (?=\s|\Z)")
 
@@ -103,7 +104,7 @@ def tokenize_pieces(
     end = array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows: list[list] = [[] for _ in fields]
             source: list[int] = []
             for i, text in enumerate(batch.column(1)):

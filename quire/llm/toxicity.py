@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from quire.llm.hashing import sliced
+
 SAMPLE = 2000
 LONGEST = 20_000
 TOXIC_BYTES, ORDINARY_BYTES, HARD_BYTES = 16_000, 60_000, 12_000
@@ -42,7 +44,7 @@ STEMS = range(3, 9)
 MIN_CONTEXTS, MIN_RATIO = 5, 15
 GAINS = (1, 2, 3, 5)
 THRESHOLD = 0.7
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 250_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CARRIER = b"0123456789abcdefghijklmnopqrstuvwxyz9876543210"
@@ -246,7 +248,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> Da
     kinds = [to_arrow_type(f.dataType) for f in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             got = [score(t.as_py(), model) for t in batch.column(at)]
             said = [int(s >= THRESHOLD) for s in got]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, kinds[0]), pa.array(said, kinds[1])], schema.names)
