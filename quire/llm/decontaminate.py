@@ -4,7 +4,10 @@ Every window of a document, at every word, has a 64-bit SimHash of its words for
 each item size of a geometric grid; an item is fingerprinted over as many words from
 its start. The four 16-bit blocks of a window are looked up in tables of the items'
 blocks with all values at distance 1. Fingerprints within ``RADIUS`` = 7 agree up to
-one bit in at least one block, so none within the radius is missed. Candidates are
+one bit in at least one block, so none within the radius is missed. Edited copies can lie
+beyond the radius, so shingles find what fingerprints don't: a window of the
+similarity s shares s of the item's weight, hence a shingle of any part of the item
+that weighs more than 1 - s; every window that holds one is a candidate. Candidates are
 verified against the whole item by weighted Jaccard similarity of five-word
 shingles, each weighing its occurrences times its words' bytes.
 
@@ -120,7 +123,7 @@ def weighted_jaccard(a: Counter, b: Counter) -> float:
 class Index:
     """Items with a word, ready for searching."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], similarity: float = SIMILARITY):
         self.items: list[tuple[int, Counter]] = []
         by_size: dict[int, list[tuple[int, int]]] = {}
         for number, text in enumerate(texts):
@@ -134,10 +137,45 @@ class Index:
             Table.of(size, np.array([p for p, _ in rows], np.uint64), np.array([i for _, i in rows], np.int64))
             for size, rows in sorted(by_size.items())
         ]
+        self._index_shingles(similarity)
+
+    def _index_shingles(self, similarity: float) -> None:
+        """Of each item with a full shingle, those held by the fewest items, until what is left weighs too little."""
+        held = Counter(s for n, want in self.items if n >= SHINGLE for s in want)
+        rows = []
+        for number, (n, want) in enumerate(self.items):
+            if n < SHINGLE:  # it has one shingle: only equal words match, and their fingerprints are equal
+                continue
+            left = sum(want.values())
+            least = similarity * left
+            for s in sorted(want, key=lambda s: (held[s], s)):
+                if left < least * (1 - 1e-9):
+                    break
+                rows.append((s, number))
+                left -= want[s]
+        self.shingles = np.array(sorted({s for s, _ in rows}), np.uint64)
+        self.holders: dict[int, list[int]] = {}
+        for s, number in rows:
+            self.holders.setdefault(s, []).append(number)
+
+    def _near_shingles(self, words: Words, owner: np.ndarray) -> set[tuple[int, int]]:
+        """(first word, item) of all windows with an indexed shingle of the item."""
+        out: set[tuple[int, int]] = set()
+        if not len(self.shingles):
+            return out
+        own = shingles(words.hashes, SHINGLE)
+        at = np.minimum(np.searchsorted(self.shingles, own), len(self.shingles) - 1)
+        hits = np.flatnonzero(self.shingles[at] == own)
+        for p in hits[owner[hits] == owner[hits + SHINGLE - 1]].tolist():
+            first = int(words.first[owner[p]])
+            for item in self.holders[int(own[p])]:
+                out.update((a, item) for a in range(max(first, p + SHINGLE - self.items[item][0]), p + 1))
+        return out
 
     def matches(self, words: Words, similarity: float) -> list[tuple[int, int, float, int, int]]:
         """(text, item, similarity, first word, words) of the best window of each text and item."""
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        candidates: set[tuple[int, int]] = set()
         owner, sizes, total = words.owner(), words.end - words.start, len(words.hashes)
         reach = max((t.size for t in self.tables), default=0)
         for a in range(0, total, _BLOCK):
@@ -149,15 +187,16 @@ class Index:
                 if n_windows <= 0:
                     continue
                 windows, items = table.search(_majority(sums, table.size, 0, n_windows))
-                for at, item in zip((windows + a).tolist(), items.tolist()):
-                    n, want = self.items[item]
-                    text = int(owner[at])
-                    if owner[at + table.size - 1] != text:
-                        continue
-                    end = min(at + n, int(words.first[text + 1]))
-                    got = weighted_jaccard(weights(words.hashes[at:end], sizes[at:end]), want)
-                    if got >= similarity and (-got, at) < best.get((text, item), (1.0, 0))[:2]:
-                        best[text, item] = (-got, at, end - at)
+                inside = owner[windows + a] == owner[windows + a + table.size - 1]
+                candidates.update(zip((windows[inside] + a).tolist(), items[inside].tolist()))
+        candidates |= self._near_shingles(words, owner)
+        for at, item in candidates:
+            n, want = self.items[item]
+            text = int(owner[at])
+            end = min(at + n, int(words.first[text + 1]))
+            got = weighted_jaccard(weights(words.hashes[at:end], sizes[at:end]), want)
+            if got >= similarity and (-got, at) < best.get((text, item), (1.0, 0))[:2]:
+                best[text, item] = (-got, at, end - at)
         return [(t, i, -s, at - int(words.first[t]), n) for (t, i), (s, at, n) in sorted(best.items())]
 
 
@@ -183,7 +222,7 @@ def drop_contaminated(
 
 def _cleaner(texts: list[str], at: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(texts)
+        index = Index(texts, similarity)
         for batch in sliced(batches):
             clean = np.ones(batch.num_rows, bool)
             for first, run_texts in in_runs([t.lower() if t else t for t in batch.column(at).to_pylist()]):
@@ -223,7 +262,7 @@ def find_items(
 
 def _searcher(ids: list, texts: list[str], similarity: float, kinds: list, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(texts)
+        index = Index(texts, similarity)
         for batch in sliced(batches):
             lower = [t.lower() if t else t for t in batch.column(1).to_pylist()]
             source: list[int] = []

@@ -85,3 +85,20 @@ def test_query_finds_verbatim_items(spark):
     items = [tuple(r) for r in table(spark, SF, "benchmark").collect()]
     got = {(r.doc_id, r.item_id) for r in QUERIES["op10_decontamination"](spark, SF).collect()}
     assert got and got >= {(d, i) for d, t in docs for i, x in items if x in t}
+
+
+def test_edited_items_against_brute_force():
+    rng = np.random.default_rng(5)
+    draw = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    items = [(i, " ".join(draw(n))) for i, n in enumerate([*[15] * 30, *[20] * 30, *[30] * 30, *[50] * 10])]
+    docs = []
+    for i, t in items:
+        ws = t.split()
+        at = int(rng.choice([0, 1, len(ws) - 1, int(rng.integers(len(ws)))]))
+        ws[at : at + int(rng.integers(2))] = draw(1)
+        docs.append((i, " ".join(draw(30) + ws + draw(int(rng.integers(30))))))
+    index = dc.Index([t for _, t in items])
+    words = hash_words([t.encode() for _, t in docs], ALNUM_BYTES)
+    got = {(t, i): round(s, 9) for t, i, s, *_ in index.matches(words, 0.8)}
+    want = brute(docs, items)
+    assert len(want) > 40 and got == want
