@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 SAMPLE = 600  # texts of each language
+SAMPLE_TOTAL = 64 * SAMPLE  # texts of all languages, at least one of each
 LONGEST = 20_000  # characters of a text in the sample
 HIDDEN = 8
 WINDOW = 64
@@ -262,22 +263,23 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, most_languages: int = 64) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Learn from rows outside the held-out third: ``sample`` of each language, chosen by a hash of the id.
 
-    Texts of the sample have 1 to ``LONGEST`` characters. Rows with a null language
-    or text are left out. The ``most_languages`` most frequent languages are learnt.
-    Without such rows everything is ``und``.
+    Every language is learnt; many share ``SAMPLE_TOTAL`` texts alike. Texts of up to
+    ``LONGEST`` characters come first, longer ones are cut to that. Rows with a null
+    language and a null or empty text are left out. Without such rows everything is ``und``.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     rows = rows.where(F.col("_lang").isNotNull() & ~held_out(F.col("_id")))
-    langs = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(most_languages).select("_lang")
-    langs = sorted(r[0] for r in langs.collect())
-    rows = rows.where(F.col("_lang").isin(langs) & F.length("_text").between(1, LONGEST))
-    by_hash = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    picks = rows.select("_id", "_lang").withColumn("_rank", F.row_number().over(by_hash)).where(F.col("_rank") <= sample)
-    # At most sample * most_languages ids.
-    texts = rows.join(F.broadcast(picks.select("_id").distinct()), "_id").select("_id", "_text", "_lang").collect()
+    rows = rows.where(F.length("_text") > 0)
+    n_langs = rows.agg(F.count_distinct("_lang")).first()[0]
+    sample = max(1, min(sample, SAMPLE_TOTAL // max(1, n_langs)))
+    by_hash = Window.partitionBy("_lang").orderBy(F.col("_n") > LONGEST, F.xxhash64("_id"), "_id")
+    picks = rows.select("_id", "_lang", F.length("_text").alias("_n")).withColumn("_rank", F.row_number().over(by_hash))
+    picks = picks.where(F.col("_rank") <= sample).select("_id", "_lang").distinct()
+    # At most SAMPLE_TOTAL ids, or one of each language.
+    texts = rows.join(F.broadcast(picks), ["_id", "_lang"]).select("_id", F.substring("_text", 1, LONGEST), "_lang").collect()
     texts = sorted(map(tuple, texts), key=lambda r: (r[2], str(r[0]), r[1]))
     return train([r[1] for r in texts], [r[2] for r in texts])
 

@@ -66,3 +66,13 @@ def test_query_on_held_out_rows(spark):
     assert len(got) == 1000
     held = [r for r in got if r.held_out]
     assert sum(r.lang_pred == r.lang for r in held) / len(held) > 0.95
+
+
+def test_every_language_is_learnt(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lg, "train", lambda texts, labels: seen.append((texts, labels)))
+    rows = [(i, f"text {i}" if i % 100 else "long " * 9000, f"l{i % 100}") for i in range(1000)]
+    lg.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts, labels = seen[0]
+    assert set(labels) == {f"l{i}" for i in range(100)} and max(map(len, texts)) <= lg.LONGEST
+    assert max(labels.count(x) for x in set(labels)) <= lg.SAMPLE
