@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,7 +33,48 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and return it with its lineage cut.
 
-    The result survives the loss of executors and keeps its hash partitioning.
+    The result survives the loss of executors. It reports no partitioning; what is
+    joined again and again belongs in a :class:`BucketedTable`.
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@dataclass(frozen=True)
+class BucketedTable:
+    """A table in the checkpoint folder whose files are dealt by hash of ``keys``.
+
+    Joins and groupings of two such tables on exactly these keys need no exchange, as
+    long as both have the same number of buckets.
+    """
+
+    spark: SparkSession
+    name: str
+    keys: tuple[str, ...]
+    buckets: int
+
+    @classmethod
+    def write(cls, df: DataFrame, keys: Sequence[str], buckets: int | None = None, laid: bool = False) -> BucketedTable:
+        """Write ``df``, one file a bucket; ``laid`` says that its rows are dealt that way already."""
+        spark = df.sparkSession
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        name = f"{_database(spark)}.t{uuid.uuid4().hex}"
+        rows = df if laid else df.repartition(n, *keys)
+        rows.write.format("parquet").bucketBy(n, *keys).sortBy(*keys).saveAsTable(name)
+        return cls(spark, name, tuple(keys), n)
+
+    @property
+    def df(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        """Remove the table and its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
+def _database(spark: SparkSession) -> str:
+    """The database of bucketed tables, whose folder lies in the checkpoint folder."""
+    folder = ensure_checkpoint_dir(spark).rstrip("/")
+    name = "quire_" + folder.rsplit("/", 1)[-1].replace("-", "_").lower()
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION '{folder}/tables'")
+    return name
