@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, html_text, language, ngram_join, packing, passages, pii, quality, toxicity, url_filter
+from quire.llm import decontaminate, html_text, language, line_dedup, ngram_join, packing, passages, pii, quality, toxicity, url_filter
 from quire.plans.registry import query, table
 
 #: Fixed values of the query: host rules, and the host names that feed the list.
@@ -134,6 +134,22 @@ def op1_ngram_jaccard_join(spark, sf_dir):
 def op2_substring_dedup(spark, sf_dir):
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
+_STRIPPED = "trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_LINES_SQL = f"""
+WITH l AS (SELECT doc_id, i, lines[i] AS x, len(lines) AS n FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+k AS (SELECT *, translate({_STRIPPED}, '{line_dedup.UPPER}', '{line_dedup.LOWER}') AS key FROM l),
+f AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+d AS (SELECT k.*, f.key IS NOT NULL AND f.keeper <> doc_id AS lost FROM k LEFT JOIN f USING (key))
+SELECT doc_id, any_value(n) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+  sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256 FROM d GROUP BY doc_id"""
+
+
+@query("op12_line_dedup", _LINES_SQL)
+def op12_line_dedup(spark, sf_dir):
+    out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
 
 @query("pipeline")
 def pipeline(spark, sf_dir):
