@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, html_text, language, line_dedup, ngram_join, packing, passages, pii, quality, toxicity, url_filter
+from quire.llm import decontaminate, html_text, language, line_dedup, ngram_join, packing, passages, pii, quality, toxicity, url_filter, whitening
 from quire.plans.registry import query, table
 
 #: Fixed values of the query: host rules, and the host names that feed the list.
@@ -151,6 +151,11 @@ def op12_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query("op13_embedding_whitening")
+def op13_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     # The pipeline builds on this module, so it is imported when it runs.
