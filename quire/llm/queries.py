@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, html_text, language, line_dedup, ngram_join, packing, passages, pii, quality, toxicity, url_filter, whitening
+from quire.llm import decontaminate, html_text, language, line_dedup, ngram_join, packing, passages, pii, quality, toxicity, turn_trie, url_filter, whitening
 from quire.plans.registry import query, table
 
 #: Fixed values of the query: host rules, and the host names that feed the list.
@@ -156,6 +156,35 @@ def op13_embedding_whitening(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+_TRIE_SQL = """
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS tab),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+  md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, length(coalesce(text, '')) AS chars
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 6 AS h FROM (SELECT DISTINCT conv_id FROM o), crc),
+p AS (SELECT c.conv_id, 0 AS own, pos, k, chars FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 100 AND pos <= h
+  UNION ALL SELECT c.conv_id, 1, pos, k, chars FROM c JOIN o ON o.conv_id = c.conv_id AND pos > h),
+s AS (SELECT conv_id, chars, row_number() OVER w AS depth, string_agg(k, '') OVER w AS path FROM p
+  WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT conv_id, 0 AS depth, '' AS path, 0 AS chars FROM c UNION ALL SELECT conv_id, depth, path, chars FROM s),
+e AS (SELECT conv_id, max(depth) AS turns FROM m GROUP BY conv_id),
+n AS (SELECT path, depth, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = turns), '')) AS ends_sha256 FROM m JOIN e USING (conv_id) GROUP BY ALL),
+k AS (SELECT substr(path, 1, 32 * (depth - 1)) AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+a AS (SELECT substr(path, 1, 32 * d) AS path, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM
+  (SELECT n.path, CAST(k.path IS NULL AS INT) AS leaf, (n_convs - 1) * chars AS saved, unnest(range(0, depth + 1)) AS d FROM n LEFT JOIN k USING (path)) GROUP BY ALL)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN a USING (path) LEFT JOIN k USING (path) LEFT JOIN n u ON n.depth > 0 AND u.path = substr(n.path, 1, 32 * (n.depth - 1))"""
+
+
+@query("op11_conversation_trie", _TRIE_SQL)
+def op11_conversation_trie(spark, sf_dir):
+    return turn_trie.prefix_trie(turn_trie.rebuilt(turn_trie.turn_sequences(table(spark, sf_dir, "conversations"))))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     # The pipeline builds on this module, so it is imported when it runs.
