@@ -169,15 +169,16 @@ def drop_repeated_lines(
     gap = "repeat('0', x - coalesce(get(_lost, i - 1), -1) - 1)"
     drops = drops.withColumn("_map", F.expr(f"cast(array_join(transform(_lost, (x, i) -> concat({gap}, '1')), '') AS binary)"))
 
-    names = [c for c in docs.columns]
-    wide = docs.select(*names, *row)
-    same = wide["_id"].eqNullSafe(drops["_id"]) & wide["_text"].eqNullSafe(drops["_text"])
-    joined = wide.join(drops, same, "left").select(*[wide[c] for c in names], "_lost", "_map")
-    all_lines = lines(F.col(text_col))
+    # The columns of the table wait in one struct, whatever their names.
+    wide = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"), *row)
+    same = F.col("w._id").eqNullSafe(F.col("d._id")) & F.col("w._text").eqNullSafe(F.col("d._text"))
+    joined = wide.alias("w").join(drops.alias("d"), same, "left").select("row", "text", "_lost", "_map")
+    all_lines = lines(F.col("text"))
     stay = F.filter(all_lines, lambda x, i: F.coalesce(F.substring("_map", i + 1, 1) != F.lit(b"1"), F.lit(True)))
-    return joined.select(
-        *names,
+    done = joined.select(
+        "row",
         F.size(all_lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_lost"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("_lost").isNull(), F.coalesce(text_col, F.lit(""))).otherwise(F.array_join(stay, "\n")).alias("kept_text"),
+        F.when(F.col("_lost").isNull(), F.lit(0)).otherwise(F.size("_lost")).cast("long").alias("n_dropped"),
+        F.when(F.col("_lost").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(stay, "\n")).alias("kept_text"),
     )
+    return done.select("row.*", "n_lines", "n_dropped", "kept_text")
