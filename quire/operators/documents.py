@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import decode_name, normalize_text, xmp_value
-from quire.operators.graph import NODE, Levels, NodeReader
+from quire.operators.graph import NODE, NodeReader, first_sight
 from quire.operators.objects import int_of, name_of
 from quire.session import materialize
 
@@ -100,35 +98,20 @@ def info_vs_xmp(info: DataFrame, xmp: DataFrame) -> DataFrame:
 def name_tree(entries: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Values of a name tree: ``doc_id, ord, ref_id, obj_id, at``.
 
-    ``roots`` has ``doc_id, obj_id``. A node is read once, so every walk ends;
-    malformed parts are skipped, and nodes below ``max_depth`` if it is given.
+    ``roots`` has ``doc_id, obj_id``. A node is read once, where a depth-first reader
+    meets it first, so every walk ends; malformed parts are skipped, and nodes below ``max_depth`` if it is given.
     """
     reader = NodeReader(entries)
-    frontier = materialize(
-        roots.select("doc_id", "obj_id", _no_path().alias("at"), F.array().cast("array<bigint>").alias("ord")))
-    seen = Levels(frontier.select("doc_id", "obj_id"))
-    values: Levels | None = None
-    for depth in itertools.count():
-        found = reader.resolved(reader.items(frontier, "Names")).where(
-            (F.col("idx") % 2 == 1) & (F.coalesce("target_type", "value_type").isin("dict", "stream")))
-        rows = materialize(
-            found.select("doc_id", F.concat("ord", F.array(F.lit(-1).cast("bigint"), "idx")).alias("ord"), "ref_id",
-                         F.col("item_obj").alias("obj_id"), F.col("item_at").alias("at")))
-        if values is None:
-            values = Levels(rows)
-        else:
-            values.add(rows)
-        kids = reader.resolved(reader.items(frontier, "Kids")).where(F.coalesce("target_type", "value_type") == "dict").select(
-            "doc_id", F.col("item_obj").alias("obj_id"), F.col("item_at").alias("at"), F.array_append("ord", F.col("idx")).alias("ord"), "ref_id")
-        firsts = kids.groupBy("doc_id", "obj_id", "at").agg(F.min("ord").alias("ord"), F.first("ref_id").alias("ref_id"))
-        known = seen.all().distinct()
-        frontier = materialize(
-            firsts.where("ref_id IS NULL").unionByName(
-                firsts.where("ref_id IS NOT NULL").join(known, ["doc_id", "obj_id"], "left_anti")).drop("ref_id"))
-        if frontier.isEmpty() or depth == max_depth:
-            break
-        seen.add(frontier.where(F.size("at") == 0).select("doc_id", "obj_id"))
-    return values.all()
+    kid = F.coalesce("target_type", "value_type") == "dict"
+    links = reader.array("Kids").all().where(kid).select(
+        *NODE, F.col("item_obj").alias("to_obj_id"), F.col("item_at").alias("to_at"), F.array("idx").alias("step"))
+    starts = roots.select("doc_id", "obj_id", _no_path().alias("at"), F.array().cast("array<bigint>").alias("label"))
+    met = first_sight(links, starts, ["obj_id", "at"], max_steps=max_depth).withColumnRenamed("label", "ord")
+    found = reader.items(met, "Names", resolve=True).where(
+        (F.col("idx") % 2 == 1) & (F.coalesce("target_type", "value_type").isin("dict", "stream")))
+    return found.select(
+        "doc_id", F.concat("ord", F.array(F.lit(-1).cast("bigint"), "idx")).alias("ord"), "ref_id",
+        F.col("item_obj").alias("obj_id"), F.col("item_at").alias("at"))
 
 
 def merge_sources(first: DataFrame, second: DataFrame, order: str = "ord") -> DataFrame:

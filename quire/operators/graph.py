@@ -1,31 +1,37 @@
 """Walks over the reference graph, all documents at once.
 
-Each level is one join of the frontier with the edges. Levels are written to the
-checkpoint folder, so lineage stays short and a lost executor costs one level.
+Each level is one join of the frontier with the edges. The edges, what was met so
+far and the frontier are tables bucketed by the same key, so a level moves what its
+edges lead to, once, and nothing else. Levels are written to the checkpoint folder:
+lineage stays short and a lost executor costs one level.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.objects import OBJ, root_rows
-from quire.session import materialize
+from quire.session import BucketedTable, materialize
 
 COMPACT_EVERY = 8
 EDGES_PER_BUCKET = 1_000_000
 SAMPLED_ROWS = 1_000
+#: A key with more than this part of all rows is dealt over several tasks; so there are fewer such keys.
+HOT_SHARE = 1_000
 
 
 class SpreadTable:
-    """A table laid out once by join key, hot keys cut into buckets.
+    """A table bucketed once by its join key; hot keys lie apart, dealt further.
 
-    The layout is kept across levels, so a level shuffles its frontier only. A
-    key with more than ``per_bucket`` rows is split by ``split_by``, and frontier
-    rows of that key are copied to each of its buckets.
+    Joins with it move the other side only, and not even that if it is bucketed
+    alike. A key with more than ``per_bucket`` rows lies in a table of its own,
+    bucketed by the key and a number that :func:`split_by` gives; other rows of such
+    a key are copied to each of its numbers.
 
     Big keys are found on a sample that holds about :data:`SAMPLED_ROWS` rows of
     such a key. The sample decides the layout only; every row is kept.
@@ -42,22 +48,47 @@ class SpreadTable:
             .select(*keys, F.ceil(F.col("_n") / (per_bucket * share)).cast("int").alias("_buckets"))
         )
         self.hot = None if hot.isEmpty() else hot
-        if self.hot is None:
-            laid = df.withColumn("_bucket", F.lit(0))
-        else:
-            laid = df.join(self.hot, keys, "left").withColumn(
-                "_bucket", F.coalesce(F.pmod(F.xxhash64(split_by), F.col("_buckets")).cast("int"), F.lit(0))
-            ).drop("_buckets")
-        self.table = materialize(laid.repartition(*keys, "_bucket"))
+        self.table = BucketedTable.write(df if self.hot is None else df.join(hot, keys, "left_anti"), keys).df
+        if self.hot is not None:
+            number = F.pmod(F.xxhash64(split_by), F.col("_buckets")).cast("int")
+            self.hot_rows = BucketedTable.write(
+                df.join(hot, keys).withColumn("_bucket", number).drop("_buckets"), [*keys, "_bucket"]).df
+
+    def join(self, frontier: DataFrame, how: str = "inner") -> DataFrame:
+        """Rows of the table for each frontier row; the frontier has the keys.
 
-    def join(self, frontier: DataFrame) -> DataFrame:
-        """Rows of the table for each frontier row; the frontier has the keys."""
+        ``left`` keeps frontier rows without any; it is for tables without hot keys.
+        """
+        cold = frontier.join(self.table, self.keys, how)
         if self.hot is None:
-            out = frontier.withColumn("_bucket", F.lit(0))
-        else:
-            copies = F.explode(F.sequence(F.lit(0), F.coalesce("_buckets", F.lit(1)) - 1))
-            out = frontier.join(self.hot, self.keys, "left").withColumn("_bucket", copies).drop("_buckets")
-        return out.join(self.table, [*self.keys, "_bucket"]).drop("_bucket")
+            return cold
+        copies = F.explode(F.sequence(F.lit(0), F.col("_buckets") - 1))
+        dealt = frontier.join(self.hot, self.keys).withColumn("_bucket", copies).drop("_buckets")
+        return cold.unionByName(dealt.join(self.hot_rows, [*self.keys, "_bucket"]).drop("_bucket"))
+
+    def all(self) -> DataFrame:
+        """The whole table."""
+        return self.table if self.hot is None else self.table.unionByName(self.hot_rows.drop("_bucket"))
+
+
+def spread_lookup(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], per_key: int = EDGES_PER_BUCKET) -> DataFrame:
+    """Inner join of rows with a table of unique keys, whatever key they crowd on.
+
+    Keys that hold more than ``per_key`` rows and more than a part of
+    1/:data:`HOT_SHARE` of all are dealt over several tasks, their lookup rows copied.
+    """
+    keys = list(keys)
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total, most = counts.agg(F.sum("_n"), F.max("_n")).first()
+    size = max(per_key, (total or 0) // HOT_SHARE)
+    if not most or most <= size:
+        return rows.join(lookup, keys)
+    # Fewer than HOT_SHARE rows, since each stands for more than that part of all.
+    hot = F.broadcast(materialize(counts.where(F.col("_n") > size).select(*keys, F.ceil(F.col("_n") / size).cast("int").alias("_copies"))))
+    copies = F.coalesce("_copies", F.lit(1))
+    dealt = rows.join(hot, keys, "left").withColumn("_copy", F.pmod(F.xxhash64(*rows.columns), copies).cast("int")).drop("_copies")
+    copied = lookup.join(hot, keys, "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_copies")
+    return dealt.join(copied, [*keys, "_copy"]).drop("_copy")
 
 
 class SpreadEdges:
@@ -84,10 +115,40 @@ class Levels:
             self._parts = [materialize(self.all())]
 
     def all(self) -> DataFrame:
-        out = self._parts[0]
-        for part in self._parts[1:]:
-            out = out.unionByName(part)
-        return out
+        return functools.reduce(DataFrame.unionByName, self._parts)
+
+
+class Visited:
+    """Rows met so far, bucketed by their key; one part a level, compacted now and then.
+
+    A key is in one part only.
+    """
+
+    def __init__(self, keys: Sequence[str]):
+        self.keys = list(keys)
+        self.parts: list[BucketedTable] = []
+
+    def add(self, rows: DataFrame, laid: bool = False) -> DataFrame:
+        """Write ``rows`` as a part and return it; ``laid`` says that they are dealt by the key."""
+        self.parts.append(BucketedTable.write(rows, self.keys, laid=laid))
+        if len(self.parts) > COMPACT_EVERY:
+            *old, last = self.parts
+            self.parts = old
+            whole = BucketedTable.write(self.all(), self.keys)
+            for part in old:
+                part.drop()
+            # The last one is read as a frontier.
+            self.parts = [whole, last]
+        return self.parts[-1].df
+
+    def without(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (which have the keys) that are not met yet; nothing but ``rows`` is moved."""
+        for part in self.parts:
+            rows = rows.join(part.df.select(*self.keys), self.keys, "left_anti")
+        return rows
+
+    def all(self) -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, [part.df for part in self.parts])
 
 
 def reachable(
@@ -99,27 +160,115 @@ def reachable(
     ties go to the smallest id.
     """
     spread = SpreadEdges(edges.where("src_id <> dst_id"), per_bucket)
-    level = 0
-    frontier = materialize(
-        roots.select(*OBJ).distinct().select(
-            *OBJ, F.lit(0).alias("level"), F.lit(None).cast("string").alias("parent_id")
-        )
-    )
-    seen = Levels(frontier)
-    while not frontier.isEmpty():
-        level += 1
-        found = (
-            spread.step(frontier.select(*OBJ))
-            .groupBy("doc_id", F.col("dst_id").alias("obj_id"))
-            .agg(F.min("src_id").alias("parent_id"))
-        )
-        frontier = materialize(
-            found.join(seen.all().select(*OBJ), OBJ, "left_anti").select(
-                *OBJ, F.lit(level).alias("level"), "parent_id"
-            )
-        )
-        seen.add(frontier)
-    return seen.all()
+    seen = Visited(OBJ)
+    frontier = seen.add(
+        roots.select(*OBJ).distinct().select(*OBJ, F.lit(0).alias("level"), F.lit(None).cast("string").alias("parent_id")))
+    for level in itertools.count(1):
+        if frontier.isEmpty():
+            return seen.all()
+        frontier = seen.add(next_level(spread, seen, frontier).select(*OBJ, F.lit(level).alias("level"), "parent_id"), laid=True)
+
+
+def next_level(spread: SpreadEdges, seen: Visited, frontier: DataFrame) -> DataFrame:
+    """What the frontier's edges lead to and was not met yet, with the smallest source."""
+    found = spread.step(frontier.select(*OBJ)).groupBy("doc_id", F.col("dst_id").alias("obj_id")).agg(F.min("src_id").alias("parent_id"))
+    return seen.without(found)
+
+
+# --- first sight in document order -------------------------------------------
+
+
+class Best(Visited):
+    """The smallest ``label`` of every key, with what it carries; later parts hold smaller labels of a key."""
+
+    def better(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (keys, ``label``) whose label is smaller than any known one of their key."""
+        for part in self.parts:
+            rows = rows.join(part.df.select(*self.keys, F.col("label").alias("_known")), self.keys, "left").where(
+                "_known IS NULL OR label < _known").drop("_known")
+        return rows
+
+    def least(self, rows: DataFrame) -> DataFrame:
+        """One row a key: its smallest label."""
+        rest = [c for c in rows.columns if c not in (*self.keys, "label")]
+        return rows.groupBy(*self.keys).agg(F.min("label").alias("label"), *[F.min_by(c, "label").alias(c) for c in rest])
+
+    def all(self) -> DataFrame:
+        return self.least(super().all())
+
+
+def first_sight(
+    edges: DataFrame, starts: DataFrame, node: Sequence[str], group: Sequence[str] = ("doc_id",),
+    max_steps: int | None = None, carry: Callable[[Column, Column], Column] | None = None, per_bucket: int = EDGES_PER_BUCKET,
+) -> DataFrame:
+    """Where a depth-first reader meets every node first: its least path in document order.
+
+    ``edges`` has ``doc_id``, the ``node`` columns of the source, the same columns with
+    ``to_`` before their names for the target, and ``step``: an array of sortable
+    values, none a beginning of another one of its source. ``starts`` has the ``group``
+    columns (``doc_id`` first), ``node`` and ``label``, the array to begin with.
+    Returns group, node and label.
+
+    With ``carry`` starts have a value ``carried`` too, and edges what their target has
+    itself as ``own``; ``carry(carried, own)`` is the target's value along its path.
+
+    A reader that enters every node once goes along the least path that meets no node
+    twice. Labels only fall: each round passes on those that fell, until none does. A
+    path that comes back to a node is longer than that node's own label, so it never
+    wins and cycles end by themselves. Rounds are as many as the longest such path.
+    """
+    node, group = list(node), list(group)
+    key, source = [*group, *node], ["doc_id", *node]
+    extra = [] if carry is None else ["own"]
+    spread = SpreadTable(edges.select(*source, *[f"to_{c}" for c in node], "step", *extra), source, "step", per_bucket)
+    best = Best(key)
+    frontier = best.add(best.least(starts.select(*key, "label", *(["carried"] if carry else []))), laid=True)
+    for rounds in itertools.count(1):
+        if frontier.isEmpty() or (max_steps is not None and rounds > max_steps):
+            return best.all()
+        passed = [] if carry is None else [carry(F.col("carried"), F.col("own")).alias("carried")]
+        moved = spread.join(frontier).select(
+            *group, *[F.col(f"to_{c}").alias(c) for c in node], F.concat("label", "step").alias("label"), *passed)
+        frontier = best.add(best.better(best.least(moved)), laid=True)
+
+
+def closure(edges: DataFrame, starts: DataFrame, per_bucket: int = EDGES_PER_BUCKET) -> DataFrame:
+    """Everything that each start reaches, without listing paths.
+
+    ``edges`` has ``doc_id, src_id, dst_id, step`` (see :func:`first_sight`), ``starts``
+    ``doc_id, root_id, obj_id``. Rows: ``doc_id, root_id, obj_id, path`` (the least),
+    ``n_paths`` and ``cyclic``. ``cyclic`` says that a cycle lies on the way, so that
+    there is no end of paths; ``n_paths`` is null then, and where the number has more
+    than 38 digits.
+
+    Paths are counted in the order of the graph: an object passes its number on once
+    all references to it have theirs. A chain of diamonds takes two rounds a diamond.
+    """
+    group, key = ["doc_id", "root_id"], ["doc_id", "root_id", "obj_id"]
+    named = edges.select("doc_id", F.col("src_id").alias("obj_id"), F.col("dst_id").alias("to_obj_id"), "step")
+    begin = starts.select(*key).distinct().withColumn("label", F.array().cast(edges.schema["step"].dataType))
+    met = BucketedTable.write(first_sight(named, begin, ["obj_id"], group, per_bucket=per_bucket), key).df
+    spread = SpreadTable(named, ["doc_id", "obj_id"], "step", per_bucket)
+    inside = spread.join(met.select(*key)).select(*group, F.col("to_obj_id").alias("obj_id"))
+    wanted = met.join(inside.groupBy(*key).agg(F.count(F.lit(1)).alias("_in")), key, "left").join(
+        begin.select(*key, F.lit(1).alias("_start")), key, "left")
+    wanted = BucketedTable.write(wanted.select(*key, F.coalesce("_in", F.lit(0)).alias("_in"), F.coalesce("_start", F.lit(0)).alias("_start")), key).df
+    one = F.lit(1).cast("decimal(38,0)")
+    done, got = Visited(key), Visited(key)
+    ready = done.add(wanted.where("_in = 0").select(*key, one.alias("n_paths")), laid=True)
+    while not ready.isEmpty():
+        sent = spread.join(ready).groupBy(*group, F.col("to_obj_id").alias("obj_id")).agg(
+            F.count(F.lit(1)).alias("_refs"), F.expr("try_sum(n_paths)").cast("decimal(38,0)").alias("_paths"),
+            F.bool_or(F.col("n_paths").isNull()).alias("_many"))
+        sent = sent.select(*key, "_refs", "_paths", (F.col("_many") | F.col("_paths").isNull()).alias("_many"))
+        touched = got.add(sent, laid=True).select(*key)
+        sums = got.all().join(touched, key, "left_semi").groupBy(*key).agg(
+            F.sum("_refs").alias("_refs"), F.expr("try_sum(_paths)").cast("decimal(38,0)").alias("_paths"), F.bool_or("_many").alias("_many"))
+        full = sums.join(wanted, key).where("_refs = _in").select(
+            *key, F.when(~F.col("_many"), F.expr("try_add(_paths, _start)")).cast("decimal(38,0)").alias("n_paths"))
+        ready = done.add(full, laid=True)
+    counted = done.all().withColumn("_done", F.lit(True))
+    return met.join(counted, key, "left").select(*key, F.col("label").alias("path"), "n_paths", F.col("_done").isNull().alias("cyclic"))
 
 
 def object_index(objects: DataFrame, reached: DataFrame) -> DataFrame:
@@ -150,30 +299,35 @@ def orphans(objects: DataFrame, reached: DataFrame) -> DataFrame:
     )
 
 
-def ancestor_path(reached: DataFrame, targets: DataFrame) -> DataFrame:
+def ancestor_path(reached: DataFrame, targets: DataFrame, per_key: int = EDGES_PER_BUCKET) -> DataFrame:
     """``doc_id, obj_id, ids, error``: one shortest path from a root to each target.
 
-    Walks the parent pointers of :func:`reachable` back, one level per step, for
-    the targets only.
+    Pointer jumping over the parents of :func:`reachable`: a round doubles how far the
+    pointers reach and how many ancestors of a target are known, so a path of n steps
+    takes log(n) rounds. An ancestor of a target is a row; the rows of a path meet at
+    the end only.
     """
     wanted = targets.select(*OBJ).distinct()
-    pointers = materialize(
-        reached.select("doc_id", F.col("obj_id").alias("_at"), "parent_id", "level")
-        .repartition("doc_id", "_at")
-    )
-    current = wanted.select(*OBJ, F.col("obj_id").alias("_at"), F.array("obj_id").alias("ids"))
-    found = materialize(current.join(pointers, ["doc_id", "_at"]))
-    done = Levels(found.where("parent_id IS NULL").select(*OBJ, "ids"))
-    while True:
-        back = found.where("parent_id IS NOT NULL")
-        if back.isEmpty():
-            break
-        back = back.select(
-            *OBJ, F.col("parent_id").alias("_at"), F.array_prepend("ids", F.col("parent_id")).alias("ids"))
-        # Written at each step: the next one reads it twice.
-        found = materialize(back.join(pointers, ["doc_id", "_at"]))
-        done.add(found.where("parent_id IS NULL").select(*OBJ, "ids"))
-    return wanted.join(done.all(), OBJ, "left").select(
+    at = ["doc_id", "_at"]
+    jumps = BucketedTable.write(
+        reached.where("parent_id IS NOT NULL").select("doc_id", F.col("obj_id").alias("_at"), F.col("parent_id").alias("_to"), "level"), at).df
+    first = wanted.join(reached.select(*OBJ, F.col("level").cast("long").alias("_level")), OBJ)
+    known = materialize(first.select(*OBJ, F.col("obj_id").alias("_at"), "_level"))
+    deepest = known.agg(F.max("_level")).first()[0] or 0
+    step = 1
+    while step <= deepest:
+        # A row of an ancestor at least ``step`` levels down gives one more, ``step`` further up.
+        higher = spread_lookup(known.where(F.col("_level") >= step), jumps.select(*at, "_to"), at, per_key)
+        known = materialize(known.unionByName(higher.select(*OBJ, F.col("_to").alias("_at"), F.col("_level") - step)
+                                              .toDF(*known.columns)))
+        if 2 * step <= deepest:
+            far = jumps.where(F.col("level") >= 2 * step).select("doc_id", F.col("_at").alias("_from"), F.col("_to").alias("_at"), "level")
+            far = spread_lookup(materialize(far), jumps.select(*at, "_to"), at, per_key)
+            jumps = BucketedTable.write(far.select("doc_id", F.col("_from").alias("_at"), "_to", "level"), at).df
+        step *= 2
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("_level", "_at"))), lambda x: x["_at"])
+    paths = known.groupBy(*OBJ).agg(ids.alias("ids"))
+    return wanted.join(paths, OBJ, "left").select(
         *OBJ,
         "ids",
         F.when(F.col("ids").isNull(), F.lit("object is not reachable from the catalog")).alias("error"),
@@ -260,19 +414,44 @@ _VALUE = ["idx", "value_type", "value_raw", "value", "ref_id"]
 class NodeReader:
     """Reads dictionaries by place: an object, or a dictionary inside one.
 
-    A node is ``doc_id, obj_id, at`` with ``at`` the path inside the object. The
-    entries are laid out once by ``(doc_id, obj_id, parent_path)``, which every
-    read joins on.
+    A node is ``doc_id, obj_id, at`` with ``at`` the path inside the object. What a
+    walk asks of its nodes at every level is made once for all nodes, with references
+    followed, and bucketed by node: a row of named entries, or the elements of an
+    array. A level then joins that table and moves its own nodes only.
     """
 
     def __init__(self, entries: DataFrame, per_bucket: int = EDGES_PER_BUCKET):
-        below = entries.where(F.size("path") > 0).select("doc_id", "obj_id", F.col("parent_path").alias("at"), "path", "key", *_VALUE)
-        self.spread = SpreadTable(below, NODE, "path", per_bucket)
+        self.per_bucket = per_bucket
+        self.below = entries.where(F.size("path") > 0).select(
+            "doc_id", "obj_id", F.col("parent_path").alias("at"), "path", "key", *_VALUE)
         roots = root_rows(entries).select(
             "doc_id", F.col("obj_id").alias("ref_id"), F.col("value_type").alias("target_type"),
             F.col("value_raw").alias("target_raw"), F.col("value").alias("target_value"))
-        # Laid out by target once, so following references moves the references only.
-        self.roots = materialize(roots.repartition("doc_id", "ref_id"))
+        # Dealt by target once, so following references moves the references only.
+        self.roots = BucketedTable.write(roots, ["doc_id", "ref_id"]).df
+        self._pivots: dict[tuple, DataFrame] = {}
+        self._arrays: dict[str, SpreadTable] = {}
+
+    @functools.cached_property
+    def elements(self) -> SpreadTable:
+        """Elements of every array."""
+        rows = self.below.where("idx IS NOT NULL").select(*NODE, "path", *_VALUE)
+        return SpreadTable(rows, NODE, "path", self.per_bucket)
+
+    def table(self, names: list[str] | dict[str, str], resolve: bool = False) -> DataFrame:
+        """Every node that has one of the entries, with the entries as structs; bucketed by node."""
+        named = names if isinstance(names, dict) else {k: k for k in names}
+        asked = (tuple(named.items()), resolve)
+        if asked not in self._pivots:
+            fields = ["value_type", "value_raw", "value", "ref_id"]
+            rows = self.below.where(F.col("key").isin(list(named)))
+            if resolve:
+                rows = self.resolved(rows)
+                fields += ["target_type", "target_raw", "target_value"]
+            value = F.struct(*fields)
+            found = rows.groupBy(*NODE).agg(*[F.max(F.when(F.col("key") == k, value)).alias(a) for k, a in named.items()])
+            self._pivots[asked] = BucketedTable.write(found, NODE, laid=True).df
+        return self._pivots[asked]
 
     def keys(self, nodes: DataFrame, names: list[str] | dict[str, str], resolve: bool = False) -> DataFrame:
         """``nodes`` (``doc_id, obj_id, at``, ...) with the named entries as structs.
@@ -281,43 +460,40 @@ class NodeReader:
         With ``resolve`` a struct also has the ``target_type``, ``target_raw`` and
         ``target_value`` of the object it points at.
         """
-        named = names if isinstance(names, dict) else {k: k for k in names}
-        fields = ["value_type", "value_raw", "value", "ref_id"]
-        rows = self.spread.join(nodes.select(*NODE).distinct()).where(F.col("key").isin(list(named)))
-        if resolve:
-            rows = self.resolved(rows)
-            fields += ["target_type", "target_raw", "target_value"]
-        value = F.struct(*fields)
-        found = rows.groupBy(*NODE).agg(*[F.max(F.when(F.col("key") == k, value)).alias(a) for k, a in named.items()])
-        return nodes.join(found, NODE, "left")
+        return nodes.join(self.table(names, resolve), NODE, "left")
 
     def resolved(self, rows: DataFrame) -> DataFrame:
         """Rows with ``ref_id`` plus the type and value of what it points at."""
         return rows.join(self.roots, ["doc_id", "ref_id"], "left")
 
-    def items(self, nodes: DataFrame, key: str) -> DataFrame:
-        """Elements of the array under ``key``, which may be a reference to one.
+    def array(self, key: str) -> SpreadTable:
+        """Elements of the array under ``key`` of every node, which may be a reference to one.
 
-        ``nodes`` columns are kept. Adds ``idx, value_type, value_raw, value,
-        ref_id`` and the element's own place ``item_obj, item_at``, which is the
+        ``idx, value_type, value_raw, value, ref_id``, the type, raw and value of what a
+        reference points at, and the element's own place ``item_obj, item_at``: the
         referenced object where the element is a reference.
         """
+        if key not in self._arrays:
+            nowhere = F.array().cast("array<string>")
+            owners = self.below.where(F.col("key") == key).select(
+                "doc_id", F.col("obj_id").alias("_obj"), F.col("at").alias("_at"),
+                F.coalesce("ref_id", "obj_id").alias("obj_id"), F.when(F.col("ref_id").isNull(), F.col("path")).otherwise(nowhere).alias("at"))
+            items = self.elements.join(owners).select(
+                "doc_id", F.col("_obj").alias("own_obj"), F.col("_at").alias("own_at"), *_VALUE,
+                F.coalesce("ref_id", "obj_id").alias("item_obj"),
+                F.when(F.col("ref_id").isNull(), F.col("path")).otherwise(nowhere).alias("item_at"))
+            rows = self.resolved(items).withColumnsRenamed({"own_obj": "obj_id", "own_at": "at"})
+            self._arrays[key] = SpreadTable(rows, NODE, "idx", self.per_bucket)
+        return self._arrays[key]
+
+    def items(self, nodes: DataFrame, key: str, resolve: bool = False) -> DataFrame:
+        """Elements of the array under ``key`` of each node, see :meth:`array`; other columns are kept.
+
+        With ``resolve`` the target's type, raw and value are there too.
+        """
         kept = [c for c in nodes.columns if c not in NODE]
-        held = (
-            self.spread.join(nodes)
-            .where(F.col("key") == key)
-            .select(
-                "doc_id", *kept,
-                F.coalesce("ref_id", "obj_id").alias("obj_id"),
-                F.when(F.col("ref_id").isNull(), F.col("path"))
-                .otherwise(F.array().cast("array<string>")).alias("at"),
-            )
-        )
-        return self.spread.join(held).where("idx IS NOT NULL").select(
-            "doc_id", *kept, *_VALUE,
-            F.coalesce("ref_id", "obj_id").alias("item_obj"),
-            F.when(F.col("ref_id").isNull(), F.col("path")).otherwise(F.array().cast("array<string>")).alias("item_at"),
-        )
+        target = ["target_type", "target_raw", "target_value"] if resolve else []
+        return self.array(key).join(nodes).select("doc_id", *kept, *_VALUE, *target, "item_obj", "item_at")
 
 
 # --- expansion ---------------------------------------------------------------
@@ -382,50 +558,47 @@ def resolve(entries: DataFrame, roots: DataFrame, depth: int | None = None) -> D
     return out.all().drop("_ids")
 
 
+#: The step behind every reference followed; no key holds this character.
+FOLLOWED = "\0"
+
+
+def in_order(path: Column) -> Column:
+    """A path whose steps sort in document order: array positions in ten digits."""
+    return F.transform(path, lambda s: F.when(s.rlike(r"^\[\d+\]$"), F.concat(F.lit("["), F.lpad(F.substring_index(F.substring(s, 2, 20), "]", 1), 10, "0"), F.lit("]"))).otherwise(s))
+
+
+def from_order(path: Column) -> Column:
+    """The path that :func:`in_order` was made from."""
+    return F.transform(path, lambda s: F.regexp_replace(s, r"^\[0*(\d+)\]$", r"[$1]"))
+
+
+def resolve_once(entries: DataFrame, roots: DataFrame, per_bucket: int = EDGES_PER_BUCKET) -> DataFrame:
+    """What each root refers to, one row an object: least path, number of paths, cyclic or not.
+
+    ``roots`` has ``doc_id, obj_id``. See :func:`closure`; objects that are not there
+    count as met. :func:`resolve` lists every path instead, of which there may be
+    exponentially many.
+    """
+    links = entries.where("ref_id IS NOT NULL").select(
+        "doc_id", F.col("obj_id").alias("src_id"), F.col("ref_id").alias("dst_id"), in_order(F.col("path")).alias("step"))
+    starts = roots.select("doc_id", F.col("obj_id").alias("root_id"), "obj_id")
+    return closure(links, starts, per_bucket).withColumn("path", from_order(F.col("path")))
+
+
 def tree_dump(entries: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """The tree below each root with every object expanded once.
 
-    Rows: ``doc_id, root_id, path, depth, value_type, value, ref_id``. ``depth`` counts references followed. An object is expanded where it is met
-    first by depth, ties by path.
+    Rows: ``doc_id, root_id, path, depth, value_type, value, ref_id``. ``depth`` counts
+    references followed. An object is expanded where a depth-first reader meets it
+    first. With ``max_depth`` it is expanded where it is met first within that depth.
     """
-    body = materialize(
-        entries.where(F.size("path") > 0)
-        .select(*OBJ, "path", "value_type", "value", "ref_id")
-        .repartition(*OBJ)
-    )
+    step = in_order(F.col("path"))
     present = root_rows(entries).select("doc_id", F.col("obj_id").alias("ref_id")).distinct()
-    frontier = materialize(
-        roots.select(
-            "doc_id", F.col("obj_id").alias("root_id"), "obj_id",
-            F.array().cast("array<string>").alias("_prefix"),
-        ).distinct()
-    )
-    entered = Levels(frontier.select("doc_id", "root_id", "obj_id"))
-    out: Levels | None = None
-    level = 0
-    while not frontier.isEmpty():
-        rows = materialize(
-            frontier.join(body, OBJ).select(
-                "doc_id", "root_id", F.concat("_prefix", "path").alias("path"),
-                F.lit(level).alias("depth"), "value_type", "value", "ref_id",
-            )
-        )
-        out = Levels(rows) if out is None else (out.add(rows) or out)
-        level += 1
-        if max_depth is not None and level > max_depth:
-            break
-        new = (
-            rows.where("ref_id IS NOT NULL")
-            .join(present, ["doc_id", "ref_id"], "left_semi")
-            .groupBy("doc_id", "root_id", F.col("ref_id").alias("obj_id"))
-            .agg(F.min("path").alias("_prefix"))
-            .join(entered.all(), ["doc_id", "root_id", "obj_id"], "left_anti")
-        )
-        frontier = materialize(new)
-        entered.add(frontier.select("doc_id", "root_id", "obj_id"))
-    if out is None:
-        return body.limit(0).select(
-            "doc_id", F.col("obj_id").alias("root_id"), "path", F.lit(0).alias("depth"),
-            "value_type", "value", "ref_id",
-        )
-    return out.all()
+    links = entries.where("ref_id IS NOT NULL").join(present, ["doc_id", "ref_id"], "left_semi").select(
+        *OBJ, F.col("ref_id").alias("to_obj_id"), F.concat(step, F.array(F.lit(FOLLOWED))).alias("step"))
+    starts = roots.select("doc_id", F.col("obj_id").alias("root_id"), "obj_id", F.array().cast("array<string>").alias("label"))
+    met = first_sight(links, starts, ["obj_id"], ["doc_id", "root_id"], max_steps=max_depth)
+    body = SpreadTable(entries.where(F.size("path") > 0).select(*OBJ, "path", "value_type", "value", "ref_id"), list(OBJ), "path")
+    prefix = F.filter("label", lambda s: s != FOLLOWED)
+    return body.join(met.withColumn("_depth", F.size("label") - F.size(prefix))).select(
+        "doc_id", "root_id", F.concat(from_order(prefix), "path").alias("path"), F.col("_depth").alias("depth"), "value_type", "value", "ref_id")

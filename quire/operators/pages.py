@@ -8,11 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.graph import NODE, Levels, NodeReader, SpreadEdges
+from quire.operators.graph import NODE, Levels, NodeReader, SpreadEdges, first_sight
 from quire.operators.objects import int_of, name_of, root_rows
 from quire.operators.scan import DEFAULT_SKEW, Skew, scan_groups
 from quire.operators.structure import behind, kind_of
-from quire.session import materialize
+from quire.session import BucketedTable, materialize
 
 # Inheritable attributes in bit order.
 INHERITABLE = ["Resources", "MediaBox", "CropBox", "Rotate"]
@@ -41,87 +41,73 @@ def page_index(
     error row if it is given; without it the cycle guard alone ends the walk.
     """
     reader = NodeReader(entries)
-    null_attr = F.lit(None).cast(_ATTR)
-    first = roots.select(
-        "doc_id", "obj_id", _no_path().alias("at"), F.col("obj_id").alias("ref_id"),
-        F.array().cast("array<bigint>").alias("ord"), F.array("obj_id").alias("on_path"),
-        F.struct(*[null_attr.alias(a) for a in INHERITABLE]).alias("got"),
-        F.struct(*[F.lit(None).cast("string").alias(a) for a in INHERITABLE]).alias("lost"),
+    table = reader.table(["Type", "Kids", *INHERITABLE], resolve=True)
+    typ, has_kids = _name("Type"), F.col("Kids").isNotNull()
+    is_page = F.coalesce(typ == "Page", F.lit(False))
+    role = F.when(is_page, "leaf").when(has_kids, "inner").when(typ == "Pages", "empty").otherwise("leaf")
+    facts = table.withColumn("_role", role)
+    kids = reader.array("Kids").all()
+    is_ref, shown = F.col("ref_id").isNotNull(), F.coalesce("target_type", "value_type")
+    at = F.concat(F.lit("/Kids entry "), F.col("idx").cast("string"))
+    named = F.concat(at, F.lit(" ("), "ref_id", F.lit(")"))
+    not_dict = lambda where, kind, raw: F.concat(where, F.lit(" is not a dictionary: "), _label(kind, raw))
+    fault = (
+        F.when(~is_ref & (F.col("value_type") == "null"), F.concat(at, F.lit(" is null")))
+        .when(~is_ref & (F.col("value_type") != "dict"), not_dict(at, F.col("value_type"), F.col("value_raw")))
+        .when(is_ref & (F.col("target_type").isNull() | (F.col("target_type") == "null")), F.concat(named, F.lit(" is a dangling reference")))
+        .when(is_ref & (shown != "dict"), not_dict(named, shown, F.coalesce("target_raw", "value_raw")))
     )
-    frontier = materialize(first)
-    walked = Levels(frontier.select("doc_id", "obj_id"))
-    leaves: list[DataFrame] = []
+
+    # The walk goes along the intermediate nodes; each passes its attributes on.
+    attrs = F.struct("obj_id", "at", F.lit(None).cast("string").alias("ref_id"), *INHERITABLE)
+    own = facts.where("_role = 'inner'").select(
+        "doc_id", F.col("obj_id").alias("to_obj_id"), F.col("at").alias("to_at"),
+        attrs.withField("ref_id", F.when(F.size("at") == 0, F.col("obj_id"))).alias("own"))
+    links = kids.where(fault.isNull()).select(
+        *NODE, F.col("item_obj").alias("to_obj_id"), F.col("item_at").alias("to_at"), F.array("idx").alias("step"))
+    null_attr = F.lit(None).cast(_ATTR)
+    empty = F.struct(
+        F.struct(*[null_attr.alias(a) for a in INHERITABLE]).alias("got"), F.struct(*[F.lit(None).cast("string").alias(a) for a in INHERITABLE]).alias("lost"))
+    roots = roots.select("doc_id", "obj_id", _no_path().alias("at"), F.col("obj_id").alias("ref_id")).distinct()
+    starts = roots.join(facts.where("_role = 'inner'"), NODE).select(
+        *NODE, F.array().cast("array<bigint>").alias("label"), _passed_on(empty, F.struct("obj_id", "at", "ref_id", *INHERITABLE)).alias("carried"))
+    met = first_sight(links.join(own, ["doc_id", "to_obj_id", "to_at"]), starts, ["obj_id", "at"], max_steps=max_depth, carry=_passed_on)
+    inner = BucketedTable.write(met, NODE, laid=True).df
+    deep = F.lit(False) if max_depth is None else F.size("label") >= max_depth
+
     errors: list[DataFrame] = []
 
     def fail(rows: DataFrame, message: Column) -> None:
         errors.append(rows.select("doc_id", "ord", F.col("ref_id").alias("obj_id"), message.alias("error")).where("error IS NOT NULL"))
 
-    depth = 0
-    while not frontier.isEmpty():
-        depth += 1
-        nodes = _inherit(reader.keys(frontier, ["Type", "Kids", *INHERITABLE], resolve=True))
-        typ, has_kids = _name("Type"), F.col("Kids").isNotNull()
-        role = (
-            F.when(F.coalesce(typ == "Page", F.lit(False)), "leaf")
-            .when(has_kids, "inner")
-            .when(typ == "Pages", "empty")
-            .otherwise("leaf")
-        )
-        nodes = materialize(nodes.withColumn("_role", role))
-        fail(nodes.where("_role = 'empty'"), F.lit("/Pages node has no /Kids"))
-        leaves.append(nodes.where("_role = 'leaf'"))
-        inner = nodes.where("_role = 'inner'")
-        if max_depth is not None and depth > max_depth:
-            fail(inner, F.lit(f"page tree deeper than {max_depth} levels; subtree not walked"))
-            break
-        held = F.col("Kids")
-        shown = F.when(held["ref_id"].isNotNull(), held["target_type"]).otherwise(held["value_type"])
-        fail(
-            inner,
-            F.when(~F.coalesce(shown == "array", F.lit(False)), F.concat(F.lit("/Kids is not an array: "), _label(shown, F.when(held["ref_id"].isNotNull(), held["target_raw"]).otherwise(held["value_raw"])))),
-        )
-        kids = reader.items(inner.select(*NODE, "ord", "on_path", "got", "lost"), "Kids")
-        kids = materialize(reader.resolved(kids).withColumn("ord", F.array_append("ord", F.col("idx"))))
-        is_ref = F.col("ref_id").isNotNull()
-        at = F.concat(F.lit("/Kids entry "), F.col("idx").cast("string"))
-        named = F.concat(at, F.lit(" ("), "ref_id", F.lit(")"))
-        shown = F.coalesce("target_type", "value_type")
-        message = (
-            F.when(~is_ref & (F.col("value_type") == "null"), F.concat(at, F.lit(" is null")))
-            .when(~is_ref & (F.col("value_type") != "dict"), F.concat(at, F.lit(" is not a dictionary: "), _label(F.col("value_type"), F.col("value_raw"))))
-            .when(is_ref & F.array_contains("on_path", F.col("ref_id")), F.concat(named, F.lit(" points at an ancestor: page tree cycle")))
-            .when(is_ref & (F.col("target_type").isNull() | (F.col("target_type") == "null")), F.concat(named, F.lit(" is a dangling reference")))
-            .when(is_ref & (shown != "dict"), F.concat(named, F.lit(" is not a dictionary: "), _label(shown, F.coalesce("target_raw", "value_raw"))))
-        )
-        fail(kids, message)
-        good = kids.where(message.isNull()).select(
-            "doc_id", F.col("item_obj").alias("obj_id"), F.col("item_at").alias("at"), "ref_id", "ord", "got", "lost",
-            F.when(is_ref, F.array_append("on_path", F.col("ref_id"))).otherwise(F.col("on_path")).alias("on_path"),
-        )
-        frontier, shared = _enter_once(reader, good, walked)
-        fail(shared, F.lit("page tree node also reached from another parent"))
-    pages = reduce(DataFrame.unionByName, leaves)
-    numbered = number_pages(pages, skew)
-    rows = _leaf_rows(materialize(numbered))
-    bad = reduce(DataFrame.unionByName, errors)
-    return rows.unionByName(bad, allowMissingColumns=True)
-
-
-def _enter_once(reader: NodeReader, kids: DataFrame, walked: Levels) -> tuple[DataFrame, DataFrame]:
-    """Intermediate nodes are entered once; a page may be listed again."""
-    types = reader.keys(kids.select(*NODE).distinct(), ["Type", "Kids"], resolve=True).select(
-        *NODE, (~F.coalesce(_name("Type") == "Page", F.lit(False)) & F.col("Kids").isNotNull()).alias("_inner"))
-    marked = kids.join(types, NODE)
-    is_inner = F.col("_inner") & F.col("ref_id").isNotNull()
-    first = marked.where(is_inner).groupBy("doc_id", "obj_id").agg(F.min("ord").alias("_first"))
-    old = walked.all().distinct().withColumn("_old", F.lit(True))
-    marked = materialize(
-        marked.join(first, ["doc_id", "obj_id"], "left").join(old, ["doc_id", "obj_id"], "left").withColumn(
-            "_again", is_inner & (F.col("_old").isNotNull() | (F.col("ord") != F.col("_first"))))
-    )
-    fresh = marked.where("NOT _again")
-    walked.add(fresh.where(is_inner).select("doc_id", "obj_id"))
-    return fresh.drop("_inner", "_first", "_old", "_again"), marked.where("_again")
+    # The list of kids of every node on the walk.
+    nodes = inner.select(*NODE, F.col("label").alias("ord"), F.when(F.size("at") == 0, F.col("obj_id")).alias("ref_id"), deep.alias("_deep"))
+    fail(nodes.where("_deep"), F.lit(f"page tree deeper than {max_depth} levels; subtree not walked"))
+    walked = nodes.where("NOT _deep").join(table.select(*NODE, "Kids"), NODE)
+    held = F.col("Kids")
+    kind, raw = behind(held), F.when(held["ref_id"].isNotNull(), held["target_raw"]).otherwise(held["value_raw"])
+    fail(walked, F.when(kind != "array", F.concat(F.lit("/Kids is not an array: "), _label(kind, raw))))
+    above = inner.where(~deep).select(*NODE, F.col("label").alias("_up"), "carried.got", "carried.lost")
+    listed = reader.items(above, "Kids", resolve=True).withColumns({"ord": F.array_append("_up", F.col("idx")), "_fault": fault})
+    targets = facts.select("doc_id", F.col("obj_id").alias("item_obj"), F.col("at").alias("item_at"), "Type", "Kids", *INHERITABLE, "_role")
+    met_at = inner.select("doc_id", F.col("obj_id").alias("item_obj"), F.col("at").alias("item_at"), F.col("label").alias("_met"))
+    listed = materialize(listed.join(targets, ["doc_id", "item_obj", "item_at"], "left").join(met_at, ["doc_id", "item_obj", "item_at"], "left"))
+    # An object on the way down is met at a beginning of this place.
+    cycle = is_ref & F.coalesce(F.slice("_up", F.lit(1), F.size("_met")) == F.col("_met"), F.lit(False))
+    again = is_ref & (F.col("_role") == "inner") & (F.col("ord") != F.col("_met"))
+    message = F.when(cycle, F.concat(named, F.lit(" points at an ancestor: page tree cycle"))).otherwise(F.col("_fault"))
+    fail(listed, message)
+    fail(listed.where(message.isNull()), F.when(again, F.lit("page tree node also reached from another parent")))
+    others = listed.where(message.isNull() & ~F.coalesce(F.col("_role") == "inner", F.lit(False))).select(
+        "doc_id", F.col("item_obj").alias("obj_id"), F.col("item_at").alias("at"), "ref_id", "ord", "got", "lost", "Type", "Kids", *INHERITABLE, "_role")
+    lone = roots.join(facts, NODE, "left").where("_role IS NULL OR _role <> 'inner'").select(
+        *NODE, "ref_id", F.array().cast("array<bigint>").alias("ord"), empty["got"].alias("got"), empty["lost"].alias("lost"),
+        "Type", "Kids", *INHERITABLE, "_role")
+    others = others.unionByName(lone)
+    fail(others.where("_role = 'empty'"), F.lit("/Pages node has no /Kids"))
+    pages = _inherit(others.where("_role IS NULL OR _role = 'leaf'").drop("_role"))
+    rows = _leaf_rows(materialize(number_pages(pages, skew)))
+    return rows.unionByName(reduce(DataFrame.unionByName, errors), allowMissingColumns=True)
 
 
 def _label(value_type: Column, raw: Column) -> Column:
@@ -136,33 +122,46 @@ def _name(key: str) -> Column:
     return F.when(c["ref_id"].isNotNull(), behind).otherwise(F.when(c["value_type"] == "name", c["value"]))
 
 
+def _attribute(a: str, own: Column, carried: Column) -> dict[str, Column]:
+    """One attribute of a node: whether it has it, whether that resolves to nothing, and what it passes on.
+
+    ``own`` has the entries of the node, its place ``obj_id, at`` and ``ref_id``;
+    ``carried`` what its ancestors pass on: ``got`` and ``lost``.
+    """
+    v, place = own[a], F.coalesce(own["ref_id"], F.lit("a direct node"))
+    dead = F.coalesce(v["ref_id"].isNotNull() & (v["target_type"].isNull() | (v["target_type"] == "null")), F.lit(False))
+    alive = F.coalesce(v.isNotNull() & (v["value_type"] != "null") & ~dead, F.lit(False))
+    mine = F.struct(
+        place.alias("place"),
+        F.coalesce(v["target_type"], v["value_type"]).alias("value_type"),
+        F.coalesce(v["target_raw"], v["value_raw"]).alias("value_raw"),
+        v["ref_id"].alias("ref_id"),
+        F.coalesce(v["ref_id"], own["obj_id"]).alias("obj_id"),
+        F.when(v["ref_id"].isNull(), F.array_append(own["at"], F.lit(a))).otherwise(_no_path()).alias("at"),
+    )
+    return {
+        "alive": alive, "dead": dead, "got": F.when(alive, mine).otherwise(carried["got"][a]),
+        "lost": F.when(alive, F.lit(None)).when(dead, place).otherwise(carried["lost"][a]),
+    }
+
+
+def _passed_on(carried: Column, own: Column) -> Column:
+    """What a node passes on: its own value, else the ancestor's; what resolves to nothing is named."""
+    parts = {a: _attribute(a, own, carried) for a in INHERITABLE}
+    return F.struct(*[F.struct(*[parts[a][k].alias(a) for a in INHERITABLE]).alias(k) for k in ("got", "lost")])
+
+
 def _inherit(nodes: DataFrame) -> DataFrame:
-    """Own value, else the ancestor's; what resolves to nothing is named."""
-    place = F.coalesce("ref_id", F.lit("a direct node"))
-    got, lost, bits, own_lost = [], [], F.lit(0), F.lit(0)
+    """Leaves with ``got`` and ``lost`` of their own, ``inherited`` and ``own_lost`` as bits."""
+    own = F.struct("obj_id", "at", "ref_id", *INHERITABLE)
+    carried = F.struct("got", "lost")
+    bits, own_lost = F.lit(0), F.lit(0)
     for i, a in enumerate(INHERITABLE):
-        v = F.col(a)
-        present = v.isNotNull() & (v["value_type"] != "null")
-        dead = v["ref_id"].isNotNull() & (v["target_type"].isNull() | (v["target_type"] == "null"))
-        alive = F.coalesce(present & ~dead, F.lit(False))
-        mine = F.struct(
-            place.alias("place"),
-            F.coalesce(v["target_type"], v["value_type"]).alias("value_type"),
-            F.coalesce(v["target_raw"], v["value_raw"]).alias("value_raw"),
-            v["ref_id"].alias("ref_id"),
-            F.coalesce(v["ref_id"], F.col("obj_id")).alias("obj_id"),
-            F.when(v["ref_id"].isNull(), F.array_append("at", F.lit(a))).otherwise(_no_path()).alias("at"),
-        )
-        inherited = F.col("got")[a]
-        got.append(F.when(alive, mine).otherwise(inherited).alias(a))
-        dead = F.coalesce(dead, F.lit(False))
-        lost.append(F.when(alive, F.lit(None)).when(dead, place).otherwise(F.col("lost")[a]).alias(a))
-        bits = bits + F.when(~alive & inherited.isNotNull(), 1 << i).otherwise(0)
-        own_lost = own_lost + F.when(dead, 1 << i).otherwise(0)
-    return nodes.withColumns(
-        {"inherited": bits, "own_lost": own_lost, "_got": F.struct(*got), "_lost": F.struct(*lost)}
-    ).drop(*INHERITABLE, "got", "lost").withColumnsRenamed(
-        {"_got": "got", "_lost": "lost"})
+        part = _attribute(a, own, carried)
+        bits = bits + F.when(~part["alive"] & F.col("got")[a].isNotNull(), 1 << i).otherwise(0)
+        own_lost = own_lost + F.when(part["dead"], 1 << i).otherwise(0)
+    return nodes.withColumns({"inherited": bits, "own_lost": own_lost, "_new": _passed_on(carried, own)}).drop("got", "lost").select(
+        "*", "_new.got", "_new.lost").drop("_new", *INHERITABLE)
 
 
 def number_pages(leaves: DataFrame, skew: Skew = DEFAULT_SKEW) -> DataFrame:
@@ -365,7 +364,7 @@ def color_spaces(reader: NodeReader, places: DataFrame) -> DataFrame:
     names = places.where("value_type = 'name'").select("doc_id", "cs_id", F.col("value").alias("family"))
     arrays = places.where("value_type = 'array'").select("doc_id", "cs_id", "obj_id", "at")
     slots = reader.resolved(
-        reader.spread.join(arrays).where("idx IS NOT NULL").select(
+        reader.elements.join(arrays).select(
             "doc_id", "cs_id", "obj_id", "path", "idx", "value_type", "value_raw", "value", "ref_id"))
     slots = materialize(slots)
     at = lambda i, c: F.max(F.when(F.col("idx") == i, F.col(c)))
@@ -376,7 +375,7 @@ def color_spaces(reader: NodeReader, places: DataFrame) -> DataFrame:
     third = slots.where("idx = 2").select(
         "doc_id", "cs_id", F.coalesce("target_type", "value_type").alias("_vt"), F.coalesce("target_value", "value").alias("_v"),
         F.coalesce("ref_id", "obj_id").alias("obj_id"), F.when(F.col("ref_id").isNull(), F.col("path")).otherwise(_no_path()).alias("at"))
-    heads = reader.spread.join(third.where("_vt = 'array'").select("doc_id", "cs_id", "obj_id", "at")).where(
+    heads = reader.elements.join(third.where("_vt = 'array'").select("doc_id", "cs_id", "obj_id", "at")).where(
         "idx = 0 AND value_type = 'name'").select("doc_id", "cs_id", F.col("value").alias("_h"))
     third = third.join(heads, ["doc_id", "cs_id"], "left").select(
         "doc_id", "cs_id", F.when(F.col("_vt") == "name", F.col("_v")).otherwise(F.col("_h")).alias("_alt3"))
@@ -391,7 +390,7 @@ def color_spaces(reader: NodeReader, places: DataFrame) -> DataFrame:
     )
     alt = F.col("Alternate")
     # An alternate written as an array has its family in front.
-    alt_heads = reader.spread.join(
+    alt_heads = reader.elements.join(
         icc.where(behind(alt) == "array").select(
             "doc_id", "cs_id", F.coalesce(alt["ref_id"], "obj_id").alias("obj_id"),
             F.when(alt["ref_id"].isNull(), F.array(F.lit("Alternate"))).otherwise(_no_path()).alias("at"))

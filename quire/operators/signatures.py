@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from quire.functions.values import (
     key_usage_names,
     signature_kind,
 )
-from quire.operators.graph import NODE, Levels, NodeReader
+from quire.operators.graph import NODE, NodeReader, first_sight
 from quire.operators.objects import name_of
 from quire.operators.scan import DEFAULT_SKEW, Skew, row_numbers
 from quire.session import materialize
@@ -36,44 +34,38 @@ def field_tree(entries: DataFrame, tops: DataFrame, max_depth: int | None = None
 
     ``tops`` has ``doc_id, obj_id, idx``: the form's top fields. Kids with a name
     are fields, kids without are widgets. Names are joined by dots, the field
-    type is inherited, each field is read once, so every walk ends. Fields below
+    type is inherited, each field is read once, where a depth-first reader meets it
+    first, so every walk ends. Fields below
     ``max_depth`` are left out if it is given.
     """
     reader = NodeReader(entries)
-    frontier = materialize(
-        tops.groupBy("doc_id", "obj_id").agg(F.min("idx").alias("_i")).select(
-            "doc_id", "obj_id", _no_path().alias("at"), F.lit("").alias("_name"), F.lit("").alias("_ft"), F.array("_i").alias("ord")))
-    seen = Levels(frontier.select("doc_id", "obj_id"))
-    out: Levels | None = None
-    for depth in itertools.count():
-        d = reader.keys(frontier, ["T", "FT"], resolve=True)
-        own = F.when(F.col("T")["value_type"] == "string", F.col("T")["value"])
-        ft = F.coalesce(
-            name_of("FT"), F.when(F.col("FT")["target_type"] == "name", F.regexp_replace(F.col("FT")["target_raw"], "^/", "")), F.col("_ft"))
-        d = d.select(
-            *NODE, "ord",
-            F.when(F.coalesce(own, F.lit("")) == "", F.col("_name")).when(F.col("_name") == "", own)
-            .otherwise(F.concat_ws(".", "_name", own)).alias("_name"),
-            ft.alias("_ft"))
-        kids = reader.items(d, "Kids").select(
-            "doc_id", F.col("item_obj").alias("obj_id"), F.col("item_at").alias("at"), "_name", "_ft",
-            F.col("ord").alias("_parent"), F.array_append("ord", F.col("idx")).alias("ord"))
-        fields = materialize(reader.keys(kids, ["T"]).where("T IS NOT NULL").drop("T"))
-        parents = fields.select("doc_id", F.col("_parent").alias("ord")).distinct()
-        terminal = d.where("_ft = 'Sig'").join(parents, ["doc_id", "ord"], "left_anti").select(
-            "doc_id", F.col("_name").alias("field_name"), "obj_id", "at", "ord")
-        terminal = materialize(terminal)
-        if out is None:
-            out = Levels(terminal)
-        else:
-            out.add(terminal)
-        first = fields.groupBy("doc_id", "obj_id", "at").agg(F.min_by(F.struct("_name", "_ft", "ord"), "ord").alias("r"))
-        new = first.join(seen.all().distinct(), ["doc_id", "obj_id"], "left_anti")
-        frontier = materialize(new.select(*NODE, "r._name", "r._ft", "r.ord"))
-        if frontier.isEmpty() or depth == max_depth:
-            break
-        seen.add(frontier.where(F.size("at") == 0).select("doc_id", "obj_id"))
-    return out.all()
+    own = reader.table(["T", "FT"], resolve=True).select(*NODE, F.struct(
+        F.coalesce(F.when(F.col("T")["value_type"] == "string", F.col("T")["value"]), F.lit("")).alias("name"),
+        F.coalesce(
+            name_of("FT"), F.when(F.col("FT")["target_type"] == "name", F.regexp_replace(F.col("FT")["target_raw"], "^/", ""))).alias("ft"),
+    ).alias("own"), F.col("T").isNotNull().alias("_field"))
+
+    def carry(carried: Column, own: Column) -> Column:
+        above, name = carried["name"], own["name"]
+        joined = F.when(name == "", above).when(above == "", name).otherwise(F.concat_ws(".", above, name))
+        return F.struct(joined.alias("name"), F.coalesce(own["ft"], carried["ft"]).alias("ft"))
+
+    kids = reader.array("Kids").all().select(
+        *NODE, F.col("item_obj").alias("to_obj_id"), F.col("item_at").alias("to_at"), F.array("idx").alias("step"))
+    at_target = own.select("doc_id", F.col("obj_id").alias("to_obj_id"), F.col("at").alias("to_at"), "own", "_field")
+    # Kids without a name are widgets of their field.
+    links = materialize(kids.join(at_target, ["doc_id", "to_obj_id", "to_at"]).where("_field").drop("_field"))
+    nothing = F.struct(F.lit("").alias("name"), F.lit("").alias("ft"))
+    starts = (
+        tops.groupBy("doc_id", "obj_id").agg(F.min("idx").alias("_i"))
+        .select("doc_id", "obj_id", _no_path().alias("at"), F.array(F.col("_i").cast("bigint")).alias("label"))
+        .join(own, NODE, "left")
+        .select(*NODE, "label", F.when(F.col("own").isNull(), nothing).otherwise(carry(nothing, F.col("own"))).alias("carried"))
+    )
+    met = first_sight(links, starts, ["obj_id", "at"], max_steps=max_depth, carry=carry)
+    parents = links.select(*NODE).distinct()
+    return met.where("carried.ft = 'Sig'").join(parents, NODE, "left_anti").select(
+        "doc_id", F.col("carried.name").alias("field_name"), "obj_id", "at", F.col("label").alias("ord"))
 
 
 def signature_facts(entries: DataFrame, fields: DataFrame, docs: DataFrame) -> DataFrame:
@@ -92,7 +84,7 @@ def signature_facts(entries: DataFrame, fields: DataFrame, docs: DataFrame) -> D
     named = named.withColumn("signed", F.coalesce("signed", F.lit(False)))
     s = reader.keys(named, ["SubFilter", "M", "Name", "Reason", "Location", "ContactInfo", "ByteRange"], resolve=True)
     s = materialize(s.join(docs.select("doc_id", "size"), "doc_id", "left"))
-    ranges = reader.resolved(reader.items(s.where("signed").select(*NODE, "field_name"), "ByteRange")).select(
+    ranges = reader.items(s.where("signed").select(*NODE, "field_name"), "ByteRange", resolve=True).select(
         *FIELD, "idx", F.coalesce("target_type", "value_type").alias("_t"), F.coalesce("target_raw", "value_raw").alias("_r"))
     whole = (F.col("_t") == "number") & F.col("_r").rlike(r"^[+-]?\d+$")
     # A byte range has four entries; a longer one is reported by its size alone.

@@ -8,9 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.graph import NODE, Levels, NodeReader
+from quire.operators.graph import NODE, Levels, NodeReader, first_sight
 from quire.operators.scan import DEFAULT_SKEW, Skew, row_numbers, scan_groups
-from quire.session import materialize
+from quire.session import BucketedTable, materialize
 
 PAGE = ["doc_id", "page_num"]
 LOCATIONS_PER_PART = 1000
@@ -67,19 +67,10 @@ def number_tree(
     of each key, ``problems(doc_id, node, message, ord)``, and
     ``incomplete(doc_id, message)``: the first problem that lost entries.
 
-    ``ord`` sorts problems in reading order. A node reached twice is walked where
-    it is met first by depth.
+    ``ord`` sorts problems in reading order. A node reached twice is walked where a
+    depth-first reader meets it first.
     """
     reader = NodeReader(entries)
-    order = F.array().cast("array<bigint>")
-    frontier = materialize(
-        roots.select(
-            "doc_id", "obj_id", _no_path().alias("at"), F.col("obj_id").alias("node"), order.alias("ord"),
-            F.lit(True).alias("is_root"),
-        )
-    )
-    seen = Levels(frontier.select("doc_id", "node"))
-    nodes = Levels(frontier)
     problems: list[DataFrame] = []
 
     def note(rows: DataFrame, message: Column, lost: bool, *suffix: Column) -> None:
@@ -91,37 +82,30 @@ def number_tree(
             ).where("message IS NOT NULL")
         )
 
-    for depth in itertools.count(2):
-        kids = reader.items(frontier.select(*NODE, "ord"), "Kids").select(
-            "doc_id", F.col("item_obj").alias("obj_id"), F.col("item_at").alias("at"),
-            F.coalesce("ref_id", F.lit("(direct)")).alias("node"),
-            F.array_append("ord", F.col("idx")).alias("ord"), "ref_id", "value_type", "value_raw",
-        )
-        kids = materialize(reader.resolved(kids))
-        if kids.isEmpty():
-            break
-        if max_depth is not None and depth > max_depth:
-            note(kids, F.lit(f"number tree deeper than {max_depth} levels; node not walked"), True)
-            break
-        is_ref = F.col("ref_id").isNotNull()
-        shown = F.coalesce("target_type", "value_type")
-        bad = F.when(
-            is_ref & (F.col("target_type").isNull() | (F.col("target_type") == "null")), F.lit("node does not resolve to an object")
-        ).when(~shown.isin("dict", "stream"), F.format_string("node is %s, not a dictionary", kind_of(shown, F.coalesce("target_raw", "value_raw"))))
-        note(kids, bad, True)
-        usable = kids.where(bad.isNull())
-        first = usable.where(is_ref).groupBy("doc_id", "node").agg(F.min("ord").alias("_first"))
-        old = seen.all().withColumn("_old", F.lit(True)).distinct()
-        marked = usable.join(first, ["doc_id", "node"], "left").join(old, ["doc_id", "node"], "left")
-        again = is_ref & (F.col("_old").isNotNull() | (F.col("ord") != F.col("_first")))
-        note(marked, F.when(again, F.lit("node reached twice; not walked again")), False)
-        frontier = materialize(
-            marked.where(~again).select("doc_id", "obj_id", "at", "node", "ord", F.lit(False).alias("is_root"))
-        )
-        seen.add(frontier.where("node <> '(direct)'").select("doc_id", "node"))
-        nodes.add(frontier)
+    is_ref = F.col("ref_id").isNotNull()
+    shown = F.coalesce("target_type", "value_type")
+    bad = F.when(
+        is_ref & (F.col("target_type").isNull() | (F.col("target_type") == "null")), F.lit("node does not resolve to an object")
+    ).when(~shown.isin("dict", "stream"), F.format_string("node is %s, not a dictionary", kind_of(shown, F.coalesce("target_raw", "value_raw"))))
+    links = reader.array("Kids").all().where(bad.isNull()).select(
+        *NODE, F.col("item_obj").alias("to_obj_id"), F.col("item_at").alias("to_at"), F.array("idx").alias("step"))
+    starts = roots.select("doc_id", "obj_id", _no_path().alias("at"), F.array().cast("array<bigint>").alias("label"))
+    met = first_sight(links, starts, ["obj_id", "at"], max_steps=None if max_depth is None else max_depth - 1)
+    every = BucketedTable.write(
+        met.select(
+            *NODE, F.when(F.size("at") == 0, F.col("obj_id")).otherwise("(direct)").alias("node"), F.col("label").alias("ord"),
+            (F.size("label") == 0).alias("is_root")),
+        NODE, laid=True).df
+    first = every.select("doc_id", F.col("obj_id").alias("item_obj"), F.col("at").alias("item_at"), F.col("ord").alias("_first"))
+    kids = reader.items(every.select(*NODE, "ord"), "Kids", resolve=True).withColumns(
+        {"node": F.coalesce("ref_id", F.lit("(direct)")), "ord": F.array_append("ord", F.col("idx"))})
+    kids = materialize(kids.join(first, ["doc_id", "item_obj", "item_at"], "left"))
+    deep = F.lit(False) if max_depth is None else F.size("ord") >= max_depth
+    note(kids.where(deep), F.lit(f"number tree deeper than {max_depth} levels; node not walked"), True)
+    note(kids.where(~deep), bad, True)
+    again = is_ref & bad.isNull() & (F.col("ord") != F.col("_first"))
+    note(kids.where(~deep), F.when(again, F.lit("node reached twice; not walked again")), False)
 
-    every = nodes.all()
     held = materialize(reader.keys(every, ["Kids", "Nums", "Limits"]))
     note(held, F.when(F.col("Kids").isNull() & F.col("Nums").isNull(), F.lit("node has neither /Kids nor /Nums")), True)
     for key, place in (("Kids", -1), ("Nums", _AFTER_KIDS)):
@@ -135,8 +119,8 @@ def number_tree(
         )
         note(seen_type, wrong, True, F.lit(place).cast("bigint"))
 
-    limits = reader.items(held.where("NOT is_root").select(*NODE, "node", "ord"), "Limits")
-    limits = reader.resolved(limits).groupBy("doc_id", "node", "ord").agg(
+    limits = reader.items(held.where("NOT is_root").select(*NODE, "node", "ord"), "Limits", resolve=True)
+    limits = limits.groupBy("doc_id", "node", "ord").agg(
         F.count(F.lit(1)).alias("_n"),
         F.max(F.when(F.col("idx") == 0, _integer(F.coalesce("target_type", "value_type"), F.coalesce("target_raw", "value_raw")))).alias("lo"),
         F.max(F.when(F.col("idx") == 1, _integer(F.coalesce("target_type", "value_type"), F.coalesce("target_raw", "value_raw")))).alias("hi"),
@@ -152,7 +136,7 @@ def number_tree(
     )
     good = bounded.where(two & (F.col("lo") <= F.col("hi"))).select("doc_id", "node", "ord", "lo", "hi")
 
-    elements = reader.resolved(reader.items(held.select(*NODE, "node", "ord"), "Nums")).select(
+    elements = reader.items(held.select(*NODE, "node", "ord"), "Nums", resolve=True).select(
         "doc_id", "node", "ord", "idx",
         F.coalesce("target_type", "value_type").alias("vt"), F.coalesce("target_raw", "value_raw").alias("raw"),
         "ref_id", F.col("value_type").alias("own_type"),
@@ -434,10 +418,7 @@ def _kids(reader: NodeReader, frontier: DataFrame, seen: Levels) -> tuple[DataFr
     them again gets a single row with ``array_seen``.
     """
     kept = ["owner_id", "page", "ord"]
-    held = reader.resolved(
-        reader.spread.join(frontier).where("key = 'K'").select(
-            "doc_id", "obj_id", "at", *kept, "path", "value_type", "value_raw", "value", "ref_id")
-    )
+    held = frontier.join(reader.table(["K"], resolve=True), NODE).select(*NODE, *kept, "K.*", F.array_append("at", F.lit("K")).alias("path"))
     listed = F.coalesce("target_type", "value_type") == "array"
     single = held.where(~listed & (F.coalesce("value_type", F.lit("null")) != "null")).select(
         "doc_id", *kept, F.lit(0).cast("bigint").alias("idx"), "value_type", "value_raw", "ref_id",
@@ -457,7 +438,7 @@ def _kids(reader: NodeReader, frontier: DataFrame, seen: Levels) -> tuple[DataFr
         F.col("ref_id").alias("item_obj"), _no_path().alias("item_at"), "target_type", "target_raw", "array_seen")
     arrays = listing.where("NOT array_seen").select(*NODE, *kept)
     seen.add(materialize(listing.where("NOT array_seen AND ref_id IS NOT NULL").select("doc_id", F.col("ref_id").alias("array_id"))))
-    many = reader.resolved(reader.items(arrays, "K").where("value_type <> 'null'")).select(
+    many = reader.items(arrays, "K", resolve=True).where("value_type <> 'null'").select(
         "doc_id", *kept, "idx", "value_type", "value_raw", "ref_id", "item_obj", "item_at", "target_type", "target_raw")
     rows = single.unionByName(many).withColumn("array_seen", F.lit(False)).unionByName(again)
     return materialize(rows), seen
