@@ -267,139 +267,115 @@ def struct_tree(
     ord``. Values behind references are followed. An indirect /K array that several
     elements name is listed once. ``owner_id`` is '' for the root.
     The page of a kid is its own /Pg, else that of the nearest ancestor. An
-    element met twice is listed where it is met first by depth.
+    element met twice is listed where a depth-first reader meets it first.
     """
     reader = NodeReader(entries)
+    named = ["Type", "S", "Pg", "MCID", "Stm", "Obj", *TEXT_FIELDS]
     page_of = pages.select("doc_id", F.col("obj_id").alias("_pg"), F.col("page_num").alias("_pn"))
-    frontier = materialize(
-        roots.select(
-            "doc_id", "obj_id", _no_path().alias("at"), F.lit("").alias("owner_id"),
-            F.lit(0).cast("bigint").alias("page"), F.array().cast("array<bigint>").alias("ord"),
-        )
+    own = reader.table(named, resolve=True).withColumn("_pg", F.col("Pg")["ref_id"]).join(page_of, ["doc_id", "_pg"], "left")
+    own = BucketedTable.write(own, NODE).df
+    held = reader.table(["K"], resolve=True)
+    listing, shared = _element_links(reader, held)
+    met = _met_elements(listing, shared, own, roots, max_depth)
+    kids = _kids(reader, held, shared, met)
+    value = F.coalesce("target_type", "value_type")
+    number = _integer(value, F.coalesce("target_raw", "value_raw"))
+    kids = kids.join(own.withColumnsRenamed({"obj_id": "item_obj", "at": "item_at"}), ["doc_id", "item_obj", "item_at"], "left")
+    first = met.select("doc_id", F.col("obj_id").alias("item_obj"), F.col("at").alias("item_at"), F.col("ord").alias("_first"))
+    kids = kids.join(first, ["doc_id", "item_obj", "item_at"], "left")
+    depth = F.size("ord") + 1
+    type_name = F.when(behind(F.col("Type")) == "name", behind(F.col("Type"), "value"))
+    has_pg = F.col("Pg").isNotNull()
+    kind = (
+        F.when(F.col("array_seen"), "error")
+        .when(F.col("ref_id").isNotNull() & (F.col("target_type").isNull() | (F.col("target_type") == "null")), "error")
+        .when(number >= 0, "mcid")
+        .when(number < 0, "error")
+        .when(value == "dict", F.when(type_name == "MCR", "mcr").when(type_name == "OBJR", "objr").otherwise("element"))
+        .otherwise("error")
     )
-    seen = Levels(frontier.select("doc_id", F.col("obj_id").alias("element_id")))
-    out: Levels | None = None
-    arrays = Levels(frontier.select("doc_id", F.lit(None).cast("string").alias("array_id")).where("false"))
-    depth = 0
-    while not frontier.isEmpty():
-        depth += 1
-        rows, arrays = _kids(reader, frontier, arrays)
-        value = F.coalesce("target_type", "value_type")
-        number = _integer(value, F.coalesce("target_raw", "value_raw"))
-        own = reader.keys(
-            rows.where(value.isin("dict", "stream")).select(
-                "doc_id", F.col("item_obj").alias("obj_id"), F.col("item_at").alias("at")).distinct(),
-            ["Type", "S", "Pg", "MCID", "Stm", "Obj", *TEXT_FIELDS],
-            resolve=True,
-        )
-        own = own.withColumn("_pg", F.col("Pg")["ref_id"]).join(page_of, ["doc_id", "_pg"], "left").withColumnsRenamed(
-            {"obj_id": "item_obj", "at": "item_at"})
-        kids = rows.join(own, ["doc_id", "item_obj", "item_at"], "left")
-        type_name = F.when(behind(F.col("Type")) == "name", behind(F.col("Type"), "value"))
-        has_pg = F.col("Pg").isNotNull()
-        kind = (
-            F.when(F.col("array_seen"), "error")
-            .when(F.col("ref_id").isNotNull() & (F.col("target_type").isNull() | (F.col("target_type") == "null")), "error")
-            .when(number >= 0, "mcid")
-            .when(number < 0, "error")
-            .when(value == "dict", F.when(type_name == "MCR", "mcr").when(type_name == "OBJR", "objr").otherwise("element"))
-            .otherwise("error")
+    kids = kids.withColumns({"_value": value, "_number": number, "kind": kind})
+    element_id = F.when(F.col("kind") == "element", F.coalesce("ref_id", F.lit("(direct)")))
+    kids = kids.withColumns({"element_id": element_id, "ord": F.array_append("ord", F.col("idx")), "depth": depth})
+    is_ref = (F.col("kind") == "element") & F.col("ref_id").isNotNull()
+    too_deep = (F.col("kind") == "element") & (F.lit(False) if max_depth is None else F.col("depth") > max_depth)
+    # An element is listed where a depth-first reader meets it first.
+    again = is_ref & ~F.coalesce(F.col("_first") == F.col("ord"), F.lit(False)) & ~too_deep
+    own_page = F.when(has_pg, F.coalesce("_pn", F.lit(0))).otherwise(F.col("page"))
+    mcr_value = _integer(behind(F.col("MCID")), behind(F.col("MCID"), "raw"))
+    no_stm = F.col("Stm").isNull()
+    pg_error = F.when(
+        has_pg & F.col("_pn").isNull(),
+        F.when(F.col("_pg").isNull(), F.format_string("/Pg is %s, not a reference to a page", kind_of(F.col("Pg")["value_type"], F.col("Pg")["value_raw"])))
+        .otherwise(F.format_string("/Pg %s is not a page in the page tree", "_pg")),
+    )
+    sv = F.col("S")
+    s_type, s_name = behind(sv), F.when(behind(sv) == "name", behind(sv, "value"))
+    s_error = F.when(sv.isNull() | (s_type == "null"), "no /S").when(
+        s_type != "name", F.format_string("/S is %s, not a name", kind_of(s_type, behind(sv, "raw")))
+    ).when(s_name == "", "/S is an empty name")
+    type_error = F.when((type_name != "") & (type_name != "StructElem"), F.format_string("/Type /%s is not StructElem", type_name))
+    text_errors = [
+        F.when(
+            F.col(k).isNotNull() & (behind(F.col(k)) != "string"),
+            F.format_string(f"/{k} is %s that does not decode as a text string", kind_of(behind(F.col(k)), behind(F.col(k), "raw"))),
         )
-        kids = kids.withColumns({"_value": value, "_number": number, "kind": kind})
-        element_id = F.when(F.col("kind") == "element", F.coalesce("ref_id", F.lit("(direct)")))
-        kids = kids.withColumns({"element_id": element_id, "ord": F.array_append("ord", F.col("idx"))})
-        is_ref = (F.col("kind") == "element") & F.col("ref_id").isNotNull()
-        first = kids.where(is_ref).groupBy("doc_id", "element_id").agg(F.min("ord").alias("_first"))
-        old = seen.all().distinct().withColumn("_old", F.lit(True))
-        kids = kids.join(first, ["doc_id", "element_id"], "left").join(old, ["doc_id", "element_id"], "left")
-        again = is_ref & (F.col("_old").isNotNull() | (F.col("ord") != F.col("_first")))
-        too_deep = (F.col("kind") == "element") & F.lit(max_depth is not None and depth > max_depth)
-        own_page = F.when(has_pg, F.coalesce("_pn", F.lit(0))).otherwise(F.col("page"))
-        mcr_value = _integer(behind(F.col("MCID")), behind(F.col("MCID"), "raw"))
-        no_stm = F.col("Stm").isNull()
-        pg_error = F.when(
-            has_pg & F.col("_pn").isNull(),
-            F.when(F.col("_pg").isNull(), F.format_string("/Pg is %s, not a reference to a page", kind_of(F.col("Pg")["value_type"], F.col("Pg")["value_raw"])))
-            .otherwise(F.format_string("/Pg %s is not a page in the page tree", "_pg")),
+        for k in TEXT_FIELDS
+    ]
+    texts = [
+        F.when((F.col("kind") == "element") & F.col(k).isNotNull(), F.when(behind(F.col(k)) == "string", behind(F.col(k), "value")).otherwise("")).alias(a)
+        for k, a in TEXT_FIELDS.items()
+    ]
+    error = (
+        F.when(F.col("array_seen"), F.format_string("/K array %s already listed; not walked again", "ref_id"))
+        .when(too_deep, F.lit(f"structure tree deeper than {max_depth} levels; subtree not walked"))
+        .when(again, F.format_string("element %s already listed; not walked again", "ref_id"))
+        .when(
+            (F.col("kind") == "error") & F.col("ref_id").isNotNull() & F.col("target_type").isNull(),
+            F.format_string("%s does not resolve to an object", "ref_id"),
         )
-        sv = F.col("S")
-        s_type, s_name = behind(sv), F.when(behind(sv) == "name", behind(sv, "value"))
-        s_error = F.when(sv.isNull() | (s_type == "null"), "no /S").when(
-            s_type != "name", F.format_string("/S is %s, not a name", kind_of(s_type, behind(sv, "raw")))
-        ).when(s_name == "", "/S is an empty name")
-        type_error = F.when((type_name != "") & (type_name != "StructElem"), F.format_string("/Type /%s is not StructElem", type_name))
-        text_errors = [
-            F.when(
-                F.col(k).isNotNull() & (behind(F.col(k)) != "string"),
-                F.format_string(f"/{k} is %s that does not decode as a text string", kind_of(behind(F.col(k)), behind(F.col(k), "raw"))),
-            )
-            for k in TEXT_FIELDS
-        ]
-        texts = [
-            F.when((F.col("kind") == "element") & F.col(k).isNotNull(), F.when(behind(F.col(k)) == "string", behind(F.col(k), "value")).otherwise("")).alias(a)
-            for k, a in TEXT_FIELDS.items()
-        ]
-        error = (
-            F.when(F.col("array_seen"), F.format_string("/K array %s already listed; not walked again", "ref_id"))
-            .when(too_deep, F.lit(f"structure tree deeper than {max_depth} levels; subtree not walked"))
-            .when(again, F.format_string("element %s already listed; not walked again", "ref_id"))
-            .when(
-                (F.col("kind") == "error") & F.col("ref_id").isNotNull() & F.col("target_type").isNull(),
-                F.format_string("%s does not resolve to an object", "ref_id"),
-            )
-            .when(F.col("_number") < 0, F.format_string("MCID %d is negative", "_number"))
-            .when(F.col("kind") == "error", F.format_string("kid is %s, not an element, MCID, MCR or OBJR", kind_of(F.col("_value"), F.coalesce("target_raw", "value_raw"))))
-            .when((F.col("kind") == "mcid") & (F.col("owner_id") == ""), F.lit(ROOT_MCID))
-            .when((F.col("kind") == "mcid") & (F.col("page") == 0), F.lit(NO_PAGE))
-            .when(
-                F.col("kind") == "mcr",
-                F.concat_ws(
-                    "; ", pg_error,
-                    F.when(F.col("MCID").isNull(), F.lit("MCR has no /MCID"))
-                    .when(mcr_value.isNull(), F.format_string("MCR /MCID is %s, not an integer", kind_of(behind(F.col("MCID")), behind(F.col("MCID"), "raw"))))
-                    .when(mcr_value < 0, F.format_string("MCR /MCID %d is negative", mcr_value))
-                    .when(no_stm & (F.col("owner_id") == ""), F.lit(ROOT_MCID))
-                    .when(no_stm & (own_page == 0) & pg_error.isNull(), F.lit(NO_PAGE)),
-                ),
-            )
-            .when(
-                F.col("kind") == "objr",
-                F.concat_ws(
-                    "; ", pg_error,
-                    F.when(F.col("Obj").isNull(), F.lit("OBJR has no /Obj"))
-                    .when(F.col("Obj")["ref_id"].isNull(), F.format_string("OBJR /Obj is %s, not a reference", kind_of(F.col("Obj")["value_type"], F.col("Obj")["value_raw"]))),
-                ),
-            )
-            .when(F.col("kind") == "element", F.concat_ws("; ", s_error, type_error))
+        .when(F.col("_number") < 0, F.format_string("MCID %d is negative", "_number"))
+        .when(F.col("kind") == "error", F.format_string("kid is %s, not an element, MCID, MCR or OBJR", kind_of(F.col("_value"), F.coalesce("target_raw", "value_raw"))))
+        .when((F.col("kind") == "mcid") & (F.col("owner_id") == ""), F.lit(ROOT_MCID))
+        .when((F.col("kind") == "mcid") & (F.col("page") == 0), F.lit(NO_PAGE))
+        .when(
+            F.col("kind") == "mcr",
+            F.concat_ws(
+                "; ", pg_error,
+                F.when(F.col("MCID").isNull(), F.lit("MCR has no /MCID"))
+                .when(mcr_value.isNull(), F.format_string("MCR /MCID is %s, not an integer", kind_of(behind(F.col("MCID")), behind(F.col("MCID"), "raw"))))
+                .when(mcr_value < 0, F.format_string("MCR /MCID %d is negative", mcr_value))
+                .when(no_stm & (F.col("owner_id") == ""), F.lit(ROOT_MCID))
+                .when(no_stm & (own_page == 0) & pg_error.isNull(), F.lit(NO_PAGE)),
+            ),
         )
-        # What stands behind the role's message, which is known after the walk.
-        late = F.when((F.col("kind") == "element") & ~again & ~too_deep, F.concat_ws("; ", pg_error, *text_errors))
-        rows_out = kids.select(
-            "doc_id", "owner_id", "idx",
-            F.when(again | too_deep, "error").otherwise(F.col("kind")).alias("kind"),
-            "ref_id", "element_id",
-            F.when(F.col("kind") == "element", s_name).alias("s"),
-            F.when(F.col("kind") == "mcid", F.col("page")).when(F.col("kind") != "error", own_page).otherwise(F.lit(0)).cast("bigint").alias("page"),
-            (F.when(F.col("kind") == "mcid", F.col("page") != 0).otherwise(~has_pg & (F.col("page") != 0))).alias("page_inherited"),
-            F.when(F.col("kind") == "mcid", F.col("_number")).when((F.col("kind") == "mcr") & (mcr_value >= 0), mcr_value).alias("mcid"),
-            ((F.col("kind") == "mcid") | ((F.col("kind") == "mcr") & no_stm)).alias("claims"),
-            *texts,
-            F.nullif(error, F.lit("")).alias("error"), F.nullif(late, F.lit("")).alias("_late"),
-            F.when((F.col("kind") == "element") & ~again, s_error).alias("s_error"),
-            F.lit(depth).alias("depth"),
-            "ord", "item_obj", "item_at",
+        .when(
+            F.col("kind") == "objr",
+            F.concat_ws(
+                "; ", pg_error,
+                F.when(F.col("Obj").isNull(), F.lit("OBJR has no /Obj"))
+                .when(F.col("Obj")["ref_id"].isNull(), F.format_string("OBJR /Obj is %s, not a reference", kind_of(F.col("Obj")["value_type"], F.col("Obj")["value_raw"]))),
+            ),
         )
-        rows_out = materialize(rows_out)
-        if out is None:
-            out = Levels(rows_out)
-        else:
-            out.add(rows_out)
-        new = rows_out.where("kind = 'element'")
-        frontier = new.select(
-            "doc_id", F.col("item_obj").alias("obj_id"), F.col("item_at").alias("at"),
-            F.col("element_id").alias("owner_id"), "page", "ord")
-        seen.add(new.where("ref_id IS NOT NULL").select("doc_id", "element_id"))
-    tree = out.all().drop("item_obj", "item_at")
+        .when(F.col("kind") == "element", F.concat_ws("; ", s_error, type_error))
+    )
+    # What stands behind the role's message, which is known after the walk.
+    late = F.when((F.col("kind") == "element") & ~again & ~too_deep, F.concat_ws("; ", pg_error, *text_errors))
+    tree = kids.select(
+        "doc_id", "owner_id", "idx",
+        F.when(again | too_deep, "error").otherwise(F.col("kind")).alias("kind"),
+        "ref_id", "element_id",
+        F.when(F.col("kind") == "element", s_name).alias("s"),
+        F.when(F.col("kind") == "mcid", F.col("page")).when(F.col("kind") != "error", own_page).otherwise(F.lit(0)).cast("bigint").alias("page"),
+        (F.when(F.col("kind") == "mcid", F.col("page") != 0).otherwise(~has_pg & (F.col("page") != 0))).alias("page_inherited"),
+        F.when(F.col("kind") == "mcid", F.col("_number")).when((F.col("kind") == "mcr") & (mcr_value >= 0), mcr_value).alias("mcid"),
+        ((F.col("kind") == "mcid") | ((F.col("kind") == "mcr") & no_stm)).alias("claims"),
+        *texts,
+        F.nullif(error, F.lit("")).alias("error"), F.nullif(late, F.lit("")).alias("_late"),
+        F.when((F.col("kind") == "element") & ~again, s_error).alias("s_error"),
+        "depth", "ord",
+    )
+    tree = materialize(tree)
     joined = lambda *parts: F.nullif(F.concat_ws("; ", *parts), F.lit(""))
     if roles is None:
         return tree.withColumn("error", joined("error", "_late")).drop("_late").withColumn("mapped", F.lit("").cast("string"))
@@ -411,37 +387,75 @@ def struct_tree(
     )
 
 
-def _kids(reader: NodeReader, frontier: DataFrame, seen: Levels) -> tuple[DataFrame, Levels]:
-    """The /K of each node as rows: one value, an array, or a reference to either.
+def _element_links(reader: NodeReader, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the walk can follow, as rows of source place, target place and ``step``; and the indirect arrays.
 
-    ``seen`` has the indirect arrays listed so far. An element that names one of
-    them again gets a single row with ``array_seen``.
+    An element has one /K. A step to an array is 0, to its element the position; a
+    single value counts as the only element. So an indirect array is a place of its
+    own, which the first element that names it lists.
+    """
+    k = F.col("K")
+    is_list = F.coalesce(behind(k) == "array", F.lit(False))
+    target = [F.col("item_obj").alias("to_obj_id"), F.col("item_at").alias("to_at")]
+    shared = held.where(is_list & k["ref_id"].isNotNull()).select(*NODE, k["ref_id"].alias("array_id"))
+    shared = BucketedTable.write(shared, NODE, laid=True).df
+    single = held.where(~is_list).select(
+        *NODE, F.coalesce(k["ref_id"], "obj_id").alias("to_obj_id"),
+        F.when(k["ref_id"].isNull(), F.array_append("at", F.lit("K"))).otherwise(_no_path()).alias("to_at"),
+        F.array(F.lit(0).cast("bigint"), F.lit(0).cast("bigint")).alias("step"), behind(k).alias("_vt"))
+    items = reader.array("K").all().withColumn("_vt", F.coalesce("target_type", "value_type"))
+    direct = items.join(shared.select(*NODE), NODE, "left_anti").select(*NODE, *target, F.array(F.lit(0).cast("bigint"), "idx").alias("step"), "_vt")
+    # The elements of an indirect array hang below the array, whoever names it.
+    one_owner = shared.groupBy("doc_id", "array_id").agg(F.min(F.struct("obj_id", "at")).alias("o")).select("doc_id", "o.*", "array_id")
+    below = items.join(one_owner, NODE).select(
+        "doc_id", F.col("array_id").alias("obj_id"), _no_path().alias("at"), *target, F.array("idx").alias("step"), "_vt")
+    to_array = shared.select(
+        *NODE, F.col("array_id").alias("to_obj_id"), _no_path().alias("to_at"), F.array(F.lit(0).cast("bigint")).alias("step"), F.lit("array").alias("_vt"))
+    return single.unionByName(direct).unionByName(below).unionByName(to_array), shared
+
+
+def _met_elements(links: DataFrame, shared: DataFrame, own: DataFrame, roots: DataFrame, max_depth: int | None) -> DataFrame:
+    """Elements and indirect arrays where they are met first: place, label, ord, and the page that reaches them."""
+    type_name = F.when(behind(F.col("Type")) == "name", behind(F.col("Type"), "value"))
+    other = F.coalesce(type_name.isin("MCR", "OBJR"), F.lit(False))
+    to = own.select(
+        "doc_id", F.col("obj_id").alias("to_obj_id"), F.col("at").alias("to_at"), other.alias("_other"),
+        F.when(F.col("Pg").isNotNull(), F.coalesce("_pn", F.lit(0)).cast("bigint")).alias("own"))
+    links = links.where("_vt IN ('dict', 'array')").join(to, ["doc_id", "to_obj_id", "to_at"], "left").where("_other IS NULL OR NOT _other")
+    starts = roots.select(
+        "doc_id", "obj_id", _no_path().alias("at"), F.array().cast("array<bigint>").alias("label"), F.lit(0).cast("bigint").alias("carried"))
+    # An element is one or two steps from the one above it.
+    met = first_sight(
+        links.drop("_vt", "_other"), starts, ["obj_id", "at"], max_steps=None if max_depth is None else 2 * max_depth,
+        carry=lambda page, own: F.coalesce(own, page))
+    ord_of = F.filter("label", lambda x, i: i % 2 == 1)
+    return BucketedTable.write(met.select(*NODE, "label", ord_of.alias("ord"), F.col("carried").alias("page")), NODE, laid=True).df
+
+
+def _kids(reader: NodeReader, held: DataFrame, shared: DataFrame, met: DataFrame) -> DataFrame:
+    """The /K of each element met as rows: one value, an array, or a reference to either.
+
+    An element that names an indirect array which another one lists gets a single row
+    with ``array_seen``.
     """
+    arrays = met.join(shared.select("doc_id", F.col("array_id").alias("obj_id")).distinct(), ["doc_id", "obj_id"], "left_semi").where(F.size("at") == 0)
+    owner = F.when(F.size("label") == 0, F.lit("")).when(F.size("at") == 0, F.col("obj_id")).otherwise("(direct)")
+    owners = met.where(F.size("label") % 2 == 0).select(*NODE, "label", "ord", "page", owner.alias("owner_id"))
+    listers = arrays.select("doc_id", F.col("obj_id").alias("array_id"), F.slice("label", F.lit(1), F.size("label") - 1).alias("_lister"))
     kept = ["owner_id", "page", "ord"]
-    held = frontier.join(reader.table(["K"], resolve=True), NODE).select(*NODE, *kept, "K.*", F.array_append("at", F.lit("K")).alias("path"))
-    listed = F.coalesce("target_type", "value_type") == "array"
-    single = held.where(~listed & (F.coalesce("value_type", F.lit("null")) != "null")).select(
-        "doc_id", *kept, F.lit(0).cast("bigint").alias("idx"), "value_type", "value_raw", "ref_id",
+    named = owners.join(shared, NODE, "left").join(listers, ["doc_id", "array_id"], "left").withColumn(
+        "array_seen", F.col("array_id").isNotNull() & ~F.coalesce(F.col("_lister") == F.col("label"), F.lit(False)))
+    named = BucketedTable.write(named.select(*NODE, *kept, "array_seen"), NODE).df
+    k = named.join(held, NODE).select(*NODE, *kept, "array_seen", "K.*")
+    is_list = F.coalesce("target_type", "value_type") == "array"
+    fields = ["value_type", "value_raw", "ref_id", "target_type", "target_raw"]
+    one = k.where("array_seen").unionByName(k.where(~is_list & (F.coalesce("value_type", F.lit("null")) != "null") & ~F.col("array_seen"))).select(
+        "doc_id", *kept, F.lit(0).cast("bigint").alias("idx"), *fields,
         F.coalesce("ref_id", "obj_id").alias("item_obj"),
-        F.when(F.col("ref_id").isNull(), F.col("path")).otherwise(_no_path()).alias("item_at"),
-        "target_type", "target_raw",
-    )
-    listing = held.where(listed)
-    is_ref = F.col("ref_id").isNotNull()
-    first = listing.where(is_ref).groupBy("doc_id", "ref_id").agg(F.min("ord").alias("_first"))
-    known = seen.all().withColumnRenamed("array_id", "ref_id").distinct().withColumn("_known", F.lit(True))
-    listing = materialize(
-        listing.join(first, ["doc_id", "ref_id"], "left").join(known, ["doc_id", "ref_id"], "left").withColumn(
-            "array_seen", is_ref & (F.col("_known").isNotNull() | (F.col("ord") != F.col("_first")))))
-    again = listing.where("array_seen").select(
-        "doc_id", *kept, F.lit(0).cast("bigint").alias("idx"), "value_type", "value_raw", "ref_id",
-        F.col("ref_id").alias("item_obj"), _no_path().alias("item_at"), "target_type", "target_raw", "array_seen")
-    arrays = listing.where("NOT array_seen").select(*NODE, *kept)
-    seen.add(materialize(listing.where("NOT array_seen AND ref_id IS NOT NULL").select("doc_id", F.col("ref_id").alias("array_id"))))
-    many = reader.items(arrays, "K", resolve=True).where("value_type <> 'null'").select(
-        "doc_id", *kept, "idx", "value_type", "value_raw", "ref_id", "item_obj", "item_at", "target_type", "target_raw")
-    rows = single.unionByName(many).withColumn("array_seen", F.lit(False)).unionByName(again)
-    return materialize(rows), seen
+        F.when(F.col("ref_id").isNull(), F.array_append("at", F.lit("K"))).otherwise(_no_path()).alias("item_at"), "array_seen")
+    many = reader.items(named.where("NOT array_seen").drop("array_seen"), "K", resolve=True).where("value_type <> 'null'").select(
+        "doc_id", *kept, "idx", *fields, "item_obj", "item_at", F.lit(False).alias("array_seen"))
+    return materialize(one.unionByName(many))
 
 
 def claims(tree: DataFrame) -> DataFrame:
