@@ -39,8 +39,9 @@ class SpreadTable:
 
     def __init__(self, df: DataFrame, keys: list[str], split_by: str, per_bucket: int = EDGES_PER_BUCKET):
         self.keys = keys
+        whole = BucketedTable.write(df, keys)
         share = min(1.0, SAMPLED_ROWS / per_bucket)
-        sampled = df.select(*keys) if share == 1.0 else df.select(*keys).sample(share, seed=7)
+        sampled = whole.df.select(*keys) if share == 1.0 else whole.df.select(*keys).sample(share, seed=7)
         hot = materialize(
             sampled.groupBy(*keys)
             .agg(F.count(F.lit(1)).alias("_n"))
@@ -48,11 +49,13 @@ class SpreadTable:
             .select(*keys, F.ceil(F.col("_n") / (per_bucket * share)).cast("int").alias("_buckets"))
         )
         self.hot = None if hot.isEmpty() else hot
-        self.table = BucketedTable.write(df if self.hot is None else df.join(hot, keys, "left_anti"), keys).df
+        self.table = whole.df
         if self.hot is not None:
+            self.table = BucketedTable.write(whole.df.join(hot, keys, "left_anti"), keys, laid=True).df
             number = F.pmod(F.xxhash64(split_by), F.col("_buckets")).cast("int")
             self.hot_rows = BucketedTable.write(
-                df.join(hot, keys).withColumn("_bucket", number).drop("_buckets"), [*keys, "_bucket"]).df
+                whole.df.join(hot, keys).withColumn("_bucket", number).drop("_buckets"), [*keys, "_bucket"]).df
+            whole.drop()
 
     def join(self, frontier: DataFrame, how: str = "inner") -> DataFrame:
         """Rows of the table for each frontier row; the frontier has the keys.
