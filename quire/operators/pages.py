@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.graph import NODE, Levels, NodeReader, SpreadEdges, first_sight
+from quire.operators.graph import NODE, Levels, NodeReader, SpreadEdges, closure, first_sight
 from quire.operators.objects import int_of, name_of, root_rows
 from quire.operators.scan import DEFAULT_SKEW, Skew, scan_groups
 from quire.operators.structure import behind, kind_of
@@ -300,6 +300,20 @@ def form_tree(pages: DataFrame, forms: DataFrame, depth: int | None = None) -> D
     return out.all().drop("_ids")
 
 
+def form_closure(pages: DataFrame, forms: DataFrame) -> DataFrame:
+    """Forms that each page reaches, one row each: ``doc_id, page_num, obj_id, path, n_paths, cyclic``.
+
+    Input as for :func:`form_tree`, which lists every path instead. ``path`` is the
+    least by name. Resources that many pages share are walked once. See
+    :func:`~quire.operators.graph.closure`.
+    """
+    links = forms.select("doc_id", F.col("owner_id").alias("src_id"), F.col("obj_id").alias("dst_id"), F.array("name").alias("step"))
+    starts = pages.select("doc_id", F.col("res_id").alias("root_id"), F.col("res_id").alias("obj_id"))
+    reached = closure(links, starts).where(F.size("path") > 0)
+    return pages.join(reached, (pages["doc_id"] == reached["doc_id"]) & (pages["res_id"] == reached["root_id"])).select(
+        pages["doc_id"], "page_num", reached["obj_id"], "path", "n_paths", "cyclic")
+
+
 # --- resource entries --------------------------------------------------------
 #
 # ``resources`` has ``doc_id, owner_id, name, obj_id, at``: where each named

@@ -136,6 +136,34 @@ def _(spark, d):
     )
 
 
+@query("resolve_closure", """
+WITH o AS (SELECT 'N' || c_nationkey AS doc_id, c_custkey AS c, o_orderkey AS o, o_orderkey % 500 = 0 AS loop FROM orders JOIN customer ON o_custkey = c_custkey),
+l AS (SELECT o.*, 'S' || l_suppkey AS s, l_linenumber * 100000 + l_partkey AS i FROM o JOIN lineitem ON l_orderkey = o)
+SELECT doc_id, doc_id AS obj_id, '' AS path, 1 AS n_paths, false AS cyclic FROM (SELECT DISTINCT 'N' || n_nationkey AS doc_id FROM nation)
+UNION ALL SELECT 'N' || c_nationkey, 'C' || c_custkey, 'Kids/[' || c_custkey || ']', 1, false FROM customer
+UNION ALL SELECT doc_id, 'O' || o, 'Kids/[' || c || ']/Kids/[' || o || ']', CASE WHEN loop THEN NULL ELSE 1 END, loop FROM o
+UNION ALL SELECT doc_id, s, arg_min('Kids/[' || c || ']/Kids/[' || o || ']/Lines/[' || i || ']', (c, o, i)),
+  CASE WHEN bool_or(loop) THEN NULL ELSE count(*) END, bool_or(loop) FROM l GROUP BY doc_id, s""")
+def _(spark, d):
+    # Nations to customers to orders to the suppliers of their lines; some orders refer to themselves.
+    customer = table(spark, d, "customer")
+    orders = table(spark, d, "orders").join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    lines = table(spark, d, "lineitem").join(orders.select("o_orderkey", "c_nationkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    slot = lambda key, n: [key, f"concat('[', {n}, ']')"]
+    nation = "concat('N', c_nationkey)"
+    rows = b.union_all(
+        b.entries_of(customer, nation, "concat('C', c_custkey)", b.container([], "dict"),
+                     placed=[(nation, b.ref(slot("Kids", "c_custkey"), "concat('C', c_custkey)", "c_custkey"))]),
+        b.entries_of(orders, nation, "concat('O', o_orderkey)", b.only_if("o_orderkey % 500 = 0", b.ref(["Self"], "concat('O', o_orderkey)")),
+                     placed=[("concat('C', o_custkey)", b.ref(slot("Kids", "o_orderkey"), "concat('O', o_orderkey)", "o_orderkey"))]),
+        b.entries_of(lines, nation, "concat('O', l_orderkey)", b.ref(
+            slot("Lines", "l_linenumber * 100000 + l_partkey"), "concat('S', l_suppkey)", "l_linenumber * 100000 + l_partkey")),
+    )
+    roots = table(spark, d, "nation").selectExpr("concat('N', n_nationkey) as doc_id", "concat('N', n_nationkey) as obj_id")
+    out = graph.resolve_once(rows, roots)
+    return out.select("doc_id", "obj_id", F.array_join("path", "/").alias("path"), F.col("n_paths").cast("bigint").alias("n_paths"), "cyclic")
+
+
 @query("tree_dump", f"""WITH {_NODES}, per AS (SELECT doc_id, level, count(*) AS n FROM nodes GROUP BY ALL)
 SELECT doc_id, level AS depth,
        CASE level WHEN 0 THEN 3 + (SELECT n FROM per p WHERE p.doc_id = q.doc_id AND p.level = 1)

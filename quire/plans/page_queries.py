@@ -135,6 +135,21 @@ def _(spark, d):
     return pg.form_tree(pages, forms, 3).select("page_num", F.array_join("path", "/").alias("path"), "obj_id", "flag")
 
 
+@query("form_closure", """
+WITH p AS (SELECT l_orderkey AS page_num, 'P' || l_partkey AS obj_id, 'Fm' || l_linenumber || '_' || l_partkey AS name, p_brand
+  FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT page_num, obj_id, min(name) AS path, count(*) AS n_paths, false AS cyclic FROM p GROUP BY ALL
+UNION ALL SELECT page_num, p_brand, min(name || '/' || p_brand), count(*), false FROM p GROUP BY ALL""")
+def _(spark, d):
+    # An order's resources hold the forms of its lines; the form of a part holds its brand's.
+    lines = table(spark, d, "lineitem").selectExpr(
+        "'shop' as doc_id", "concat('O', l_orderkey) as owner_id", "concat('Fm', l_linenumber, '_', l_partkey) as name", "concat('P', l_partkey) as obj_id")
+    brands = table(spark, d, "part").selectExpr("'shop' as doc_id", "concat('P', p_partkey) as owner_id", "p_brand as name", "p_brand as obj_id")
+    pages = table(spark, d, "orders").selectExpr("'shop' as doc_id", "o_orderkey as page_num", "concat('O', o_orderkey) as res_id")
+    out = pg.form_closure(pages, lines.unionByName(brands))
+    return out.select("page_num", "obj_id", F.array_join("path", "/").alias("path"), F.col("n_paths").cast("bigint").alias("n_paths"), "cyclic")
+
+
 # --- resources ---------------------------------------------------------------
 
 _RES = "'res'"
