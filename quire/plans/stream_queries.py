@@ -45,22 +45,70 @@ def _(spark, d):
     return st.settle_batch(observations(spark, d))
 
 
-@query("settle_stream", f"WITH {_SETTLE_SQL} SELECT * FROM settled")
-def _(spark, d):
-    """The same events from a stream over the file, run until it is drained."""
+def _in_batches(spark, rows, order, made, sink=None, parts=4):
+    """Run ``made`` over a stream of ``rows`` that come in ``parts`` by ``order``, with a restart in the middle.
+
+    A part is several files, each with all rows of its keys, in no order; a trigger
+    takes one file. The second run goes on from the first one's checkpoint.
+    """
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     home = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    events = st.settle(st.as_observations(raw.selectExpr(*_OBS)))
-    run = (
-        events.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/log")
-        .outputMode("append").trigger(availableNow=True).start()
-    )
-    run.awaitTermination()
-    return spark.read.schema(st.EVENTS).parquet(f"{home}/out")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    bounds = rows.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)])).first()[0]
+    edges = [None, *bounds, None]
+    out = None
+    for k, (low, high) in enumerate(zip(edges, edges[1:])):
+        inside = (F.lit(True) if low is None else F.col(order) > low) & (F.lit(True) if high is None else F.col(order) <= high)
+        rows.where(inside).repartition(2, "key").sortWithinPartitions(F.xxhash64(order)).write.mode("append").parquet(f"{home}/in")
+        if k % 2 == 0:
+            continue
+        out = made(files.read_disk_obs(spark, f"{home}/in", schema=schema, maxFilesPerTrigger="1"))
+        writer = out.writeStream.option("checkpointLocation", f"{home}/log").trigger(availableNow=True).outputMode("append")
+        run = (writer.foreachBatch(sink) if sink else writer.format("parquet").option("path", f"{home}/out")).start()
+        run.awaitTermination()
+    return None if sink else spark.read.schema(out.schema).parquet(f"{home}/out")
+
+
+@query("settle_stream", f"WITH {_SETTLE_SQL} SELECT * FROM settled")
+def _(spark, d):
+    """The same events from a stream over several files and batches, restarted once."""
+    return _in_batches(spark, st.as_observations(observations(spark, d)), "seq", st.settle)
+
+
+# Some events are outside reports, some close their key.
+_KIND = "CASE WHEN event_id % 41 = 0 THEN 'forget' WHEN event_id % 17 = 0 THEN 'record' ELSE 'observe' END"
+_CONTROL_SQL = f"""
+obs AS (SELECT 'u' || user_id AS key, ts, event_id AS seq, {_KIND} AS kind,
+  CASE event_type WHEN 'error' THEN 'missing' WHEN 'purchase' THEN 'changed' WHEN 'signup' THEN NULL ELSE 'current' END AS state,
+  0 AS disk_mtime, CAST(trunc(value) AS BIGINT) // 20 AS disk_size FROM events),
+g AS (SELECT *, count(*) FILTER (kind = 'forget') OVER (PARTITION BY key ORDER BY seq) AS life FROM obs),
+p AS (SELECT *, lag(kind) OVER w AS pk, lag(state) OVER w AS ps, lag(disk_size) OVER w AS pz FROM g WINDOW w AS (PARTITION BY key, life ORDER BY seq)),
+a AS (SELECT *, kind = 'observe' AND coalesce(pk = 'observe' AND state = ps, false) AS settled,
+  kind = 'observe' AND coalesce(pk = 'observe' AND state = ps AND disk_size = pz, false) AS same FROM p),
+b AS (SELECT *, last_value(CASE WHEN kind = 'record' THEN 'record' WHEN settled THEN state END IGNORE NULLS) OVER
+  (PARTITION BY key, life ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS told FROM a),
+c AS (SELECT *, settled AND state <> coalesce(told, 'current') AS changed, settled AND same AND state <> 'current' AS again FROM b),
+k AS (SELECT *, last_value(CASE WHEN changed OR again OR kind = 'record' THEN coalesce(state, '') || '/' || disk_size END IGNORE NULLS) OVER
+  (PARTITION BY key, life ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS anchor FROM c),
+settled AS (SELECT key, ts, seq, state, disk_mtime, disk_size FROM k WHERE changed OR (again AND state || '/' || disk_size IS DISTINCT FROM anchor))
+"""
+
+
+def _controls(spark, d):
+    return table(spark, d, "events").selectExpr(*_OBS, f"{_KIND} as kind")
+
+
+@query("settle_controls_batch", f"WITH {_CONTROL_SQL} SELECT * FROM settled")
+def _(spark, d):
+    return st.settle_batch(_controls(spark, d))
+
+
+@query("settle_controls_stream", f"WITH {_CONTROL_SQL} SELECT * FROM settled")
+def _(spark, d):
+    """Outside reports and closes among the observations of a stream."""
+    return _in_batches(spark, _controls(spark, d), "seq", st.settle)
 
 
 @query("drop_stale", """
@@ -73,6 +121,25 @@ def _(spark, d):
     return st.drop_stale(events)
 
 
+@query("drop_stale_stream", """
+SELECT key, arrival, seq FROM (SELECT 'c' || o_custkey AS key, o_orderkey AS arrival, CAST(floor(o_totalprice) AS BIGINT) AS seq,
+  max(CAST(floor(o_totalprice) AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM orders)
+WHERE m IS NULL OR seq > m""")
+def _(spark, d):
+    events = table(spark, d, "orders").selectExpr(
+        "concat('c', o_custkey) as key", "o_orderkey as arrival", "cast(floor(o_totalprice) as bigint) as seq")
+    return _in_batches(spark, events, "arrival", st.drop_stale_stream)
+
+
+@query("current_status_stream", f"""WITH {_SETTLE_SQL}
+SELECT key, max_by(state, seq) AS state, max(seq) AS seq FROM settled GROUP BY key HAVING max_by(state, seq) <> 'current'""")
+def _(spark, d):
+    """The status table that the micro-batches of the settled stream leave behind."""
+    status = st.StatusTable(f"{ensure_checkpoint_dir(spark)}/status-{uuid.uuid4().hex}", buckets=16)
+    _in_batches(spark, st.as_observations(observations(spark, d)), "seq", st.settle, sink=status.upsert)
+    return status.read(spark).select("key", "state", "seq")
+
+
 @query("current_status", f"""WITH {_SETTLE_SQL}
 SELECT key, max_by(state, seq) AS state, max(seq) AS seq FROM settled GROUP BY key HAVING max_by(state, seq) <> 'current'""")
 def _(spark, d):

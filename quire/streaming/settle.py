@@ -14,7 +14,8 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -37,27 +38,39 @@ _START = (CURRENT, 0, 0, None, 0, 0, 0, 0, False, -1, -1)
 def settle_batch(obs: DataFrame, skew: Skew = DEFAULT_SKEW) -> DataFrame:
     """Events of ``key, ts, seq, state, disk_mtime, disk_size`` rows, by windows only.
 
-    Of rows of the same key and ``seq`` the first by ``ts`` counts.
+    With a column ``kind`` rows may be outside reports and closes too, see
+    :func:`settle`. Of rows of the same key and ``seq`` the first by ``ts`` counts.
     """
-    order = ["seq"]
+    order, keys = ["seq"], ["key", "_life"]
     chunk = skew.chunk(F.col("seq"))
     whole = F.struct("state", "disk_mtime", "disk_size")
+    observed, record = F.col("kind") == OBSERVE, F.col("kind") == RECORD
+
+    def lives(rows: DataFrame, scan: Any) -> DataFrame:
+        # A close begins a new life of its key.
+        return scan.running(rows, ["key"], order, chunk, _life=("sum", F.when(F.col("kind") == FORGET, 1).otherwise(0).cast("bigint")))
 
     def build(rows: DataFrame, scan: Any) -> DataFrame:
-        one = scan.running(rows, ["key"], order, chunk, _prev=("lag", whole))
-        seen = F.coalesce(F.col("state") == F.col("_prev")["state"], F.lit(False))
-        one = one.withColumns({"_settled": seen, "_same": seen & F.coalesce(whole.eqNullSafe(F.col("_prev")), F.lit(False))})
-        two = scan.running(
-            one, ["key"], order, chunk, _before=("last", F.when(F.col("_settled"), F.col("state")), True))
-        changed = F.col("_settled") & (F.col("state") != F.coalesce("_before", F.lit(CURRENT)))
+        one = scan.running(rows, keys, order, chunk, _prev=("lag", F.struct("kind", whole.alias("whole"))))
+        prev = F.col("_prev")
+        seen = observed & F.coalesce((prev["kind"] == OBSERVE) & (F.col("state") == prev["whole"]["state"]), F.lit(False))
+        one = one.withColumns({"_settled": seen, "_same": seen & F.coalesce(whole.eqNullSafe(prev["whole"]), F.lit(False))})
+        told = F.when(F.col("_settled") | record, F.struct(record.alias("record"), F.col("state").alias("state")))
+        two = scan.running(one, keys, order, chunk, _before=("last", told, True))
+        before = F.col("_before")
+        # After an outside report the next settled row is news in any case.
+        changed = F.col("_settled") & (F.coalesce(before["record"], F.lit(False)) | ~F.coalesce(before["state"], F.lit(CURRENT)).eqNullSafe(F.col("state")))
         again = F.col("_settled") & (F.col("state") != CURRENT) & F.col("_same")
         two = two.withColumns({"_changed": changed, "_again": again})
-        anchor = F.when(F.col("_changed") | F.col("_again"), whole)
-        return scan.running(two, ["key"], order, chunk, _anchor=("last", anchor, True))
+        anchor = F.when(F.col("_changed") | F.col("_again") | record, whole)
+        return scan.running(two, keys, order, chunk, _anchor=("last", anchor, True))
 
-    rest = ["ts", "state", "disk_mtime", "disk_size"]
+    mixed = "kind" in obs.columns
+    obs = obs if mixed else obs.withColumn("kind", F.lit(OBSERVE))
+    rest = ["ts", "kind", "state", "disk_mtime", "disk_size"]
     rows = obs.groupBy("key", "seq").agg(F.min_by(F.struct(*rest), "ts").alias("r")).select("key", "seq", "r.*")
-    marked = scan_groups(rows, ["key"], build, skew)
+    rows = scan_groups(rows, ["key"], lives, skew) if mixed else rows.withColumn("_life", F.lit(0).cast("bigint"))
+    marked = scan_groups(rows, keys, build, skew)
     news = F.col("_again") & ~whole.eqNullSafe(F.col("_anchor"))
     return marked.where(F.col("_changed") | news).select("key", "ts", "seq", "state", "disk_mtime", "disk_size")
 
@@ -88,18 +101,29 @@ def current_status(events: DataFrame) -> DataFrame:
 # --- stream ------------------------------------------------------------------
 
 
+def _in_sequence(rows: Iterator[pd.DataFrame], order: list[str]) -> Iterator[Any]:
+    """The rows of one key in one micro-batch, in order; the source's limit a trigger bounds them."""
+    held = [row for part in rows for row in part.itertuples(index=False)]
+    return iter(sorted(held, key=lambda row: tuple(getattr(row, c) for c in order)))
+
+
 class Settle(StatefulProcessor):
-    """Keyed state: last report, candidate, two streaks, resync mark, sequences."""
+    """Keyed state: last report, candidate, two streaks, resync mark, sequences.
+
+    ``idle_ms`` removes the state of keys without rows for so long, should their close
+    never come.
+    """
+
+    def __init__(self, idle_ms: int | None = None):
+        self._idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("settle", _STATE)
+        self._state = handle.getValueState("settle", _STATE, self._idle_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        # One micro-batch of one key; the trigger bounds its size.
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["seq", "ts"], kind="stable")
         state = self._state.get() if self._state.exists() else _START
         events = []
-        for row in batch.itertuples(index=False):
+        for row in _in_sequence(rows, ["seq", "ts"]):
             state, emitted = advance(state, row)
             if emitted:
                 events.append((key[0], row.ts, row.seq, row.state, row.disk_mtime, row.disk_size))
@@ -110,6 +134,26 @@ class Settle(StatefulProcessor):
         pass
 
 
+class DropStale(StatefulProcessor):
+    """Keyed state: the largest sequence so far."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._most = handle.getValueState("most", "seq bigint")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        most = self._most.get()[0] if self._most.exists() else None
+        kept = []
+        for row in _in_sequence(rows, ["arrival"]):
+            if most is None or row.seq > most:
+                most = row.seq
+                kept.append((key[0], row.arrival, row.seq))
+        self._most.update((most,))
+        yield pd.DataFrame(kept, columns=["key", "arrival", "seq"])
+
+    def close(self) -> None:
+        pass
+
+
 def advance(state: tuple, row: Any) -> tuple[tuple, bool]:
     """State after one row, and whether the row is an event."""
     (last_s, last_m, last_z, cand_s, cand_m, cand_z, streak, same, resync, max_seq, closed) = state
@@ -136,35 +180,77 @@ def advance(state: tuple, row: Any) -> tuple[tuple, bool]:
     return (last_s, last_m, last_z, *seen, min(streak, 2), min(same, 2), resync, row.seq, closed), emit
 
 
-def settle(obs: DataFrame) -> DataFrame:
+def settle(obs: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Settled events of a stream of ``key, ts, seq, kind, state, disk_mtime, disk_size`` rows.
 
     ``kind`` is ``observe``, ``record`` (an outside report replaces the last one
     and forces the next settled row out) or ``forget`` (a closed key starts over).
+    The state of a key without rows for ``idle_ms`` is forgotten, if that is given; such
+    a stream wakes by the clock, so it needs a trigger that keeps running.
     The state store must be RocksDB.
     """
+    mode = "None" if idle_ms is None else "ProcessingTime"
     return obs.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=Settle(), outputStructType=EVENTS, outputMode="append", timeMode="None")
+        statefulProcessor=Settle(idle_ms), outputStructType=EVENTS, outputMode="append", timeMode=mode)
 
 
-def upsert_status(path: str):
-    """``foreachBatch`` writer keeping the latest state per key under ``path``."""
+def drop_stale_stream(events: DataFrame) -> DataFrame:
+    """``key, arrival, seq`` of a stream, without rows whose sequence is not above all earlier ones of their key."""
+    return events.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=DropStale(), outputStructType="key string, arrival bigint, seq bigint", outputMode="append", timeMode="None")
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        last = batch.groupBy("key").agg(F.max_by(F.struct("state", "disk_mtime", "disk_size", "seq"), "seq").alias("r")).select("key", "r.*")
-        # Each epoch writes its own snapshot; a replayed epoch overwrites itself.
-        if epoch > 0:
-            last = current_of(spark.read.parquet(f"{path}/epoch={epoch - 1}").unionByName(last))
-        last.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    return write
+class StatusTable:
+    """The newest state of every key under ``path``, kept up by micro-batches.
 
+    Keys are dealt into buckets. A batch rewrites the buckets of its keys only, as the
+    version of its epoch; a reader takes the newest version of every bucket. An epoch
+    that is repeated reads the versions before it and writes the same files again.
+    """
+
+    ROW = "key string, state string, disk_mtime bigint, disk_size bigint, seq bigint"
+
+    def __init__(self, path: str, buckets: int = 64):
+        self.path, self.buckets = path, buckets
 
-def current_of(states: DataFrame) -> DataFrame:
+    def _versions(self, spark: SparkSession) -> DataFrame | None:
+        try:
+            return spark.read.schema(f"{self.ROW}, bucket int, epoch bigint").parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def upsert(self, batch: DataFrame, epoch: int) -> None:
+        """A ``foreachBatch`` writer."""
+        spark = batch.sparkSession
+        new = newest(batch).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int"))
+        versions = self._versions(spark)
+        if versions is not None:
+            # At most as many numbers as there are buckets.
+            changed = [r[0] for r in new.select("bucket").distinct().collect()]
+            new = newest(new.unionByName(_latest(versions.where(F.col("bucket").isin(changed) & (F.col("epoch") < epoch)))), "bucket")
+        new.withColumn("epoch", F.lit(epoch)).repartition("bucket").write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("bucket", "epoch").parquet(self.path)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """``key, state, disk_mtime, disk_size, seq`` of every key that is not current."""
+        versions = self._versions(spark)
+        if versions is None:
+            return spark.createDataFrame([], self.ROW)
+        return _latest(versions).drop("bucket").where(F.col("state") != CURRENT)
+
+
+def _latest(versions: DataFrame) -> DataFrame:
+    """Rows of each bucket's newest version."""
+    last = versions.groupBy("bucket").agg(F.max("epoch").alias("epoch"))
+    return versions.join(last, ["bucket", "epoch"], "left_semi").drop("epoch")
+
+
+def newest(states: DataFrame, *more: str) -> DataFrame:
     """Newest row of each key."""
-    newest = states.groupBy("key").agg(F.max_by(F.struct("state", "disk_mtime", "disk_size", "seq"), "seq").alias("r"))
-    return newest.select("key", "r.*")
+    last = states.groupBy("key", *more).agg(F.max_by(F.struct("state", "disk_mtime", "disk_size", "seq"), "seq").alias("r"))
+    return last.select("key", *more, "r.*")
 
 
 def as_observations(obs: DataFrame, kind: Column | None = None) -> DataFrame:

@@ -81,3 +81,34 @@ def test_crossed_times_and_sequences_agree(spark):
             want.append(o.seq)
     got = sorted(r.seq for r in st.settle_batch(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == want
+
+
+def test_controls_in_batch_equal_the_sequential_rule(spark):
+    r = random.Random(9)
+    data = [
+        (f"k{r.randrange(3)}", T0 + timedelta(minutes=i), i, r.choice([st.OBSERVE] * 8 + [st.RECORD, st.FORGET]),
+         r.choice(["current", "changed", "missing", None]), r.randrange(2), 1)
+        for i in range(500)
+    ]
+    df = spark.createDataFrame(data, SCHEMA)
+    for skew in (Skew(), Skew(max_group_rows=1, chunk_rows=40)):
+        got = sorted((x.key, x.seq) for x in st.settle_batch(df, skew).collect())
+        assert got == replay(data) and len(got) > 20
+
+
+def test_status_table_and_repeated_epochs(spark, tmp_path):
+    table = st.StatusTable(str(tmp_path / "status"), buckets=4)
+    frame = lambda *rows: spark.createDataFrame([(k, s, 0, 0, n) for k, s, n in rows], "key string, state string, disk_mtime bigint, disk_size bigint, seq bigint")
+    shown = lambda: sorted((r.key, r.state, r.seq) for r in table.read(spark).collect())
+    assert shown() == []
+    table.upsert(frame(("a", "missing", 1), ("b", "changed", 2), ("c", "missing", 3)), 0)
+    second = frame(("a", "current", 4), ("b", "missing", 1), ("d", "changed", 5))
+    table.upsert(second, 1)
+    want = [("b", "changed", 2), ("c", "missing", 3), ("d", "changed", 5)]
+    assert shown() == want
+    files = sorted(str(p) for p in (tmp_path / "status").rglob("bucket=*/epoch=*"))
+    table.upsert(second, 1)
+    assert shown() == want and files == sorted(str(p) for p in (tmp_path / "status").rglob("bucket=*/epoch=*"))
+    table.upsert(frame(("a", "missing", 9)), 2)
+    # Only the bucket of the one key has a third version.
+    assert shown() == [("a", "missing", 9), *want] and len(list((tmp_path / "status").rglob("epoch=2"))) == 1
