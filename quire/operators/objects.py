@@ -169,16 +169,15 @@ def stream_facts(entries: DataFrame) -> DataFrame:
     streams = root_rows(entries).where("value_type = 'stream'").select(*OBJ)
     facts = pivot_keys(entries, ["Length", "Filter"])
     roots = root_rows(entries).select(
-        "doc_id", F.col("obj_id").alias("_id"), F.col("value_raw").alias("_raw")
+        "doc_id", F.col("obj_id").alias("_length_ref"), F.col("value_raw").alias("_raw")
     )
     listed = (
         entries.where((F.size("path") == 2) & (F.col("parent_path")[0] == "Filter"))
         .groupBy(*OBJ)
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda x: x["value"]).alias("_filters"))
     )
-    joined = streams.join(facts, OBJ, "left")
-    target = (joined["doc_id"] == roots["doc_id"]) & (F.col("Length")["ref_id"] == F.col("_id"))
-    followed = joined.join(roots, target, "left").drop(roots["doc_id"])
+    joined = streams.join(facts, OBJ, "left").withColumn("_length_ref", F.col("Length")["ref_id"])
+    followed = joined.join(roots, ["doc_id", "_length_ref"], "left")
     raw = F.coalesce(F.col("_raw"), F.col("Length")["value_raw"])
     return followed.join(listed, OBJ, "left").select(
         *OBJ,

@@ -334,10 +334,14 @@ def ext_gstates(reader: NodeReader, resources: DataFrame) -> DataFrame:
         d.where("SMask IS NOT NULL AND SMask.value_type <> 'name'").select(
             F.col("doc_id"), F.coalesce(F.col("SMask")["ref_id"], F.col("obj_id")).alias("obj_id"),
             F.when(F.col("SMask")["ref_id"].isNull(), F.array_append("at", F.lit("SMask"))).otherwise(_no_path()).alias("at"),
-        ).distinct(), ["S", "G", "TR"])
-    mask = mask.select(
+        ).distinct(), ["S", "G", "TR", "BC"])
+    # The size of a backdrop colour that is written in place.
+    sizes = reader.items(mask.where("BC.value_type = 'array'").select(*NODE), "BC").withColumn(
+        "at", F.slice("item_at", 1, F.size("item_at") - 2)).where("ref_id IS NULL").groupBy(
+        "doc_id", F.col("item_obj").alias("obj_id"), "at").agg(F.count(F.lit(1)).cast("int").alias("_bc"))
+    mask = mask.join(sizes, NODE, "left").select(
         "doc_id", F.col("obj_id").alias("_mo"), F.col("at").alias("_ma"), name_of("S").alias("_s"),
-        F.col("G")["ref_id"].alias("_g"), F.col("TR").isNotNull().alias("_tr"))
+        F.col("G")["ref_id"].alias("_g"), F.col("TR").isNotNull().alias("_tr"), "_bc")
     num = lambda k: F.when(F.col(k)["value_type"] == "number", F.col(k)["value_raw"].try_cast("double"))
     d = d.withColumns({
         "_mo": F.coalesce(F.col("SMask")["ref_id"], F.when(F.col("SMask").isNotNull(), F.col("obj_id"))),
@@ -348,25 +352,72 @@ def ext_gstates(reader: NodeReader, resources: DataFrame) -> DataFrame:
         F.coalesce(name_of("BM"), "_m", F.lit("")).alias("blend_mode"),
         num("fill").alias("fill_alpha"), num("stroke").alias("stroke_alpha"),
         F.coalesce(name_of("SMask"), "_s").alias("smask"), F.col("_g").alias("smask_group"),
-        F.coalesce("_tr", F.lit(False)).alias("smask_transfer"))
+        F.coalesce("_tr", F.lit(False)).alias("smask_transfer"), F.coalesce("_bc", F.lit(0)).alias("smask_backdrop"))
+
+
+def _numbers(reader: NodeReader, nodes: DataFrame, key: str) -> DataFrame:
+    """The numbers of a short array under ``key`` in their order; whatever else it holds is left out."""
+    rows = reader.items(nodes.select(*NODE, F.struct(*NODE).alias("_node")), key).where("value_type = 'number'")
+    listed = F.array_sort(F.collect_list(F.struct("idx", F.col("value_raw").try_cast("double").alias("n"))))
+    return rows.groupBy("_node").agg(F.transform(listed, lambda x: x["n"]).alias(f"_{key}")).select("_node.*", f"_{key}")
 
 
 def xobject_facts(reader: NodeReader, resources: DataFrame, spaces: DataFrame | None = None) -> DataFrame:
-    """Forms and images of a resources dictionary with their sizes and groups."""
-    d = reader.keys(_at_home(resources), ["Subtype", "Width", "Height", "ColorSpace", "Group"])
+    """Forms and images of a resources dictionary with their sizes and groups.
+
+    A form has its box, matrix and, if it has a transparency group, the group's kind,
+    colour space family and the flags isolated and knockout.
+    """
+    d = reader.keys(_at_home(resources), ["Subtype", "Width", "Height", "ColorSpace", "Group", "BBox", "Matrix"], resolve=True)
     sub = F.coalesce(name_of("Subtype"), F.lit(""))
     image = sub == "Image"
+    forms = d.where(sub == "Form").select(*NODE, "Group").distinct()
+    far = F.col("Group")["ref_id"].isNotNull()
+    groups = forms.where(behind(F.col("Group")) == "dict").select(
+        "doc_id", F.struct(*NODE).alias("_node"), F.when(far, F.col("Group")["ref_id"]).otherwise(F.col("obj_id")).alias("obj_id"),
+        F.when(far, _no_path()).otherwise(F.array_append("at", F.lit("Group"))).alias("at"))
+    flag = lambda k: F.coalesce((F.col(k)["value_type"] == "boolean") & (F.col(k)["value"] == "true"), F.lit(False))
+    facts = reader.keys(groups, ["S", "CS", "I", "K"], resolve=True)
+    heads = reader.items(facts.where(behind(F.col("CS")) == "array").select(*NODE), "CS").where("idx = 0 AND value_type = 'name'")
+    # A family in front of an array that is written in the group, or that the group refers to.
+    direct = heads.where(F.size("item_at") > 1).select(
+        "doc_id", F.col("item_obj").alias("obj_id"), F.slice("item_at", 1, F.size("item_at") - 2).alias("at"), F.col("value").alias("_head"))
+    shared = heads.where(F.size("item_at") == 1).select("doc_id", F.col("item_obj").alias("_cs"), F.col("value").alias("_far_head")).distinct()
+    facts = facts.withColumn("_cs", F.col("CS")["ref_id"]).join(direct, NODE, "left").join(shared, ["doc_id", "_cs"], "left")
+    facts = facts.select(
+        "_node.*", F.struct(
+            F.coalesce(name_of("S"), F.lit("")).alias("s"), F.coalesce(_name("CS"), "_head", "_far_head", F.lit("")).alias("cs"),
+            flag("I").alias("isolated"), flag("K").alias("knockout")).alias("group_facts"))
+    d = d.join(_numbers(reader, forms, "BBox"), NODE, "left").join(_numbers(reader, forms, "Matrix"), NODE, "left").join(facts, NODE, "left")
     out = d.select(
         "doc_id", "owner_id", "name", "obj_id", sub.alias("subtype"),
         F.when(image, int_of("Width")).alias("width"), F.when(image, int_of("Height")).alias("height"),
         F.when(image, F.when(F.col("ColorSpace")["ref_id"].isNull(), name_of("ColorSpace"))).alias("_cs_name"),
-        F.when(sub == "Form", F.col("Group").isNotNull()).alias("has_group"))
+        F.when(sub == "Form", F.col("Group").isNotNull()).alias("has_group"),
+        F.col("_BBox").alias("bbox"), F.col("_Matrix").alias("matrix"), "group_facts")
     if spaces is not None:
         out = out.join(spaces.select("doc_id", "obj_id", F.col("family").alias("_fam")), ["doc_id", "obj_id"], "left")
         return out.withColumn("color_space", F.coalesce("_cs_name", "_fam")).drop("_cs_name", "_fam")
     return out.withColumnRenamed("_cs_name", "color_space")
 
 
+def page_links(reader: NodeReader, pages: DataFrame) -> DataFrame:
+    """``doc_id, obj_id, annot_count, contents_id`` of each page object (``doc_id, obj_id``).
+
+    The length of its /Annots, and the first stream of its /Contents; 0 and '' if there is none.
+    """
+    nodes = pages.select("doc_id", "obj_id", _no_path().alias("at")).distinct()
+    d = reader.keys(nodes, ["Annots", "Contents"], resolve=True)
+    owner = F.col("obj_id").alias("_page")
+    annots = reader.items(nodes.select(*NODE, owner), "Annots").groupBy("doc_id", F.col("_page").alias("obj_id")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    listed = reader.items(nodes.select(*NODE, owner), "Contents", resolve=True).where("ref_id IS NOT NULL AND target_type = 'stream'").groupBy(
+        "doc_id", F.col("_page").alias("obj_id")).agg(F.min_by("ref_id", "idx").alias("_first"))
+    one = F.when(behind(F.col("Contents")) == "stream", F.col("Contents")["ref_id"])
+    return d.join(annots, ["doc_id", "obj_id"], "left").join(listed, ["doc_id", "obj_id"], "left").select(
+        "doc_id", "obj_id", F.coalesce("_n", F.lit(0)).alias("annot_count"), F.coalesce(one, "_first", F.lit("")).alias("contents_id"))
+
+
 def color_spaces(reader: NodeReader, places: DataFrame) -> DataFrame:
     """Family of each colour space and what it is built on.
 

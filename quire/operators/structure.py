@@ -592,6 +592,30 @@ def first_seen(rows: DataFrame, keys: list[str], order: str, value: str) -> Data
 # --- header ------------------------------------------------------------------
 
 
+def role_map(reader: NodeReader, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """/RoleMap of each structure tree root (``doc_id, obj_id, at``): roles and problems.
+
+    Roles: ``doc_id, role, target``, the target empty where it is no name; only the
+    others are mappings (see :func:`map_role`). Problems: ``doc_id, message``.
+    """
+    held = reader.keys(roots.select(*NODE), ["RoleMap"], resolve=True).where("RoleMap IS NOT NULL")
+    kind = behind(F.col("RoleMap"))
+    wrong = held.where(kind != "dict").select(
+        "doc_id", F.concat(F.lit("/RoleMap is "), kind_of(kind, behind(F.col("RoleMap"), "raw")), F.lit(", not a dictionary")).alias("message"))
+    far = F.col("RoleMap")["ref_id"].isNotNull()
+    maps = held.where(kind == "dict").select(
+        "doc_id", F.when(far, F.col("RoleMap")["ref_id"]).otherwise(F.col("obj_id")).alias("obj_id"),
+        F.when(far, _no_path()).otherwise(F.array_append("at", F.lit("RoleMap"))).alias("at"))
+    rows = reader.resolved(reader.below.join(maps, NODE, "left_semi").where("key IS NOT NULL AND idx IS NULL"))
+    value = F.struct("value_type", "value_raw", "value", "ref_id", "target_type", "target_raw", "target_value")
+    rows = rows.select("doc_id", F.col("key").alias("role"), value.alias("v"))
+    is_name = behind(F.col("v")) == "name"
+    roles = rows.select("doc_id", "role", F.when(is_name, behind(F.col("v"), "value")).otherwise("").alias("target"), is_name.alias("is_name"))
+    bad = rows.where(~is_name).select("doc_id", F.format_string(
+        "/RoleMap /%s maps to %s, not a name", F.col("role"), kind_of(behind(F.col("v")), behind(F.col("v"), "raw"))).alias("message"))
+    return roles, wrong.unionByName(bad)
+
+
 def structure_header(entries: DataFrame, catalogs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Document-level structure facts and a problem row for each malformed one.
 
@@ -614,7 +638,8 @@ def structure_header(entries: DataFrame, catalogs: DataFrame) -> tuple[DataFrame
         .join(root_type, ["doc_id", "root_id"], "left").join(mark_type, ["doc_id", "_mi"], "left")
     )
     roots = t.where("root_type = 'dict'").select("doc_id", F.col("root_id").alias("obj_id"), _no_path().alias("at"))
-    body = reader.keys(roots, ["ParentTree", "ParentTreeNextKey", "RoleMap"], resolve=True).select(
+    _, role_problems = role_map(reader, roots)
+    body = reader.keys(roots, ["ParentTree", "ParentTreeNextKey"], resolve=True).select(
         "doc_id", F.col("ParentTree")["ref_id"].alias("parent_tree_id"), F.col("ParentTreeNextKey").alias("_next"))
     t = materialize(t.join(body, "doc_id", "left"))
     marked = F.coalesce("_m1", "_m2")
@@ -648,4 +673,5 @@ def structure_header(entries: DataFrame, catalogs: DataFrame) -> tuple[DataFrame
                F.format_string("/ParentTreeNextKey is %s, not an integer", kind_of(behind(F.col("_next")), behind(F.col("_next"), "raw"))).alias("message"))),
     ))
     problems = t.select("doc_id", F.explode(messages).alias("p")).select("doc_id", "p.*")
-    return facts, problems
+    roles = role_problems.join(t.select("doc_id", F.trim(where_root).alias("place")), "doc_id").select("doc_id", "place", "message")
+    return facts, problems.unionByName(roles)

@@ -253,6 +253,26 @@ def _(spark, d):
     return rows.where("key = 'Status' OR obj_id LIKE 'S%'").select("obj_id", "key", "display", "raw")
 
 
+@query("stream_facts", """
+SELECT 'P' || p_partkey AS obj_id, CASE WHEN p_type = 'LARGE' THEN NULL ELSE CAST(p_size AS BIGINT) END AS length,
+  CASE WHEN p_size > 40 THEN '' WHEN p_size > 20 THEN p_type ELSE 'A,' || p_type END AS filters FROM part""")
+def _(spark, d):
+    # The length of a stream is its own, behind a reference, or no number at all.
+    part = table(spark, d, "part")
+    rows = b.entries_of(
+        part, "'parts'", "concat('P', p_partkey)", b.container([], "stream"),
+        b.only_if("p_type = 'SMALL'", b.ref(["Length"], "concat('L', p_partkey)")),
+        b.only_if("p_type not in ('SMALL', 'LARGE')", b.number(["Length"], "p_size")),
+        b.only_if("p_type = 'LARGE'", b.name(["Length"], "'many'")),
+        b.only_if("p_size between 21 and 40", b.name(["Filter"], "p_type")),
+        b.only_if("p_size <= 20", b.container(["Filter"], "array")),
+        b.only_if("p_size <= 20", b.entry(["Filter", "[0]"], "name", "'/A'", "'A'", idx="0")),
+        b.only_if("p_size <= 20", b.entry(["Filter", "[1]"], "name", "concat('/', p_type)", "p_type", idx="1")),
+        placed=[("concat('L', p_partkey)", b.number([], "p_size"))],
+    )
+    return ob.stream_facts(rows).select("obj_id", "length", F.array_join("filters", ",").alias("filters"))
+
+
 def _palette(spark, d):
     """Search texts taken from the data: names, references, prefixes and junk."""
     n = table(spark, d, "nation")

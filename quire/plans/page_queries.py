@@ -163,7 +163,8 @@ def _resources(df, owner, name, obj):
 SELECT 'Gs' || c_custkey AS name, CASE WHEN c_acctbal > 5000 THEN 'Multiply' WHEN c_acctbal > 0 THEN 'Screen' ELSE '' END AS blend_mode,
   CASE WHEN c_nationkey < 10 THEN c_acctbal END AS fill_alpha, CAST(NULL AS DOUBLE) AS stroke_alpha,
   CASE WHEN c_nationkey >= 20 THEN 'None' WHEN c_nationkey >= 10 THEN 'Alpha' END AS smask,
-  CASE WHEN c_nationkey BETWEEN 10 AND 19 THEN 'G' || c_nationkey END AS smask_group, c_nationkey BETWEEN 10 AND 14 AS smask_transfer FROM customer""")
+  CASE WHEN c_nationkey BETWEEN 10 AND 19 THEN 'G' || c_nationkey END AS smask_group, c_nationkey BETWEEN 10 AND 14 AS smask_transfer,
+  CASE WHEN c_nationkey BETWEEN 12 AND 19 THEN 2 ELSE 0 END AS smask_backdrop FROM customer""")
 def _(spark, d):
     c = table(spark, d, "customer")
     obj = "concat('S', c_custkey)"
@@ -178,6 +179,8 @@ def _(spark, d):
         b.only_if("c_nationkey between 10 and 19", b.name(["SMask", "S"], "'Alpha'")),
         b.only_if("c_nationkey between 10 and 19", b.ref(["SMask", "G"], "concat('G', c_nationkey)")),
         b.only_if("c_nationkey between 10 and 14", b.name(["SMask", "TR"], "'Identity'")),
+        b.only_if("c_nationkey between 12 and 19", b.container(["SMask", "BC"], "array")),
+        *[b.only_if("c_nationkey between 12 and 19", b.number(["SMask", "BC", f"[{i}]"], "c_custkey", idx=str(i))) for i in range(2)],
     )
     return pg.ext_gstates(NodeReader(entries), _resources(c, "concat('N', c_nationkey)", "concat('Gs', c_custkey)", obj)).drop("doc_id", "owner_id")
 
@@ -191,6 +194,16 @@ def _part_entries(spark, d):
         b.only_if(is_img, b.number(["Width"], "p_size")), b.only_if(is_img, b.number(["Height"], "p_size + 1")),
         b.only_if(is_img, b.name(["ColorSpace"], "'DeviceRGB'")),
         b.only_if(f"{is_form} and p_size > 25", b.container(["Group"], "dict")),
+        b.only_if(f"{is_form} and p_size > 25", b.name(["Group", "S"], "'Transparency'")),
+        b.only_if(f"{is_form} and p_size > 35", b.boolean(["Group", "I"], "'true'")),
+        b.only_if(f"{is_form} and p_size > 30", b.container(["Group", "CS"], "array")),
+        b.only_if(f"{is_form} and p_size > 30", b.entry(["Group", "CS", "[0]"], "name", "'/CalRGB'", "'CalRGB'", idx="0")),
+        b.only_if(f"{is_form} and p_size between 26 and 30", b.name(["Group", "CS"], "'DeviceRGB'")),
+        b.only_if(is_form, b.container(["BBox"], "array")),
+        *[b.only_if(is_form, b.number(["BBox", f"[{i}]"], f"p_size + {i}", idx=str(i))) for i in range(4)],
+        b.only_if(f"{is_form} and p_size > 40", b.container(["Matrix"], "array")),
+        b.only_if(f"{is_form} and p_size > 40", b.number(["Matrix", "[0]"], "p_retailprice", idx="0")),
+        b.only_if(f"{is_form} and p_size > 40", b.name(["Matrix", "[1]"], "'odd'")),
         b.number(["PatternType"], "p_size % 2 + 1"), b.number(["ShadingType"], "p_size % 7 + 1"),
     )
 
@@ -198,11 +211,41 @@ def _part_entries(spark, d):
 @query("xobject_facts", """
 SELECT 'X' || p_partkey AS name, CASE p_type WHEN 'ECONOMY' THEN 'Image' WHEN 'SMALL' THEN 'Form' ELSE '' END AS subtype,
   CASE WHEN p_type = 'ECONOMY' THEN CAST(p_size AS BIGINT) END AS width, CASE WHEN p_type = 'ECONOMY' THEN CAST(p_size + 1 AS BIGINT) END AS height,
-  CASE WHEN p_type = 'ECONOMY' THEN 'DeviceRGB' END AS color_space, CASE WHEN p_type = 'SMALL' THEN p_size > 25 END AS has_group FROM part""")
+  CASE WHEN p_type = 'ECONOMY' THEN 'DeviceRGB' END AS color_space, CASE WHEN p_type = 'SMALL' THEN p_size > 25 END AS has_group,
+  CASE WHEN p_type = 'SMALL' THEN p_size || ' ' || (p_size + 1) || ' ' || (p_size + 2) || ' ' || (p_size + 3) END AS bbox,
+  CASE WHEN p_type = 'SMALL' AND p_size > 40 THEN p_retailprice END AS matrix,
+  CASE WHEN p_type = 'SMALL' AND p_size > 25 THEN 'Transparency ' || CASE WHEN p_size > 30 THEN 'CalRGB' ELSE 'DeviceRGB' END || ' ' || (p_size > 35) || ' false' END AS group_facts
+  FROM part""")
 def _(spark, d):
     p, entries = _part_entries(spark, d)
     rows = pg.xobject_facts(NodeReader(entries), _resources(p, "p_brand", "concat('X', p_partkey)", "concat('P', p_partkey)"))
-    return rows.drop("doc_id", "owner_id", "obj_id")
+    return rows.drop("doc_id", "owner_id", "obj_id").withColumns({
+        "bbox": F.array_join(F.col("bbox").cast("array<bigint>").cast("array<string>"), " "), "matrix": F.col("matrix")[0],
+        "group_facts": F.when(F.col("group_facts").isNotNull(), F.concat_ws(" ", *[F.col(f"group_facts.{k}").cast("string") for k in ("s", "cs", "isolated", "knockout")]))})
+
+
+@query("page_links", """
+WITH n AS (SELECT o_orderkey, o_orderstatus, count(l_orderkey) AS n, arg_min(l_partkey, (l_linenumber, l_partkey)) AS first FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT 'O' || o_orderkey AS obj_id, n AS annot_count,
+  CASE WHEN o_orderstatus = 'F' THEN 'own' WHEN o_orderstatus = 'O' AND n > 0 THEN 'P' || first ELSE '' END AS contents_id FROM n""")
+def _(spark, d):
+    # An order is a page; its lines are its annotations, and the streams of an open order.
+    page = "concat('O', o_orderkey)"
+    spot = ["Annots", "concat('[', l_linenumber * 100000 + l_partkey, ']')"]
+    lines = table(spark, d, "lineitem")
+    orders = table(spark, d, "orders")
+    status = lines.join(orders.select("o_orderkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
+    n = "l_linenumber * 100000 + l_partkey"
+    streams = table(spark, d, "part").selectExpr("concat('P', p_partkey) as id").unionByName(spark.range(1).selectExpr("'own' as id"))
+    entries = b.union_all(
+        b.entries_of(orders, _RES, page, b.container([], "dict"), b.container(["Annots"], "array"),
+                     b.only_if("o_orderstatus = 'F'", b.ref(["Contents"], "'own'")),
+                     b.only_if("o_orderstatus = 'O'", b.container(["Contents"], "array"))),
+        b.entries_of(status, _RES, "concat('O', l_orderkey)", b.ref(spot, "concat('A', l_suppkey)", n),
+                     b.only_if("o_orderstatus = 'O'", b.ref(["Contents", spot[1]], "concat('P', l_partkey)", n))),
+        b.entries_of(streams, _RES, "id", b.container([], "stream")),
+    )
+    return pg.page_links(NodeReader(entries), orders.selectExpr(f"{_RES} as doc_id", f"{page} as obj_id")).drop("doc_id")
 
 
 @query("patterns", "SELECT 'X' || p_partkey AS name, 'P' || p_partkey AS obj_id, p_size % 2 + 1 AS type_number FROM part")

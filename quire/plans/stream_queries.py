@@ -205,6 +205,70 @@ def _(spark, d):
     return back.select(F.regexp_extract("doc_id", r"l_suppkey=(\d+)", 1).cast("bigint").alias("supplier"), "objNum", "status", "offset")
 
 
+def _dump_of_suppliers(spark, d, kind, row, *shown):
+    """Order lines written as dumps of one kind, one per supplier, then read back."""
+    rows = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.to_json(F.collect_list(F.expr(f"named_struct({row})"))).alias("value"))
+    back = dumps.read_index_dump(spark, kind, _one_file_per_supplier(rows, _home(spark)))
+    return back.select(F.regexp_extract("doc_id", r"l_suppkey=(\d+)", 1).cast("bigint").alias("supplier"), *shown)
+
+
+@query("read_pages_dump", """
+SELECT l_suppkey AS supplier, l_orderkey AS "pageNum", l_partkey AS "objNum", 'obj:0:' || l_partkey AS "nodeId", 'obj:0:' || l_orderkey AS "contentNodeId",
+  l_quantity AS width, l_linenumber * 90 AS rotate, l_linenumber AS "annotCount", CAST(l_partkey AS BIGINT) AS "contentLen" FROM lineitem""")
+def _(spark, d):
+    return _dump_of_suppliers(
+        spark, d, "pages",
+        "'pageNum', l_orderkey, 'objNum', l_partkey, 'gen', 0, 'nodeId', concat('obj:0:', l_partkey), 'contentNodeId', concat('obj:0:', l_orderkey), "
+        "'mediaBox', array(0d, 0d, l_quantity, 9d), 'rotate', l_linenumber * 90, 'inherited', 2, 'annotCount', l_linenumber, 'contentLen', l_partkey, 'error', ''",
+        "pageNum", "objNum", "nodeId", "contentNodeId", F.col("mediaBox")[2].alias("width"), "rotate", "annotCount", "contentLen")
+
+
+@query("read_images_dump", """
+SELECT l_suppkey AS supplier, l_partkey AS "objNum", l_linenumber AS width, CASE WHEN l_returnflag = 'R' THEN 'S' || l_orderkey END AS smask, l_discount AS low,
+  l_linestatus = 'O' AS "decodeNonDefault", l_returnflag AS "sampleInterpretation", l_linestatus AS "adobeMarker",
+  CASE WHEN l_linestatus = 'O' THEN l_linenumber END AS "adobeTransform", l_orderkey * 1000000 AS "estimatedBytes",
+  'obj:0:' || l_orderkey AS first, 'w' || l_linenumber AS warning FROM lineitem""")
+def _(spark, d):
+    return _dump_of_suppliers(
+        spark, d, "images",
+        "'objNum', l_partkey, 'gen', 0, 'width', l_linenumber, 'filters', array('DCTDecode'), 'imageMask', false, "
+        "'smask', if(l_returnflag = 'R', concat('S', l_orderkey), null), 'decode', array(l_discount, 1d), 'decodeNonDefault', l_linestatus = 'O', "
+        "'sampleInterpretation', l_returnflag, 'adobeMarker', l_linestatus, 'adobeTransform', if(l_linestatus = 'O', l_linenumber, null), "
+        "'estimatedBytes', l_orderkey * 1000000, 'firstPageNodeIds', array(concat('obj:0:', l_orderkey)), 'warning', concat('w', l_linenumber), 'error', ''",
+        "objNum", "width", "smask", F.col("decode")[0].alias("low"), "decodeNonDefault", "sampleInterpretation", "adobeMarker", "adobeTransform",
+        "estimatedBytes", F.col("firstPageNodeIds")[0].alias("first"), "warning")
+
+
+@query("read_signatures_dump", """
+SELECT l_suppkey AS supplier, 'f' || l_orderkey AS "fieldName", l_linestatus = 'O' AS signed, l_returnflag AS "subFilter",
+  CASE WHEN l_linestatus = 'O' THEN l_returnflag = 'R' END AS "coversWholeFile", 'e' || l_linenumber AS "coverageError" FROM lineitem""")
+def _(spark, d):
+    return _dump_of_suppliers(
+        spark, d, "signatures",
+        "'fieldName', concat('f', l_orderkey), 'signed', l_linestatus = 'O', 'subFilter', l_returnflag, "
+        "'coversWholeFile', if(l_linestatus = 'O', l_returnflag = 'R', null), 'coverageError', concat('e', l_linenumber)",
+        "fieldName", "signed", "subFilter", "coversWholeFile", "coverageError")
+
+
+@query("read_embedded_dump", """
+SELECT l_suppkey AS supplier, 'n' || l_orderkey AS name, l_partkey || ' 0 R' AS "filespecRef", l_returnflag AS "afRelationship",
+  CAST(l_partkey AS BIGINT) AS size, CASE WHEN l_linestatus = 'O' THEN '' ELSE 'no size' END AS warning FROM lineitem""")
+def _(spark, d):
+    return _dump_of_suppliers(
+        spark, d, "embedded",
+        "'name', concat('n', l_orderkey), 'filespecRef', concat(l_partkey, ' 0 R'), 'afRelationship', l_returnflag, 'size', l_partkey, "
+        "'warning', if(l_linestatus = 'O', '', 'no size')",
+        "name", "filespecRef", "afRelationship", "size", "warning")
+
+
+@query("read_metadata_dump", """SELECT s_suppkey AS supplier, s_name AS title, 'x' || s_nationkey AS xmp FROM supplier""")
+def _(spark, d):
+    rows = table(spark, d, "supplier").selectExpr(
+        "s_suppkey as l_suppkey", "to_json(named_struct('info', map('Title', s_name), 'xmp', concat('x', s_nationkey))) as value")
+    back = dumps.read_index_dump(spark, "metadata", _one_file_per_supplier(rows, _home(spark)))
+    return back.select(F.regexp_extract("doc_id", r"l_suppkey=(\d+)", 1).cast("bigint").alias("supplier"), F.col("info")["Title"].alias("title"), "xmp")
+
+
 @query("read_ops", """SELECT l_orderkey AS "srcLineStart", 'Do' AS op, '/P' || l_partkey AS param FROM lineitem""")
 def _(spark, d):
     home = _home(spark)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators import structure as st
+from quire.operators.graph import NodeReader
 from quire.plans import bindings as b
 from quire.plans.registry import query, table
 
@@ -301,9 +302,30 @@ def _headers(spark, d):
         b.only_if("c_mktsegment = 'MACHINERY'", b.name(["MarkInfo"], "'yes'")),
         b.only_if("c_mktsegment <> 'FURNITURE'", b.ref(["StructTreeRoot"], "if(c_acctbal > 0, 'root', 'gone')")),
         placed=[("'root'", b.container([], "dict")), ("'root'", b.number(["ParentTreeNextKey"], "c_custkey")),
-                ("'root'", b.ref(["ParentTree"], "'pt'"))],
+                ("'root'", b.ref(["ParentTree"], "'pt'")),
+                ("'root'", b.only_if("c_nationkey = 7", b.number(["RoleMap"], "1.5"))),
+                ("'root'", b.only_if("c_nationkey <> 7", b.container(["RoleMap"], "dict"))),
+                ("'root'", b.only_if("c_nationkey <> 7", b.name(["RoleMap", "(concat('R', c_custkey))"], "c_mktsegment"))),
+                ("'root'", b.only_if("c_nationkey < 3", b.string(["RoleMap", "Note"], "c_name")))],
     )
-    return st.structure_header(entries, customer.selectExpr(f"{_HEADER_DOC} as doc_id", "'cat' as obj_id"))
+    return entries, customer.selectExpr(f"{_HEADER_DOC} as doc_id", "'cat' as obj_id")
+
+
+def _header(spark, d):
+    entries, catalogs = _headers(spark, d)
+    return st.structure_header(entries, catalogs)
+
+
+@query("role_map", """
+WITH c AS (SELECT * FROM customer WHERE c_mktsegment <> 'FURNITURE' AND c_acctbal > 0 AND c_nationkey <> 7)
+SELECT 'D' || c_custkey AS doc_id, 'R' || c_custkey AS role, c_mktsegment AS target, true AS is_name FROM c
+UNION ALL SELECT 'D' || c_custkey, 'Note', '', false FROM c WHERE c_nationkey < 3""")
+def _(spark, d):
+    entries, _ = _headers(spark, d)
+    reader = NodeReader(entries)
+    roots = table(spark, d, "customer").where("c_mktsegment <> 'FURNITURE' AND c_acctbal > 0").selectExpr(
+        f"{_HEADER_DOC} as doc_id", "'root' as obj_id", "cast(array() as array<string>) as at")
+    return st.role_map(reader, roots)[0]
 
 
 @query("structure_header", """
@@ -312,13 +334,17 @@ SELECT 'D' || c_custkey AS doc_id, CASE WHEN c_nationkey < 10 THEN c_name ELSE '
   c_mktsegment <> 'FURNITURE' AND c_acctbal > 0 AS has_tree, CASE WHEN c_mktsegment <> 'FURNITURE' AND c_acctbal > 0 THEN 'pt' END AS parent_tree_id,
   CASE WHEN c_mktsegment <> 'FURNITURE' AND c_acctbal > 0 THEN c_custkey END AS next_key FROM customer""")
 def _(spark, d):
-    return _headers(spark, d)[0]
+    return _header(spark, d)[0]
 
 
 @query("structure_header_problems", """
 SELECT 'D' || c_custkey AS doc_id, 'catalog' AS place, '/Lang is an integer that does not decode as a text string' AS message FROM customer WHERE c_nationkey >= 20
 UNION ALL SELECT 'D' || c_custkey, 'catalog', '/MarkInfo is a name, not a dictionary' FROM customer WHERE c_mktsegment = 'MACHINERY'
 UNION ALL SELECT 'D' || c_custkey, 'catalog', '/StructTreeRoot gone does not resolve to an object; treated as absent'
-  FROM customer WHERE c_mktsegment <> 'FURNITURE' AND c_acctbal <= 0""")
+  FROM customer WHERE c_mktsegment <> 'FURNITURE' AND c_acctbal <= 0
+UNION ALL SELECT 'D' || c_custkey, 'StructTreeRoot root', '/RoleMap is a real, not a dictionary'
+  FROM customer WHERE c_mktsegment <> 'FURNITURE' AND c_acctbal > 0 AND c_nationkey = 7
+UNION ALL SELECT 'D' || c_custkey, 'StructTreeRoot root', '/RoleMap /Note maps to a string, not a name'
+  FROM customer WHERE c_mktsegment <> 'FURNITURE' AND c_acctbal > 0 AND c_nationkey < 3""")
 def _(spark, d):
-    return _headers(spark, d)[1]
+    return _header(spark, d)[1]

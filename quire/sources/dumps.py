@@ -25,7 +25,8 @@ INDEX_SCHEMAS = {
     "images": (
         "objNum bigint, gen int, nodeId string, firstPage bigint, pageCount bigint, firstPages array<bigint>, "
         "width bigint, height bigint, bitsPerComponent int, colorSpace string, filters array<string>, "
-        "imageMask boolean, error string"
+        "imageMask boolean, smask string, decode array<double>, decodeNonDefault boolean, sampleInterpretation string, "
+        "adobeMarker string, adobeTransform int, estimatedBytes bigint, firstPageNodeIds array<string>, warning string, error string"
     ),
     "xref": "objNum bigint, gen int, status string, offset bigint, hostObjStm bigint, nodeID string",
     "signatures": (
