@@ -64,7 +64,7 @@ def images_by_page(
     once = uses.groupBy(*page, "obj_id").agg(
         F.min_by("path", "ord").alias("path"), F.min("ord").alias("_ord")
     )
-    placed = row_numbers(once, page, ["_ord", "obj_id"], skew.chunk(F.col("_ord")), "position", skew).drop("_ord")
+    placed = row_numbers(once, page, ["_ord", "obj_id"], "position", skew).drop("_ord")
     if incomplete is None:
         return placed.withColumn("incomplete", F.lit(False))
     marks = incomplete.select(*page, F.lit(True).alias("_bad")).distinct()
@@ -81,7 +81,7 @@ def images_by_page(
 def page_islands(df: DataFrame, keys: list[str], num: str = "page_num", skew: Skew = DEFAULT_SKEW) -> DataFrame:
     """``keys, low, high``: runs of consecutive numbers."""
     once = df.select(*keys, F.col(num).cast("bigint").alias("_n")).distinct()
-    numbered = row_numbers(once, keys, ["_n"], skew.chunk(F.col("_n")), "_rn", skew)
+    numbered = row_numbers(once, keys, ["_n"], "_rn", skew)
     return (
         numbered.groupBy(*keys, (F.col("_n") - F.col("_rn")).alias("_run"))
         .agg(F.min("_n").alias("low"), F.max("_n").alias("high"))
@@ -229,7 +229,14 @@ def image_facts(images: DataFrame) -> DataFrame:
     ``images`` has ``doc_id, obj_id, width, height, bits, color_space,
     components, image_mask, smask_id, decode (array<double>), decode_rejected,
     lab_range (array<double>), marker``. Absent bits read as 8.
+
+    It may have ``filters (array<string>), has_smask, transform, failed
+    (array<string>)`` too: the filters in order, whether a soft mask is there at all,
+    the marker's transform, and what could not be read. ``smask`` is null without a
+    soft mask and empty if it is no reference; ``decode`` null where it was rejected.
     """
+    absent = {"filters": "array<string>", "has_smask": "boolean", "transform": "int", "failed": "array<string>"}
+    images = images.withColumns({c: F.lit(None).cast(t) for c, t in absent.items() if c not in images.columns})
     mask = F.coalesce("image_mask", F.lit(False))
     bits = F.coalesce("bits", F.lit(8))
     size_bits = F.when(mask, F.lit(1)).otherwise(bits)
@@ -260,5 +267,38 @@ def image_facts(images: DataFrame) -> DataFrame:
         sample_verdict(
             F.col("color_space"), mask, F.col("components"), F.col("decode"), F.col("decode_rejected"), F.col("marker")
         ).alias("verdict"),
+        F.coalesce("filters", F.array().cast("array<string>")).alias("filters"),
+        F.when(F.coalesce("has_smask", F.lit(False)) | F.col("smask_id").isNotNull(), F.coalesce("smask_id", F.lit(""))).alias("smask"),
+        F.when(~F.coalesce("decode_rejected", F.lit(False)), F.col("decode")).alias("decode"),
+        "marker",
+        F.when(F.col("marker") == "present", F.col("transform")).alias("transform"),
+        F.concat_ws(
+            "; ", F.coalesce("failed", F.array().cast("array<string>")),
+            F.when(F.coalesce("decode_rejected", F.lit(False)), F.lit("decode array metadata: rejected"))).alias("warning"),
     )
 
+
+def image_rows(uses: DataFrame, facts: DataFrame, pages: DataFrame, issues: DataFrame, first_pages: int = FIRST_PAGES) -> DataFrame:
+    """The image list: one row an image with its uses and facts, then one a failing object.
+
+    ``uses`` as for :func:`image_index`, ``facts`` from :func:`image_facts`, ``pages`` has
+    ``doc_id, page_num, page_id`` (null for a page that is no object of its own),
+    ``issues`` has ``doc_id, obj_id, error``, one row an object. ``first_page_nodes``
+    names the first pages in their order, '' for a page without a reference. An error
+    row has no node and zero counts. ``place`` sorts a document's rows: images by first
+    page, errors last.
+    """
+    index = image_index(uses, first_pages)
+    # At most ``first_pages`` rows an image.
+    opened = index.select(*OBJ, F.explode("first_pages").alias("page_num")).join(pages, ["doc_id", "page_num"], "left")
+    nodes = opened.groupBy(*OBJ).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("page_num", F.coalesce("page_id", F.lit("")).alias("n")))), lambda x: x["n"]).alias("first_page_nodes"))
+    rows = index.join(nodes, OBJ).join(facts, OBJ, "left").select(
+        "*", F.col("obj_id").alias("node_id"), F.lit("").alias("error"), F.struct(F.lit(0).alias("k"), F.col("first_page").alias("p"), "obj_id").alias("place"))
+    zero = F.lit(0).cast("bigint")
+    bad = issues.select(
+        *OBJ, F.lit("").alias("node_id"), "error", zero.alias("first_page"), zero.alias("page_count"),
+        F.array().cast("array<bigint>").alias("first_pages"), F.array().cast("array<string>").alias("first_page_nodes"),
+        F.struct(F.lit(1).alias("k"), zero.alias("p"), "obj_id").alias("place"))
+    return rows.unionByName(bad, allowMissingColumns=True)
+

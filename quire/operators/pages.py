@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.operators.graph import NODE, Levels, NodeReader, SpreadEdges, closure, first_sight
 from quire.operators.objects import int_of, name_of, root_rows
-from quire.operators.scan import DEFAULT_SKEW, Skew, scan_groups
+from quire.operators.scan import DEFAULT_SKEW, Skew, row_numbers
 from quire.operators.structure import behind, kind_of
 from quire.session import BucketedTable, materialize
 
@@ -167,14 +167,9 @@ def _inherit(nodes: DataFrame) -> DataFrame:
 def number_pages(leaves: DataFrame, skew: Skew = DEFAULT_SKEW) -> DataFrame:
     """1-based page numbers in document order (``ord``: child positions from the root).
 
-    A document too long for one task is cut by the first step of ``ord``.
+    A document too long for one task is cut by ranges of ``ord``.
     """
-    chunk = F.coalesce(F.try_element_at("ord", F.lit(1)), F.lit(0))
-    return scan_groups(
-        leaves, ["doc_id"],
-        lambda rows, scan: scan.running(rows, ["doc_id"], ["ord"], chunk, page_num=("sum", F.lit(1).cast("bigint"))),
-        skew,
-    )
+    return row_numbers(leaves, ["doc_id"], ["ord"], "page_num", skew)
 
 
 def _leaf_rows(leaves: DataFrame) -> DataFrame:

@@ -192,10 +192,37 @@ def _carry_join(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFra
     return rows.alias("_d").join(summary.alias("_s"), same, "left")
 
 
-def row_numbers(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, out: str, skew: Skew = DEFAULT_SKEW
-) -> DataFrame:
-    """1-based row number per key."""
-    return scan_groups(
-        df, keys, lambda rows, scan: scan.running(rows, keys, order, chunk, **{out: ("sum", F.lit(1).cast("bigint"))}), skew
-    )
+def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, skew: Skew = DEFAULT_SKEW) -> DataFrame:
+    """1-based row number per key; ``order`` tells the rows of a key apart, or ties are equal rows.
+
+    Small groups are numbered by a window, groups above ``max_group_rows`` by range.
+    """
+
+    def build(rows: DataFrame, scan: WindowScan) -> DataFrame:
+        if isinstance(scan, ChunkScan):
+            return range_ranks(rows, keys, order, out, skew)
+        return rows.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+
+    return scan_groups(df, keys, build, skew)
+
+
+def range_ranks(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, skew: Skew = DEFAULT_SKEW) -> DataFrame:
+    """Row numbers of groups of any size, whatever their order looks like.
+
+    All rows are dealt by sampled ranges of ``keys, order`` and sorted there. A row's
+    number is its place in its range plus what the earlier ranges hold of its key: one
+    count for each key and range, which are few for a large group.
+    """
+    keys, sorting = list(keys), [*keys, *order]
+    tasks = max(2, -(-df.count() // skew.chunk_rows))
+    dealt = df.repartitionByRange(tasks, *sorting).sortWithinPartitions(*sorting)
+    # The number of a row within its task is in the lower 33 bits, the task above them.
+    placed = materialize(dealt.withColumn("_at", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_at", 33))
+    counts = placed.groupBy(*keys, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_range", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    same = F.col("_d._range") == F.col("_s._range")
+    for k in keys:
+        same = same & F.col(f"_d.{k}").eqNullSafe(F.col(f"_s.{k}"))
+    number = F.col("_d._at") - F.col("_s._first") + F.col("_s._before") + 1
+    return placed.alias("_d").join(offsets.alias("_s"), same).select(*[F.col(f"_d.{c}") for c in df.columns if c != out], number.alias(out))

@@ -157,8 +157,7 @@ def certs_to_export(
     ``signatures`` has ``doc_id, field_name, ord, signed``. N counts all listed
     fields of the document, M the certificates of the field.
     """
-    first_step = F.coalesce(F.try_element_at("ord", F.lit(1)), F.lit(0))
-    numbered = row_numbers(signatures, ["doc_id"], ["ord"], first_step, "_n", skew)
+    numbered = row_numbers(signatures, ["doc_id"], ["ord"], "_n", skew)
     chosen = numbered.where("signed") if field is None else numbered.where(F.col("field_name") == field)
-    listed = row_numbers(chosen.join(certs, FIELD), FIELD, ["cert_idx"], skew.chunk(F.col("cert_idx")), "_m", skew)
+    listed = row_numbers(chosen.join(certs, FIELD), FIELD, ["cert_idx"], "_m", skew)
     return listed.select(*FIELD, "cert_idx", "subject", F.format_string("sig%d-cert%d", "_n", "_m").alias("file_name"))

@@ -557,7 +557,7 @@ def align_mcids(content: DataFrame, slots: DataFrame, claimed: DataFrame) -> Dat
 
 
 def labels_by_key(
-    rows: DataFrame, keys: list[str], order: list[str], chunk: Column, label: Column,
+    rows: DataFrame, keys: list[str], order: list[str], label: Column,
     at_least: int = 1, skew: Skew = DEFAULT_SKEW,
 ) -> DataFrame:
     """Keys on ``at_least`` rows with their labels in order: ``keys, n, part, labels``.
@@ -567,7 +567,7 @@ def labels_by_key(
     """
     named = rows.withColumn("_label", label)
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= at_least)
-    numbered = row_numbers(named.join(counts, keys), keys, order, chunk, "_rn", skew)
+    numbered = row_numbers(named.join(counts, keys), keys, order, "_rn", skew)
     part = F.floor((F.col("_rn") - 1) / LOCATIONS_PER_PART).cast("int")
     return (
         numbered.groupBy(*keys, "n", part.alias("part"))
@@ -577,10 +577,10 @@ def labels_by_key(
 
 
 def duplicate_keys(
-    rows: DataFrame, keys: list[str], order: list[str], chunk: Column, label: Column, skew: Skew = DEFAULT_SKEW
+    rows: DataFrame, keys: list[str], order: list[str], label: Column, skew: Skew = DEFAULT_SKEW
 ) -> DataFrame:
     """Keys on more than one row, with all their labels."""
-    return labels_by_key(rows, keys, order, chunk, label, 2, skew)
+    return labels_by_key(rows, keys, order, label, 2, skew)
 
 
 def first_seen(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:

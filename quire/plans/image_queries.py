@@ -177,7 +177,39 @@ SELECT CAST(p_partkey AS VARCHAR) AS obj_id, width, height, coalesce(bits, 8) AS
     WHEN NOT mask AND n = 4 THEN 'Inverted: /Decode inverts, no Adobe APP14 marker' ELSE 'Inverted by /Decode' END AS verdict
 FROM img""")
 def _(spark, d):
-    return im.image_facts(_images(spark, d)).drop("doc_id", "smask_id")
+    facts = im.image_facts(_images(spark, d))
+    return facts.select("obj_id", "width", "height", "bits", "color_space", "image_mask", "decode_non_default", "estimated_bytes", "verdict")
+
+
+@query("image_rows", f"""WITH {_IMAGES_SQL},
+u AS (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey) AS rn, o_orderstatus <> 'P' AS own FROM u JOIN orders ON o_orderkey = l_orderkey),
+i AS (SELECT l_partkey, min(l_orderkey) AS first_page, count(*) AS page_count, string_agg(l_orderkey, ',' ORDER BY l_orderkey) FILTER (rn <= 16) AS first_pages,
+  string_agg(CASE WHEN own THEN 'obj:0:' || l_orderkey ELSE '' END, ',' ORDER BY l_orderkey) FILTER (rn <= 16) AS nodes FROM r GROUP BY l_partkey)
+SELECT CAST(p_partkey AS VARCHAR) AS obj_id, CAST(p_partkey AS VARCHAR) AS node_id, first_page, page_count, first_pages, nodes,
+  width, CASE WHEN mask THEN 'JBIG2Decode' ELSE 'FlateDecode,DCTDecode' END AS filters,
+  CASE WHEN width > 200 THEN CASE WHEN inverted THEN '' ELSE 'S' || p_partkey END END AS smask, inverted AS has_decode,
+  CASE WHEN marker = 'present' THEN height // 10 END AS transform,
+  CASE WHEN width = 0 THEN 'Width metadata: not read' ELSE '' END AS warning, '' AS error, 0 AS kind
+FROM img JOIN i ON l_partkey = p_partkey
+UNION ALL SELECT 'S' || s_suppkey, '', 0, 0, '', '', NULL, NULL, NULL, NULL, NULL, NULL, 'form of nation ' || s_nationkey, 1 FROM supplier""")
+def _(spark, d):
+    # Parts are images on the orders of their lines; a supplier is an object at which a walk stopped.
+    images = _images(spark, d).withColumns({
+        "doc_id": F.lit("shop"),
+        "filters": F.when(F.col("image_mask"), F.array(F.lit("JBIG2Decode"))).otherwise(F.array(F.lit("FlateDecode"), F.lit("DCTDecode"))),
+        "has_smask": F.col("width") > 200, "transform": F.expr("cast(height div 10 as int)"),
+        "smask_id": F.when((F.col("width") > 200) & F.col("decode").isNull(), F.concat(F.lit("S"), "obj_id")),
+        "failed": F.when(F.col("width") == 0, F.array(F.lit("Width metadata: not read")))})
+    uses = table(spark, d, "lineitem").selectExpr("'shop' as doc_id", "cast(l_partkey as string) as obj_id", "l_orderkey as page_num")
+    pages = table(spark, d, "orders").selectExpr("'shop' as doc_id", "o_orderkey as page_num", "if(o_orderstatus = 'P', null, concat('obj:0:', o_orderkey)) as page_id")
+    issues = table(spark, d, "supplier").selectExpr("'shop' as doc_id", "concat('S', s_suppkey) as obj_id", "concat('form of nation ', s_nationkey) as error")
+    rows = im.image_rows(uses, im.image_facts(images), pages, issues)
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return rows.select(
+        "obj_id", "node_id", "first_page", "page_count", joined("first_pages").alias("first_pages"), joined("first_page_nodes").alias("nodes"),
+        "width", joined("filters").alias("filters"), "smask", F.when(F.col("filters").isNotNull(), F.col("decode").isNotNull()).alias("has_decode"),
+        "transform", "warning", "error", F.col("place.k").alias("kind"))
 
 
 @query("image_sizes", f"""WITH {_IMAGES_SQL}, s AS (

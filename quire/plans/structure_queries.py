@@ -47,7 +47,7 @@ def _(spark, d):
     rows = table(spark, d, "lineitem").selectExpr(
         "l_orderkey as page_num", "cast(l_linenumber as bigint) as mcid",
         "concat_ws('/', l_partkey, l_suppkey, l_quantity) as loc")
-    return st.duplicate_keys(rows, ["page_num", "mcid"], ["loc"], F.lit(0), F.col("loc"))
+    return st.duplicate_keys(rows, ["page_num", "mcid"], ["loc"], F.col("loc"))
 
 
 @query("first_seen", """

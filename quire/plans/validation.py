@@ -176,7 +176,7 @@ def mcid_unique(streams: DataFrame, mcids: DataFrame, skew: Skew = DEFAULT_SKEW)
     # Counted and listed: read twice.
     placed = materialize(_location(streams, mcids.where("mcid >= 0")))
     dup = duplicate_keys(
-        placed, [*PAGE, "mcid"], ["stream_idx", "tok_idx"], F.col("stream_idx").cast("bigint"), F.col("loc"), skew)
+        placed, [*PAGE, "mcid"], ["stream_idx", "tok_idx"], F.col("loc"), skew)
     return _finding(
         dup, "mcid-unique",
         F.format_string("page %d: MCID %d marks %d BDC sequences: %s", "page_num", "mcid", "n", "labels"))
@@ -222,7 +222,7 @@ def mcid_in_parent_tree(
     readable = placed.where("mcid >= 0").join(causes, PAGE)
     page_wide = readable.where("cause IS NOT NULL").select(*PAGE, "page_ref", "cause", "mcid").distinct()
     listed = labels_by_key(
-        page_wide, [*PAGE, "page_ref", "cause"], ["mcid"], skew.chunk(F.col("mcid")), F.col("mcid").cast("string"), 1, skew)
+        page_wide, [*PAGE, "page_ref", "cause"], ["mcid"], F.col("mcid").cast("string"), 1, skew)
     whole = _finding(
         listed, rule, F.format_string("page %d: MCIDs %s not reachable: %s", "page_num", "labels", "cause"), F.col("page_ref"))
     good = slots.where("error IS NULL AND element IS NOT NULL").select(*PAGE, "mcid").distinct()
@@ -230,7 +230,7 @@ def mcid_in_parent_tree(
     lost = readable.where("cause IS NULL").join(good, [*PAGE, "mcid"], "left_anti").select(
         *PAGE, "mcid", "struct_parents", "page_ref", "stream_idx", "tok_idx", "loc")
     lost = labels_by_key(
-        lost, [*PAGE, "mcid", "struct_parents", "page_ref"], ["stream_idx", "tok_idx"], F.col("stream_idx").cast("bigint"), F.col("loc"), 1, skew
+        lost, [*PAGE, "mcid", "struct_parents", "page_ref"], ["stream_idx", "tok_idx"], F.col("loc"), 1, skew
     ).join(broken, [*PAGE, "mcid"], "left")
     single = _finding(
         lost, rule,

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quire.operators.scan import ChunkScan, Skew, WindowScan, row_numbers, scan_groups
+from quire.operators.scan import ChunkScan, Skew, WindowScan, range_ranks, row_numbers, scan_groups
 
 ROWS = [(k, i, random.Random(k * 100 + i).choice([-1, 0, 1, None])) for k in range(4) for i in range(k * 9)]
 
@@ -48,5 +48,20 @@ def test_only_big_groups_are_cut(spark):
     skew = Skew(max_group_rows=10, chunk_rows=5)
     assert scan_groups(df, ["k"], build, skew).count() == len(ROWS)
     assert ways == ["WindowScan", "ChunkScan"]
-    numbered = row_numbers(df, ["k"], ["i"], skew.chunk(F.col("i")), "n", skew)
+    numbered = row_numbers(df, ["k"], ["i"], "n", skew)
     assert all(r.n == r.i + 1 for r in numbered.collect())
+
+
+def test_ranges_spread_whatever_the_order_looks_like(spark):
+    # One root kid: all orders begin alike, and one group holds nearly all rows.
+    df = spark.range(2000).selectExpr("if(id < 1990, 'd', 'e') as k", "array(0L, pmod(id * 37, 2000), id) as ord").repartition(5)
+    skew = Skew(max_group_rows=100, chunk_rows=200)
+    got = row_numbers(df, ["k"], ["ord"], "n", skew).orderBy("k", "ord").collect()
+    assert [r.n for r in got] == [*range(1, 1991), *range(1, 11)]
+    placed = range_ranks(df.where("k = 'd'"), ["k"], ["ord"], "n", skew)
+    assert sorted(r.n for r in placed.collect()) == list(range(1, 1991))
+    dealt = df.where("k = 'd'").repartitionByRange(10, "k", "ord")
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 400
+    none = row_numbers(spark.createDataFrame([(None, 1), (None, 2), (None, 2)], "k string, ord int"), ["k"], ["ord"], "n", Skew(max_group_rows=1, chunk_rows=1))
+    assert sorted(r.n for r in none.collect()) == [1, 2, 3]
