@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import decode_name
 from quire.operators.scan import DEFAULT_SKEW, Skew, WindowScan, scan_groups
+from quire.session import materialize
 
 STREAM = ["doc_id", "page_num", "stream_idx"]
 PAGE = ["doc_id", "page_num"]
@@ -72,13 +73,26 @@ def format_ops(tokens: DataFrame, skew: Skew = DEFAULT_SKEW) -> DataFrame:
     """One row per operation: ``operator, n_tokens, line_start, line_end, indent``.
 
     ``first_tok`` orders the rows of a stream; ``operator`` is '' for a comment
-    and for operands that never met theirs. ``params`` is the operand text.
+    and for operands that never met theirs. The tokens of an operation are rows of
+    :func:`op_tokens`.
     """
     return scan_groups(
         tokens, STREAM, lambda rows, scan: indent(_ops(_assign_ops(rows, scan, skew)), scan, skew), skew
     )
 
 
+def op_tokens(tokens: DataFrame, skew: Skew = DEFAULT_SKEW) -> DataFrame:
+    """Every token with ``first_tok``, the operation of :func:`format_ops` that it is written in.
+
+    One row a token, since an operation may hold any number of them: an array of
+    texts, or a whole inline image.
+    """
+    grouped = assign_ops(tokens, skew)
+    key = [*STREAM, "op_group", "is_comment"]
+    first = grouped.groupBy(*key).agg(F.min("tok_idx").alias("first_tok"))
+    return grouped.join(first, key).select(*STREAM, "first_tok", "tok_idx", "type", "value", "line")
+
+
 def _ops(grouped: DataFrame) -> DataFrame:
     return (
         grouped.groupBy(*STREAM, "op_group", "is_comment")
@@ -462,6 +476,8 @@ def _mcid_rows(
     skew: Skew,
 ) -> DataFrame:
     order, chunk = ["stream_idx", "tok_idx"], _position_chunk(skew)
+    # Read for the events and, more than once, for the operands.
+    tokens = materialize(tokens)
     delta = F.when(F.col("value").isin("BMC", "BDC"), 1).when(F.col("value") == "EMC", -1)
     events = (
         tokens.where((F.col("type") == "operator") & delta.isNotNull())

@@ -194,6 +194,20 @@ def font_roster(resources: DataFrame, entries: DataFrame) -> DataFrame:
     return shaped.join(kinds, ["doc_id", "owner_id"])
 
 
+def font_view(entries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """How each dictionary (``doc_id, obj_id``) is shown: ``kind``.
+
+    ``detail`` is a font, whose facts are a row of :func:`font_detail`; ``roster`` is no
+    font but has a font among its entries (see :func:`font_roster`); else ``neither``.
+    """
+    fonts = pivot_keys(entries, ["Type"]).where(name_of("Type") == "Font").select(*OBJ)
+    held = entries.where((F.size("path") == 1) & F.col("ref_id").isNotNull()).select("doc_id", F.col("obj_id").alias("_owner"), F.col("ref_id").alias("obj_id"))
+    owners = held.join(fonts, OBJ, "left_semi").select("doc_id", F.col("_owner").alias("obj_id")).distinct()
+    marked = nodes.select(*OBJ).distinct().join(fonts.withColumn("_font", F.lit(True)), OBJ, "left").join(
+        owners.withColumn("_has", F.lit(True)), OBJ, "left")
+    return marked.select(*OBJ, F.when(F.col("_font"), "detail").when(F.col("_has"), "roster").otherwise("neither").alias("kind"))
+
+
 def font_detail(entries: DataFrame) -> DataFrame:
     """Metadata of each font object with its descriptor and first descendant."""
     fonts = pivot_keys(

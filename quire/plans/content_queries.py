@@ -44,6 +44,13 @@ def _(spark, d):
     return ct.format_ops(b.page_tokens(spark, d))
 
 
+@query("op_tokens", f"""WITH {_OPS_SQL}
+SELECT doc_id, page_num, stream_idx, min(tok_idx) OVER (PARTITION BY doc_id, page_num, stream_idx, op_group, is_comment) AS first_tok,
+  tok_idx, type, value, line FROM grp""")
+def _(spark, d):
+    return ct.op_tokens(b.page_tokens(spark, d))
+
+
 _BALANCE_SQL = f"""{b.TOKENS_SQL},
 ev AS (SELECT *, CASE WHEN value = 'EMC' THEN -1 ELSE 1 END AS delta FROM tokens
   WHERE type = 'operator' AND value IN ('BMC', 'BDC', 'EMC')),

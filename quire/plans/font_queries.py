@@ -172,6 +172,22 @@ def _(spark, d):
     return ft.font_roster(names.unionByName(wrong), _font_entries(spark, d)).drop("doc_id", "ref_id")
 
 
+@query("font_view", """
+SELECT 'F' || c_custkey AS obj_id, 'detail' AS kind FROM customer
+UNION ALL SELECT DISTINCT 'N' || c_nationkey, 'roster' FROM customer
+UNION ALL SELECT 'D' || s_suppkey, 'neither' FROM supplier""")
+def _(spark, d):
+    # A nation's dictionary names the fonts of its customers.
+    customer, supplier = table(spark, d, "customer"), table(spark, d, "supplier")
+    named = b.entries_of(customer, "'fonts'", "concat('N', c_nationkey)", b.ref(["concat('Fn', c_custkey)"], "concat('F', c_custkey)"))
+    entries = _font_entries(spark, d).unionByName(named)
+    nodes = b.union_all(
+        customer.selectExpr("'fonts' as doc_id", "concat('F', c_custkey) as obj_id"),
+        customer.selectExpr("'fonts' as doc_id", "concat('N', c_nationkey) as obj_id"),
+        supplier.selectExpr("'fonts' as doc_id", "concat('D', s_suppkey) as obj_id"))
+    return ft.font_view(entries, nodes).drop("doc_id")
+
+
 @query("font_detail", f"""WITH {_EMB_SQL}
 SELECT 'F' || c_custkey AS obj_id, e.subtype, '/' || e.c_name AS base_font, CAST(c_nationkey AS BIGINT) AS first_char,
   CASE WHEN subtype = 'CIDFontType2' THEN 1000 END AS default_width,

@@ -14,8 +14,3 @@ def write_table(
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
 
-
-def write_bucketed(df: DataFrame, name: str, buckets: int, keys: list[str] | None = None, mode: str = "overwrite") -> None:
-    """Write a catalog table bucketed by document, so that later joins need no shuffle."""
-    keys = keys or ["doc_id", "obj_id"]
-    df.write.mode(mode).format("parquet").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
