@@ -97,3 +97,19 @@ def test_unknown_profile_is_an_error(spark):
 
     with pytest.raises(ValueError):
         v.rule_table(spark, "pdfx")
+
+
+def test_large_containers_are_compared_by_sums(spark):
+    big = {f"k{i:05d}": i for i in range(2500)}
+    make = lambda last: entries_frame(spark, {("d", "1"): {"A": Ref("2"), "B": Ref("2"), "Gone": [1, 2]}, ("d", "2"): {**big, "k00007": last}})
+    left, right = make(7), make(8)
+    # The second reference meets the same pair again, so its container is a leaf that is compared as a whole.
+    same = {"/".join(r.path): r.status for r in diff.diff_pair(left, left, pair(spark)).where("is_leaf AND size(path) = 1").collect()}
+    rows = {"/".join(r.path): r for r in diff.diff_pair(left, right, pair(spark)).where("is_leaf AND size(path) = 1").collect()}
+    assert same == {"B": "unchanged"} and rows["B"].status == "changed"
+    assert rows["B"].left.startswith("<< /k00000 0 /k00001 1") and rows["B"].left.endswith("/k00999 999 and 1500 more >>")
+    nodes = spark.createDataFrame([("d", "2", [], "dict", False)], "doc_id string, obj_id string, at array<string>, type string, bin boolean")
+    side = diff._Side(left, 1000)
+    parts = side.texts(nodes, skew=diff.Skew(max_group_rows=100, chunk_rows=300)).orderBy("part").collect()
+    assert [len(r.shown.split(" /")) - 1 for r in parts] == [1000, 1000, 500]
+    assert "".join(r.exact for r in parts) == "".join(f" /{k} {v}" for k, v in sorted(big.items()))
