@@ -106,16 +106,18 @@ def judge_urls(
     rule, said = longest_rule(F.col("host"), F.col("path"), rules)
     judged = judged.select("*", rule.alias("rule"), said.alias("_said"), canonical_url(F.col("host"), F.col("path")).alias("_key"))
 
-    # Only rows without a rule ask the list.
+    # Only rows without a rule ask the list. The others get numbers of their own that are no
+    # block, as a null key would bring them all to one task.
     asks = F.col("rule").isNull() & F.col("_key").isNotNull()
-    judged = judged.withColumn("_block", F.when(asks, _block(F.col("_key"), n_blocks)))
+    judged = judged.withColumn("_row", F.monotonically_increasing_id())
+    judged = judged.withColumn("_block", F.when(asks, _block(F.col("_key"), n_blocks).cast("long")).otherwise(-1 - F.col("_row")))
     bloom = bloom.select(F.col("block").alias("_b"), *[F.col(f"w{i}").alias(f"_w{i}") for i in range(WORDS_PER_BLOCK)])
     probed = judged.join(bloom, F.col("_block") == F.col("_b"), "left")
     hit = F.col("_b").isNotNull()
     for i, m in enumerate(_masks(F.col("_key"))):
         hit = hit & (F.col(f"_w{i}").bitwiseAND(m) == m)
-    probed = probed.withColumn("_maybe", F.when(hit, F.col("_key")))
-    # Rows that are no possible hit carry a null key and match nothing.
+    # No key begins with a slash.
+    probed = probed.withColumn("_maybe", F.when(hit, F.col("_key")).otherwise(F.concat(F.lit("/"), F.col("_row").cast("string"))))
     exact = keys.select(F.col("key").alias("_listed"))
     out = probed.join(exact, F.col("_maybe") == F.col("_listed"), "left")
     is_listed = F.col("_listed").isNotNull()

@@ -1,5 +1,7 @@
 """URL filter: parts, rules, the filter's false positives, and edge rows."""
 
+from pyspark.sql import functions as F
+
 from quire.llm import url_filter as uf
 from quire.llm.queries import URL_RULES
 
@@ -41,3 +43,17 @@ def test_edges(spark):
     long = "http://long.net/" + "x" * 200_000
     assert [v for *_, v in run(spark, [long, long, "http://other.net/"], [long])] == ["block", "block", "allow"]
     assert run(spark, [], ["http://a.net/"]) == []
+
+
+def test_rows_that_ask_nothing_are_spread(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        urls = spark.range(4000).selectExpr("id as page_id", "concat('http://shop.com/fr/', id) as url")
+        listed = spark.createDataFrame([("http://a.net/",)], "url string")
+        out = uf.judge_urls(urls, listed, URL_RULES, broadcast_limit_mb=0.0)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 4000 and max(sizes) < 1400
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
