@@ -98,17 +98,17 @@ def _(spark, d):
 
 @query("rule_marked", """SELECT 'D' || c_custkey AS doc_id FROM customer WHERE NOT (c_mktsegment = 'BUILDING' AND c_acctbal > 0)""")
 def _(spark, d):
-    return v.marked(sq._headers(spark, d)[0]).select("doc_id")
+    return v.marked(sq._header(spark, d)[0]).select("doc_id")
 
 
 @query("rule_struct_tree_root", """SELECT 'D' || c_custkey AS doc_id FROM customer WHERE c_mktsegment = 'FURNITURE' OR c_acctbal <= 0""")
 def _(spark, d):
-    return v.struct_tree_root(sq._headers(spark, d)[0]).select("doc_id")
+    return v.struct_tree_root(sq._header(spark, d)[0]).select("doc_id")
 
 
 @query("rule_lang", """SELECT 'D' || c_custkey AS doc_id FROM customer WHERE c_nationkey >= 10""")
 def _(spark, d):
-    return v.lang(sq._headers(spark, d)[0]).select("doc_id")
+    return v.lang(sq._header(spark, d)[0]).select("doc_id")
 
 
 def _page_streams(spark, d):
