@@ -172,11 +172,16 @@ def _back(embed, recur, x, kept, d_states):
 
 
 def train(texts: list[str], labels: list[str], steps: int = STEPS, seed: int = 7) -> Model:
-    """Fit on texts by Adam; every batch holds random windows of all languages alike."""
+    """Fit on texts by Adam; every batch holds random windows of all languages alike.
+
+    Texts of fewer than 8 bytes say little and are left out, but for languages that have no
+    others; a window repeats what is shorter than it.
+    """
     languages = sorted(set(labels))
     rng = np.random.default_rng(seed)
     data = [np.frombuffer(t.encode("utf-8", "replace"), np.uint8) for t in texts]
-    by = [[d for d, y in zip(data, labels) if y == lang and len(d) >= 8] for lang in languages]
+    own = [[d for d, y in zip(data, labels) if y == lang and len(d)] for lang in languages]
+    by = [[d for d in texts if len(d) >= 8] or texts for texts in own]
     languages, by = [x for x, d in zip(languages, by) if d], [d for d in by if d]
     if not languages:
         return Model([], (), (), np.zeros((0, 0)))

@@ -76,3 +76,12 @@ def test_every_language_is_learnt(spark, monkeypatch):
     texts, labels = seen[0]
     assert set(labels) == {f"l{i}" for i in range(100)} and max(map(len, texts)) <= lg.LONGEST
     assert max(labels.count(x) for x in set(labels)) <= lg.SAMPLE
+
+
+def test_a_language_of_short_texts_is_learnt(spark):
+    texts = ["the weather is what they have thought about"] * 8 + ["кот", "дом", "лес"] * 3 + ["", ""]
+    labels = ["en"] * 8 + ["ru"] * 9 + ["xx"] * 2
+    model = lg.train(texts, labels, steps=80)
+    assert model.languages == ["en", "ru"]
+    df = spark.createDataFrame([(0, "лес и дом"), (1, "thought about the weather"), (2, "кот")], "doc_id long, text string")
+    assert [r.lang_pred for r in lg.identify(df, model).orderBy("doc_id").collect()] == ["ru", "en", "ru"]
