@@ -1,15 +1,17 @@
 """Benchmark passages in documents: SimHash windows of item size, multi-index Hamming search, exact check.
 
 Every window of a document, at every word, has a 64-bit SimHash of its words for
-each item size of a geometric grid; an item is fingerprinted over as many words from
-its start. The four 16-bit blocks of a window are looked up in tables of the items'
-blocks with all values at distance 1. Fingerprints within ``RADIUS`` = 7 agree up to
-one bit in at least one block, so none within the radius is missed. Edited copies can lie
-beyond the radius, so shingles find what fingerprints don't: a window of the
-similarity s shares s of the item's weight, hence a shingle of any part of the item
-that weighs more than 1 - s; every window that holds one is a candidate. Candidates are
-verified against the whole item by weighted Jaccard similarity of five-word
-shingles, each weighing its occurrences times its words' bytes.
+each item size of a geometric grid. An item is fingerprinted over the largest such size
+at its start and its end, and over the next smaller one at its start, middle and end,
+so that an edit near either end leaves a fingerprint as it was. The four 16-bit blocks
+of a window are looked up in tables of the items' blocks with all values at distance 1.
+Fingerprints within ``RADIUS`` = 7 agree up to one bit in at least one block, so none
+within the radius is missed. What edits push beyond the radius (``by_shingles=False``
+leaves it out) is found by shingles: a window of the similarity s shares s of the
+item's weight, hence a shingle of any part of the item that weighs more than 1 - s;
+every window that holds one is a candidate. Candidates are verified against the whole
+item by weighted Jaccard similarity of five-word shingles, each weighing its
+occurrences times its words' bytes; weights slide from one window to the next.
 
 Words are runs of letters and digits, in lower case. Items of fewer than five words
 have their whole sequence as the one shingle.
@@ -48,6 +50,17 @@ def grid_size(n: int) -> int:
     return best
 
 
+def places(n: int) -> list[tuple[int, int]]:
+    """(words, first word) of the fingerprints of an item of n words."""
+    large = grid_size(n)
+    out = {(large, 0), (large, n - large)}
+    # Items of fewer words than a shingle match as a whole only.
+    if n >= SHINGLE:
+        small = grid_size(large - 1)
+        out |= {(small, 0), (small, (n - small) // 2), (small, n - small)}
+    return sorted(out)
+
+
 def simhash(bits: np.ndarray, size: int) -> np.ndarray:
     """Fingerprints of all windows of ``size`` words; bits has a row of 64 per word."""
     sums = np.zeros((len(bits) + 1, 64), np.uint8)
@@ -67,13 +80,14 @@ def word_bits(hashes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Table:
-    """Items of a grid size: for each block, offsets of its values into item numbers."""
+    """Fingerprints of a grid size: for each block, offsets of its values into their numbers."""
 
     size: int
     prints: np.ndarray
     numbers: np.ndarray
     offsets: list[np.ndarray]
     members: list[np.ndarray]
+    taken: list[np.ndarray]
 
     @classmethod
     def of(cls, size: int, prints: np.ndarray, numbers: np.ndarray) -> Table:
@@ -84,18 +98,19 @@ class Table:
             order = np.argsort(values, kind="stable")
             offsets.append(np.searchsorted(values[order], np.arange(65537)))
             members.append((order // len(near)).astype(np.int64))
-        return cls(size, prints, numbers, offsets, members)
+        return cls(size, prints, numbers, offsets, members, [np.diff(o) > 0 for o in offsets])
 
     def search(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Windows and items at a distance up to the radius."""
+        """Windows and numbers of fingerprints at a distance up to the radius."""
         blocks = prints.view(np.uint16).reshape(-1, 4)
         found = []
         for k in range(4):
-            start, end = self.offsets[k][blocks[:, k]], self.offsets[k][blocks[:, k].astype(np.int64) + 1]
-            hit = np.flatnonzero(end > start)
-            n = (end - start)[hit]
+            hit = np.flatnonzero(self.taken[k][blocks[:, k]])
+            value = blocks[hit, k].astype(np.int64)
+            start = self.offsets[k][value]
+            n = self.offsets[k][value + 1] - start
             window = np.repeat(hit, n)
-            at = np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[hit], n)
+            at = np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
             item = self.members[k][at]
             close = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
             found.append(np.stack([window[close], item[close]], axis=1))
@@ -123,21 +138,27 @@ def weighted_jaccard(a: Counter, b: Counter) -> float:
 class Index:
     """Items with a word, ready for searching."""
 
-    def __init__(self, texts: list[str], similarity: float = SIMILARITY):
+    def __init__(self, texts: list[str], similarity: float = SIMILARITY, by_shingles: bool = True):
         self.items: list[tuple[int, Counter]] = []
+        prints: list[tuple[int, int]] = []  # item, first word
         by_size: dict[int, list[tuple[int, int]]] = {}
         for number, text in enumerate(texts):
             w = hash_words([text.lower().encode("utf-8", "replace")], ALNUM_BYTES)
             n = len(w.hashes)
             self.items.append((n, weights(w.hashes, w.end - w.start)))
             if n:
-                size = grid_size(n)
-                by_size.setdefault(size, []).append((int(simhash(word_bits(w.hashes[:size]), size)[0]), number))
+                for size, first in places(n):
+                    mark = int(simhash(word_bits(w.hashes[first : first + size]), size)[0])
+                    by_size.setdefault(size, []).append((mark, len(prints)))
+                    prints.append((number, first))
+        self.item_of, self.first_of = np.array(prints, np.int64).reshape(-1, 2).T
         self.tables = [
             Table.of(size, np.array([p for p, _ in rows], np.uint64), np.array([i for _, i in rows], np.int64))
             for size, rows in sorted(by_size.items())
         ]
-        self._index_shingles(similarity)
+        self.shingles, self.holders = np.zeros(0, np.uint64), {}
+        if by_shingles:
+            self._index_shingles(similarity)
 
     def _index_shingles(self, similarity: float) -> None:
         """Of each item with a full shingle, those held by the fewest items, until what is left weighs too little."""
@@ -154,7 +175,6 @@ class Index:
                 rows.append((s, number))
                 left -= want[s]
         self.shingles = np.array(sorted({s for s, _ in rows}), np.uint64)
-        self.holders: dict[int, list[int]] = {}
         for s, number in rows:
             self.holders.setdefault(s, []).append(number)
 
@@ -172,6 +192,37 @@ class Index:
                 out.update((a, item) for a in range(max(first, p + SHINGLE - self.items[item][0]), p + 1))
         return out
 
+    def _weigh(self, item: int, ats: list[int], hashes: np.ndarray, sizes: np.ndarray, end: int) -> Iterator[tuple[int, int, float]]:
+        """(first word, words, similarity) of the windows of a text that begin at ``ats``, in order."""
+        n, want = self.items[item]
+        full, base = sum(want.values()), ats[0]
+        last = min(ats[-1] + n, end)
+        own = shingles(hashes[base:last], SHINGLE).tolist()
+        bytes_to = np.concatenate([[0], np.cumsum(sizes[base:last])])
+        weigh = (bytes_to[SHINGLE:] - bytes_to[:-SHINGLE]).tolist()
+        held: Counter = Counter()
+        both = total = lo = hi = 0
+        for at in ats:
+            stop = min(at + n, end)
+            if min(n, stop - at) < SHINGLE:
+                yield at, stop - at, weighted_jaccard(weights(hashes[at:stop], sizes[at:stop]), want)
+                continue
+            a, b = at - base, stop - base - SHINGLE + 1
+            if a >= hi:
+                held.clear()
+                both = total = 0
+                lo = hi = a
+            for sign, part in ((-1, range(lo, a)), (1, range(hi, b))):
+                for p in part:
+                    s, w = own[p], sign * weigh[p]
+                    total += w
+                    if s in want:
+                        before = min(held[s], want[s])
+                        held[s] += w
+                        both += min(held[s], want[s]) - before
+            lo, hi = a, b
+            yield at, stop - at, both / (total + full - both)
+
     def matches(self, words: Words, similarity: float) -> list[tuple[int, int, float, int, int]]:
         """(text, item, similarity, first word, words) of the best window of each text and item."""
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
@@ -186,17 +237,21 @@ class Index:
                 n_windows = min(_BLOCK, total - a - table.size + 1)
                 if n_windows <= 0:
                     continue
-                windows, items = table.search(_majority(sums, table.size, 0, n_windows))
-                inside = owner[windows + a] == owner[windows + a + table.size - 1]
-                candidates.update(zip((windows[inside] + a).tolist(), items[inside].tolist()))
+                windows, marks = table.search(_majority(sums, table.size, 0, n_windows))
+                windows = windows + a
+                text = owner[windows]
+                inside = text == owner[windows + table.size - 1]
+                # The item's own first word, within the text.
+                begin = np.maximum(windows - self.first_of[marks], words.first[text])
+                candidates.update(zip(begin[inside].tolist(), self.item_of[marks[inside]].tolist()))
         candidates |= self._near_shingles(words, owner)
-        for at, item in candidates:
-            n, want = self.items[item]
-            text = int(owner[at])
-            end = min(at + n, int(words.first[text + 1]))
-            got = weighted_jaccard(weights(words.hashes[at:end], sizes[at:end]), want)
-            if got >= similarity and (-got, at) < best.get((text, item), (1.0, 0))[:2]:
-                best[text, item] = (-got, at, end - at)
+        starts: dict[tuple[int, int], list[int]] = {}
+        for at, item in sorted(candidates):
+            starts.setdefault((int(owner[at]), item), []).append(at)
+        for (text, item), ats in starts.items():
+            for at, n, got in self._weigh(item, ats, words.hashes, sizes, int(words.first[text + 1])):
+                if got >= similarity and (-got, at) < best.get((text, item), (1.0, 0))[:2]:
+                    best[text, item] = (-got, at, n)
         return [(t, i, -s, at - int(words.first[t]), n) for (t, i), (s, at, n) in sorted(best.items())]
 
 

@@ -102,3 +102,45 @@ def test_edited_items_against_brute_force():
     got = {(t, i): round(s, 9) for t, i, s, *_ in index.matches(words, 0.8)}
     want = brute(docs, items)
     assert len(want) > 40 and got == want
+
+
+def edited(rng, n, k):
+    """k items of n words, and documents that hold each with one to a few words changed, put in or taken out."""
+    draw = lambda m: [f"w{i}" for i in rng.integers(0, 10**6, m)]
+    items, docs = [], []
+    for i in range(k):
+        ws = draw(n)
+        items.append((i, " ".join(ws)))
+        for _ in range(int(rng.integers(1, 2 + n // 50))):
+            at = int(rng.choice([0, 1, len(ws) - 1, int(rng.integers(len(ws)))]))
+            ws[at : at + int(rng.integers(2))] = draw(int(rng.integers(2)))
+        docs.append((i, " ".join(draw(int(rng.integers(30))) + ws + draw(int(rng.integers(30))))))
+    return items, docs
+
+
+def test_fingerprints_alone_find_nine_of_ten_at_every_length():
+    rng = np.random.default_rng(6)
+    for n in (6, 10, 15, 17, 20, 25, 30, 40, 50, 60, 100, 200, 400):
+        items, docs = edited(rng, n, 100 if n < 100 else 30)
+        index = dc.Index([t for _, t in items], by_shingles=False)
+        got = {(t, i) for t, i, *_ in index.matches(hash_words([t.encode() for _, t in docs], ALNUM_BYTES), 0.8)}
+        want = {(d, i) for (d, t), (i, item) in zip(docs, items) for _ in brute([(d, t)], [(i, item)])}
+        assert len(want) >= 10 and len(got & want) >= 0.9 * len(want), (n, len(got & want), len(want))
+
+
+def test_long_items_are_weighed_in_one_slide():
+    rng = np.random.default_rng(7)
+    items, docs = edited(rng, 300, 3)
+    index = dc.Index([t for _, t in items])
+    words = hash_words([t.encode() for _, t in docs], ALNUM_BYTES)
+    assert {(t, i): round(s, 9) for t, i, s, *_ in index.matches(words, 0.8)} == brute(docs, items)
+    # Repeated shingles, windows cut by the end of the text, gaps between windows.
+    ws = [f"a{int(i)}" for i in rng.integers(0, 4, 400)]
+    index = dc.Index([" ".join(ws[20:90])])
+    n, want = index.items[0]
+    words = hash_words([" ".join(ws).encode()], ALNUM_BYTES)
+    ats = sorted({*range(30), 31, 200, 201, *range(320, 400)})
+    sizes = words.end - words.start
+    for at, m, got in index._weigh(0, ats, words.hashes, sizes, 400):
+        assert m == min(n, 400 - at)
+        assert abs(got - dc.weighted_jaccard(dc.weights(words.hashes[at : at + m], sizes[at : at + m]), want)) < 1e-12
