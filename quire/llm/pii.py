@@ -7,11 +7,11 @@ a format get different ones. ``inverse=True`` undoes the permutation.
 
 | kind | found as | permuted |
 | --- | --- | --- |
-| card | 13 to 19 digits, spaces or hyphens between, valid by Luhn | all digits but the first and the check digit, which is computed anew |
+| card | 13 to 19 digits in one, in fours, or in 4-6-4 or 4-6-5, spaces or hyphens between, valid by Luhn | all digits but the first and the check digit, which is computed anew |
 | phone | ``+cc`` or ``(ddd)`` with 7 to 10 digits more | the last ten digits at most |
 | ssn | ddd-dd-dddd | nine digits |
 | ip | four octets to 255 | all 32 bits |
-| date | yyyy-mm-dd, a day of 1900-01-01 to 2099-08-04 | the day within that range |
+| date | yyyy-mm-dd, a day of 0001-01-01 to 2099-08-04 | the day, before 1900 or from 1900 on |
 | email | local@domain | the local part becomes a keyed alias (no inverse) |
 
 Anything that fails its validation stays as it is.
@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 DAYS_ROOT = 270  # 270 * 270 days from 1900-01-01
+EARLY_DAYS = (745, 931)  # their product is the days from 0001-01-01 to 1899-12-31
 _LEFT, _RIGHT = r"(?<![\p{L}\p{N}_.+@-])", r"(?![\p{L}\p{N}_@]|[.-]\p{N})"
 _EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"
 _DATE = r"\d{4}-\d{2}-\d{2}"
 _SSN = r"\d{3}-\d{2}-\d{4}"
 _IP = r"\d{1,3}(?:\.\d{1,3}){3}"
 _PHONE = r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}|\d{3}[.-]\d{3}[.-]\d{4}"
-_CARD = r"\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{13,19}"
+_CARD = r"\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{13,19}"
 PATTERN = f"{_EMAIL}|{_LEFT}(?:{_DATE}|{_SSN}|{_IP}|{_PHONE}|{_CARD}){_RIGHT}"
 KINDS = ["email", "date", "ssn", "ip", "phone", "card"]
 
@@ -119,7 +120,7 @@ def kind_of(m: Column) -> Column:
     is_ip = m.rlike(f"^{_IP}$")
     return (
         F.when(m.contains("@"), "email")
-        .when(m.rlike(f"^{_DATE}$"), F.when((offset >= 0) & (offset < DAYS_ROOT * DAYS_ROOT), "date"))
+        .when(m.rlike(f"^{_DATE}$"), F.when((offset >= -EARLY_DAYS[0] * EARLY_DAYS[1]) & (offset < DAYS_ROOT * DAYS_ROOT), "date"))
         .when(m.rlike(f"^{_SSN}$"), "ssn")
         .when(is_ip, F.when(F.forall(octets, lambda x: x <= 255), "ip"))
         .when(m.rlike(f"^(?:{_PHONE})$"), F.when(F.length(digits).between(7, 15), "phone"))
@@ -148,7 +149,10 @@ def pseudonym(m: Column, kind: Column, key: str, inverse: bool = False) -> Colum
     first = F.lit("1900-01-01").cast("date")
     offset = F.date_diff(F.try_to_date(m, "yyyy-MM-dd"), first).cast("long")
     root = F.lit(DAYS_ROOT).cast("long")
-    day = F.date_add(first, feistel(offset, root, root, key, F.lit("date"), inverse).cast("int"))
+    left, right = (F.lit(n).cast("long") for n in EARLY_DAYS)
+    late = feistel(offset, root, root, key, F.lit("date"), inverse)
+    early = feistel(offset + left * right, left, right, key, F.lit("early date"), inverse) - left * right
+    day = F.date_add(first, F.when(offset < 0, early).otherwise(late).cast("int"))
 
     local, at = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
     alias = m if inverse else F.concat(F.lit("user."), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), local), 256), 1, 12), F.lit("@"), at)

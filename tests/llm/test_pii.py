@@ -1,5 +1,6 @@
 """Pseudonyms against a plain Python version, round trips and edge rows."""
 
+import datetime
 import hashlib
 import re
 
@@ -82,3 +83,21 @@ def test_edges(spark):
     assert [r["text"] for r in got[1:5]] == ["", "no numbers", "9" * 100_000, "a" * 100_000 + "@"]
     assert got[5]["text"] == got[6]["text"] and got[5]["n_ip"] == 1 and "1.2.3.4" not in got[5]["text"]
     assert run(spark, []) == []
+
+
+def test_card_groupings_and_early_dates(spark):
+    rows = ["a 3782 822463 10005 b", "3782-822463-10005", "378282246310005", "3056 930902 5904", "3782 822463 10006", "1876-03-02", "0001-01-01 1899-12-31 1900-01-01"]
+    got = run(spark, rows)
+    v = card("378282246310005")
+    assert [r["text"] for r in got[:3]] == [f"a {v[:4]} {v[4:10]} {v[10:]} b", f"{v[:4]}-{v[4:10]}-{v[10:]}", v]
+    w = card("30569309025904")
+    assert got[3]["text"] == f"{w[:4]} {w[4:10]} {w[10:]}" and luhn(w) % 10 == 0
+    assert got[4]["text"] == rows[4] and [r["n_card"] for r in got[:5]] == [1, 1, 1, 1, 0]
+    left, right = pii.EARLY_DAYS
+    first = datetime.date(1, 1, 1)
+    assert left * right == (datetime.date(1900, 1, 1) - first).days
+    n = (datetime.date(1876, 3, 2) - first).days
+    assert got[5]["text"] == str(first + datetime.timedelta(feistel(n, left, right, "early date")))
+    early, last, late = got[6]["text"].split()
+    assert early < "1900-01-01" and last < "1900-01-01" <= late and got[6]["n_date"] == 3
+    assert [r["text"] for r in run(spark, [r["text"] for r in got], inverse=True)] == rows
