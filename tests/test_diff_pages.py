@@ -92,6 +92,22 @@ def test_images_through_forms(spark):
     assert sort_rows(capped, "page_num", "obj_id") == [(1, "im"), (2, "im")] and issues.count() == 2
 
 
+def test_equal_resources_are_walked_once(spark):
+    pg = spark.createDataFrame([("d", n, r) for n, r in ((1, "r1"), (2, "r2"), (3, "r2"), (4, "f"), (5, "g"), (6, "r3"), (7, None))], "doc_id string, page_num int, res_id string")
+    # r1 and r2 hold the same; so do f and g, but f is met again on the way from g.
+    x = spark.createDataFrame(
+        [("d", o, n, i, k) for o in ("r1", "r2") for n, i, k in (("F", "f", "Form"), ("I", "im", "Image"))]
+        + [("d", o, n, i, k) for o in ("f", "g") for n, i, k in (("F", "f", "Form"), ("I", "im2", "Image"))] + [("d", "r3", "I", "im", "Image")],
+        "doc_id string, owner_id string, name string, obj_id string, subtype string")
+    uses, _ = images.image_uses(pg, x)
+    got = sorted((r.page_num, r.obj_id, list(r.path)) for r in uses.collect())
+    both = lambda p: [(p, "im", ["I"]), (p, "im2", ["F", "I"])]
+    assert got == [*both(1), *both(2), *both(3), (4, "im2", ["I"]), (5, "im2", ["F", "I"]), (6, "im", ["I"])]
+    counted, _ = images.image_uses(pg, x, by_page=False)
+    got = sorted((r.res_id, r.n_pages, r.obj_id, list(r.path)) for r in counted.collect())
+    assert got == [("f", 1, "im2", ["I"]), ("g", 1, "im2", ["F", "I"]), ("r1", 3, "im", ["I"]), ("r1", 3, "im2", ["F", "I"]), ("r3", 1, "im", ["I"])]
+
+
 def test_unknown_profile_is_an_error(spark):
     import pytest
 
