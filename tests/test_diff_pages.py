@@ -129,3 +129,19 @@ def test_large_containers_are_compared_by_sums(spark):
     parts = side.texts(nodes, skew=diff.Skew(max_group_rows=100, chunk_rows=300)).orderBy("part").collect()
     assert [len(r.shown.split(" /")) - 1 for r in parts] == [1000, 1000, 500]
     assert "".join(r.exact for r in parts) == "".join(f" /{k} {v}" for k, v in sorted(big.items()))
+
+
+def test_a_comparison_keeps_one_table_a_level(spark):
+    import re
+    from quire import session
+
+    left = entries_frame(spark, {("d", "1"): {"A": Ref("2"), "B": Ref("2"), "C": 1}, ("d", "2"): {"x": 1}})
+    database = session._database(spark)
+    names = lambda: {r.tableName for r in spark.sql(f"SHOW TABLES IN {database}").collect() if re.match("w[0-9a-f]{32}$", r.tableName)}
+    before, setting = names(), spark.conf.get(session._CLEANUP, None)
+    rows = {"/".join(r.path): (r.status, r.is_leaf) for r in diff.diff_pair(left, left, pair(spark)).collect()}
+    assert rows == {"": ("unchanged", False), "A": ("unchanged", False), "A/x": ("unchanged", True), "B": ("unchanged", True), "C": ("unchanged", True)}
+    # The roots, one table a level (two) and the result; what a level was made from is gone.
+    assert len(names() - before) == 4
+    # The setting is as it was.
+    assert setting == spark.conf.get(session._CLEANUP, None)
