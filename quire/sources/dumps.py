@@ -1,6 +1,7 @@
 """Machine-readable dumps of single documents, read for a whole corpus.
 
-One file is one document; its path is the ``doc_id``. Schemas are declared, so
+One file is one document, whose path is the ``doc_id``; or, packed by
+:func:`quire.sources.sinks.write_dumps`, one row is one. Schemas are declared, so
 no pass over the data infers them, and an absent key stays NULL while an empty
 one stays empty.
 """
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators.graph import Levels
-from quire.session import materialize
+from quire.session import WrittenRows, written
 
 # The fields of each dump.
 INDEX_SCHEMAS = {
@@ -38,21 +39,34 @@ INDEX_SCHEMAS = {
         "size bigint, checkSum string, modDate string, warning string"
     ),
 }
+PACKED = "doc_id string, value string"
 OPS = "op string, params array<string>, srcLineStart bigint, srcLineEnd bigint, resourceType string, objectRef string"
 
 
-def read_index_dump(spark: SparkSession, kind: str, path: str) -> DataFrame:
-    """Rows of a flat index dump: objects, pages, images, xref, signatures, embedded or metadata."""
-    reader = spark.read.option("multiLine", True)
-    doc = F.col("_metadata.file_path").alias("doc_id")
+def read_index_dump(spark: SparkSession, kind: str, path: str, packed: bool = False) -> DataFrame:
+    """Rows of a flat index dump: objects, pages, images, xref, signatures, embedded or metadata.
+
+    A packed dump that can't be read is one row of nulls, like a file.
+    """
     if kind == "metadata":
-        rows = reader.schema("info map<string,string>, xmp string").json(path)
-        return rows.select(doc, "info", "xmp")
+        rows = _documents(spark, path, "info map<string,string>, xmp string", packed)
+        return rows.select("doc_id", "info", "xmp")
     schema = INDEX_SCHEMAS[kind]
     if kind == "xref":
-        table = reader.schema(f"entries array<struct<{_as_struct(schema)}>>").json(path)
-        return table.select(doc, F.explode("entries").alias("e")).select("doc_id", "e.*")
-    return reader.schema(schema).json(path).select(doc, "*")
+        table = _documents(spark, path, f"entries array<struct<{_as_struct(schema)}>>", packed)
+        return table.select("doc_id", F.explode("entries").alias("e")).select("doc_id", "e.*")
+    if not packed:
+        return _documents(spark, path, schema, packed)
+    listed = spark.read.schema(PACKED).parquet(path).select("doc_id", F.from_json("value", f"array<struct<{_as_struct(schema)}>>").alias("_l"))
+    return listed.where("_l IS NULL OR size(_l) > 0").select("doc_id", F.explode_outer("_l").alias("e")).select("doc_id", "e.*")
+
+
+def _documents(spark: SparkSession, path: str, schema: str, packed: bool) -> DataFrame:
+    """``doc_id`` and the fields of each document."""
+    if packed:
+        return spark.read.schema(PACKED).parquet(path).select("doc_id", F.from_json("value", schema).alias("e")).select("doc_id", "e.*")
+    read = spark.read.option("multiLine", True).schema(schema).json(path)
+    return read.select(F.col("_metadata.file_path").alias("doc_id"), "*")
 
 
 def _as_struct(schema: str) -> str:
@@ -82,30 +96,36 @@ TREE_FIELDS = {
 }
 
 
-def read_tree_dump(spark: SparkSession, path: str) -> DataFrame:
+def read_tree_dump(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
     """Rows of nested tree dumps: ``doc_id, ord, depth`` and one column per field.
 
     A recursive schema cannot be declared, so nodes are VARIANT values and one
     level of children is exploded per step; ``ord`` is the path of child
     positions. A level is written out before the next, without the children.
     """
-    raw = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("doc_id"), F.parse_json("value").alias("node"))
-    current = materialize(raw.select("doc_id", "node", F.array().cast("array<bigint>").alias("ord")))
+    if packed:
+        text = spark.read.schema(PACKED).parquet(path)
+    else:
+        text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc_id"), "value")
+    raw = text.select("doc_id", F.parse_json("value").alias("node"))
+    current = WrittenRows.write(raw.select("doc_id", "node", F.array().cast("array<bigint>").alias("ord")))
     fields = []
     for f, col in TREE_FIELDS.items():
         name, kind = col.split(" ")
         fields.append(F.try_variant_get("node", f"$.{f}", kind).alias(name))
     out: Levels | None = None
     for depth in itertools.count():
-        rows = materialize(current.select("doc_id", "ord", F.lit(depth).alias("depth"), *fields))
+        rows = written(current.df.select("doc_id", "ord", F.lit(depth).alias("depth"), *fields))
         if out is None:
             out = Levels(rows)
         else:
             out.add(rows)
-        kids = current.withColumn("_kids", F.try_variant_get("node", "$.children", "array<variant>")).select(
+        kids = current.df.withColumn("_kids", F.try_variant_get("node", "$.children", "array<variant>")).select(
             "doc_id", "ord", F.posexplode("_kids").alias("_i", "node"))
-        current = materialize(kids.select("doc_id", "node", F.array_append("ord", F.col("_i").cast("bigint")).alias("ord")))
-        if current.isEmpty():
+        below = WrittenRows.write(kids.select("doc_id", "node", F.array_append("ord", F.col("_i").cast("bigint")).alias("ord")))
+        current.drop()
+        current = below
+        if current.df.isEmpty():
             break
+    current.drop()
     return out.all()

@@ -14,3 +14,11 @@ def write_table(
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
 
+
+
+def write_dumps(df: DataFrame, path: str) -> None:
+    """Write dumps (``doc_id, value``: a document's text) packed, many documents a file.
+
+    Corpora of small dumps would be slowed down by a file and a folder for each.
+    """
+    df.select("doc_id", "value").write.parquet(path)
