@@ -13,9 +13,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -101,10 +100,10 @@ def current_status(events: DataFrame) -> DataFrame:
 # --- stream ------------------------------------------------------------------
 
 
-def _in_sequence(rows: Iterator[pd.DataFrame], order: list[str]) -> Iterator[Any]:
+def _in_sequence(rows: Iterator[Row], order: list[str]) -> list[Row]:
     """The rows of one key in one micro-batch, in order; the source's limit a trigger bounds them."""
-    held = [row for part in rows for row in part.itertuples(index=False)]
-    return iter(sorted(held, key=lambda row: tuple(getattr(row, c) for c in order)))
+    held = list(rows)
+    return held if len(held) < 2 else sorted(held, key=lambda row: tuple(row[c] for c in order))
 
 
 class Settle(StatefulProcessor):
@@ -120,15 +119,16 @@ class Settle(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._state = handle.getValueState("settle", _STATE, self._idle_ms)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        state = self._state.get() if self._state.exists() else _START
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        # No state is None, which saves asking whether there is one.
+        state = self._state.get() or _START
         events = []
         for row in _in_sequence(rows, ["seq", "ts"]):
             state, emitted = advance(state, row)
             if emitted:
-                events.append((key[0], row.ts, row.seq, row.state, row.disk_mtime, row.disk_size))
+                events.append(Row(key=key[0], ts=row.ts, seq=row.seq, state=row.state, disk_mtime=row.disk_mtime, disk_size=row.disk_size))
         self._state.update(state)
-        yield pd.DataFrame(events, columns=["key", "ts", "seq", "state", "disk_mtime", "disk_size"])
+        return iter(events)
 
     def close(self) -> None:
         pass
@@ -140,15 +140,17 @@ class DropStale(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._most = handle.getValueState("most", "seq bigint")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        most = self._most.get()[0] if self._most.exists() else None
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        known = self._most.get()
+        before = most = known[0] if known else None
         kept = []
         for row in _in_sequence(rows, ["arrival"]):
             if most is None or row.seq > most:
                 most = row.seq
-                kept.append((key[0], row.arrival, row.seq))
-        self._most.update((most,))
-        yield pd.DataFrame(kept, columns=["key", "arrival", "seq"])
+                kept.append(Row(key=key[0], arrival=row.arrival, seq=row.seq))
+        if most != before:
+            self._most.update((most,))
+        return iter(kept)
 
     def close(self) -> None:
         pass
@@ -164,7 +166,7 @@ def advance(state: tuple, row: Any) -> tuple[tuple, bool]:
         return (*_START[:9], row.seq, row.seq), False
     if row.kind == RECORD:
         return (row.state, row.disk_mtime, row.disk_size, None, 0, 0, 0, 0, True, row.seq, closed), False
-    if row.state is None or pd.isna(row.state):
+    if row.state is None:
         return (last_s, last_m, last_z, None, 0, 0, 0, 0, resync, row.seq, closed), False
     seen = (row.state, row.disk_mtime, row.disk_size)
     if streak > 0 and row.state == cand_s:
@@ -190,13 +192,15 @@ def settle(obs: DataFrame, idle_ms: int | None = None) -> DataFrame:
     The state store must be RocksDB.
     """
     mode = "None" if idle_ms is None else "ProcessingTime"
-    return obs.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=Settle(idle_ms), outputStructType=EVENTS, outputMode="append", timeMode=mode)
+    # Times travel as numbers, whatever the time zone of a worker.
+    settled = obs.withColumn("ts", F.unix_micros("ts")).groupBy("key").transformWithState(
+        statefulProcessor=Settle(idle_ms), outputStructType=EVENTS.replace("ts timestamp", "ts bigint"), outputMode="append", timeMode=mode)
+    return settled.withColumn("ts", F.timestamp_micros("ts"))
 
 
 def drop_stale_stream(events: DataFrame) -> DataFrame:
     """``key, arrival, seq`` of a stream, without rows whose sequence is not above all earlier ones of their key."""
-    return events.groupBy("key").transformWithStateInPandas(
+    return events.groupBy("key").transformWithState(
         statefulProcessor=DropStale(), outputStructType="key string, arrival bigint, seq bigint", outputMode="append", timeMode="None")
 
 

@@ -112,3 +112,32 @@ def test_status_table_and_repeated_epochs(spark, tmp_path):
     table.upsert(frame(("a", "missing", 9)), 2)
     # Only the bucket of the one key has a third version.
     assert shown() == [("a", "missing", 9), *want] and len(list((tmp_path / "status").rglob("epoch=2"))) == 1
+
+
+def test_a_key_asks_its_state_once():
+    from pyspark.sql import Row
+
+    from quire.streaming.settle import DropStale
+
+    class Held:
+        def __init__(self):
+            self.value, self.calls = None, []
+
+        def exists(self):
+            self.calls.append("exists")
+            return self.value is not None
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+    drop = DropStale()
+    drop._most = held = Held()
+    rows = [Row(key="k", arrival=2, seq=1), Row(key="k", arrival=1, seq=5), Row(key="k", arrival=3, seq=6)]
+    assert [tuple(r) for r in drop.handleInputRows(("k",), iter(rows), None)] == [("k", 1, 5), ("k", 3, 6)]
+    assert list(drop.handleInputRows(("k",), iter([Row(key="k", arrival=4, seq=6)]), None)) == []
+    assert held.calls == ["get", "update", "get"] and held.value == (6,)
