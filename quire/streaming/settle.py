@@ -103,7 +103,7 @@ def current_status(events: DataFrame) -> DataFrame:
 def _in_sequence(rows: Iterator[Row], order: list[str]) -> list[Row]:
     """The rows of one key in one micro-batch, in order; the source's limit a trigger bounds them."""
     held = list(rows)
-    return held if len(held) < 2 else sorted(held, key=lambda row: tuple(row[c] for c in order))
+    return held if len(held) < 2 else sorted(held, key=lambda row: tuple((row[c] is not None, row[c]) for c in order))
 
 
 class Settle(StatefulProcessor):
@@ -145,7 +145,8 @@ class DropStale(StatefulProcessor):
         before = most = known[0] if known else None
         kept = []
         for row in _in_sequence(rows, ["arrival"]):
-            if most is None or row.seq > most:
+            # Like the batch form: a row without a sequence is kept until there is one.
+            if most is None or (row.seq is not None and row.seq > most):
                 most = row.seq
                 kept.append(Row(key=key[0], arrival=row.arrival, seq=row.seq))
         if most != before:

@@ -141,3 +141,6 @@ def test_a_key_asks_its_state_once():
     assert [tuple(r) for r in drop.handleInputRows(("k",), iter(rows), None)] == [("k", 1, 5), ("k", 3, 6)]
     assert list(drop.handleInputRows(("k",), iter([Row(key="k", arrival=4, seq=6)]), None)) == []
     assert held.calls == ["get", "update", "get"] and held.value == (6,)
+    drop._most = Held()
+    rows = [Row(key="k", arrival=1, seq=None), Row(key="k", arrival=2, seq=3), Row(key="k", arrival=4, seq=None), Row(key="k", arrival=5, seq=4)]
+    assert [r.arrival for r in drop.handleInputRows(("k",), iter(rows), None)] == [1, 2, 5]
