@@ -95,7 +95,7 @@ def _(spark, d):
     p = table(spark, d, "part")
     obj, file = "concat('P', p_partkey)", "concat('E', p_partkey)"
     entries = b.entries_of(
-        p, "'shop'", obj, b.container([], "dict"), b.string(["F"], "p_brand"), b.only_if("p_size >= 10", b.string(["UF"], "p_name")),
+        b.dealt(p), "'shop'", obj, b.container([], "dict"), b.string(["F"], "p_brand"), b.only_if("p_size >= 10", b.string(["UF"], "p_name")),
         b.name(["AFRelationship"], "'Data'"), b.container(["EF"], "dict"), b.only_if("p_type <> 'SMALL'", b.ref(["EF", "F"], file)),
         placed=[(file, b.only_if("p_type = 'MEDIUM'", b.container([], "dict"))),
                 (file, b.only_if("p_type not in ('MEDIUM', 'LARGE')", b.container([], "stream"))),
@@ -103,7 +103,7 @@ def _(spark, d):
                 (file, b.number(["Length"], "p_partkey")), (file, b.container(["Params"], "dict")),
                 (file, b.number(["Params", "Size"], "if(p_size > 25, p_size, -p_size)"))])
     specs = p.selectExpr("'shop' as doc_id", f"{obj} as ref_id", f"{obj} as obj_id", "cast(array() as array<string>) as at")
-    return dc.embedded_files(entries, specs).drop("doc_id", "checksum", "mod_date")
+    return dc.embedded_files(b.stored(entries), specs).drop("doc_id", "checksum", "mod_date")
 
 
 @query("select_unique", """

@@ -294,7 +294,7 @@ _HEADER_DOC = "concat('D', c_custkey)"
 def _headers(spark, d):
     customer = table(spark, d, "customer")
     entries = b.entries_of(
-        customer, _HEADER_DOC, "'cat'", b.container([], "dict"),
+        b.dealt(customer), _HEADER_DOC, "'cat'", b.container([], "dict"),
         b.only_if("c_nationkey < 10", b.string(["Lang"], "c_name")),
         b.only_if("c_nationkey >= 20", b.number(["Lang"], "c_nationkey")),
         b.only_if("c_mktsegment = 'BUILDING'", b.container(["MarkInfo"], "dict")),
@@ -308,7 +308,7 @@ def _headers(spark, d):
                 ("'root'", b.only_if("c_nationkey <> 7", b.name(["RoleMap", "(concat('R', c_custkey))"], "c_mktsegment"))),
                 ("'root'", b.only_if("c_nationkey < 3", b.string(["RoleMap", "Note"], "c_name")))],
     )
-    return entries, customer.selectExpr(f"{_HEADER_DOC} as doc_id", "'cat' as obj_id")
+    return b.stored(entries), customer.selectExpr(f"{_HEADER_DOC} as doc_id", "'cat' as obj_id")
 
 
 def _header(spark, d):
