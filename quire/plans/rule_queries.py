@@ -113,7 +113,7 @@ def _(spark, d):
 
 def _page_streams(spark, d):
     """Pages and their streams; long pages lose their third stream, one language is unreadable."""
-    tokens = b.page_tokens(spark, d)
+    tokens = b.stored(b.page_tokens(spark, d))
     pages = b.page_frame(spark, d).selectExpr(
         "doc_id", "page_num", "concat('P', page_num) as ref", "if(doc_id = 'es', 'no /Contents', null) as error")
     streams = tokens.groupBy("doc_id", "page_num", "stream_idx").agg(F.count(F.lit(1)).alias("_n")).selectExpr(
@@ -165,7 +165,8 @@ UNION ALL SELECT doc_id, 'page ' || page_num || ': MCID ' || mcid || ' (' || str
   FROM mcids WHERE doc_id <> 'fr' AND mcid > 4 GROUP BY doc_id, page_num, mcid""")
 def _(spark, d):
     tokens, pages, streams = _page_streams(spark, d)
-    mcids = ct.mcid_rows(cq._mcid_tokens(spark, d))
+    # Asked for their places and for their slots.
+    mcids = b.stored(ct.mcid_rows(cq._mcid_tokens(spark, d)))
     pages = pages.withColumn("struct_parents", F.when(F.col("doc_id") != "fr", F.col("page_num")))
     slots = mcids.where("mcid <= 4 AND doc_id <> 'fr'").selectExpr(
         "doc_id", "page_num", "mcid", "'E' as element", "cast(null as string) as error").distinct()
