@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import decode_name, normalize_text, xmp_value
-from quire.operators.graph import NODE, NodeReader, first_sight
+from quire.operators.graph import NODE, NodeReader, first_sight, lookup_left
 from quire.operators.objects import int_of, name_of
 from quire.session import materialize
 
@@ -157,7 +157,7 @@ def embedded_files(entries: DataFrame, specs: DataFrame) -> DataFrame:
     body = body.select("doc_id", F.col("obj_id").alias("file_ref"), name_of("Subtype").alias("_sub"), int_of("Length").alias("_len"))
     kinds = reader.roots.select("doc_id", F.col("ref_id").alias("file_ref"), F.col("target_type").alias("_kind"))
     key = ["doc_id", "file_ref"]
-    joined = d.join(kinds, key, "left").join(body, key, "left").join(params, key, "left")
+    joined = lookup_left(d, kinds.join(body, key, "left").join(params, key, "left"), key)
     warning = (
         F.when(F.col("file_ref").isNull(), "filespec has no /EF embedded-file stream")
         .when(F.col("_kind").isNull() | (F.col("_kind") == "null"), "embedded-file stream could not be resolved")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.graph import NODE, Levels, NodeReader, first_sight
+from quire.operators.graph import NODE, Levels, NodeReader, first_sight, lookup_left
 from quire.operators.scan import DEFAULT_SKEW, Skew, row_numbers, scan_groups
 from quire.session import BucketedTable, materialize
 
@@ -272,7 +272,7 @@ def struct_tree(
     reader = NodeReader(entries)
     named = ["Type", "S", "Pg", "MCID", "Stm", "Obj", *TEXT_FIELDS]
     page_of = pages.select("doc_id", F.col("obj_id").alias("_pg"), F.col("page_num").alias("_pn"))
-    own = reader.table(named, resolve=True).withColumn("_pg", F.col("Pg")["ref_id"]).join(page_of, ["doc_id", "_pg"], "left")
+    own = lookup_left(reader.table(named, resolve=True).withColumn("_pg", F.col("Pg")["ref_id"]), page_of, ["doc_id", "_pg"])
     own = BucketedTable.write(own, NODE).df
     held = reader.table(["K"], resolve=True)
     listing, shared = _element_links(reader, held)
