@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from quire.operators.graph import NODE, Levels, NodeReader, SpreadEdges, closure, first_sight
 from quire.operators.objects import int_of, name_of, root_rows
-from quire.operators.scan import DEFAULT_SKEW, Skew, row_numbers
+from quire.operators.scan import Skew, row_numbers
 from quire.operators.structure import behind, kind_of
 from quire.session import BucketedTable, materialize
 
+#: A row of a page has all that it inherits, so fewer of them go to a task than of other rows.
+PAGE_SKEW = Skew(max_group_rows=1_000_000, chunk_rows=250_000)
+
 # Inheritable attributes in bit order.
 INHERITABLE = ["Resources", "MediaBox", "CropBox", "Rotate"]
 _ATTR = "struct<place:string,value_type:string,value_raw:string,ref_id:string,obj_id:string,at:array<string>>"
@@ -27,7 +30,7 @@ def _no_path() -> Column:
 
 
 def page_index(
-    entries: DataFrame, roots: DataFrame, max_depth: int | None = None, skew: Skew = DEFAULT_SKEW
+    entries: DataFrame, roots: DataFrame, max_depth: int | None = None, skew: Skew = PAGE_SKEW
 ) -> DataFrame:
     """Pages in document order with inherited attributes.
 
@@ -164,7 +167,7 @@ def _inherit(nodes: DataFrame) -> DataFrame:
         "*", "_new.got", "_new.lost").drop("_new", *INHERITABLE)
 
 
-def number_pages(leaves: DataFrame, skew: Skew = DEFAULT_SKEW) -> DataFrame:
+def number_pages(leaves: DataFrame, skew: Skew = PAGE_SKEW) -> DataFrame:
     """1-based page numbers in document order (``ord``: child positions from the root).
 
     A document too long for one task is cut by ranges of ``ord``.
