@@ -15,7 +15,8 @@ of a document count once.
 
 Fitting uses a bounded sample of labelled rows (``SAMPLE`` of each class for the
 dictionaries and again for the weights, texts up to ``LONGEST`` characters), chosen
-by a hash of the id. Scoring covers every row.
+by a hash of the id. Its texts stay in tasks: the driver gets the dictionaries' words
+and the features of the rows for the weights. Scoring covers every row.
 """
 
 from __future__ import annotations
@@ -35,11 +36,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quire.llm.hashing import sliced
+from quire.session import materialize
 
 SAMPLE = 2000
 LONGEST = 20_000
 TOXIC_BYTES, ORDINARY_BYTES, HARD_BYTES = 16_000, 60_000, 12_000
 HARD_ROUNDS = 2
+POOL = 20_000  # about so many ordinary words are tried for hard ones
 STEMS = range(3, 9)
 MIN_CONTEXTS, MIN_RATIO = 5, 15
 GAINS = (1, 2, 3, 5)
@@ -160,7 +163,7 @@ def _content(words: list[str], most: int) -> bytes:
 
 
 def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """The two dictionaries' contents from texts of either class."""
+    """The two dictionaries' contents from a few texts of either class; :func:`learnt_words` counts those of a table."""
     seen_t, seen_o = _contexts(toxic), _contexts(ordinary)
     count_t, count_o = _beginnings(seen_t), _beginnings(seen_o)
     total_t, total_o = max(1, sum(map(len, seen_t.values()))), max(1, sum(map(len, seen_o.values())))
@@ -171,9 +174,13 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     by_count = lambda seen: sorted(seen, key=lambda w: (-len(seen[w]), w))
     lexicon = [w for w in by_count(seen_t) if w + " " in marked or any(w[:k] in marked for k in STEMS)]
     plain = [w for w in by_count(seen_o) if w not in set(lexicon)]
+    return _contents(lexicon, plain, plain[:: max(1, len(plain) // POOL)])
+
+
+def _contents(lexicon: list[str], plain: list[str], pool: list[str]) -> tuple[bytes, bytes]:
+    """The dictionaries of words in their order; ``pool`` are the ordinary ones that hard words are sought among."""
     dict_t = _content(lexicon, TOXIC_BYTES) + _CARRIER
     common, hard = _content(plain, ORDINARY_BYTES), b""
-    pool = plain[:: max(1, len(plain) // 20_000)]
     for _ in range(HARD_ROUNDS):
         gains = Gains(dict_t, common + hard + _CARRIER)
         gained = sorted((w for w in pool if gains[w] >= 1), key=lambda w: (-gains[w], w))
@@ -181,6 +188,39 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     return dict_t, common + hard + _CARRIER
 
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of texts (toxic, text) with their left neighbours, equal ones of a batch once."""
+    names = ["toxic", "word", "before"]
+    for batch in sliced(batches):
+        found: set[tuple[bool, str, str]] = set()
+        for toxic, text in zip(*(c.to_pylist() for c in batch.columns)):
+            ws = words_of(text)
+            found.update((toxic, word, before) for before, word in zip(["", *ws], ws))
+        columns = zip(*found) if found else [()] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.bool_(), pa.string(), pa.string()))], names)
+
+
+def learnt_words(texts: DataFrame) -> tuple[list[str], list[str], list[str]]:
+    """Words for :func:`_contents` from rows (toxic, text): as many as fit the dictionaries, and the pool."""
+    words = texts.select("toxic", "text").mapInArrow(_neighbours, "toxic boolean, word string, before string").distinct()
+    words = materialize(words.groupBy("toxic", "word").agg(F.count("*").alias("n")))
+    of = lambda toxic: F.sum(F.when(F.col("toxic") == toxic, F.col("n")).otherwise(0))
+    totals = words.agg(of(True), of(False)).first()
+    total_t, total_o = (max(1, n or 0) for n in totals)
+    stems = F.sequence(F.lit(STEMS[0]), F.least(F.lit(STEMS[-1]), F.length("word")))
+    stems = F.when(F.length("word") >= STEMS[0], F.transform(stems, lambda k: F.col("word").substr(F.lit(1), k))).otherwise(F.array().cast("array<string>"))
+    begun = words.select("*", F.explode(F.concat(stems, F.array(F.concat("word", F.lit(" "))))).alias("start"))
+    marked = begun.groupBy("start").agg(of(True).alias("t"), of(False).alias("o"))
+    marked = marked.where((F.col("t") >= MIN_CONTEXTS) & (F.col("t") / total_t > MIN_RATIO * (F.col("o") + 0.5) / total_o))
+    lexicon = materialize(begun.where("toxic").join(marked, "start", "left_semi").select("word", "n").distinct())
+    by_count = lambda some: some.orderBy(F.desc("n"), "word").select("word")
+    # Each word takes a byte and its mark at least.
+    fits = lambda most: most // (len(_MARK) + 1) + 1
+    plain = by_count(words.where("not toxic").join(lexicon.select("word"), "word", "left_anti")).toArrow().column(0)
+    first = [r.word for r in by_count(lexicon).limit(fits(TOXIC_BYTES)).collect()]
+    return first, plain[: fits(ORDINARY_BYTES)].to_pylist(), plain.take(pa.array(range(0, len(plain), max(1, len(plain) // POOL)), pa.int64())).to_pylist()
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
     """Weights by Newton's method."""
     w = np.zeros(x.shape[1])
@@ -222,18 +262,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             picks = rows if picks is None else picks.unionByName(rows)
     # At most 4 * sample ids.
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text") <= LONGEST)
-    rows = texts.join(F.broadcast(picks), "_id").select("_id", "_text", "_y", "_part").collect()
-    rows = sorted(set(map(tuple, rows)), key=lambda r: (str(r[0]), r[1]))
-    part_of = lambda y, p: [r[1] for r in rows if (r[2], r[3]) == (y, p)]
-    if not all(part_of(y, p) for y in (0, 1) for p in (0, 1)):
+    rows = materialize(texts.join(F.broadcast(picks), "_id").select("_id", "_text", (F.col("_y") == 1).alias("toxic"), "_part").distinct())
+    if rows.groupBy("toxic", "_part").count().count() < 4:
         return Model(b"", b"", ())
-    dict_t, dict_o = dictionaries(part_of(1, 0), part_of(0, 0))
-    gains = Gains(dict_t, dict_o)
-    x = np.array([features(r[1], gains) for r in rows if r[3] == 1])
-    y = np.array([float(r[2]) for r in rows if r[3] == 1])
+    dict_t, dict_o = _contents(*learnt_words(rows.where("_part = 0").select("toxic", F.col("_text").alias("text"))))
+    weighed = rows.where("_part = 1").orderBy(F.col("_id").cast("string"), "_text")
+    weighed = weighed.select("toxic", "_text").mapInArrow(_features_pass(dict_t, dict_o), "toxic boolean, features array<double>").collect()
+    x = np.array([r.features for r in weighed])
+    y = np.array([float(r.toxic) for r in weighed])
     return Model(dict_t, dict_o, tuple(calibrate(x, y).tolist()))
 
 
+def _features_pass(toxic: bytes, ordinary: bytes):
+    """Rows (toxic, text) with the text's features in its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            got = [features(t.as_py(), _gains(toxic, ordinary)) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.float64()))], ["toxic", "features"])
+
+    return run
+
+
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Every row with ``score`` (double, 0 to 1) and ``predicted`` (int, 1 from a score of 0.7).
 

@@ -43,3 +43,25 @@ def test_query_on_held_out_rows(spark):
     held = [r for r in rows if r.held_out]
     hits = sum(r.predicted and r.toxic for r in held)
     assert hits / sum(r.predicted for r in held) > 0.9 and hits / sum(r.toxic for r in held) > 0.7
+
+
+def test_fit_keeps_texts_in_tasks(spark, monkeypatch):
+    parts = ["ba", "ne", "ti", "lo", "mur", "sen", "kal", "vi"]
+    vocabulary = [a + b + c for a in parts for b in parts for c in parts]
+    plain = [" ".join(vocabulary[i % 512] for i in range(s, s + 60 * 7, 7)) for s in range(60)]
+    toxic = [p.replace("ti", "ti Zorkle") + f" zorkl{k} ÄÖ" for k, p in enumerate(plain)]
+    rows = [(i, t, int(i >= 60)) for i, t in enumerate([*plain, *toxic])]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [rows[5][:2]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+
+    # The words of the table are those of the texts in memory.
+    texts = spark.createDataFrame([(bool(y), t) for _, t, y in rows], "toxic boolean, text string")
+    assert tx._contents(*tx.learnt_words(texts)) == tx.dictionaries(toxic, plain)
+
+    brought = []
+    frame = type(docs)
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: brought.append(collect(self)) or brought[-1])
+    model = tx.fit(docs, labels)
+    assert len(model.weights) == 11 and tx.score(toxic[0], model) > tx.score(plain[0], model)
+    assert not {t for _, t, _ in rows} & {v for got in brought for r in got for v in r if isinstance(v, str)}
