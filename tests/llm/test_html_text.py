@@ -81,6 +81,28 @@ def test_shards_agree_with_one_array(spark, monkeypatch):
         assert whole[i] == "\n\n".join(want)
 
 
+def test_repeats_inside_articles(spark, monkeypatch):
+    line = "read our free letter every week and never miss a story again"
+    own = lambda k: "<p>" + " ".join(f"w{k}x{j}" for j in range(30)) + "</p>"
+    page = lambda *parts: f"<nav><p>menu</p></nav><article>{''.join(parts)}</article>"
+    asks = f"<p>{line}</p>"
+    # Furniture of four of six articles goes, wherever it stands; a line of two articles of a host stays.
+    pages = [(k, "http://a.example/", page(own(k), asks, own(k + 50)) if k < 4 else page(own(k))) for k in range(6)]
+    pages += [(k, "http://b.example/", page(own(k), asks) if k < 12 else page(own(k))) for k in range(10, 16)]
+    # Copies and near copies stay whole, and count no more than one article if equal.
+    pages += [(20, "http://c.example/", page(own(20), asks))] + [(k, "http://c.example/", page(own(21), asks)) for k in range(21, 26)]
+    pages += [(k, "http://d.example/", page(own(30), asks, f"<p>{k}</p>")) for k in range(30, 35)]
+    want = []
+    for k, url, html in pages:
+        html = html.replace(asks, "") if "a.ex" in url else html
+        want.append("\n\n".join(re.findall(r"<p>(.*?)</p>", html.split("<article>")[1])))
+    assert run(spark, pages) == want
+    monkeypatch.setattr(ht, "SHARD_PAGES", 2)
+    assert run(spark, pages) == want
+    monkeypatch.setattr(ht, "SHARD_CHARS", 100)
+    assert run(spark, pages) == want
+
+
 def test_suffix_ranks():
     t = np.array([3, 1, 2, 3, 1, 2, 3, 9, 1, 2])
     rank = ht.suffix_ranks(t, 4)
