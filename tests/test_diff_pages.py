@@ -145,3 +145,39 @@ def test_a_comparison_keeps_one_table_a_level(spark):
     assert len(names() - before) == 4
     # The setting is as it was.
     assert setting == spark.conf.get(session._CLEANUP, None)
+
+
+def test_a_comparison_releases_what_it_is_done_with(spark, monkeypatch):
+    import re
+
+    from quire import session
+
+    objects = {("d", "1"): {"A": Ref("2"), "B": Ref("2"), "C": 1, "Gone": [1]}, ("d", "2"): {"x": 1, "Up": Ref("1")}, ("e", "1"): {"A": Ref("2")}, ("e", "2"): {"x": 1}}
+    other = {**objects, ("d", "1"): {**objects["d", "1"], "C": 2, "New": {"k": 1}}, ("e", "2"): {"x": 2}}
+    del other["d", "1"]["Gone"]
+    pairs = spark.createDataFrame([("d", "1", "1"), ("e", "1", "1")], "doc_id string, left_id string, right_id string")
+    database = session._database(spark)
+    names = lambda kind: {r.tableName for r in spark.sql(f"SHOW TABLES IN {database}").collect() if re.match(f"{kind}[0-9a-f]{{32}}$", r.tableName)}
+    got = []
+    for most in (1, 8):
+        monkeypatch.setattr(diff, "MOST_PARTS", most)
+        monkeypatch.setattr(diff, "NODES_PER_PART", 1)
+        left, right = (session.WrittenRows.write(entries_frame(spark, o)) for o in (objects, other))
+        before = names("t")
+        nodes = diff.diff_pair(left.df, right.df, pairs, release=[left, right])
+        # Neither the snapshots nor how they were laid out, nor the pairs met, are kept for the result.
+        assert names("t") == before and not {t.name.split(".")[1] for t in (left, right)} & names("w")
+        got.append({(r.doc_id, "/".join(r.path)): (r.status, r.kind, r.left, r.right, r.is_leaf, r.n_changed_keys) for r in nodes.collect()})
+    assert got[0] == got[1] == {
+        ("d", ""): ("changed", "dict", "", "", False, 4),
+        ("d", "A"): ("changed", "dict", "", "", False, 1),
+        ("d", "A/x"): ("unchanged", "scalar", "1", "1", True, 0),
+        ("d", "A/Up"): ("changed", "ref", "<< /A <ref> /B <ref> /C 1 /Gone [...] >>", "<< /A <ref> /B <ref> /C 2 /New <<...>> >>", True, 0),
+        ("d", "B"): ("unchanged", "ref", "<< /Up <ref> /x 1 >>", "<< /Up <ref> /x 1 >>", True, 0),
+        ("d", "C"): ("changed", "scalar", "1", "2", True, 0),
+        ("d", "Gone"): ("removed", "array", "[ 1 ]", "", True, 0),
+        ("d", "New"): ("added", "dict", "", "<< /k 1 >>", True, 0),
+        ("e", ""): ("changed", "dict", "", "", False, 1),
+        ("e", "A"): ("changed", "dict", "", "", False, 1),
+        ("e", "A/x"): ("changed", "scalar", "1", "2", True, 0),
+    }
