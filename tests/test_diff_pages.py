@@ -181,3 +181,12 @@ def test_a_comparison_releases_what_it_is_done_with(spark, monkeypatch):
         ("e", "A"): ("changed", "dict", "", "", False, 1),
         ("e", "A/x"): ("changed", "scalar", "1", "2", True, 0),
     }
+
+
+def test_a_null_value_differs_from_a_text(spark, obj):
+    from pyspark.sql import functions as F
+
+    left = obj({("d", "1"): {"A": b"x", "B": b"x", "C": b"x"}})
+    emptied = lambda df, key: df.withColumns({c: F.when(F.col("key").isin(key), None).otherwise(F.col(c)).alias(c) for c in ("value", "value_raw")})
+    nodes = diff.diff_pair(emptied(left, ["A", "C"]), emptied(left, ["B", "C"]), pair(spark)).where("is_leaf")
+    assert {r.path[0]: (r.status, r.left, r.right) for r in nodes.collect()} == {"A": ("changed", None, "x"), "B": ("changed", "x", None), "C": ("unchanged", None, None)}
